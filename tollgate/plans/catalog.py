@@ -1,0 +1,144 @@
+"""Registered queries: name -> (spark, sf_dir) -> DataFrame.
+
+Each query reads the driver's tables (or views Spark derives from them) in
+full; none runs on made-up input alone.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tollgate import config
+from tollgate.functions import money
+from tollgate.operators import budget, pricing
+from tollgate.sources import dims, traffic
+from tollgate.sources.tables import read_table
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+
+
+def register(name: str):
+    def deco(fn: Query) -> Query:
+        if name in QUERIES:
+            raise ValueError(f"duplicate query {name}")
+        QUERIES[name] = fn
+        return fn
+    return deco
+
+
+# -- shared inputs ----------------------------------------------------------
+
+def events(spark, sf):
+    return read_table(spark, sf, "events")
+
+
+def audit(spark, sf):
+    return traffic.gw_audit(events(spark, sf))
+
+
+def costed(spark, sf):
+    return pricing.with_cost(audit(spark, sf))
+
+
+def daily(spark, sf):
+    return budget.daily_usage(costed(spark, sf))
+
+
+# -- cost and budget --------------------------------------------------------
+
+@register("price_catalog")
+def q_price_catalog(spark, sf):
+    """The catalogue as used by the traffic: resolved price per (provider, model)."""
+    return (pricing.with_price(audit(spark, sf))
+            .groupBy("provider_used", "model_used", "price_in", "price_out", "price_tier")
+            .agg(F.count(F.lit(1)).alias("n_requests"))
+            .select("provider_used", "model_used", F.col("price_in").cast("double").alias("price_in"),
+                    F.col("price_out").cast("double").alias("price_out"), "price_tier", "n_requests"))
+
+
+@register("price_join")
+def q_price_join(spark, sf):
+    return pricing.with_price(audit(spark, sf)).select(
+        "event_id", "provider_used", "model_used", F.col("price_in").cast("double").alias("price_in"),
+        F.col("price_out").cast("double").alias("price_out"), "price_tier")
+
+
+@register("estimate_cost")
+def q_estimate_cost(spark, sf):
+    return costed(spark, sf).select("event_id", "provider_used", "model_used", "prompt_tokens",
+                                    "completion_tokens", money.usd(F.col("cost")).alias("cost_usd"))
+
+
+@register("usage_struct")
+def q_usage_struct(spark, sf):
+    return (costed(spark, sf)
+            .select("event_id", money.usage_struct(F.col("prompt_tokens"), F.col("completion_tokens"),
+                                                   F.col("cost")).alias("usage"))
+            .select("event_id", "usage.*"))
+
+
+@register("daily_usage")
+def q_daily_usage(spark, sf):
+    return daily(spark, sf).select("team_id", "day", money.usd(F.col("cost")).alias("cost_usd"), "n_requests")
+
+
+@register("monthly_usage")
+def q_monthly_usage(spark, sf):
+    return budget.monthly_usage(daily(spark, sf)).select(
+        "team_id", "month", money.usd(F.col("cost")).alias("cost_usd"), F.col("n_requests").cast("bigint"))
+
+
+@register("team_budget_status")
+def q_team_budget_status(spark, sf):
+    return budget.team_budget_status(daily(spark, sf))
+
+
+@register("all_teams_budget")
+def q_all_teams_budget(spark, sf):
+    return budget.all_teams_budget(daily(spark, sf))
+
+
+@register("team_ids_union")
+def q_team_ids_union(spark, sf):
+    """Configured team ids UNION team ids with usage."""
+    cfg = dims.budget_dim(spark).select("team_id")
+    return cfg.union(daily(spark, sf).select("team_id")).distinct()
+
+
+@register("budget_limits_join")
+def q_budget_limits_join(spark, sf):
+    return budget.with_limits(audit(spark, sf).select("event_id", "team_id")).select(
+        "event_id", "team_id", F.col("daily_limit").cast("double").alias("daily_limit_usd"),
+        F.col("monthly_limit").cast("double").alias("monthly_limit_usd"), "configured")
+
+
+@register("budget_remaining")
+def q_budget_remaining(spark, sf):
+    return budget.with_limits(daily(spark, sf)).select(
+        "team_id", "day",
+        money.remaining(F.col("daily_limit"), F.col("cost")).cast("double").alias("daily_remaining_usd"))
+
+
+@register("budget_traffic_light")
+def q_budget_traffic_light(spark, sf):
+    status = budget.all_teams_budget(daily(spark, sf))
+    pct, colour, bar = money.traffic_light(F.col("daily_used_usd"), F.col("daily_limit_usd"))
+    return status.select("team_id", F.round(pct, 4).alias("daily_pct"), colour.alias("colour"),
+                         F.round(bar, 6).alias("bar"))
+
+
+@register("usage_period_keys")
+def q_usage_period_keys(spark, sf):
+    return audit(spark, sf).select("event_id", money.day_key(F.col("ts")).alias("day"),
+                                   money.month_key(F.col("ts")).alias("month"))
+
+
+@register("budget_config_upsert")
+def q_budget_config_upsert(spark, sf):
+    latest = dims.latest_budget_config(traffic.budget_changes(events(spark, sf)))
+    return latest.select("team_id", F.col("daily_limit").cast("double").alias("daily_limit_usd"),
+                         F.col("monthly_limit").cast("double").alias("monthly_limit_usd"), "n_changes")

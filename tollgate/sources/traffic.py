@@ -1,0 +1,109 @@
+"""Gateway traffic derived deterministically from the driver's tables.
+
+No table holds gateway traffic, so these views map ``events`` and
+``conversations`` onto audit rows, provider attempts and requests with fixed
+arithmetic rules (see FIXTURES.md section 2).  They are narrow projections:
+no shuffle, and Catalyst prunes the columns a job does not use.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from tollgate import config
+
+
+def pick(index: Column, values: Sequence[str | None], default: str | None = None) -> Column:
+    """CASE index WHEN 0 THEN values[0] WHEN 1 THEN ... ELSE default END."""
+    out = None
+    for i, v in enumerate(values):
+        lit = F.lit(v).cast("string")
+        out = F.when(index == i, lit) if out is None else out.when(index == i, lit)
+    return out.otherwise(F.lit(default).cast("string"))
+
+
+TEAMS = ("finance-team", "engineering-team", "marketing-team")
+MODELS = ("claude-opus-4-6", "claude-sonnet-4-6", "gpt-4o", "gpt-4o-mini", "gemini-1.5-pro", "gemini-1.5-flash")
+
+
+def gw_audit(events: DataFrame) -> DataFrame:
+    """One audit row per event (16 AuditEntry fields' raw material)."""
+    eid = F.col("event_id")
+    return events.select(
+        eid,
+        F.col("ts"),
+        pick(F.col("user_id") % 4, TEAMS, "default").alias("team_id"),
+        pick(eid % 5, config.PROVIDERS).alias("provider_requested"),
+        pick(eid % 4, config.PROVIDERS).alias("provider_used"),
+        pick(eid % 7, MODELS, "unlisted-model").alias("model_used"),
+        (1 + (eid * 37) % 4096).alias("prompt_tokens"),
+        (1 + (eid * 91) % 1024).alias("completion_tokens"),
+        pick(eid % 6, ("EMAIL_ADDRESS", "EMAIL_ADDRESS,PHONE_NUMBER", "IP_ADDRESS")).alias("pii_csv"),
+        F.when(eid % 6 == 0, 1).when(eid % 6 == 1, 3).when(eid % 6 == 2, 2).otherwise(0).alias("pii_redaction_count"),
+        (F.col("value") * 10).alias("latency_ms"),
+        (eid % 11 == 0).alias("fallback_triggered"),
+        F.when(F.col("event_type") == "error", "error")
+         .when(F.col("event_type") == "signup", "budget_exceeded")
+         .otherwise("success").alias("status"),
+    )
+
+
+def gw_attempts(events: DataFrame) -> DataFrame:
+    """One provider attempt per event; four consecutive events form one request."""
+    eid = F.col("event_id")
+    et = F.col("event_type")
+    rid = F.floor(eid / 4).cast("bigint")
+    return events.select(
+        eid.alias("attempt_id"),
+        (eid * 7).alias("attempt_s"),
+        rid.alias("request_id"),
+        pick(eid % 4, config.PROVIDERS).alias("provider"),
+        F.when(et == "error", "error").when(et == "signup", "unconfigured")
+         .when(et == "view", "open").otherwise("ok").alias("outcome"),
+        F.when(et == "error", F.concat(F.lit("err-"), eid.cast("string")))
+         .when(et == "signup", F.lit(config.UNCONFIGURED_MSG))
+         .when(et == "view", F.lit(config.BREAKER_OPEN_MSG)).alias("error_msg"),
+        pick(rid % 5, ("gemini", "azure_openai", "openai", "anthropic")).alias("preferred"),
+    )
+
+
+def gw_requests(conversations: DataFrame) -> DataFrame:
+    """One request per conversation with raw (unvalidated) request fields."""
+    cid = F.col("conv_id")
+    keys = tuple(k for k, _ in config.TEAM_KEYS[:4]) + ("sk-invalid-key", "")
+    return (conversations.select(cid).distinct().select(
+        cid.alias("request_id"),
+        pick(cid % 7, keys).alias("api_key"),
+        pick(cid % 6, config.PROVIDERS + ("other",)).alias("provider"),
+        pick(cid % 4, ("gpt-4o", "", "claude-sonnet-4-6")).alias("model"),
+        F.when(cid % 3 == 0, F.lit(None)).otherwise((cid * 131) % 9000).alias("max_tokens"),
+        F.when(cid % 5 == 0, F.lit(None)).otherwise((cid % 25) / F.lit(10.0)).alias("temperature"),
+    ))
+
+
+def request_messages(conversations: DataFrame) -> DataFrame:
+    """messages array<struct<turn, role, content>> per request, in turn order.
+
+    A conversation is one request, so each group is one request's messages.
+    """
+    return (conversations.groupBy(F.col("conv_id").alias("request_id"))
+            .agg(F.array_sort(F.collect_list(F.struct("turn", "role", F.col("text").alias("content"))))
+                 .alias("turns"))
+            .select("request_id",
+                    F.transform("turns", lambda m: F.struct(m["role"].alias("role"),
+                                                            m["content"].alias("content"))).alias("messages")))
+
+
+def budget_changes(events: DataFrame) -> DataFrame:
+    """Budget limit change log: every purchase event sets its team's limits."""
+    eid = F.col("event_id")
+    return events.where(F.col("event_type") == "purchase").select(
+        pick(F.col("user_id") % 4, TEAMS, "default").alias("team_id"),
+        F.col("ts"),
+        eid.alias("seq"),
+        F.round(F.col("value"), 2).cast("decimal(12,4)").alias("daily_limit"),
+        F.round(F.col("value") * 20, 2).cast("decimal(12,4)").alias("monthly_limit"),
+    )
