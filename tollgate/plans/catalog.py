@@ -142,3 +142,71 @@ def q_budget_config_upsert(spark, sf):
     latest = dims.latest_budget_config(traffic.budget_changes(events(spark, sf)))
     return latest.select("team_id", F.col("daily_limit").cast("double").alias("daily_limit_usd"),
                          F.col("monthly_limit").cast("double").alias("monthly_limit_usd"), "n_changes")
+
+
+# -- PII --------------------------------------------------------------------
+
+from tollgate.functions import pii  # noqa: E402
+from tollgate.session import spread  # noqa: E402
+
+
+def documents(spark, sf):
+    return spread(read_table(spark, sf, "documents").select("doc_id", "text"))
+
+
+def _one(entity):
+    def q(spark, sf):
+        redacted, n = pii.redact_one(F.col("text"), entity)
+        return documents(spark, sf).select("doc_id", n.cast("bigint").alias("n_matches"),
+                                           redacted.alias("redacted_text"))
+    return q
+
+
+register("redact_email")(_one("EMAIL_ADDRESS"))
+register("redact_phone")(_one("PHONE_NUMBER"))
+register("redact_card")(_one("CREDIT_CARD"))
+register("redact_ssn")(_one("US_SSN"))
+register("redact_ip")(_one("IP_ADDRESS"))
+
+
+@register("redact_text")
+def q_redact_text(spark, sf):
+    return pii.redact_steps(documents(spark, sf), "text").select(
+        "doc_id", F.col("pii_text").alias("redacted_text"), F.col("pii_count").alias("redaction_count"),
+        F.array_join("pii_entities", ",").alias("entities_found"))
+
+
+@register("pii_counts")
+def q_pii_counts(spark, sf):
+    pages = spread(read_table(spark, sf, "pages").select("page_id", "html"))
+    short = {"EMAIL_ADDRESS": "n_email", "PHONE_NUMBER": "n_phone", "CREDIT_CARD": "n_card",
+             "US_SSN": "n_ssn", "IP_ADDRESS": "n_ip"}
+    out = pii.redact_steps(pages, "html")
+    return out.select("page_id", *[F.col(f"pii_n_{e}").cast("bigint").alias(short[e]) for e in pii.ENTITY_ORDER],
+                      F.col("pii_count").alias("redaction_count"))
+
+
+@register("pii_entities_found")
+def q_pii_entities_found(spark, sf):
+    return pii.redact_steps(documents(spark, sf), "text").select(
+        "doc_id", F.array_join("pii_entities", ",").alias("entities_found"))
+
+
+@register("redact_messages")
+def q_redact_messages(spark, sf):
+    """redact every message of a request, then merge the per-request summary.
+
+    Messages are rows of ``conversations``; the merge is one groupBy on the
+    request id (partial aggregation; a group is one request's messages).
+    """
+    conv = read_table(spark, sf, "conversations").select("conv_id", "turn", "role", "text")
+    msgs = pii.redact_steps(conv, "text")
+    return (msgs.groupBy(F.col("conv_id").alias("request_id"))
+            .agg(F.count(F.lit(1)).alias("n_messages"),
+                 F.sum("pii_count").cast("int").alias("redaction_count"),
+                 F.array_sort(F.array_distinct(F.flatten(F.collect_list("pii_entities")))).alias("ents"),
+                 F.array_sort(F.collect_list(F.struct("turn", F.concat_ws(":", "role", "pii_text").alias("m"))))
+                 .alias("msgs"))
+            .select("request_id", "n_messages", "redaction_count", (F.col("redaction_count") > 0).alias("redacted"),
+                    F.array_join("ents", ",").alias("entities_found"),
+                    F.array_join(F.transform("msgs", lambda x: x["m"]), "\n").alias("redacted_transcript")))

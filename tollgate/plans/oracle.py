@@ -181,3 +181,53 @@ ranked AS (
     count(*) OVER (PARTITION BY team_id) AS n_changes FROM changes)
 SELECT team_id, CAST(daily_limit AS DOUBLE) AS daily_limit_usd, CAST(monthly_limit AS DOUBLE) AS monthly_limit_usd,
   n_changes FROM ranked WHERE rn = 1"""
+
+
+# -- PII (RE2 in DuckDB: plain patterns, no (?U); the Spark side is Unicode-aware) --
+
+def _pii_chain(src: str, id_cols: str, text: str) -> str:
+    """CTE chain s0..s5 applying the five patterns in order; s5 has t5, n1..n5."""
+    parts = [f"s0 AS (SELECT {id_cols}, {text} AS t0 FROM {src})"]
+    for i, (ent, pat) in enumerate(config.PII_PATTERNS, start=1):
+        parts.append(
+            f"s{i} AS (SELECT *, CASE WHEN n{i} > 0 THEN regexp_replace(t{i-1}, '{pat}', '<{ent}>', 'g') "
+            f"ELSE t{i-1} END AS t{i} FROM (SELECT *, len(regexp_extract_all(t{i-1}, '{pat}')) AS n{i} "
+            f"FROM s{i-1}) x{i})")
+    return ",\n".join(parts)
+
+
+def _entities_expr() -> str:
+    names = [e for e, _ in config.PII_PATTERNS]
+    arr = ", ".join(f"CASE WHEN n{i} > 0 THEN '{e}' END" for i, e in enumerate(names, start=1))
+    return f"concat_ws(',', {arr})"
+
+
+for _i, (_ent, _pat) in enumerate(config.PII_PATTERNS, start=1):
+    _key = {"EMAIL_ADDRESS": "redact_email", "PHONE_NUMBER": "redact_phone", "CREDIT_CARD": "redact_card",
+            "US_SSN": "redact_ssn", "IP_ADDRESS": "redact_ip"}[_ent]
+    ORACLE[_key] = f"""
+SELECT doc_id, n AS n_matches, CASE WHEN n > 0 THEN regexp_replace(text, '{_pat}', '<{_ent}>', 'g') ELSE text END
+  AS redacted_text
+FROM (SELECT doc_id, text, len(regexp_extract_all(text, '{_pat}')) AS n FROM documents) d"""
+
+ORACLE["redact_text"] = "WITH " + _pii_chain("documents", "doc_id", "text") + f"""
+SELECT doc_id, t5 AS redacted_text, CAST(n1 + n2 + n3 + n4 + n5 AS INTEGER) AS redaction_count,
+  {_entities_expr()} AS entities_found
+FROM s5"""
+
+ORACLE["pii_counts"] = "WITH " + _pii_chain("pages", "page_id", "html") + """
+SELECT page_id, n1 AS n_email, n2 AS n_phone, n3 AS n_card, n4 AS n_ssn, n5 AS n_ip,
+  CAST(n1 + n2 + n3 + n4 + n5 AS INTEGER) AS redaction_count
+FROM s5"""
+
+ORACLE["pii_entities_found"] = "WITH " + _pii_chain("documents", "doc_id", "text") + f"""
+SELECT doc_id, {_entities_expr()} AS entities_found FROM s5"""
+
+ORACLE["redact_messages"] = "WITH " + _pii_chain("conversations", "conv_id, turn, role", "text") + f"""
+, per_msg AS (SELECT conv_id, turn, role, t5, n1 + n2 + n3 + n4 + n5 AS n, {_entities_expr()} AS ents FROM s5)
+SELECT conv_id AS request_id, COUNT(*) AS n_messages,
+  CAST(SUM(n) AS INTEGER) AS redaction_count, SUM(n) > 0 AS redacted,
+  COALESCE(array_to_string(list_sort(list_distinct(flatten(list(string_split(NULLIF(ents, ''), ','))))), ','), '')
+    AS entities_found,
+  string_agg(role || ':' || t5, '\n' ORDER BY turn) AS redacted_transcript
+FROM per_msg GROUP BY conv_id"""
