@@ -210,3 +210,58 @@ def q_redact_messages(spark, sf):
             .select("request_id", "n_messages", "redaction_count", (F.col("redaction_count") > 0).alias("redacted"),
                     F.array_join("ents", ",").alias("entities_found"),
                     F.array_join(F.transform("msgs", lambda x: x["m"]), "\n").alias("redacted_transcript")))
+
+
+# -- audit log and dashboard reports --------------------------------------------
+
+from tollgate.operators import reports  # noqa: E402
+from tollgate.sources import audit_io  # noqa: E402
+
+
+def audit_log(spark, sf):
+    """F26 over the costed traffic: the audit fact table (with ts/event_id for ordering)."""
+    return audit_io.audit_projection(costed(spark, sf))
+
+
+def _flat_entities(df):
+    return df.withColumn("pii_entities_redacted", F.array_join("pii_entities_redacted", ","))
+
+
+@register("audit_projection")
+def q_audit_projection(spark, sf):
+    return _flat_entities(audit_io.audit_only(audit_log(spark, sf)))
+
+
+@register("kpi_summary")
+def q_kpi_summary(spark, sf):
+    return reports.kpi_summary(audit_log(spark, sf))
+
+
+@register("requests_by_provider")
+def q_requests_by_provider(spark, sf):
+    return reports.requests_by_provider(audit_log(spark, sf))
+
+
+@register("pii_breakdown")
+def q_pii_breakdown(spark, sf):
+    return reports.pii_breakdown(audit_log(spark, sf))
+
+
+@register("latency_histogram")
+def q_latency_histogram(spark, sf):
+    return reports.latency_histogram(audit_log(spark, sf))
+
+
+@register("cumulative_cost")
+def q_cumulative_cost(spark, sf):
+    return reports.cumulative_cost(audit_log(spark, sf))
+
+
+@register("audit_table")
+def q_audit_table(spark, sf):
+    return reports.audit_table(audit_log(spark, sf))
+
+
+@register("entities_distinct")
+def q_entities_distinct(spark, sf):
+    return reports.entities_distinct(audit_log(spark, sf))

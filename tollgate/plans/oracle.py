@@ -231,3 +231,63 @@ SELECT conv_id AS request_id, COUNT(*) AS n_messages,
     AS entities_found,
   string_agg(role || ':' || t5, '\n' ORDER BY turn) AS redacted_transcript
 FROM per_msg GROUP BY conv_id"""
+
+
+# -- audit log and reports ----------------------------------------------------
+
+AUDIT = r"""audit AS (
+SELECT regexp_replace(strftime(ts, '%Y-%m-%dT%H:%M:%S.%f'), '\.000000$', '') AS timestamp,
+  CAST(event_id AS VARCHAR) AS request_id, team_id, provider_requested, provider_used, model_used,
+  prompt_tokens, completion_tokens, CAST(round(cost, 6) AS DOUBLE) AS estimated_cost_usd,
+  COALESCE(string_split(pii_csv, ','), CAST([] AS VARCHAR[])) AS pii_entities_redacted,
+  CAST(pii_redaction_count AS INTEGER) AS pii_redaction_count, latency_ms, fallback_triggered,
+  CASE WHEN fallback_triggered THEN 'Fell back from ' || COALESCE(provider_requested, provider_used) || ': unknown error'
+  END AS fallback_reason,
+  status, CASE WHEN status = 'error' THEN 'All providers failed' END AS error_message,
+  ts, event_id, round(cost, 6) AS cost6
+FROM costed)"""
+
+AUDIT_BASE = with_ctes(GW_AUDIT, PRICE, PRICED, COSTED, AUDIT)
+AUDIT_COLS = ("timestamp, request_id, team_id, provider_requested, provider_used, model_used, prompt_tokens, "
+              "completion_tokens, estimated_cost_usd, array_to_string(pii_entities_redacted, ',') AS "
+              "pii_entities_redacted, pii_redaction_count, latency_ms, fallback_triggered, fallback_reason, status, "
+              "error_message")
+
+ORACLE["audit_projection"] = AUDIT_BASE + f"SELECT {AUDIT_COLS} FROM audit"
+
+ORACLE["kpi_summary"] = AUDIT_BASE + """
+SELECT COUNT(*) AS total_requests,
+  CAST(round(SUM(CAST(estimated_cost_usd AS DECIMAL(20,12))), 6) AS DOUBLE) AS total_cost_usd,
+  round(count_if(fallback_triggered) / COUNT(*) * 100, 4) AS fallback_pct,
+  count_if(pii_redaction_count > 0) AS pii_requests,
+  round(avg(latency_ms), 4) AS avg_latency_ms
+FROM audit"""
+
+ORACLE["requests_by_provider"] = AUDIT_BASE + """
+SELECT provider_used, COUNT(*) AS requests FROM audit WHERE provider_used IS NOT NULL GROUP BY 1"""
+
+ORACLE["pii_breakdown"] = AUDIT_BASE + """
+SELECT entity_type, COUNT(*) AS count FROM (SELECT unnest(pii_entities_redacted) AS entity_type FROM audit) GROUP BY 1"""
+
+ORACLE["entities_distinct"] = AUDIT_BASE + """
+SELECT DISTINCT unnest(pii_entities_redacted) AS entity_type FROM audit"""
+
+ORACLE["latency_histogram"] = AUDIT_BASE + """
+, s AS (SELECT min(latency_ms) AS lo, max(latency_ms) AS hi FROM audit WHERE latency_ms IS NOT NULL)
+SELECT bin, lo + bin * ((hi - lo) / 30.0) AS bin_start, lo + (bin + 1) * ((hi - lo) / 30.0) AS bin_end, COUNT(*) AS count
+FROM (SELECT CAST(CASE WHEN hi = lo THEN 0 ELSE least(29, floor((latency_ms - lo) / ((hi - lo) / 30.0))) END AS INTEGER)
+        AS bin, lo, hi
+      FROM audit, s WHERE latency_ms IS NOT NULL) b
+GROUP BY bin, lo, hi"""
+
+ORACLE["cumulative_cost"] = AUDIT_BASE + """
+SELECT event_id, ts, estimated_cost_usd AS cost_usd,
+  CAST(round(SUM(cost6) OVER (ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 6) AS DOUBLE)
+    AS cumulative_cost_usd
+FROM audit"""
+
+ORACLE["audit_table"] = AUDIT_BASE + """
+SELECT timestamp, request_id, team_id, provider_used, model_used, prompt_tokens, completion_tokens, estimated_cost_usd,
+  pii_redaction_count, latency_ms, fallback_triggered, status
+FROM (SELECT * FROM audit ORDER BY ts DESC, event_id DESC LIMIT 200) t
+ORDER BY ts, event_id LIMIT 50"""
