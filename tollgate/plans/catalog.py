@@ -265,3 +265,139 @@ def q_audit_table(spark, sf):
 @register("entities_distinct")
 def q_entities_distinct(spark, sf):
     return reports.entities_distinct(audit_log(spark, sf))
+
+
+# -- requests, auth, messages ---------------------------------------------------
+
+from tollgate.functions import messages as msg  # noqa: E402
+from tollgate.operators import auth  # noqa: E402
+
+
+def requests(spark, sf):
+    return traffic.gw_requests(read_table(spark, sf, "conversations"))
+
+
+def requests_with_messages(spark, sf):
+    conv = read_table(spark, sf, "conversations")
+    return traffic.gw_requests(conv).join(traffic.request_messages(conv), "request_id")
+
+
+def request_bodies(spark, sf):
+    """Raw JSON bodies as a client would send them (null fields omitted)."""
+    r = requests_with_messages(spark, sf)
+    return r.select("request_id", "api_key", F.to_json(F.struct("messages", "model", "provider", "max_tokens",
+                                                               "temperature")).alias("body"))
+
+
+@register("request_ingest")
+def q_request_ingest(spark, sf):
+    out = auth.ingest(request_bodies(spark, sf))
+    return out.select("request_id", "valid", F.array_join("errors", ",").alias("errors"), "provider", "model",
+                      F.col("max_tokens").cast("bigint").alias("max_tokens"), "temperature", "team_id", "stream",
+                      F.size("messages").alias("n_messages"))
+
+
+@register("request_defaults")
+def q_request_defaults(spark, sf):
+    r = requests(spark, sf).withColumn("team_id", F.lit(None).cast("string")).withColumn(
+        "stream", F.lit(None).cast("boolean"))
+    return auth.with_defaults(r).select("request_id", "max_tokens", "temperature", "team_id", "stream")
+
+
+@register("auth_status")
+def q_auth_status(spark, sf):
+    return auth.with_team_from_key(requests(spark, sf)).select("request_id", "http_status", "auth_detail",
+                                                               "key_team_id")
+
+
+@register("auth_join")
+def q_auth_join(spark, sf):
+    """Authorised requests with the effective team (the key's team overrides the body's)."""
+    r = auth.with_defaults(requests(spark, sf).withColumn("team_id", F.lit(None).cast("string"))
+                           .withColumn("stream", F.lit(None).cast("boolean")))
+    out = auth.with_team_from_key(r).where(F.col("http_status") == 200)
+    return out.select("request_id", F.col("team_id").alias("body_team_id"),
+                      F.col("key_team_id").alias("team_id"))
+
+
+@register("token_estimate")
+def q_token_estimate(spark, sf):
+    r = traffic.request_messages(read_table(spark, sf, "conversations"))
+    words = msg.prompt_words(F.col("messages"))
+    return r.select("request_id", words.cast("bigint").alias("n_words"),
+                    msg.token_estimate(words).alias("prompt_tokens_est"))
+
+
+@register("resolve_model")
+def q_resolve_model(spark, sf):
+    prov = F.broadcast(dims.provider_dim(spark).select(F.col("provider").alias("_p"), "default_model"))
+    r = requests(spark, sf)
+    return (r.join(prov, F.col("provider") == F.col("_p"), "left")
+            .select("request_id", "provider", "model",
+                    msg.resolve_model(F.col("model"), F.col("default_model")).alias("resolved_model")))
+
+
+AZURE_NO_ENDPOINT = config.GatewaySettings(azure_endpoint_set=False)
+
+
+@register("provider_available")
+def q_provider_available(spark, sf):
+    """F17 with Azure's endpoint unset: a key alone does not make Azure available."""
+    prov = F.broadcast(dims.provider_dim(spark, AZURE_NO_ENDPOINT).select(F.col("provider").alias("_p"),
+                                                                          "configured"))
+    att = traffic.gw_attempts(events(spark, sf))
+    return (att.join(prov, F.col("provider") == F.col("_p"), "left")
+            .select("attempt_id", "provider", F.coalesce("configured", F.lit(False)).alias("available")))
+
+
+@register("providers_available")
+def q_providers_available(spark, sf):
+    """Configured providers among those the traffic uses (health check shape)."""
+    prov = F.broadcast(dims.provider_dim(spark, AZURE_NO_ENDPOINT))
+    used = traffic.gw_attempts(events(spark, sf)).groupBy("provider").agg(F.count(F.lit(1)).alias("attempts"))
+    j = used.join(prov, "provider").where(F.col("configured"))
+    return j.agg(F.count(F.lit(1)).alias("providers_available"),
+                 F.array_join(F.array_sort(F.collect_list("provider")), ",").alias("providers"),
+                 F.sum("attempts").alias("attempts_on_available"))
+
+
+@register("provider_registry")
+def q_provider_registry(spark, sf):
+    """The registry joined with the traffic each provider received."""
+    prov = F.broadcast(dims.provider_dim(spark))
+    used = traffic.gw_attempts(events(spark, sf)).groupBy("provider").agg(F.count(F.lit(1)).alias("attempts"))
+    return prov.join(used, "provider", "left").select(
+        "provider", "default_model", "configured", "priority", F.coalesce("attempts", F.lit(0)).alias("attempts"))
+
+
+def _payload_base(spark, sf):
+    return auth.with_defaults(requests_with_messages(spark, sf).withColumn("team_id", F.lit(None).cast("string"))
+                              .withColumn("stream", F.lit(None).cast("boolean")))
+
+
+def _model_for(provider):
+    return F.lit(dict(config.DEFAULT_MODELS)[provider])
+
+
+@register("payload_anthropic")
+def q_payload_anthropic(spark, sf):
+    r = _payload_base(spark, sf)
+    system, rest = msg.anthropic_payload(F.col("messages"))
+    return r.select("request_id", msg.resolve_model(F.col("model"), _model_for("anthropic")).alias("model"),
+                    "max_tokens", system.alias("system"), msg.flat(rest).alias("messages_flat"))
+
+
+@register("payload_openai")
+def q_payload_openai(spark, sf):
+    r = _payload_base(spark, sf)
+    return r.select("request_id", msg.resolve_model(F.col("model"), _model_for("openai")).alias("model"),
+                    "max_tokens", "temperature", msg.flat(F.col("messages")).alias("messages_flat"))
+
+
+@register("payload_gemini")
+def q_payload_gemini(spark, sf):
+    r = _payload_base(spark, sf)
+    prompt, history = msg.gemini_payload(F.col("messages"))
+    return r.select("request_id", msg.resolve_model(F.col("model"), _model_for("gemini")).alias("model"),
+                    prompt.alias("prompt"), msg.flat(history).alias("history_flat"),
+                    F.size(history).alias("n_history"))

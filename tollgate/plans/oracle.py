@@ -291,3 +291,111 @@ SELECT timestamp, request_id, team_id, provider_used, model_used, prompt_tokens,
   pii_redaction_count, latency_ms, fallback_triggered, status
 FROM (SELECT * FROM audit ORDER BY ts DESC, event_id DESC LIMIT 200) t
 ORDER BY ts, event_id LIMIT 50"""
+
+
+# -- requests, auth, messages -------------------------------------------------
+
+KEYS = f"""keys AS (SELECT * FROM {_values(config.TEAM_KEYS, 'api_key, team_id')})"""
+DEFAULT_MODELS = f"""dmodel AS (SELECT * FROM {_values(config.DEFAULT_MODELS, 'provider, default_model')})"""
+REQ_BASE = with_ctes(GW_REQUESTS, KEYS, DEFAULT_MODELS)
+
+ORACLE["request_ingest"] = REQ_BASE + """
+, m AS (SELECT conv_id AS request_id, COUNT(*) AS n_messages,
+          bool_or(role IS NULL OR role NOT IN ('user', 'assistant', 'system')) AS bad_role,
+          bool_or(text IS NULL) AS no_content
+        FROM conversations GROUP BY 1)
+, r AS (SELECT g.request_id, g.provider, g.model, CAST(COALESCE(g.max_tokens, 1024) AS BIGINT) AS max_tokens,
+          COALESCE(g.temperature, 0.7) AS temperature, 'default' AS team_id, false AS stream, m.n_messages,
+          concat_ws(',',
+            CASE WHEN m.bad_role THEN 'message_role' END,
+            CASE WHEN m.no_content THEN 'message_content' END,
+            CASE WHEN g.provider IS NOT NULL AND g.provider NOT IN ('anthropic', 'openai', 'azure_openai', 'gemini')
+                 THEN 'provider_enum' END,
+            CASE WHEN COALESCE(g.max_tokens, 1024) < 1 OR COALESCE(g.max_tokens, 1024) > 8192 THEN 'max_tokens_range' END,
+            CASE WHEN COALESCE(g.temperature, 0.7) < 0 OR COALESCE(g.temperature, 0.7) > 2 THEN 'temperature_range' END
+          ) AS errors
+        FROM gw_requests g JOIN m USING (request_id))
+SELECT request_id, errors = '' AS valid, errors, provider, model, max_tokens, temperature, team_id, stream, n_messages
+FROM r"""
+
+ORACLE["request_defaults"] = REQ_BASE + """
+SELECT request_id, CAST(COALESCE(max_tokens, 1024) AS BIGINT) AS max_tokens, COALESCE(temperature, 0.7) AS temperature,
+  'default' AS team_id, false AS stream FROM gw_requests"""
+
+_AUTH = """
+SELECT g.request_id,
+  CASE WHEN g.api_key IS NULL OR g.api_key = '' THEN 401 WHEN k.team_id IS NULL THEN 403 ELSE 200 END AS http_status,
+  CASE WHEN g.api_key IS NULL OR g.api_key = '' THEN 'Missing API key. Include X-API-Key header.'
+       WHEN k.team_id IS NULL THEN 'Invalid API key.' END AS auth_detail,
+  k.team_id AS key_team_id
+FROM gw_requests g LEFT JOIN keys k ON k.api_key = g.api_key"""
+
+ORACLE["auth_status"] = REQ_BASE + _AUTH
+ORACLE["auth_join"] = REQ_BASE + f"""
+SELECT request_id, 'default' AS body_team_id, key_team_id AS team_id FROM ({_AUTH}) a WHERE http_status = 200"""
+
+ORACLE["token_estimate"] = """
+SELECT conv_id AS request_id, CAST(SUM(w) AS BIGINT) AS n_words,
+  CAST(trunc(SUM(w) * CAST(1.3 AS DOUBLE)) AS BIGINT) AS prompt_tokens_est
+FROM (SELECT conv_id, len(list_filter(regexp_split_to_array(COALESCE(text, ''), '\\s+'), lambda x: x <> '')) AS w
+      FROM conversations) c
+GROUP BY conv_id"""
+
+ORACLE["resolve_model"] = REQ_BASE + """
+SELECT g.request_id, g.provider, g.model, COALESCE(NULLIF(g.model, ''), d.default_model) AS resolved_model
+FROM gw_requests g LEFT JOIN dmodel d ON d.provider = g.provider"""
+
+PROV_AZURE_OFF = """prov AS (SELECT * FROM (VALUES ('anthropic', true), ('openai', true), ('azure_openai', false),
+  ('gemini', true)) AS t(provider, configured))"""
+
+ORACLE["provider_available"] = with_ctes(GW_ATTEMPTS, PROV_AZURE_OFF) + """
+SELECT a.attempt_id, a.provider, COALESCE(p.configured, false) AS available
+FROM gw_attempts a LEFT JOIN prov p ON p.provider = a.provider"""
+
+ORACLE["providers_available"] = with_ctes(GW_ATTEMPTS, PROV_AZURE_OFF) + """
+SELECT COUNT(*) AS providers_available, string_agg(u.provider, ',' ORDER BY u.provider) AS providers,
+  SUM(attempts)::BIGINT AS attempts_on_available
+FROM (SELECT provider, COUNT(*) AS attempts FROM gw_attempts GROUP BY 1) u JOIN prov p USING (provider)
+WHERE p.configured"""
+
+ORACLE["provider_registry"] = with_ctes(GW_ATTEMPTS, DEFAULT_MODELS) + """
+SELECT d.provider, d.default_model, true AS configured,
+  CAST(CASE d.provider WHEN 'anthropic' THEN 1 WHEN 'openai' THEN 2 WHEN 'azure_openai' THEN 3 WHEN 'gemini' THEN 4 END
+    AS INTEGER) AS priority,
+  COALESCE(u.attempts, 0) AS attempts
+FROM dmodel d LEFT JOIN (SELECT provider, COUNT(*) AS attempts FROM gw_attempts GROUP BY 1) u USING (provider)"""
+
+_MSGS = """
+, m AS (SELECT conv_id AS request_id,
+    arg_min(text, turn) FILTER (WHERE role = 'system') AS system,
+    COALESCE(string_agg(role || ':' || text, '\n' ORDER BY turn) FILTER (WHERE role <> 'system'), '') AS nonsys_flat,
+    COALESCE(string_agg(role || ':' || text, '\n' ORDER BY turn), '') AS all_flat,
+    COUNT(*) FILTER (WHERE role <> 'system') AS n_chat,
+    COALESCE(arg_max(text, turn) FILTER (WHERE role <> 'system'), '') AS prompt,
+    max(turn) FILTER (WHERE role <> 'system') AS last_turn
+  FROM conversations GROUP BY conv_id)"""
+
+ORACLE["payload_anthropic"] = REQ_BASE + _MSGS + """
+SELECT g.request_id, COALESCE(NULLIF(g.model, ''), 'claude-sonnet-4-6') AS model,
+  CAST(COALESCE(g.max_tokens, 1024) AS BIGINT) AS max_tokens, m.system, m.nonsys_flat AS messages_flat
+FROM gw_requests g JOIN m USING (request_id)"""
+
+ORACLE["payload_openai"] = REQ_BASE + _MSGS + """
+SELECT g.request_id, COALESCE(NULLIF(g.model, ''), 'gpt-4o') AS model,
+  CAST(COALESCE(g.max_tokens, 1024) AS BIGINT) AS max_tokens, COALESCE(g.temperature, 0.7) AS temperature,
+  m.all_flat AS messages_flat
+FROM gw_requests g JOIN m USING (request_id)"""
+
+ORACLE["payload_gemini"] = REQ_BASE + """
+, h AS (SELECT c.conv_id AS request_id,
+    COALESCE(string_agg(CASE WHEN role = 'user' THEN 'user' ELSE 'model' END || ':' || text, '\n' ORDER BY turn), '')
+      AS history_flat,
+    COUNT(*) AS n_history
+  FROM conversations c
+  WHERE role <> 'system' AND turn < (SELECT max(turn) FROM conversations x WHERE x.conv_id = c.conv_id AND x.role <> 'system')
+  GROUP BY c.conv_id)
+, p AS (SELECT conv_id AS request_id, COALESCE(arg_max(text, turn) FILTER (WHERE role <> 'system'), '') AS prompt
+        FROM conversations GROUP BY conv_id)
+SELECT g.request_id, COALESCE(NULLIF(g.model, ''), 'gemini-1.5-flash') AS model, p.prompt,
+  COALESCE(h.history_flat, '') AS history_flat, CAST(COALESCE(h.n_history, 0) AS INTEGER) AS n_history
+FROM gw_requests g JOIN p USING (request_id) LEFT JOIN h USING (request_id)"""
