@@ -401,3 +401,43 @@ def q_payload_gemini(spark, sf):
     return r.select("request_id", msg.resolve_model(F.col("model"), _model_for("gemini")).alias("model"),
                     prompt.alias("prompt"), msg.flat(history).alias("history_flat"),
                     F.size(history).alias("n_history"))
+
+
+# -- routing --------------------------------------------------------------------
+
+from tollgate.operators import routing  # noqa: E402
+
+
+def attempts(spark, sf):
+    return traffic.gw_attempts(events(spark, sf))
+
+
+def routes(spark, sf):
+    return routing.resolve_routes(attempts(spark, sf))
+
+
+@register("route_candidates")
+def q_route_candidates(spark, sf):
+    reqs = attempts(spark, sf).groupBy("request_id").agg(F.first("preferred").alias("preferred"))
+    return routing.route_candidates(reqs).select("request_id", "pos", "provider")
+
+
+@register("route_resolution")
+def q_route_resolution(spark, sf):
+    return routes(spark, sf).select(
+        "request_id", "preferred", "provider_used", "first_tried", "fallback_triggered", "fallback_reason",
+        "status", F.size("provider_errors").alias("n_errors"),
+        (F.col("provider_used").isNotNull() & (F.col("provider_used") != F.col("preferred")))
+        .alias("served_by_other"))
+
+
+@register("failed_requests")
+def q_failed_requests(spark, sf):
+    return routing.failed_requests(routes(spark, sf))
+
+
+@register("response_assembly")
+def q_response_assembly(spark, sf):
+    served = (audit_log(spark, sf).withColumnRenamed("event_id", "attempt_id")
+              .drop("request_id", "provider_used", "fallback_triggered", "fallback_reason"))
+    return routing.response_assembly(routes(spark, sf), served)

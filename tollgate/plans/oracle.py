@@ -399,3 +399,77 @@ ORACLE["payload_gemini"] = REQ_BASE + """
 SELECT g.request_id, COALESCE(NULLIF(g.model, ''), 'gemini-1.5-flash') AS model, p.prompt,
   COALESCE(h.history_flat, '') AS history_flat, CAST(COALESCE(h.n_history, 0) AS INTEGER) AS n_history
 FROM gw_requests g JOIN p USING (request_id) LEFT JOIN h USING (request_id)"""
+
+
+# -- routing --------------------------------------------------------------------
+
+ROUTE_TAIL = """
+, cand AS (
+  SELECT a.*,
+    CASE WHEN a.preferred IS NULL THEN pk.k
+         WHEN a.provider = a.preferred THEN 1
+         WHEN pp.k IS NULL OR pk.k < pp.k THEN pk.k + 1
+         ELSE pk.k END AS pos,
+    CASE outcome WHEN 'unconfigured' THEN 'Not configured (missing API key)'
+                 WHEN 'open' THEN 'Circuit breaker open (too many recent failures)' ELSE error_msg END AS err
+  FROM gw_attempts a
+  JOIN (VALUES ('anthropic', 1), ('openai', 2), ('azure_openai', 3), ('gemini', 4)) pk(n, k) ON pk.n = a.provider
+  LEFT JOIN (VALUES ('anthropic', 1), ('openai', 2), ('azure_openai', 3), ('gemini', 4)) pp(n, k) ON pp.n = a.preferred)
+, agg AS (
+  SELECT request_id, any_value(preferred) AS preferred,
+    min(pos) FILTER (WHERE outcome IN ('ok', 'error')) AS first_pos,
+    min(pos) FILTER (WHERE outcome = 'ok') AS used_pos
+  FROM cand GROUP BY request_id)
+, routes AS (
+  SELECT g.request_id, g.preferred, u.provider AS provider_used, u.attempt_id AS served_attempt_id,
+    f.provider AS first_tried, f.err AS first_err,
+    g.used_pos IS NOT NULL AND g.used_pos > g.first_pos AS fallback_triggered,
+    CASE WHEN g.used_pos IS NOT NULL THEN 'success' ELSE 'error' END AS status, g.used_pos
+  FROM agg g
+  LEFT JOIN cand f ON f.request_id = g.request_id AND f.pos = g.first_pos
+  LEFT JOIN cand u ON u.request_id = g.request_id AND u.pos = g.used_pos)
+, errs AS (
+  SELECT r.request_id, COUNT(c.pos) AS n_errors,
+    string_agg('''' || c.provider || '''', ', ' ORDER BY c.pos) AS names,
+    string_agg(c.provider || ': ' || c.err, '; ' ORDER BY c.pos) AS trace
+  FROM routes r LEFT JOIN cand c ON c.request_id = r.request_id AND c.outcome <> 'ok'
+    AND (r.used_pos IS NULL OR c.pos < r.used_pos)
+  GROUP BY r.request_id)
+"""
+ROUTE_BASE = with_ctes(GW_ATTEMPTS) + ROUTE_TAIL
+
+ORACLE["route_candidates"] = """
+WITH req AS (SELECT DISTINCT CAST(floor(event_id / 4) AS BIGINT) AS request_id FROM events),
+r AS (SELECT request_id, CASE request_id % 5 WHEN 0 THEN 'gemini' WHEN 1 THEN 'azure_openai' WHEN 2 THEN 'openai'
+        WHEN 3 THEN 'anthropic' END AS preferred FROM req),
+p AS (SELECT * FROM (VALUES ('anthropic', 1), ('openai', 2), ('azure_openai', 3), ('gemini', 4)) t(provider, k))
+SELECT request_id, 1 AS pos, preferred AS provider FROM r WHERE preferred IS NOT NULL
+UNION ALL
+SELECT r.request_id,
+  CAST(row_number() OVER (PARTITION BY r.request_id ORDER BY p.k) + (CASE WHEN r.preferred IS NULL THEN 0 ELSE 1 END)
+    AS INTEGER) AS pos,
+  p.provider
+FROM r JOIN p ON r.preferred IS NULL OR p.provider <> r.preferred"""
+
+ORACLE["route_resolution"] = ROUTE_BASE + """
+SELECT r.request_id, r.preferred, r.provider_used, r.first_tried, r.fallback_triggered,
+  CASE WHEN r.fallback_triggered THEN 'Fell back from ' || r.first_tried || ': ' || COALESCE(r.first_err, 'unknown error')
+  END AS fallback_reason,
+  r.status, CAST(e.n_errors AS INTEGER) AS n_errors,
+  r.provider_used IS NOT NULL AND r.provider_used <> r.preferred AS served_by_other
+FROM routes r JOIN errs e USING (request_id)"""
+
+ORACLE["failed_requests"] = ROUTE_BASE + """
+SELECT r.request_id, 'All providers failed after trying: [' || COALESCE(e.names, '') || ']' AS error_message,
+  COALESCE(e.trace, '') AS provider_errors, CAST(e.n_errors AS INTEGER) AS n_providers
+FROM routes r JOIN errs e USING (request_id) WHERE r.status = 'error'"""
+
+ORACLE["response_assembly"] = (with_ctes(GW_ATTEMPTS, GW_AUDIT, PRICE, PRICED, COSTED, AUDIT) + ROUTE_TAIL + """
+SELECT 'req-' || CAST(r.request_id AS VARCHAR) AS id, r.provider_used, a.model_used, a.prompt_tokens,
+  a.completion_tokens, a.prompt_tokens + a.completion_tokens AS total_tokens, a.estimated_cost_usd,
+  a.pii_redaction_count > 0 AS pii_redacted, array_to_string(a.pii_entities_redacted, ',') AS pii_entities,
+  a.pii_redaction_count AS pii_count, a.latency_ms, r.fallback_triggered,
+  CASE WHEN r.fallback_triggered THEN 'Fell back from ' || r.first_tried || ': ' || COALESCE(r.first_err, 'unknown error')
+  END AS fallback_reason, a.timestamp
+FROM routes r JOIN audit a ON a.event_id = r.served_attempt_id
+WHERE r.status = 'success'""")
