@@ -441,3 +441,35 @@ def q_response_assembly(spark, sf):
     served = (audit_log(spark, sf).withColumnRenamed("event_id", "attempt_id")
               .drop("request_id", "provider_used", "fallback_triggered", "fallback_reason"))
     return routing.response_assembly(routes(spark, sf), served)
+
+
+# -- circuit breaker --------------------------------------------------------------
+
+from tollgate.operators import breaker  # noqa: E402
+
+
+def breaker_rows(spark, sf):
+    return breaker.breaker_states(attempts(spark, sf))
+
+
+@register("breaker_states")
+def q_breaker_states(spark, sf):
+    return breaker_rows(spark, sf)
+
+
+def _health(spark, sf, settings=config.DEFAULT_SETTINGS):
+    att = attempts(spark, sf)
+    as_of = att.select(F.max("attempt_s")).scalar()
+    return breaker.provider_health(breaker.breaker_states(att), dims.provider_dim(spark, settings), as_of)
+
+
+@register("provider_health")
+def q_provider_health(spark, sf):
+    return _health(spark, sf).select("provider", "failures", "tripped_at", "open")
+
+
+@register("provider_display_state")
+def q_provider_display_state(spark, sf):
+    h = _health(spark, sf, AZURE_NO_ENDPOINT)
+    icon, label = breaker.display_state(F.col("configured"), F.col("open"))
+    return h.select("provider", "configured", "open", icon.alias("icon_state"), label.alias("label"))

@@ -473,3 +473,56 @@ SELECT 'req-' || CAST(r.request_id AS VARCHAR) AS id, r.provider_used, a.model_u
   END AS fallback_reason, a.timestamp
 FROM routes r JOIN audit a ON a.event_id = r.served_attempt_id
 WHERE r.status = 'success'""")
+
+
+# -- circuit breaker (recursive CTE: the gateway's state machine, row by row) ----------
+
+BREAKER_FOLD = "WITH RECURSIVE " + GW_ATTEMPTS + """,
+att AS (
+  SELECT provider, attempt_id, attempt_s, outcome,
+    row_number() OVER (PARTITION BY provider ORDER BY attempt_s, attempt_id) AS rn
+  FROM gw_attempts WHERE outcome IN ('ok', 'error')),
+fold AS (
+  SELECT provider, CAST(0 AS BIGINT) AS rn, CAST(0 AS BIGINT) AS failures, CAST(NULL AS BIGINT) AS tripped,
+    CAST(NULL AS BIGINT) AS attempt_id, CAST(NULL AS BIGINT) AS attempt_s, CAST(NULL AS VARCHAR) AS outcome,
+    false AS trip_set, false AS expired
+  FROM (SELECT DISTINCT provider FROM att) p
+  UNION ALL
+  SELECT a.provider, a.rn,
+    CASE WHEN a.outcome = 'ok' THEN 0
+         ELSE (CASE WHEN f.tripped IS NOT NULL AND a.attempt_s - f.tripped > 60 THEN 0 ELSE f.failures END) + 1 END,
+    CASE WHEN a.outcome = 'ok' THEN NULL
+         WHEN (CASE WHEN f.tripped IS NOT NULL AND a.attempt_s - f.tripped > 60 THEN 0 ELSE f.failures END) + 1 >= 3
+           THEN a.attempt_s
+         WHEN f.tripped IS NOT NULL AND a.attempt_s - f.tripped > 60 THEN NULL
+         ELSE f.tripped END,
+    a.attempt_id, a.attempt_s, a.outcome,
+    a.outcome = 'error'
+      AND (CASE WHEN f.tripped IS NOT NULL AND a.attempt_s - f.tripped > 60 THEN 0 ELSE f.failures END) + 1 >= 3,
+    f.tripped IS NOT NULL AND a.attempt_s - f.tripped > 60
+  FROM fold f JOIN att a ON a.provider = f.provider AND a.rn = f.rn + 1)
+"""
+
+ORACLE["breaker_states"] = BREAKER_FOLD + """
+SELECT provider, attempt_id, attempt_s, outcome, failures AS failures_after, tripped AS tripped_at_after, trip_set, expired
+FROM fold WHERE rn > 0"""
+
+_HEALTH = """
+, final AS (SELECT f.provider, f.failures, f.tripped FROM fold f
+            JOIN (SELECT provider, max(rn) AS rn FROM fold GROUP BY provider) m USING (provider, rn)
+            WHERE f.rn > 0)
+, h AS (SELECT p.provider, CAST(COALESCE(f.failures, 0) AS BIGINT) AS failures, f.tripped AS tripped_at,
+          f.tripped IS NOT NULL AND (SELECT max(attempt_s) FROM gw_attempts) - f.tripped <= 60 AS open
+        FROM (VALUES ('anthropic'), ('openai'), ('azure_openai'), ('gemini')) p(provider)
+        LEFT JOIN final f USING (provider))
+"""
+
+ORACLE["provider_health"] = BREAKER_FOLD + _HEALTH + "SELECT provider, failures, tripped_at, open FROM h"
+
+ORACLE["provider_display_state"] = BREAKER_FOLD + _HEALTH + """
+SELECT h.provider, c.configured, h.open,
+  CASE WHEN c.configured AND NOT h.open THEN 'normal' WHEN c.configured AND h.open THEN 'inverse' ELSE 'off' END
+    AS icon_state,
+  CASE WHEN h.open THEN 'OPEN' WHEN c.configured THEN 'OK' ELSE 'N/A' END AS label
+FROM h JOIN (VALUES ('anthropic', true), ('openai', true), ('azure_openai', false), ('gemini', true)) c(provider, configured)
+  USING (provider)"""
