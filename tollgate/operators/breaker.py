@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tollgate import config
+from tollgate.session import materialize
 
 EXPIRED_CLASS = -1  # start class: tripped, and the first attempt finds it expired
 
@@ -152,7 +153,8 @@ def breaker_states(attempts: DataFrame, threshold: int = config.BREAKER_FAILURE_
     a = attempts.where(F.col("outcome").isin("ok", "error")).select("provider", "attempt_id", "attempt_s", "outcome")
     ranged = (a.repartitionByRange(n, "provider", "attempt_s", "attempt_id")
               .sortWithinPartitions("provider", "attempt_s", "attempt_id"))
-    rows = ranged.mapInPandas(_chunk_folds(threshold, cooldown_s), _row_schema(threshold))
+    # checkpointed: the fold runs once and the summary and the per-row branch see the same chunks
+    rows = materialize(ranged.mapInPandas(_chunk_folds(threshold, cooldown_s), _row_schema(threshold)))
 
     last = F.max_by(F.struct(*[F.col(f"c{k}") for k in range(threshold + 1)], F.col(f"rel{threshold}"),
                              F.col("attempt_s")), F.struct("attempt_s", "attempt_id"))

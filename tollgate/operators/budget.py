@@ -8,11 +8,16 @@ map-side before the shuffle.
 
 from __future__ import annotations
 
+from decimal import ROUND_HALF_UP, Decimal
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tollgate import config
-from tollgate.functions.money import COST_T, day_key, month_key, remaining, usd
+from tollgate.functions.money import COST_T, day_key, denial_reason, month_key, remaining, usd
+from tollgate.operators.prefix import keyed_running_sums
 from tollgate.sources.dims import budget_dim
 
 
@@ -119,3 +124,123 @@ def all_teams_budget(daily: DataFrame, as_of=None,
                     F.coalesce("request_count_month", F.lit(0).cast("bigint")).alias("request_count_month"))
             .withColumn("as_of", as_of))
     return _status_columns(with_limits(base, settings))
+
+
+# -- W2: budget admission -------------------------------------------------------
+
+_Q6 = Decimal("0.000001")
+
+FOLD_SCHEMA = T.StructType([
+    T.StructField("team_id", T.StringType()),
+    T.StructField("event_id", T.LongType()),
+    T.StructField("ts", T.TimestampNTZType()),
+    T.StructField("cost", T.DecimalType(20, 12)),
+    T.StructField("daily_limit", T.DecimalType(12, 4)),
+    T.StructField("monthly_limit", T.DecimalType(12, 4)),
+    T.StructField("allowed", T.BooleanType()),
+    T.StructField("kind", T.StringType()),
+    T.StructField("du_before", T.DecimalType(20, 12)),
+    T.StructField("mu_before", T.DecimalType(20, 12)),
+])
+
+
+def _remaining_py(limit: Decimal, used: Decimal) -> Decimal:
+    return max(Decimal(0), limit - used).quantize(_Q6, rounding=ROUND_HALF_UP)
+
+
+def _fold_tails(batches):
+    """Sequential admission over sorted (team, month) tails, streamed batch by batch.
+
+    State carried across batches: current (team, month), day, daily and
+    monthly admitted spend.  Each tail starts from the exact spend before its
+    first failing row (computed by the fast path).
+    """
+    key = day = None
+    du = mu = Decimal(0)
+    for pdf in batches:
+        if len(pdf) == 0:
+            continue
+        res_allowed, res_kind, res_du, res_mu = [], [], [], []
+        for r in pdf.itertuples(index=False):
+            if (r.team_id, r.month) != key:
+                key, day, du, mu = (r.team_id, r.month), r.start_day, r.start_du, r.start_mu
+            if r.day != day:
+                day, du = r.day, Decimal(0)
+            rd = _remaining_py(r.daily_limit, du)
+            rm = _remaining_py(r.monthly_limit, mu)
+            res_du.append(du)
+            res_mu.append(mu)
+            if r.cost > rd:
+                res_allowed.append(False)
+                res_kind.append("daily")
+            elif r.cost > rm:
+                res_allowed.append(False)
+                res_kind.append("monthly")
+            else:
+                res_allowed.append(True)
+                res_kind.append(None)
+                du += r.cost
+                mu += r.cost
+        yield pd.DataFrame({"team_id": pdf["team_id"], "event_id": pdf["event_id"], "ts": pdf["ts"],
+                            "cost": pdf["cost"], "daily_limit": pdf["daily_limit"],
+                            "monthly_limit": pdf["monthly_limit"], "allowed": res_allowed,
+                            "kind": res_kind, "du_before": res_du, "mu_before": res_mu})
+
+
+def budget_admission(requests: DataFrame, settings: config.GatewaySettings = config.DEFAULT_SETTINGS,
+                     partitions: int | None = None) -> DataFrame:
+    """Per request, in (ts, event_id) order per team: allowed?, reason, spend before.
+
+    A request is admitted when its cost is <= the daily remaining and then <=
+    the monthly remaining (each rounded to 6 places, floored at 0); only
+    admitted spend accumulates; the day and month counters reset at UTC
+    midnight / month start.
+
+    Fast path: under the hypothesis "every row admitted", running day and
+    month spend come from skew-safe keyed prefix sums.  Every row of a
+    (team, month) before its first failing row is exact by induction.  Only
+    the tail from that row on is folded sequentially (one task per tail,
+    streaming, bounded memory).  An exact greedy admission order is a
+    sequential dependency: a single hot team-month whose budget is exceeded
+    is replayed in one task, but only from its first denial onward.
+
+    ``requests``: team_id, ts, event_id, cost (decimal).
+    """
+    rows = with_limits(requests.select("team_id", "ts", "event_id", "cost"), settings) \
+        .withColumn("day", day_key(F.col("ts"))).withColumn("month", month_key(F.col("ts")))
+    h = keyed_running_sums(rows, "cost", ["ts", "event_id"], ["team_id", "month"],
+                           {"h_day": ["team_id", "month", "day"], "h_mon": ["team_id", "month"]}, partitions)
+    h = (h.withColumn("hdu", (F.col("h_day") - F.col("cost")).cast(COST_T))
+         .withColumn("hmu", (F.col("h_mon") - F.col("cost")).cast(COST_T)))
+    ok = (F.col("cost") <= remaining(F.col("daily_limit"), F.col("hdu"))) & \
+         (F.col("cost") <= remaining(F.col("monthly_limit"), F.col("hmu")))
+    h = h.withColumn("h_ok", ok)
+
+    first_fail = (h.where(~F.col("h_ok")).groupBy("team_id", "month")
+                  .agg(F.min_by(F.struct(F.col("ts").alias("f_ts"), F.col("event_id").alias("f_id"),
+                                         F.col("day").alias("start_day"), F.col("hdu").alias("start_du"),
+                                         F.col("hmu").alias("start_mu")),
+                                F.struct("ts", "event_id")).alias("ff"))
+                  .select("team_id", "month", "ff.*"))
+    j = h.join(first_fail, ["team_id", "month"], "left")
+    before_fail = (F.col("f_ts").isNull() | (F.col("ts") < F.col("f_ts"))
+                   | ((F.col("ts") == F.col("f_ts")) & (F.col("event_id") < F.col("f_id"))))
+
+    fast = j.where(before_fail).select(
+        "team_id", "event_id", "ts", "cost", "daily_limit", "monthly_limit", F.lit(True).alias("allowed"),
+        F.lit(None).cast("string").alias("kind"), F.col("hdu").alias("du_before"), F.col("hmu").alias("mu_before"))
+
+    tail = j.where(~before_fail).select("team_id", "month", "day", "ts", "event_id", "cost", "daily_limit",
+                                        "monthly_limit", "start_day", "start_du", "start_mu")
+    # ts must reach pandas as a naive timestamp; the schema above keeps it timestamp_ntz
+    folded = (tail.repartition("team_id", "month")
+              .sortWithinPartitions("team_id", "month", "ts", "event_id")
+              .mapInPandas(_fold_tails, FOLD_SCHEMA))
+    out = fast.unionByName(folded)
+    reason = F.when(F.col("kind") == "daily",
+                    denial_reason(F.lit("daily"), F.col("team_id"), F.col("du_before"), F.col("daily_limit"))) \
+        .when(F.col("kind") == "monthly",
+              denial_reason(F.lit("monthly"), F.col("team_id"), F.col("mu_before"), F.col("monthly_limit"))) \
+        .otherwise(F.lit(""))
+    return out.select("event_id", "team_id", "ts", "cost", "allowed", F.col("kind").alias("denied_by"),
+                      reason.alias("reason"), "du_before", "mu_before")

@@ -15,13 +15,16 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tollgate.session import materialize
+
 
 def running_sum(df: DataFrame, value: str, order: Sequence[str], out: str,
                 partitions: int | None = None) -> DataFrame:
     spark = df.sparkSession
     n = partitions or max(spark.sparkContext.defaultParallelism,
                           int(spark.conf.get("spark.sql.shuffle.partitions")))
-    ranged = df.repartitionByRange(n, *order).withColumn("_chunk", F.spark_partition_id())
+    # checkpointed: chunk ids must be identical in the local-sum and the totals branch
+    ranged = materialize(df.repartitionByRange(n, *order).withColumn("_chunk", F.spark_partition_id()))
     local_w = (Window.partitionBy("_chunk").orderBy(*order)
                .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     local = ranged.withColumn("_local", F.sum(value).over(local_w))
@@ -33,3 +36,36 @@ def running_sum(df: DataFrame, value: str, order: Sequence[str], out: str,
     return (local.join(F.broadcast(offsets), "_chunk", "left")
             .withColumn(out, F.coalesce("_off", zero) + F.col("_local"))
             .drop("_chunk", "_local", "_off"))
+
+
+def keyed_running_sums(df: DataFrame, value: str, order: Sequence[str], lead: Sequence[str],
+                       sums: dict[str, Sequence[str]], partitions: int | None = None) -> DataFrame:
+    """Inclusive running sums of ``value`` within several nested keys, skew-safe.
+
+    ``sums`` maps output column -> key columns; every key must start with the
+    ``lead`` columns (e.g. lead=(team, month), keys (team, month) and
+    (team, month, day)).  Rows are range-partitioned on (lead, order), so a key
+    holding a third of all rows is split over many chunks; each chunk computes
+    local sums, per (chunk, key) totals are prefix-summed in order of chunk
+    (a table of at most partitions + keys rows) and joined back.
+    """
+    spark = df.sparkSession
+    n = partitions or max(spark.sparkContext.defaultParallelism,
+                          int(spark.conf.get("spark.sql.shuffle.partitions")))
+    # checkpointed: chunk ids must be identical in every branch below
+    ranged = materialize(df.repartitionByRange(n, *lead, *order).withColumn("_chunk", F.spark_partition_id()))
+    # hash on the chunk alone satisfies every (chunk, key...) window below: one exchange for all of them
+    out = ranged.repartition(n, "_chunk")
+    for name, keys in sums.items():
+        local_w = (Window.partitionBy("_chunk", *keys).orderBy(*order)
+                   .rowsBetween(Window.unboundedPreceding, Window.currentRow))
+        out = out.withColumn(f"_l_{name}", F.sum(value).over(local_w))
+    for name, keys in sums.items():
+        tot = ranged.groupBy("_chunk", *keys).agg(F.sum(value).alias("_t"))
+        before = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+        off = tot.select("_chunk", *keys, F.sum("_t").over(before).alias(f"_o_{name}"))
+        out = out.join(off, ["_chunk", *keys], "left")
+        zero = F.lit(0).cast(out.schema[value].dataType)
+        out = out.withColumn(name, F.coalesce(F.col(f"_o_{name}"), zero) + F.col(f"_l_{name}")) \
+            .drop(f"_o_{name}", f"_l_{name}")
+    return out.drop("_chunk")

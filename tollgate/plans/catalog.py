@@ -473,3 +473,33 @@ def q_provider_display_state(spark, sf):
     h = _health(spark, sf, AZURE_NO_ENDPOINT)
     icon, label = breaker.display_state(F.col("configured"), F.col("open"))
     return h.select("provider", "configured", "open", icon.alias("icon_state"), label.alias("label"))
+
+
+# -- budget admission -------------------------------------------------------------
+
+
+def admission(spark, sf):
+    reqs = costed(spark, sf).where(F.col("status") != "error")
+    return budget.budget_admission(reqs)
+
+
+@register("budget_admission")
+def q_budget_admission(spark, sf):
+    return admission(spark, sf).select(
+        "event_id", "team_id", "ts", money.usd(F.col("cost")).alias("cost_usd"), "allowed", "denied_by", "reason",
+        money.usd(F.col("du_before")).alias("daily_used_before_usd"),
+        money.usd(F.col("mu_before")).alias("monthly_used_before_usd"))
+
+
+@register("budget_denial_reason")
+def q_budget_denial_reason(spark, sf):
+    """the denial messages, one row per denied request."""
+    return admission(spark, sf).where(~F.col("allowed")).select("event_id", "team_id", "denied_by", "reason")
+
+
+@register("admitted_spend")
+def q_admitted_spend(spark, sf):
+    """The usage store after admission: admitted spend and count per (team, month)."""
+    adm = admission(spark, sf).where(F.col("allowed"))
+    return (adm.groupBy("team_id", money.month_key(F.col("ts")).alias("month"))
+            .agg(money.usd(F.sum("cost")).alias("cost_usd"), F.count(F.lit(1)).alias("n_allowed")))

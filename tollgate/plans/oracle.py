@@ -526,3 +526,62 @@ SELECT h.provider, c.configured, h.open,
   CASE WHEN h.open THEN 'OPEN' WHEN c.configured THEN 'OK' ELSE 'N/A' END AS label
 FROM h JOIN (VALUES ('anthropic', true), ('openai', true), ('azure_openai', false), ('gemini', true)) c(provider, configured)
   USING (provider)"""
+
+
+# -- budget admission (recursive CTE: one team's requests in order, one at a time) -------------
+
+ADMISSION_FOLD = "WITH RECURSIVE " + ",\n".join([GW_AUDIT, PRICE, PRICED, COSTED, BUDGET]) + """,
+req AS (
+  SELECT c.team_id, c.ts, c.event_id, c.cost, CAST(c.ts AS DATE) AS day, strftime(c.ts, '%Y-%m') AS month,
+    COALESCE(b.daily_limit, CAST(10 AS DECIMAL(12,4))) AS ld, COALESCE(b.monthly_limit, CAST(200 AS DECIMAL(12,4))) AS lm,
+    row_number() OVER (PARTITION BY c.team_id ORDER BY c.ts, c.event_id) AS rn
+  FROM costed c LEFT JOIN budget b ON b.team_id = c.team_id
+  WHERE c.status <> 'error'),
+fold AS (
+  SELECT team_id, CAST(0 AS BIGINT) AS rn, CAST(NULL AS DATE) AS day, CAST(NULL AS VARCHAR) AS month,
+    CAST(0 AS DECIMAL(20,12)) AS du, CAST(0 AS DECIMAL(20,12)) AS mu,
+    CAST(NULL AS BIGINT) AS event_id, CAST(NULL AS TIMESTAMP) AS ts, CAST(NULL AS DECIMAL(20,12)) AS cost,
+    CAST(NULL AS BOOLEAN) AS allowed, CAST(NULL AS VARCHAR) AS kind,
+    CAST(NULL AS DECIMAL(20,12)) AS du_before, CAST(NULL AS DECIMAL(20,12)) AS mu_before,
+    CAST(NULL AS DECIMAL(12,4)) AS ld, CAST(NULL AS DECIMAL(12,4)) AS lm
+  FROM (SELECT DISTINCT team_id FROM req) t
+  UNION ALL
+  SELECT x.team_id, x.rn, x.day, x.month,
+    CAST(x.du_b + CASE WHEN x.kind IS NULL THEN x.cost ELSE 0 END AS DECIMAL(20,12)),
+    CAST(x.mu_b + CASE WHEN x.kind IS NULL THEN x.cost ELSE 0 END AS DECIMAL(20,12)),
+    x.event_id, x.ts, x.cost, x.kind IS NULL, x.kind, x.du_b, x.mu_b, x.ld, x.lm
+  FROM (
+    SELECT y.*,
+      CASE WHEN y.cost > round(greatest(0, y.ld - y.du_b), 6) THEN 'daily'
+           WHEN y.cost > round(greatest(0, y.lm - y.mu_b), 6) THEN 'monthly' END AS kind
+    FROM (
+      SELECT r.*,
+        CAST(CASE WHEN r.day = f.day THEN f.du ELSE 0 END AS DECIMAL(20,12)) AS du_b,
+        CAST(CASE WHEN r.month = f.month THEN f.mu ELSE 0 END AS DECIMAL(20,12)) AS mu_b
+      FROM fold f JOIN req r ON r.team_id = f.team_id AND r.rn = f.rn + 1) y) x)
+, adm AS (SELECT * FROM fold WHERE rn > 0)
+"""
+
+_REASON = """CASE kind
+    WHEN 'daily' THEN 'Daily budget exceeded for team ''' || team_id || '''. Used: $'
+      || CAST(CAST(round(round(du_before, 6), 4) AS DECIMAL(24,4)) AS VARCHAR) || ' / $'
+      || CAST(CAST(round(ld, 2) AS DECIMAL(24,2)) AS VARCHAR) || '. Resets at midnight UTC.'
+    WHEN 'monthly' THEN 'Monthly budget exceeded for team ''' || team_id || '''. Used: $'
+      || CAST(CAST(round(round(mu_before, 6), 4) AS DECIMAL(24,4)) AS VARCHAR) || ' / $'
+      || CAST(CAST(round(lm, 2) AS DECIMAL(24,2)) AS VARCHAR) || '.'
+    ELSE '' END"""
+
+ORACLE["budget_admission"] = ADMISSION_FOLD + f"""
+SELECT event_id, team_id, ts, CAST(round(cost, 6) AS DOUBLE) AS cost_usd, allowed, kind AS denied_by,
+  {_REASON} AS reason,
+  CAST(round(du_before, 6) AS DOUBLE) AS daily_used_before_usd,
+  CAST(round(mu_before, 6) AS DOUBLE) AS monthly_used_before_usd
+FROM adm"""
+
+ORACLE["budget_denial_reason"] = ADMISSION_FOLD + f"""
+SELECT event_id, team_id, kind AS denied_by, {_REASON} AS reason FROM adm WHERE NOT allowed"""
+
+ORACLE["admitted_spend"] = ADMISSION_FOLD + """
+SELECT team_id, strftime(ts, '%Y-%m') AS month, CAST(round(SUM(cost), 6) AS DOUBLE) AS cost_usd,
+  COUNT(*) AS n_allowed
+FROM adm WHERE allowed GROUP BY 1, 2"""

@@ -61,3 +61,15 @@ def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
     if df.rdd.getNumPartitions() >= want:
         return df
     return df.repartition(want)
+
+
+def materialize(df: DataFrame) -> DataFrame:
+    """Reliable checkpoint into the cluster's shared checkpoint folder.
+
+    Used where one intermediate feeds several branches and must be identical
+    in all of them (e.g. chunk ids taken from a range partitioning, whose
+    sampled bounds could differ if the exchange were recomputed).  It also cuts
+    the lineage, so a lost executor does not replay the whole plan.
+    """
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
