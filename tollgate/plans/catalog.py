@@ -503,3 +503,55 @@ def q_admitted_spend(spark, sf):
     adm = admission(spark, sf).where(F.col("allowed"))
     return (adm.groupBy("team_id", money.month_key(F.col("ts")).alias("month"))
             .agg(money.usd(F.sum("cost")).alias("cost_usd"), F.count(F.lit(1)).alias("n_allowed")))
+
+
+# -- audit log I/O ------------------------------------------------------------------
+
+from tollgate.session import shared_path  # noqa: E402
+
+
+def _corrupt():
+    # every 97th entry is written half-flushed
+    return F.col("event_id") % 97 == 0
+
+
+@register("audit_jsonl_roundtrip")
+def q_audit_jsonl_roundtrip(spark, sf):
+    """Append the audit log as day-partitioned JSONL, read it back, aggregate per day."""
+    path = shared_path(spark, "audit-jsonl")
+    audit_io.write_jsonl(audit_log(spark, sf), path)
+    back = audit_io.read_jsonl(spark, path)
+    return (back.groupBy(F.substring("timestamp", 1, 10).alias("day"))
+            .agg(F.count(F.lit(1)).alias("entries"),
+                 F.round(F.sum(F.col("estimated_cost_usd").cast(money.COST_T)), 6).cast("double").alias("cost_usd"),
+                 F.sum("pii_redaction_count").alias("pii_redactions"),
+                 F.count_if(F.col("status") == "success").alias("successes")))
+
+
+@register("audit_jsonl_scan")
+def q_audit_jsonl_scan(spark, sf):
+    """Scan a log with half-written lines; malformed lines are dropped, nothing else."""
+    path = shared_path(spark, "audit-lines")
+    audit_io.write_lines(audit_io.to_log_lines(audit_log(spark, sf), _corrupt()), path)
+    back = audit_io.read_jsonl(spark, path)
+    return _flat_entities(back.select(*[c for c in back.columns if c != "day"]))
+
+
+@register("audit_recent")
+def q_audit_recent(spark, sf):
+    """S3: recent_entries(limit=100) over the log with half-written lines."""
+    lines = audit_io.to_log_lines(audit_log(spark, sf), _corrupt())
+    out = audit_io.recent_entries(lines, 100)
+    return out.select("seq", "request_id", "team_id", "status", "estimated_cost_usd")
+
+
+@register("siem_envelope")
+def q_siem_envelope(spark, sf):
+    """The webhook bodies; fields read back out of the JSON text."""
+    body = audit_io.siem_envelope(audit_log(spark, sf))
+    g = lambda p: F.get_json_object("body", p)
+    return body.select(g("$.event.request_id").alias("request_id"), g("$.event.team_id").alias("team_id"),
+                       g("$.event.status").alias("status"),
+                       g("$.event.estimated_cost_usd").cast("double").alias("estimated_cost_usd"),
+                       g("$.sourcetype").alias("sourcetype"),
+                       (g("$.event.prompt") .isNull() & g("$.event.content").isNull()).alias("no_content"))

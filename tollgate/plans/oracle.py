@@ -585,3 +585,21 @@ ORACLE["admitted_spend"] = ADMISSION_FOLD + """
 SELECT team_id, strftime(ts, '%Y-%m') AS month, CAST(round(SUM(cost), 6) AS DOUBLE) AS cost_usd,
   COUNT(*) AS n_allowed
 FROM adm WHERE allowed GROUP BY 1, 2"""
+
+
+# -- audit log I/O ------------------------------------------------------------------
+
+ORACLE["audit_jsonl_roundtrip"] = AUDIT_BASE + """
+SELECT substr(timestamp, 1, 10) AS day, COUNT(*) AS entries,
+  CAST(round(SUM(CAST(estimated_cost_usd AS DECIMAL(20,12))), 6) AS DOUBLE) AS cost_usd,
+  SUM(pii_redaction_count) AS pii_redactions, count_if(status = 'success') AS successes
+FROM audit GROUP BY 1"""
+
+ORACLE["audit_jsonl_scan"] = AUDIT_BASE + f"SELECT {AUDIT_COLS} FROM audit WHERE event_id % 97 <> 0"
+
+ORACLE["audit_recent"] = AUDIT_BASE + """
+SELECT event_id AS seq, request_id, team_id, status, estimated_cost_usd
+FROM (SELECT * FROM audit ORDER BY event_id DESC LIMIT 100) t WHERE event_id % 97 <> 0"""
+
+ORACLE["siem_envelope"] = AUDIT_BASE + """
+SELECT request_id, team_id, status, estimated_cost_usd, 'ai_gateway' AS sourcetype, true AS no_content FROM audit"""

@@ -70,3 +70,32 @@ def siem_envelope(df: DataFrame) -> DataFrame:
     return audit_only(df).select(
         F.to_json(F.struct(F.struct(*schemas.AUDIT_COLUMNS).alias("event"),
                            F.lit(config.SIEM_SOURCETYPE).alias("sourcetype"))).alias("body"))
+
+
+def to_log_lines(audit: DataFrame, corrupt: Column | None = None) -> DataFrame:
+    """Serialized log lines (``seq``, ``line``) in ingest order; ``corrupt`` marks rows written truncated
+    (a partially flushed line), to exercise the reader's malformed-line handling."""
+    line = F.to_json(F.struct(*schemas.AUDIT_COLUMNS))
+    if corrupt is not None:
+        line = F.when(corrupt, F.substring(line, 1, F.length(line) / 2)).otherwise(line)
+    return audit.select(F.col("event_id").alias("seq"), F.substring("timestamp", 1, 10).alias("day"),
+                        line.alias("line"))
+
+
+def write_lines(lines: DataFrame, path: str) -> None:
+    """S1 for pre-serialized lines: plain text, one line per entry, partitioned by day."""
+    lines.select("day", "line").write.mode("append").partitionBy("day").text(path)
+
+
+def recent_entries(lines: DataFrame, limit: int = 100) -> DataFrame:
+    """S3: the newest ``limit`` lines by ingest sequence, parsed; malformed ones are dropped
+    after the cut (so fewer than ``limit`` may come back), newest first.
+
+    The cut is a top-k (TakeOrderedAndProject): no global sort of the log.
+    """
+    if limit < 1:
+        raise ValueError("limit must be >= 1")
+    newest = lines.orderBy(F.desc("seq")).limit(limit)
+    ok = F.try_parse_json("line").isNotNull()
+    parsed = newest.select("seq", F.when(ok, F.from_json("line", schemas.AUDIT)).alias("e"))
+    return parsed.where(F.col("e").isNotNull()).select("seq", "e.*").orderBy(F.desc("seq"))
