@@ -555,3 +555,38 @@ def q_siem_envelope(spark, sf):
                        g("$.event.estimated_cost_usd").cast("double").alias("estimated_cost_usd"),
                        g("$.sourcetype").alias("sourcetype"),
                        (g("$.event.prompt") .isNull() & g("$.event.content").isNull()).alias("no_content"))
+
+
+# -- streaming (run with availableNow; the sink table is the result) ----------------------
+
+from tollgate.streaming import streams  # noqa: E402
+
+
+@register("stream_redact")
+def q_stream_redact(spark, sf):
+    return streams.stream_redact(spark, sf)
+
+
+@register("stream_daily_usage")
+def q_stream_daily_usage(spark, sf):
+    return streams.stream_daily_usage(spark, sf)
+
+
+@register("stream_budget_admission")
+def q_stream_budget_admission(spark, sf):
+    return streams.stream_budget_admission(spark, sf)
+
+
+@register("stream_breaker")
+def q_stream_breaker(spark, sf):
+    return streams.stream_breaker(spark, sf)
+
+
+@register("stream_audit_sink")
+def q_stream_audit_sink(spark, sf):
+    return _flat_entities(streams.stream_audit_sink(spark, sf))
+
+
+@register("stream_kpi")
+def q_stream_kpi(spark, sf):
+    return streams.stream_kpi(spark, sf)

@@ -603,3 +603,15 @@ FROM (SELECT * FROM audit ORDER BY event_id DESC LIMIT 100) t WHERE event_id % 9
 
 ORACLE["siem_envelope"] = AUDIT_BASE + """
 SELECT request_id, team_id, status, estimated_cost_usd, 'ai_gateway' AS sourcetype, true AS no_content FROM audit"""
+
+
+# -- streaming: each stream must equal its batch operator ---------------------------------
+
+ORACLE["stream_redact"] = ORACLE["redact_text"]
+ORACLE["stream_budget_admission"] = ORACLE["budget_admission"]
+ORACLE["stream_breaker"] = ORACLE["breaker_states"]
+ORACLE["stream_audit_sink"] = ORACLE["audit_projection"]
+ORACLE["stream_kpi"] = ORACLE["kpi_summary"]
+ORACLE["stream_daily_usage"] = DAILY_BASE + """
+SELECT team_id, day, CAST(round(cost, 6) AS DOUBLE) AS cost_usd, n_requests FROM daily
+WHERE CAST(day AS TIMESTAMP) + INTERVAL 1 DAY <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR"""

@@ -18,7 +18,7 @@ def iso_timestamp(ts: Column) -> Column:
     return F.regexp_replace(F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), r"\.000000$", "")
 
 
-def audit_projection(costed: DataFrame) -> DataFrame:
+def audit_projection(costed: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """AuditEntry rows from costed gateway traffic (plus ``ts``/``event_id`` for ordering)."""
     fallback_from = F.coalesce(F.col("provider_requested"), F.col("provider_used"))
     return costed.select(
@@ -36,7 +36,7 @@ def audit_projection(costed: DataFrame) -> DataFrame:
                                                      F.lit(": unknown error"))).alias("fallback_reason"),
         F.col("status"),
         F.when(F.col("status") == "error", F.lit("All providers failed")).alias("error_message"),
-        F.col("ts"), F.col("event_id"),
+        F.col("ts"), F.col("event_id"), *keep,
     )
 
 

@@ -29,10 +29,11 @@ TEAMS = ("finance-team", "engineering-team", "marketing-team")
 MODELS = ("claude-opus-4-6", "claude-sonnet-4-6", "gpt-4o", "gpt-4o-mini", "gemini-1.5-pro", "gemini-1.5-flash")
 
 
-def gw_audit(events: DataFrame) -> DataFrame:
-    """One audit row per event (16 AuditEntry fields' raw material)."""
+def gw_audit(events: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+    """One audit row per event (16 AuditEntry fields' raw material); ``keep`` passes extra columns through."""
     eid = F.col("event_id")
     return events.select(
+        *keep,
         eid,
         F.col("ts"),
         pick(F.col("user_id") % 4, TEAMS, "default").alias("team_id"),
@@ -51,12 +52,13 @@ def gw_audit(events: DataFrame) -> DataFrame:
     )
 
 
-def gw_attempts(events: DataFrame) -> DataFrame:
+def gw_attempts(events: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
     """One provider attempt per event; four consecutive events form one request."""
     eid = F.col("event_id")
     et = F.col("event_type")
     rid = F.floor(eid / 4).cast("bigint")
     return events.select(
+        *keep,
         eid.alias("attempt_id"),
         (eid * 7).alias("attempt_s"),
         rid.alias("request_id"),
