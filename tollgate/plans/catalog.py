@@ -590,3 +590,22 @@ def q_stream_audit_sink(spark, sf):
 @register("stream_kpi")
 def q_stream_kpi(spark, sf):
     return streams.stream_kpi(spark, sf)
+
+
+# -- extension points ---------------------------------------------------------------
+
+from tollgate.operators import completion, detector  # noqa: E402
+
+
+@register("detector_plugin")
+def q_detector_plugin(spark, sf):
+    """Detector spans (Python regex in Arrow batches), resolved and applied natively."""
+    red, n, ents = detector.detect_and_redact(F.col("text"))
+    return documents(spark, sf).select("doc_id", red.alias("redacted_text"), n.alias("redaction_count"),
+                                       F.array_join(ents, ",").alias("entities_found"))
+
+
+@register("batch_completion")
+def q_batch_completion(spark, sf):
+    """Every request's payload through the (echo) adapter."""
+    return completion.batch_complete(completion.with_payload(_payload_base(spark, sf)))

@@ -615,3 +615,28 @@ ORACLE["stream_kpi"] = ORACLE["kpi_summary"]
 ORACLE["stream_daily_usage"] = DAILY_BASE + """
 SELECT team_id, day, CAST(round(cost, 6) AS DOUBLE) AS cost_usd, n_requests FROM daily
 WHERE CAST(day AS TIMESTAMP) + INTERVAL 1 DAY <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR"""
+
+
+# -- X2 with the echo adapter ------------------------------------------------------------
+
+ORACLE["batch_completion"] = REQ_BASE + """
+, w AS (SELECT conv_id, turn, role, text,
+          len(list_filter(regexp_split_to_array(COALESCE(text, ''), '\\s+'), lambda x: x <> '')) AS n FROM conversations)
+, m AS (SELECT conv_id AS request_id,
+          COALESCE(arg_max(text, turn) FILTER (WHERE role <> 'system'), '') AS content,
+          SUM(n) AS words_all,
+          COALESCE(SUM(n) FILTER (WHERE role <> 'system'), 0) AS words_chat,
+          COALESCE(arg_min(n, turn) FILTER (WHERE role = 'system'), 0) AS words_first_system
+        FROM w GROUP BY conv_id)
+, r AS (SELECT g.request_id, CASE WHEN g.provider IN ('anthropic', 'openai', 'azure_openai', 'gemini') THEN g.provider
+          ELSE 'anthropic' END AS provider, g.model FROM gw_requests g)
+SELECT r.request_id, r.provider, COALESCE(NULLIF(r.model, ''), d.default_model) AS model_used, m.content,
+  CAST(CASE r.provider WHEN 'gemini' THEN trunc(m.words_all * CAST(1.3 AS DOUBLE))
+                       WHEN 'anthropic' THEN m.words_chat + m.words_first_system
+                       ELSE m.words_all END AS BIGINT) AS prompt_tokens,
+  CAST(CASE r.provider WHEN 'gemini'
+            THEN trunc(len(list_filter(regexp_split_to_array(m.content, '\\s+'), lambda x: x <> '')) * CAST(1.3 AS DOUBLE))
+            ELSE len(list_filter(regexp_split_to_array(m.content, '\\s+'), lambda x: x <> '')) END AS BIGINT)
+    AS completion_tokens,
+  CAST(NULL AS VARCHAR) AS error
+FROM r JOIN m USING (request_id) JOIN dmodel d ON d.provider = r.provider"""
