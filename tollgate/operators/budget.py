@@ -11,13 +11,14 @@ from __future__ import annotations
 from decimal import ROUND_HALF_UP, Decimal
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tollgate import config
 from tollgate.functions.money import COST_T, day_key, denial_reason, month_key, remaining, usd
 from tollgate.operators.prefix import keyed_running_sums
+from tollgate.session import materialize
 from tollgate.sources.dims import budget_dim
 
 
@@ -127,64 +128,125 @@ def all_teams_budget(daily: DataFrame, as_of=None,
 
 
 # -- W2: budget admission -------------------------------------------------------
+#
+# Money inside the Python folds is an exact integer count of 1e-12 USD (the
+# scale of decimal(20,12)); Python ints never overflow and are much faster
+# than Decimal objects.
 
-_Q6 = Decimal("0.000001")
-
-FOLD_SCHEMA = T.StructType([
-    T.StructField("team_id", T.StringType()),
-    T.StructField("event_id", T.LongType()),
-    T.StructField("ts", T.TimestampNTZType()),
-    T.StructField("cost", T.DecimalType(20, 12)),
-    T.StructField("daily_limit", T.DecimalType(12, 4)),
-    T.StructField("monthly_limit", T.DecimalType(12, 4)),
-    T.StructField("allowed", T.BooleanType()),
-    T.StructField("kind", T.StringType()),
-    T.StructField("du_before", T.DecimalType(20, 12)),
-    T.StructField("mu_before", T.DecimalType(20, 12)),
-])
+UNIT = 10 ** 12
+HALF_STEP = 10 ** 6 // 2  # rounding to 6 places = multiples of 1e6 units
+
+
+def _units(c):
+    return (c * F.lit(UNIT)).cast("decimal(38,0)").cast("long")
+
+
+def _usd_from_units(c):
+    return (c.cast("decimal(20,0)") * F.lit(Decimal("1E-12"))).cast(COST_T)
+
+
+def _remaining_units(limit: int, used: int) -> int:
+    """round(max(0, limit - used), 6) half-up, in units."""
+    x = limit - used
+    if x <= 0:
+        return 0
+    return (x + HALF_STEP) // (2 * HALF_STEP) * (2 * HALF_STEP)
 
 
 def _remaining_py(limit: Decimal, used: Decimal) -> Decimal:
-    return max(Decimal(0), limit - used).quantize(_Q6, rounding=ROUND_HALF_UP)
+    return max(Decimal(0), limit - used).quantize(Decimal("0.000001"), rounding=ROUND_HALF_UP)
+
+
+_TAIL_COLS = ["team_id", "month", "day", "ts", "event_id", "cost", "daily_limit", "monthly_limit",
+              "cost_u", "ld_u", "lm_u", "start_day", "start_du_u", "start_mu_u"]
+
+_PASS = [
+    T.StructField("team_id", T.StringType()), T.StructField("month", T.StringType()),
+    T.StructField("day", T.DateType()), T.StructField("ts", T.TimestampNTZType()),
+    T.StructField("event_id", T.LongType()), T.StructField("cost", T.DecimalType(20, 12)),
+    T.StructField("daily_limit", T.DecimalType(12, 4)), T.StructField("monthly_limit", T.DecimalType(12, 4)),
+    T.StructField("cost_u", T.LongType()), T.StructField("ld_u", T.LongType()), T.StructField("lm_u", T.LongType()),
+]
+# the folds pass every input column through, so their output never has to be joined back
+DAILY_SCHEMA = T.StructType(_PASS + [
+    T.StructField("start_day", T.DateType()), T.StructField("start_du_u", T.LongType()),
+    T.StructField("start_mu_u", T.LongType()),
+    T.StructField("allowed_d", T.BooleanType()), T.StructField("du_before_u", T.LongType()),
+])
+FOLD_SCHEMA = T.StructType(_PASS + [
+    T.StructField("allowed", T.BooleanType()), T.StructField("kind", T.StringType()),
+    T.StructField("du_before_u", T.LongType()), T.StructField("mu_before_u", T.LongType()),
+])
+_PASS_NAMES = [f.name for f in _PASS]
 
 
-def _fold_tails(batches):
-    """Sequential admission over sorted (team, month) tails, streamed batch by batch.
+def _fold_days(batches):
+    """Daily-limit-only admission per (team, month, day), streamed over sorted rows.
 
-    State carried across batches: current (team, month), day, daily and
-    monthly admitted spend.  Each tail starts from the exact spend before its
-    first failing row (computed by the fast path).
+    A tail's first day starts from the spend before its first failing row;
+    later days start at 0.
     """
+    key = None
+    du = 0
+    for pdf in batches:
+        if len(pdf) == 0:
+            continue
+        teams, months, days = pdf["team_id"].tolist(), pdf["month"].tolist(), pdf["day"].tolist()
+        cost, ld = pdf["cost_u"].tolist(), pdf["ld_u"].tolist()
+        sday, sdu = pdf["start_day"].tolist(), pdf["start_du_u"].tolist()
+        allowed, before = [], []
+        for i in range(len(pdf)):
+            k = (teams[i], months[i], days[i])
+            if k != key:
+                key = k
+                du = sdu[i] if days[i] == sday[i] else 0
+            before.append(du)
+            if cost[i] > _remaining_units(ld[i], du):
+                allowed.append(False)
+            else:
+                allowed.append(True)
+                du += cost[i]
+        out = pdf[[f.name for f in DAILY_SCHEMA.fields[:-2]]].copy()
+        out["allowed_d"] = allowed
+        out["du_before_u"] = before
+        yield out
+
+
+def _fold_coupled(batches):
+    """Both limits, sequentially per (team, month), from the first coupled day on."""
     key = day = None
-    du = mu = Decimal(0)
+    du = mu = 0
     for pdf in batches:
         if len(pdf) == 0:
             continue
-        res_allowed, res_kind, res_du, res_mu = [], [], [], []
-        for r in pdf.itertuples(index=False):
-            if (r.team_id, r.month) != key:
-                key, day, du, mu = (r.team_id, r.month), r.start_day, r.start_du, r.start_mu
-            if r.day != day:
-                day, du = r.day, Decimal(0)
-            rd = _remaining_py(r.daily_limit, du)
-            rm = _remaining_py(r.monthly_limit, mu)
-            res_du.append(du)
-            res_mu.append(mu)
-            if r.cost > rd:
-                res_allowed.append(False)
-                res_kind.append("daily")
-            elif r.cost > rm:
-                res_allowed.append(False)
-                res_kind.append("monthly")
+        teams, months, days = pdf["team_id"].tolist(), pdf["month"].tolist(), pdf["day"].tolist()
+        cost, ld, lm = pdf["cost_u"].tolist(), pdf["ld_u"].tolist(), pdf["lm_u"].tolist()
+        cday, cdu, cmu = pdf["c_day"].tolist(), pdf["c_du_u"].tolist(), pdf["c_mu_u"].tolist()
+        allowed, kind, dub, mub = [], [], [], []
+        for i in range(len(pdf)):
+            if (teams[i], months[i]) != key:
+                key, day, du, mu = (teams[i], months[i]), cday[i], cdu[i], cmu[i]
+            if days[i] != day:
+                day, du = days[i], 0
+            dub.append(du)
+            mub.append(mu)
+            if cost[i] > _remaining_units(ld[i], du):
+                allowed.append(False)
+                kind.append("daily")
+            elif cost[i] > _remaining_units(lm[i], mu):
+                allowed.append(False)
+                kind.append("monthly")
             else:
-                res_allowed.append(True)
-                res_kind.append(None)
-                du += r.cost
-                mu += r.cost
-        yield pd.DataFrame({"team_id": pdf["team_id"], "event_id": pdf["event_id"], "ts": pdf["ts"],
-                            "cost": pdf["cost"], "daily_limit": pdf["daily_limit"],
-                            "monthly_limit": pdf["monthly_limit"], "allowed": res_allowed,
-                            "kind": res_kind, "du_before": res_du, "mu_before": res_mu})
+                allowed.append(True)
+                kind.append(None)
+                du += cost[i]
+                mu += cost[i]
+        out = pdf[_PASS_NAMES].copy()
+        out["allowed"] = allowed
+        out["kind"] = kind
+        out["du_before_u"] = dub
+        out["mu_before_u"] = mub
+        yield out
 
 
 def budget_admission(requests: DataFrame, settings: config.GatewaySettings = config.DEFAULT_SETTINGS,
@@ -193,30 +255,38 @@ def budget_admission(requests: DataFrame, settings: config.GatewaySettings = con
 
     A request is admitted when its cost is <= the daily remaining and then <=
     the monthly remaining (each rounded to 6 places, floored at 0); only
-    admitted spend accumulates; the day and month counters reset at UTC
-    midnight / month start.
-
-    Fast path: under the hypothesis "every row admitted", running day and
-    month spend come from skew-safe keyed prefix sums.  Every row of a
-    (team, month) before its first failing row is exact by induction.  Only
-    the tail from that row on is folded sequentially (one task per tail,
-    streaming, bounded memory).  An exact greedy admission order is a
-    sequential dependency: a single hot team-month whose budget is exceeded
-    is replayed in one task, but only from its first denial onward.
+    admitted spend accumulates; the counters reset at UTC midnight / month start.
+
+    Three exact levels, each touching only what the previous one could not settle:
+
+    1. Under the hypothesis "every row admitted", running day and month spend
+       come from skew-safe keyed prefix sums.  Every row of a (team, month)
+       before its first failing row is exact by induction.
+    2. The tail of a failing (team, month) is split by day.  A day is *free*
+       when ``monthly_limit - month_spend_at_day_start >= daily_limit -
+       day_spend_at_start``: the monthly check can then never bind before the
+       daily one, so the day is settled by a daily-only fold that needs no
+       other day -- one task per (team, day), in parallel.  Month spend at each
+       day start is a running sum over the (small) per-day table.
+    3. Month spend only grows, so once a day is not free no later day is.
+       From that day on (a month within one daily limit of exhaustion) both
+       limits interact and the rows are folded in order, streamed with
+       bounded memory, one task per such (team, month) suffix.  That suffix is
+       an inherent sequential dependency of greedy admission.
 
     ``requests``: team_id, ts, event_id, cost (decimal).
     """
-    rows = with_limits(requests.select("team_id", "ts", "event_id", "cost"), settings) \
-        .withColumn("day", day_key(F.col("ts"))).withColumn("month", month_key(F.col("ts")))
+    rows = (with_limits(requests.select("team_id", "ts", "event_id", "cost"), settings)
+            .withColumn("day", day_key(F.col("ts"))).withColumn("month", month_key(F.col("ts"))))
     h = keyed_running_sums(rows, "cost", ["ts", "event_id"], ["team_id", "month"],
                            {"h_day": ["team_id", "month", "day"], "h_mon": ["team_id", "month"]}, partitions)
     h = (h.withColumn("hdu", (F.col("h_day") - F.col("cost")).cast(COST_T))
          .withColumn("hmu", (F.col("h_mon") - F.col("cost")).cast(COST_T)))
     ok = (F.col("cost") <= remaining(F.col("daily_limit"), F.col("hdu"))) & \
          (F.col("cost") <= remaining(F.col("monthly_limit"), F.col("hmu")))
-    h = h.withColumn("h_ok", ok)
 
-    first_fail = (h.where(~F.col("h_ok")).groupBy("team_id", "month")
+    # level 1 ------------------------------------------------------------------
+    first_fail = (h.where(~ok).groupBy("team_id", "month")
                   .agg(F.min_by(F.struct(F.col("ts").alias("f_ts"), F.col("event_id").alias("f_id"),
                                          F.col("day").alias("start_day"), F.col("hdu").alias("start_du"),
                                          F.col("hmu").alias("start_mu")),
@@ -225,18 +295,57 @@ def budget_admission(requests: DataFrame, settings: config.GatewaySettings = con
     j = h.join(first_fail, ["team_id", "month"], "left")
     before_fail = (F.col("f_ts").isNull() | (F.col("ts") < F.col("f_ts"))
                    | ((F.col("ts") == F.col("f_ts")) & (F.col("event_id") < F.col("f_id"))))
-
     fast = j.where(before_fail).select(
         "team_id", "event_id", "ts", "cost", "daily_limit", "monthly_limit", F.lit(True).alias("allowed"),
         F.lit(None).cast("string").alias("kind"), F.col("hdu").alias("du_before"), F.col("hmu").alias("mu_before"))
 
-    tail = j.where(~before_fail).select("team_id", "month", "day", "ts", "event_id", "cost", "daily_limit",
-                                        "monthly_limit", "start_day", "start_du", "start_mu")
-    # ts must reach pandas as a naive timestamp; the schema above keeps it timestamp_ntz
-    folded = (tail.repartition("team_id", "month")
-              .sortWithinPartitions("team_id", "month", "ts", "event_id")
-              .mapInPandas(_fold_tails, FOLD_SCHEMA))
-    out = fast.unionByName(folded)
+    tail = (j.where(~before_fail)
+            .withColumn("cost_u", _units(F.col("cost"))).withColumn("ld_u", _units(F.col("daily_limit")))
+            .withColumn("lm_u", _units(F.col("monthly_limit")))
+            .withColumn("start_du_u", _units(F.col("start_du"))).withColumn("start_mu_u", _units(F.col("start_mu")))
+            .select(*_TAIL_COLS))
+
+    # level 2 ------------------------------------------------------------------
+    # checkpointed: the day fold runs once; the per-day table and the row branches read it
+    td = materialize(tail.repartition("team_id", "month", "day")
+                     .sortWithinPartitions("team_id", "month", "day", "ts", "event_id")
+                     .mapInPandas(_fold_days, DAILY_SCHEMA))
+    per_day = (td.groupBy("team_id", "month", "day")
+               .agg(F.sum(F.when(F.col("allowed_d"), F.col("cost_u")).otherwise(0)).alias("a_u"),
+                    F.first("start_day").alias("start_day"), F.first("start_du_u").alias("start_du_u"),
+                    F.first("start_mu_u").alias("start_mu_u"), F.first("ld_u").alias("ld_u"),
+                    F.first("lm_u").alias("lm_u")))
+    prev = Window.partitionBy("team_id", "month").orderBy("day").rowsBetween(Window.unboundedPreceding, -1)
+    whole = Window.partitionBy("team_id", "month")
+    per_day = (per_day
+               .withColumn("mu0_u", F.col("start_mu_u") + F.coalesce(F.sum("a_u").over(prev), F.lit(0)))
+               .withColumn("du0_u", F.when(F.col("day") == F.col("start_day"), F.col("start_du_u")).otherwise(0))
+               .withColumn("free", (F.col("lm_u") - F.col("mu0_u")) >= (F.col("ld_u") - F.col("du0_u")))
+               .withColumn("first_coupled", F.min(F.when(~F.col("free"), F.col("day"))).over(whole))
+               .withColumn("coupled", F.col("first_coupled").isNotNull() & (F.col("day") >= F.col("first_coupled")))
+               .select("team_id", "month", "day", "mu0_u", "du0_u", "coupled", "first_coupled"))
+    tdd = td.join(per_day, ["team_id", "month", "day"])
+    free_rows = tdd.where(~F.col("coupled")).select(
+        "team_id", "event_id", "ts", "cost", "daily_limit", "monthly_limit", F.col("allowed_d").alias("allowed"),
+        F.when(~F.col("allowed_d"), F.lit("daily")).alias("kind"),
+        _usd_from_units(F.col("du_before_u")).alias("du_before"),
+        _usd_from_units(F.col("mu0_u") + F.col("du_before_u") - F.col("du0_u")).alias("mu_before"))
+
+    # level 3 ------------------------------------------------------------------
+    starts = per_day.where(F.col("day") == F.col("first_coupled")).select(
+        "team_id", "month", F.col("day").alias("c_day"), F.col("du0_u").alias("c_du_u"),
+        F.col("mu0_u").alias("c_mu_u"))
+    # teams x months rows at most; AQE broadcasts it at run time when it is small
+    coupled_in = tdd.where(F.col("coupled")).join(starts, ["team_id", "month"])
+    coupled = (coupled_in.select(*_PASS_NAMES, "c_day", "c_du_u", "c_mu_u")
+               .repartition("team_id", "month")
+               .sortWithinPartitions("team_id", "month", "ts", "event_id")
+               .mapInPandas(_fold_coupled, FOLD_SCHEMA))
+    coupled_rows = coupled.select("team_id", "event_id", "ts", "cost", "daily_limit", "monthly_limit", "allowed",
+                                  "kind", _usd_from_units(F.col("du_before_u")).alias("du_before"),
+                                  _usd_from_units(F.col("mu_before_u")).alias("mu_before"))
+
+    out = fast.unionByName(free_rows).unionByName(coupled_rows)
     reason = F.when(F.col("kind") == "daily",
                     denial_reason(F.lit("daily"), F.col("team_id"), F.col("du_before"), F.col("daily_limit"))) \
         .when(F.col("kind") == "monthly",
