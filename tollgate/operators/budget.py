@@ -64,17 +64,21 @@ def _status_columns(df: DataFrame) -> DataFrame:
 
 
 def _usage_as_of(daily: DataFrame, as_of) -> DataFrame:
-    """Per team: spend/count on ``as_of`` and in its month (conditional sums over A1)."""
+    """Per team with any usage: spend/count on ``as_of`` and in its month.
+
+    One conditional aggregate over A1 (teams x days rows): a team with usage
+    only in other periods still appears, with zeros.
+    """
     same_day = F.col("day") == as_of
     same_month = month_key(F.col("day")) == month_key(as_of)
     zero = F.lit(0).cast(COST_T)
-    return (daily.where(same_month)
-            .groupBy("team_id")
+    return (daily.groupBy("team_id")
             .agg(F.coalesce(F.sum(F.when(same_day, F.col("cost"))), zero).cast(COST_T).alias("daily_used"),
-                 F.sum("cost").cast(COST_T).alias("monthly_used"),
+                 F.coalesce(F.sum(F.when(same_month, F.col("cost"))), zero).cast(COST_T).alias("monthly_used"),
                  F.coalesce(F.sum(F.when(same_day, F.col("n_requests"))), F.lit(0)).cast("bigint")
                  .alias("request_count_today"),
-                 F.sum("n_requests").cast("bigint").alias("request_count_month")))
+                 F.coalesce(F.sum(F.when(same_month, F.col("n_requests"))), F.lit(0)).cast("bigint")
+                 .alias("request_count_month")))
 
 
 def last_day(daily: DataFrame):
@@ -90,16 +94,7 @@ def team_budget_status(daily: DataFrame, as_of=None,
     it but leaves it 0).
     """
     as_of = last_day(daily) if as_of is None else F.lit(as_of).cast("date")
-    used_teams = daily.select("team_id").distinct()
-    usage = _usage_as_of(daily, as_of)
-    zero = F.lit(0).cast(COST_T)
-    base = (used_teams.join(usage, "team_id", "left")
-            .select("team_id",
-                    F.coalesce("daily_used", zero).alias("daily_used"),
-                    F.coalesce("monthly_used", zero).alias("monthly_used"),
-                    F.coalesce("request_count_today", F.lit(0).cast("bigint")).alias("request_count_today"),
-                    F.coalesce("request_count_month", F.lit(0).cast("bigint")).alias("request_count_month"))
-            .withColumn("as_of", as_of))
+    base = _usage_as_of(daily, as_of).withColumn("as_of", as_of)
     return _status_columns(with_limits(base, settings))
 
 
@@ -113,12 +108,9 @@ def all_teams_budget(daily: DataFrame, as_of=None,
     as_of = last_day(daily) if as_of is None else F.lit(as_of).cast("date")
     configured = budget_dim(daily.sparkSession, settings).select(F.col("team_id").alias("cfg_team"))
     used = _usage_as_of(daily, as_of).withColumnRenamed("team_id", "use_team")
-    used_any = daily.select(F.col("team_id").alias("any_team")).distinct()
-    teams = (configured.join(used_any, F.col("cfg_team") == F.col("any_team"), "full_outer")
-             .select(F.coalesce("cfg_team", "any_team").alias("team_id")))
     zero = F.lit(0).cast(COST_T)
-    base = (teams.join(used, F.col("team_id") == F.col("use_team"), "left")
-            .select("team_id",
+    base = (configured.join(used, F.col("cfg_team") == F.col("use_team"), "full_outer")
+            .select(F.coalesce("cfg_team", "use_team").alias("team_id"),
                     F.coalesce("daily_used", zero).alias("daily_used"),
                     F.coalesce("monthly_used", zero).alias("monthly_used"),
                     F.coalesce("request_count_today", F.lit(0).cast("bigint")).alias("request_count_today"),

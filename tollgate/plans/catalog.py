@@ -491,8 +491,8 @@ def q_budget_admission(spark, sf):
         money.usd(F.col("mu_before")).alias("monthly_used_before_usd"))
 
 
-@register("budget_denial_reason")
-def q_budget_denial_reason(spark, sf):
+@register("budget_reason")
+def q_budget_reason(spark, sf):
     """the denial messages, one row per denied request."""
     return admission(spark, sf).where(~F.col("allowed")).select("event_id", "team_id", "denied_by", "reason")
 
@@ -609,3 +609,20 @@ def q_detector_plugin(spark, sf):
 def q_batch_completion(spark, sf):
     """Every request's payload through the (echo) adapter."""
     return completion.batch_complete(completion.with_payload(_payload_base(spark, sf)))
+
+
+@register("team_keys")
+def q_team_keys(spark, sf):
+    """The key -> team dimension as the traffic uses it (keys kept as SHA-256 digests only)."""
+    keys = F.broadcast(dims.key_dim(spark))
+    r = requests(spark, sf).where(F.col("api_key").isNotNull() & (F.col("api_key") != ""))
+    used = r.groupBy(F.sha2("api_key", 256).alias("key_sha256")).agg(F.count(F.lit(1)).alias("n_requests"))
+    return used.join(keys, "key_sha256", "left").select("key_sha256", "team_id", "n_requests")
+
+
+@register("redaction_toggle")
+def q_redaction_toggle(spark, sf):
+    """redaction switched off at plan time: text passes through, nothing counted."""
+    return pii.redact_steps(documents(spark, sf), "text", enabled=False).select(
+        "doc_id", F.col("pii_text").alias("redacted_text"), F.col("pii_count").alias("redaction_count"),
+        F.array_join("pii_entities", ",").alias("entities_found"))

@@ -578,7 +578,7 @@ SELECT event_id, team_id, ts, CAST(round(cost, 6) AS DOUBLE) AS cost_usd, allowe
   CAST(round(mu_before, 6) AS DOUBLE) AS monthly_used_before_usd
 FROM adm"""
 
-ORACLE["budget_denial_reason"] = ADMISSION_FOLD + f"""
+ORACLE["budget_reason"] = ADMISSION_FOLD + f"""
 SELECT event_id, team_id, kind AS denied_by, {_REASON} AS reason FROM adm WHERE NOT allowed"""
 
 ORACLE["admitted_spend"] = ADMISSION_FOLD + """
@@ -640,3 +640,13 @@ SELECT r.request_id, r.provider, COALESCE(NULLIF(r.model, ''), d.default_model)
     AS completion_tokens,
   CAST(NULL AS VARCHAR) AS error
 FROM r JOIN m USING (request_id) JOIN dmodel d ON d.provider = r.provider"""
+
+
+ORACLE["team_keys"] = REQ_BASE + """
+SELECT sha256(g.api_key) AS key_sha256, k.team_id, COUNT(*) AS n_requests
+FROM gw_requests g LEFT JOIN keys k ON k.api_key = g.api_key
+WHERE g.api_key IS NOT NULL AND g.api_key <> ''
+GROUP BY 1, 2"""
+
+ORACLE["redaction_toggle"] = """
+SELECT doc_id, text AS redacted_text, 0 AS redaction_count, '' AS entities_found FROM documents"""
