@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tollgate import config, schemas
 from tollgate.functions.money import usd
@@ -59,7 +60,8 @@ def read_jsonl(spark, path: str, quarantine: bool = False) -> DataFrame:
     """
     reader = spark.read.schema(schemas.AUDIT)
     if quarantine:
-        sch = schemas.AUDIT.add("_corrupt_record", "string")
+        # a new StructType: StructType.add would mutate the shared schema in place
+        sch = T.StructType(list(schemas.AUDIT.fields) + [T.StructField("_corrupt_record", T.StringType())])
         return spark.read.schema(sch).option("mode", "PERMISSIVE").option(
             "columnNameOfCorruptRecord", "_corrupt_record").json(path)
     return reader.option("mode", "DROPMALFORMED").json(path)
