@@ -298,8 +298,12 @@ def budget_admission(requests: DataFrame, settings: config.GatewaySettings = con
             .select(*_TAIL_COLS))
 
     # level 2 ------------------------------------------------------------------
+    # an explicit partition count: AQE must not coalesce the Python fold's input into one task.
     # checkpointed: the day fold runs once; the per-day table and the row branches read it
-    td = materialize(tail.repartition("team_id", "month", "day")
+    spark = requests.sparkSession
+    n = partitions or max(spark.sparkContext.defaultParallelism,
+                          int(spark.conf.get("spark.sql.shuffle.partitions")))
+    td = materialize(tail.repartition(n, "team_id", "month", "day")
                      .sortWithinPartitions("team_id", "month", "day", "ts", "event_id")
                      .mapInPandas(_fold_days, DAILY_SCHEMA))
     per_day = (td.groupBy("team_id", "month", "day")
@@ -330,7 +334,7 @@ def budget_admission(requests: DataFrame, settings: config.GatewaySettings = con
     # teams x months rows at most; AQE broadcasts it at run time when it is small
     coupled_in = tdd.where(F.col("coupled")).join(starts, ["team_id", "month"])
     coupled = (coupled_in.select(*_PASS_NAMES, "c_day", "c_du_u", "c_mu_u")
-               .repartition("team_id", "month")
+               .repartition(n, "team_id", "month")
                .sortWithinPartitions("team_id", "month", "ts", "event_id")
                .mapInPandas(_fold_coupled, FOLD_SCHEMA))
     coupled_rows = coupled.select("team_id", "event_id", "ts", "cost", "daily_limit", "monthly_limit", "allowed",

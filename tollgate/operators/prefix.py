@@ -60,12 +60,19 @@ def keyed_running_sums(df: DataFrame, value: str, order: Sequence[str], lead: Se
         local_w = (Window.partitionBy("_chunk", *keys).orderBy(*order)
                    .rowsBetween(Window.unboundedPreceding, Window.currentRow))
         out = out.withColumn(f"_l_{name}", F.sum(value).over(local_w))
+    # one totals table at the finest key; each coarser key sums it over earlier chunks
+    # (RANGE frame on the chunk number: every row of a chunk < this one), then one join back
+    finest = max(sums.values(), key=len)
+    if not all(set(k) <= set(finest) for k in sums.values()):
+        raise ValueError("every key must be a subset of the longest key")
+    tot = ranged.groupBy("_chunk", *finest).agg(F.sum(value).alias("_t"))
+    offs = tot
     for name, keys in sums.items():
-        tot = ranged.groupBy("_chunk", *keys).agg(F.sum(value).alias("_t"))
-        before = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
-        off = tot.select("_chunk", *keys, F.sum("_t").over(before).alias(f"_o_{name}"))
-        out = out.join(off, ["_chunk", *keys], "left")
-        zero = F.lit(0).cast(out.schema[value].dataType)
+        before = Window.partitionBy(*keys).orderBy("_chunk").rangeBetween(Window.unboundedPreceding, -1)
+        offs = offs.withColumn(f"_o_{name}", F.sum("_t").over(before))
+    out = out.join(offs.drop("_t"), ["_chunk", *finest], "left")
+    zero = F.lit(0).cast(out.schema[value].dataType)
+    for name in sums:
         out = out.withColumn(name, F.coalesce(F.col(f"_o_{name}"), zero) + F.col(f"_l_{name}")) \
             .drop(f"_o_{name}", f"_l_{name}")
     return out.drop("_chunk")

@@ -9,6 +9,7 @@ the session's UTC zone; the watermark rejects ``timestamp_ntz``).
 
 from __future__ import annotations
 
+from contextlib import contextmanager
 from decimal import Decimal
 
 import pandas as pd
@@ -32,13 +33,26 @@ def read_stream(spark: SparkSession, sf_dir: str, name: str, max_files: int = 1)
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files).parquet(path)
 
 
+@contextmanager
+def utc(spark: SparkSession):
+    """Event time is UTC (day windows, watermarks); the caller's zone is restored afterwards.
+    Sink values (dates, naive timestamps) do not depend on the zone they are read under."""
+    old = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
+    try:
+        yield
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", old)
+
+
 def run_to_files(df: DataFrame, name: str, fmt: str = "parquet", mode: str = "append") -> str:
     """Run a stream to completion over the available input into a file sink; return the sink path."""
     spark = df.sparkSession
     base = shared_path(spark, f"stream-{name}")
-    q = (df.writeStream.format(fmt).outputMode(mode).option("path", f"{base}/out")
-         .option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start())
-    q.awaitTermination()
+    with utc(spark):
+        q = (df.writeStream.format(fmt).outputMode(mode).option("path", f"{base}/out")
+             .option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start())
+        q.awaitTermination()
     return f"{base}/out"
 
 
@@ -46,9 +60,10 @@ def run_foreach_batch(df: DataFrame, name: str, fn, mode: str = "complete") -> s
     spark = df.sparkSession
     base = shared_path(spark, f"stream-{name}")
     target = f"{base}/table"
-    q = (df.writeStream.outputMode(mode).foreachBatch(lambda b, epoch: fn(b, epoch, target))
-         .option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start())
-    q.awaitTermination()
+    with utc(spark):
+        q = (df.writeStream.outputMode(mode).foreachBatch(lambda b, epoch: fn(b, epoch, target))
+             .option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start())
+        q.awaitTermination()
     return target
 
 
@@ -70,15 +85,20 @@ def stream_redact(spark: SparkSession, sf_dir: str) -> DataFrame:
 # -- T2 ------------------------------------------------------------------------------
 
 def stream_daily_usage(spark: SparkSession, sf_dir: str, delay: str = "1 hour") -> DataFrame:
-    """Tumbling calendar-day spend/count per team, emitted once the watermark closes the day."""
-    ev = with_event_time(read_stream(spark, sf_dir, "events"), delay)
-    costed = pricing.with_cost(traffic.gw_audit(ev, keep=("ets",)))
-    agg = (costed.where(F.col("status") == "success")
-           .groupBy("team_id", F.window("ets", "1 day").alias("w"))
-           .agg(F.sum("cost").alias("cost"), F.count(F.lit(1)).alias("n_requests")))
-    out = agg.select("team_id", F.to_date(F.col("w.start")).alias("day"),
-                     money.usd(F.col("cost")).alias("cost_usd"), "n_requests")
-    return spark.read.parquet(run_to_files(out, "daily-usage"))
+    """Tumbling calendar-day spend/count per team, emitted once the watermark closes the day.
+
+    Built and run under UTC: zone-aware expressions take the zone at analysis time.
+    """
+    with utc(spark):
+        ev = with_event_time(read_stream(spark, sf_dir, "events"), delay)
+        costed = pricing.with_cost(traffic.gw_audit(ev, keep=("ets",)))
+        agg = (costed.where(F.col("status") == "success")
+               .groupBy("team_id", F.window("ets", "1 day").alias("w"))
+               .agg(F.sum("cost").alias("cost"), F.count(F.lit(1)).alias("n_requests")))
+        out = agg.select("team_id", F.to_date(F.col("w.start")).alias("day"),
+                         money.usd(F.col("cost")).alias("cost_usd"), "n_requests")
+        path = run_to_files(out, "daily-usage")
+    return spark.read.parquet(path)
 
 
 # -- T3 ------------------------------------------------------------------------------
@@ -209,11 +229,12 @@ def stream_breaker(spark: SparkSession, sf_dir: str, threshold: int = config.BRE
 def stream_audit_sink(spark: SparkSession, sf_dir: str, delay: str = "1 hour") -> DataFrame:
     """T5: the audit log as an exactly-once JSON file sink, one record per request even when
     the source delivers requests twice (at-least-once upstream)."""
-    ev1 = read_stream(spark, sf_dir, "events")
-    ev2 = read_stream(spark, sf_dir, "events")
-    ev = with_event_time(ev1.unionByName(ev2), delay).dropDuplicatesWithinWatermark(["event_id"])
-    audit = audit_io.audit_projection(pricing.with_cost(traffic.gw_audit(ev)))
-    path = run_to_files(audit_io.audit_only(audit), "audit-sink", fmt="json")
+    with utc(spark):
+        ev1 = read_stream(spark, sf_dir, "events")
+        ev2 = read_stream(spark, sf_dir, "events")
+        ev = with_event_time(ev1.unionByName(ev2), delay).dropDuplicatesWithinWatermark(["event_id"])
+        audit = audit_io.audit_projection(pricing.with_cost(traffic.gw_audit(ev)))
+        path = run_to_files(audit_io.audit_only(audit), "audit-sink", fmt="json")
     from tollgate import schemas
     return spark.read.schema(schemas.AUDIT).json(path)
 
