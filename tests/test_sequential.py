@@ -107,3 +107,18 @@ def test_admission_cost_equal_to_remaining_is_allowed(spark):
     df = spark.createDataFrame(rows, "team_id string, ts timestamp_ntz, event_id long, cost decimal(20,12)")
     got = {r["event_id"]: r["allowed"] for r in budget_admission(df, settings).collect()}
     assert got == {1: True, 2: True, 3: False, 4: True}
+
+
+def test_breaker_tiny_arrow_batches(spark):
+    """Fold state must carry across Arrow batches inside one partition."""
+    rng = random.Random(11)
+    rows = _breaker_log(rng, 500)
+    df = spark.createDataFrame(rows, "provider string, attempt_id long, attempt_s long, outcome string")
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        got = {r["attempt_id"]: (r["failures_after"], r["tripped_at_after"], r["trip_set"], r["expired"])
+               for r in breaker_states(df, partitions=3).collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+    assert got == breaker_fold(rows)

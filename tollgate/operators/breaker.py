@@ -53,21 +53,70 @@ def _row_schema(threshold: int) -> T.StructType:
     return T.StructType(fields)
 
 
+def _compose_scan(maps: np.ndarray) -> np.ndarray:
+    """Inclusive prefix composition of per-row state maps (row i applied after row i-1).
+
+    ``maps`` has shape (n, k): row i maps a state s to maps[i, s].  Returns P with
+    P[i] = maps[i] o ... o maps[0], by log-depth doubling (numpy, no per-row loop).
+    """
+    p = maps.copy()
+    step = 1
+    while step < len(p):
+        p[step:] = np.take_along_axis(p[step:], p[:-step], axis=1)
+        step *= 2
+    return p
+
+
+def _fold_run(t, ok, prev_t, carry_s, carry_c, carry_rel, threshold, cooldown):
+    """Fold one provider run (or its continuation in a new batch) from every start class at once.
+
+    State per class k is the failure count capped at ``threshold`` (the only thing the rules look
+    at), carried in ``carry_s``; exact counts come from cumulative errors since the last reset.
+    Returns per-class arrays c (exact), trip, expired, rel and the carry for the next batch.
+    """
+    n = len(t)
+    k = threshold + 1
+    err = ~ok
+    gaps = np.empty(n, dtype=bool)
+    gaps[0] = prev_t is not None and t[0] - prev_t > cooldown
+    gaps[1:] = np.diff(t) > cooldown
+    # three possible maps on capped states 0..threshold
+    states = np.arange(k)
+    on_ok = np.zeros(k, dtype=np.int64)
+    on_err = np.minimum(states + 1, threshold)
+    on_err_gap = np.where(states >= threshold, 1, np.minimum(states + 1, threshold))
+    maps = np.where(ok[:, None], on_ok[None, :], np.where(gaps[:, None], on_err_gap[None, :], on_err[None, :]))
+    after = _compose_scan(maps)                       # (n, k): capped state after row i from start state s
+    after = after[:, carry_s]                         # start states of the classes, as carried
+    before = np.vstack([carry_s[None, :], after[:-1]])
+    expired = gaps[:, None] & (before >= threshold)
+    reset = ok[:, None] | expired
+    trip = err[:, None] & (after >= threshold)
+    idx = np.arange(n)[:, None]
+    last = np.maximum.accumulate(np.where(reset, idx, -1), axis=0)
+    e_cum = np.cumsum(err)
+    lj = np.maximum(last, 0)
+    since = e_cum[:, None] - e_cum[lj] + err[lj].astype(np.int64)
+    c = np.where(last >= 0, since, carry_c[None, :] + e_cum[:, None])
+    rel = carry_rel[None, :] & (last < 0)
+    return c, trip, expired, rel, after[-1], c[-1], rel[-1]
+
+
 def _chunk_folds(threshold: int, cooldown: int):
     """mapInPandas body: fold each provider run of a sorted partition from every start class.
 
-    Batches are streamed; the fold state (one count per class, the previous
-    attempt time and the current run's key) is carried from batch to batch, so
-    memory stays at one Arrow batch however large the partition is.
-    Class ``threshold`` means 'tripped, not expired at the run's first row';
-    its counts are relative to the real start until the first reset.
+    Batches are streamed; the fold state (per class: capped state, exact count, 'no reset yet'),
+    the previous attempt time and the current run's key are carried from batch to batch, so
+    memory stays at one Arrow batch however large the partition is.  Class ``threshold`` means
+    'tripped, not expired at the run's first row'; its counts are relative to the real start
+    (offset ``threshold``) until the first reset.
     """
-    classes = range(threshold + 1)
+    k = threshold + 1
 
     def run(batches):
         cur = None
         chunk_t = chunk_id = prev_t = None
-        cs = rels = None
+        cs = cc = crel = None
         for pdf in batches:
             n = len(pdf)
             if n == 0:
@@ -79,42 +128,30 @@ def _chunk_folds(threshold: int, cooldown: int):
             out_t = np.empty(n, dtype=np.int64)
             out_id = np.empty(n, dtype=np.int64)
             first = np.zeros(n, dtype=bool)
-            c_out = np.empty((threshold + 1, n), dtype=np.int64)
-            trip = np.zeros((threshold + 1, n), dtype=bool)
-            exp = np.zeros((threshold + 1, n), dtype=bool)
-            rel_out = np.zeros(n, dtype=bool)
-            for i in range(n):
-                if prov[i] != cur:
-                    cur, chunk_t, chunk_id, prev_t = prov[i], t[i], ids[i], None
-                    cs = list(classes)
-                    rels = [True] * (threshold + 1)
-                    first[i] = True
-                gap_over = prev_t is not None and t[i] - prev_t > cooldown
-                for k in classes:
-                    c = cs[k]
-                    if gap_over and c >= threshold:
-                        exp[k, i] = True
-                        c = 0
-                        rels[k] = False
-                    if ok[i]:
-                        c = 0
-                        rels[k] = False
-                    else:
-                        c += 1
-                        trip[k, i] = c >= threshold
-                    cs[k] = c
-                    c_out[k, i] = c
-                rel_out[i] = rels[threshold]
-                out_t[i] = chunk_t
-                out_id[i] = chunk_id
-                prev_t = t[i]
+            c_out = np.empty((n, k), dtype=np.int64)
+            trip = np.empty((n, k), dtype=bool)
+            exp = np.empty((n, k), dtype=bool)
+            rel = np.empty((n, k), dtype=bool)
+            starts = np.flatnonzero(np.r_[True, prov[1:] != prov[:-1]])
+            ends = np.r_[starts[1:], n]
+            for a, b in zip(starts, ends):
+                if prov[a] != cur:
+                    cur, chunk_t, chunk_id, prev_t = prov[a], t[a], ids[a], None
+                    cs = np.arange(k, dtype=np.int64)
+                    cc = np.arange(k, dtype=np.int64)
+                    crel = np.ones(k, dtype=bool)
+                    first[a] = True
+                c, tr, ex, rl, cs, cc, crel = _fold_run(t[a:b], ok[a:b], prev_t, cs, cc, crel, threshold, cooldown)
+                c_out[a:b], trip[a:b], exp[a:b], rel[a:b] = c, tr, ex, rl
+                out_t[a:b], out_id[a:b] = chunk_t, chunk_id
+                prev_t = t[b - 1]
             out = {"provider": prov, "attempt_id": ids, "attempt_s": t, "outcome": pdf["outcome"].to_numpy(),
                    "chunk_t": out_t, "chunk_id": out_id, "is_first": first}
-            for k in classes:
-                out[f"c{k}"] = c_out[k]
-                out[f"trip{k}"] = trip[k]
-                out[f"exp{k}"] = exp[k]
-            out[f"rel{threshold}"] = rel_out
+            for j in range(k):
+                out[f"c{j}"] = c_out[:, j]
+                out[f"trip{j}"] = trip[:, j]
+                out[f"exp{j}"] = exp[:, j]
+            out[f"rel{threshold}"] = rel[:, threshold]
             yield pd.DataFrame(out)
     return run
 
