@@ -191,3 +191,9 @@ def test_batch_completion_adapter_errors_are_data(spark):
                                                                         "model string, payload string")
     r = completion.batch_complete(payloads, broken).first()
     assert r["error"] == "RuntimeError: vendor down" and r["content"] is None
+
+
+def test_token_estimate_whole_table(spark):
+    conv = catalog.read_table(spark, SF01, "conversations")
+    total = conv.select(F.sum(msg.token_estimate(msg.word_count(F.col("text")))).alias("s")).first()["s"]
+    assert total == 60638
