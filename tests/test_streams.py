@@ -49,3 +49,15 @@ def test_breaker_stream_state_carries(spark, tmp_path):
     out = {r["attempt_id"]: r for r in streams.stream_breaker(spark, root).collect()}
     assert out[9]["failures_after"] == 3 and out[9]["trip_set"] and out[9]["tripped_at_after"] == 63
     assert out[13]["failures_after"] == 0 and out[13]["tripped_at_after"] is None
+
+
+def test_breaker_stream_timer_then_attempt(spark, tmp_path):
+    # openai (event_id % 4 == 1) trips at t=63; an anthropic success at t=280 moves the watermark past
+    # the cooldown, so the timer closes the breaker; the next openai attempt still reports the expiry
+    b1 = [(1, dt.datetime(2024, 1, 1), 0, "error", 1.0, "{}"), (5, dt.datetime(2024, 1, 1), 0, "error", 1.0, "{}"),
+          (9, dt.datetime(2024, 1, 1), 0, "error", 1.0, "{}"), (40, dt.datetime(2024, 1, 1), 0, "click", 1.0, "{}")]
+    b2 = [(45, dt.datetime(2024, 1, 1), 0, "error", 1.0, "{}")]
+    root = _write_batches(str(tmp_path), [b1, b2])
+    out = {r["attempt_id"]: r for r in streams.stream_breaker(spark, root).collect()}
+    assert out[9]["trip_set"] and out[9]["tripped_at_after"] == 63
+    assert out[45]["expired"] is True and out[45]["failures_after"] == 1 and out[45]["tripped_at_after"] is None

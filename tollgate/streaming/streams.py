@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor
 
 from tollgate import config
 from tollgate.functions import money, pii
@@ -188,40 +189,107 @@ def stream_budget_admission(spark: SparkSession, sf_dir: str,
 
 BREAKER_OUT = ("provider string, attempt_id long, attempt_s long, outcome string, failures_after long, "
                "tripped_at_after long, trip_set boolean, expired boolean")
-BREAKER_STATE = "failures long, tripped long"
 
 
-def _breaker_with_state(threshold: int, cooldown: int):
-    def fn(key, pdfs, state):
-        pdf = pd.concat(list(pdfs), ignore_index=True).sort_values(["attempt_s", "attempt_id"], kind="stable")
-        failures, tripped = state.get if state.exists else (0, None)
+class BreakerProcessor(StatefulProcessor):
+    """T4 state machine per provider with an event-time cooldown timer.
+
+    State: failures, trip time (seconds) and ``pending_expiry``.  Tripping (or
+    re-tripping) moves the provider's single timer to trip + cooldown + 1 ms.
+    If the cooldown passes with no attempt, the timer closes the breaker
+    ahead of time and remembers that an expiry happened, so the next attempt
+    reports ``expired`` exactly as the lazy check of the batch replay does.
+    """
+
+    def __init__(self, threshold: int, cooldown: int, clock_offset_s: int = 0):
+        self.threshold, self.cooldown, self.offset = threshold, cooldown, clock_offset_s
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.state = handle.getValueState("breaker", "failures long, tripped long, pending_expiry boolean")
+
+    def _timer_ms(self, tripped: int) -> int:
+        # same clock as the event-time column: attempt seconds + offset
+        return (tripped + self.offset + self.cooldown) * 1000 + 1
+
+    def handleInputRows(self, key, rows, timerValues):
+        pdf = pd.concat(list(rows), ignore_index=True).sort_values(["attempt_s", "attempt_id"], kind="stable")
+        if self.state.exists():
+            failures, tripped, pending = self.state.get()
+        else:
+            failures, tripped, pending = 0, None, False
         out = []
         for r in pdf.itertuples(index=False):
-            expired = tripped is not None and r.attempt_s - tripped > cooldown
-            if expired:
+            old_tripped = tripped
+            lazily = tripped is not None and r.attempt_s - tripped > self.cooldown
+            expired = bool(pending or lazily)
+            pending = False
+            if lazily:
                 failures, tripped = 0, None
             trip = False
             if r.outcome == "ok":
                 failures, tripped = 0, None
             else:
                 failures += 1
-                if failures >= threshold:
+                if failures >= self.threshold:
                     tripped, trip = int(r.attempt_s), True
+            if old_tripped != tripped:
+                if old_tripped is not None:
+                    self.handle.deleteTimer(self._timer_ms(old_tripped))
+                if tripped is not None:
+                    self.handle.registerTimer(self._timer_ms(tripped))
             out.append((key[0], r.attempt_id, r.attempt_s, r.outcome, failures, tripped, trip, expired))
-        state.update((failures, tripped))
+        self.state.update((failures, tripped, pending))
         yield pd.DataFrame(out, columns=["provider", "attempt_id", "attempt_s", "outcome", "failures_after",
                                          "tripped_at_after", "trip_set", "expired"])
-    return fn
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        if self.state.exists():
+            failures, tripped, pending = self.state.get()
+            if tripped is not None and self._timer_ms(tripped) == expiredTimerInfo.getExpiryTimeInMs():
+                self.state.update((0, None, True))
+        yield pd.DataFrame([], columns=["provider", "attempt_id", "attempt_s", "outcome", "failures_after",
+                                        "tripped_at_after", "trip_set", "expired"])
+
+    def close(self) -> None:
+        pass
+
+
+@contextmanager
+def rocksdb_state(spark: SparkSession):
+    """transformWithState keeps its state in RocksDB; restore the caller's provider afterwards."""
+    key = "spark.sql.streaming.stateStore.providerClass"
+    old = spark.conf.get(key, None)
+    spark.conf.set(key, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        if old is None:
+            spark.conf.unset(key)
+        else:
+            spark.conf.set(key, old)
 
 
 def stream_breaker(spark: SparkSession, sf_dir: str, threshold: int = config.BREAKER_FAILURE_THRESHOLD,
                    cooldown_s: int = config.BREAKER_COOLDOWN_SECONDS) -> DataFrame:
-    """T4: W3 online, state {failures, tripped} per provider; equals W3 when attempts arrive in order."""
-    att = traffic.gw_attempts(read_stream(spark, sf_dir, "events")).where(F.col("outcome").isin("ok", "error"))
-    out = att.select("provider", "attempt_id", "attempt_s", "outcome").groupBy("provider").applyInPandasWithState(
-        _breaker_with_state(threshold, cooldown_s), BREAKER_OUT, BREAKER_STATE, "append",
-        GroupStateTimeout.NoTimeout)
-    return spark.read.parquet(run_to_files(out, "breaker"))
+    """T4: W3 online, with an event-time cooldown timer; equals W3 when attempts arrive in order.
+
+    Attempts older than the watermark (out-of-order beyond the stated delay) are dropped by the
+    stateful operator, which is the stream's late-data rule.
+    """
+    # the derived attempt clock starts at 0 s; a row exactly at the initial watermark (the epoch)
+    # would count as late, so event time is the attempt clock plus one second
+    offset = 1
+    with utc(spark), rocksdb_state(spark):
+        att = (traffic.gw_attempts(read_stream(spark, sf_dir, "events"))
+               .where(F.col("outcome").isin("ok", "error"))
+               .select("provider", "attempt_id", "attempt_s", "outcome",
+                       F.timestamp_seconds(F.col("attempt_s") + offset).alias("ets"))
+               .withWatermark("ets", "0 seconds"))
+        out = att.groupBy("provider").transformWithStateInPandas(
+            BreakerProcessor(threshold, cooldown_s, offset), BREAKER_OUT, "Append", "EventTime")
+        path = run_to_files(out, "breaker")
+    return spark.read.parquet(path)
 
 
 # -- T5 ------------------------------------------------------------------------------
