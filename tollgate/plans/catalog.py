@@ -294,7 +294,7 @@ def q_request_ingest(spark, sf):
     out = auth.ingest(request_bodies(spark, sf))
     return out.select("request_id", "valid", F.array_join("errors", ",").alias("errors"), "provider", "model",
                       F.col("max_tokens").cast("bigint").alias("max_tokens"), "temperature", "team_id", "stream",
-                      F.size("messages").alias("n_messages"))
+                      F.size("messages").cast("bigint").alias("n_messages"))
 
 
 @register("request_defaults")

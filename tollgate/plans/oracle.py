@@ -259,7 +259,7 @@ ORACLE["kpi_summary"] = AUDIT_BASE + """
 SELECT COUNT(*) AS total_requests,
   CAST(round(SUM(CAST(estimated_cost_usd AS DECIMAL(20,12))), 6) AS DOUBLE) AS total_cost_usd,
   round(count_if(fallback_triggered) / COUNT(*) * 100, 4) AS fallback_pct,
-  count_if(pii_redaction_count > 0) AS pii_requests,
+  CAST(count_if(pii_redaction_count > 0) AS BIGINT) AS pii_requests,
   round(avg(latency_ms), 4) AS avg_latency_ms
 FROM audit"""
 
@@ -592,7 +592,7 @@ FROM adm WHERE allowed GROUP BY 1, 2"""
 ORACLE["audit_jsonl_roundtrip"] = AUDIT_BASE + """
 SELECT substr(timestamp, 1, 10) AS day, COUNT(*) AS entries,
   CAST(round(SUM(CAST(estimated_cost_usd AS DECIMAL(20,12))), 6) AS DOUBLE) AS cost_usd,
-  SUM(pii_redaction_count) AS pii_redactions, count_if(status = 'success') AS successes
+  CAST(SUM(pii_redaction_count) AS BIGINT) AS pii_redactions, CAST(count_if(status = 'success') AS BIGINT) AS successes
 FROM audit GROUP BY 1"""
 
 ORACLE["audit_jsonl_scan"] = AUDIT_BASE + f"SELECT {AUDIT_COLS} FROM audit WHERE event_id % 97 <> 0"
