@@ -36,11 +36,13 @@ def route_candidates(requests: DataFrame, priority=config.PROVIDERS) -> DataFram
             .select("request_id", (F.col("pos0") + 1).cast("int").alias("pos"), "provider"))
 
 
-def resolve_routes(attempts: DataFrame, priority=config.PROVIDERS) -> DataFrame:
+def resolve_routes(attempts: DataFrame, priority=config.PROVIDERS, carry: tuple[str, ...] = ()) -> DataFrame:
     """Per request: provider_used, first_tried, fallback flag/reason, status and error trace.
 
     ``attempts``: request_id, provider, preferred, outcome in
-    (ok, error, unconfigured, open), error_msg.
+    (ok, error, unconfigured, open), error_msg.  ``carry`` columns of the
+    serving attempt ride along in the same aggregate as ``served`` (a struct),
+    so response facts need no join back to the attempts.
     """
     pos = F.array_position(candidates(F.col("preferred"), priority), F.col("provider"))
     a = attempts.withColumn("pos", pos).where(F.col("pos") > 0)
@@ -56,6 +58,7 @@ def resolve_routes(attempts: DataFrame, priority=config.PROVIDERS) -> DataFrame:
                  F.when(tried, F.col("pos"))).alias("first"),
         F.min_by(F.when(ok, F.col("provider")), F.when(ok, F.col("pos"))).alias("provider_used"),
         F.min_by(F.when(ok, F.col("attempt_id")), F.when(ok, F.col("pos"))).alias("served_attempt_id"),
+        *([F.min_by(F.when(ok, F.struct(*carry)), F.when(ok, F.col("pos"))).alias("served")] if carry else []),
         F.array_sort(F.collect_list(F.when(~ok, F.struct("pos", "provider", err_text.alias("err")))))
         .alias("errs"),
     )
@@ -63,7 +66,7 @@ def resolve_routes(attempts: DataFrame, priority=config.PROVIDERS) -> DataFrame:
     fallback = used.isNotNull() & (used > F.col("first_pos"))
     trace = F.filter("errs", lambda e: used.isNull() | (e["pos"] < used))
     return g.select(
-        "request_id", "preferred", "provider_used", "served_attempt_id",
+        "request_id", "preferred", "provider_used", "served_attempt_id", *(["served"] if carry else []),
         F.col("first.provider").alias("first_tried"),
         fallback.alias("fallback_triggered"),
         F.when(fallback, F.concat(F.lit("Fell back from "), F.col("first.provider"), F.lit(": "),
@@ -86,23 +89,28 @@ def failed_requests(routes: DataFrame) -> DataFrame:
         F.size(errs).alias("n_providers"))
 
 
-def response_assembly(routes: DataFrame, served: DataFrame) -> DataFrame:
+RESPONSE_FACTS = ("model_used", "prompt_tokens", "completion_tokens", "estimated_cost_usd", "pii_redaction_count",
+                  "pii_entities_redacted", "latency_ms", "timestamp")
+
+
+def response_assembly(routes: DataFrame) -> DataFrame:
     """CompletionResponse rows for served requests.
 
-    ``served`` carries per-attempt response facts keyed by ``attempt_id``
-    (model, tokens, cost, PII summary, latency, ts); this is a plain equi-join
-    on the attempt key, which Spark plans as a sort-merge join at scale.
+    ``routes`` must come from ``resolve_routes(..., carry=RESPONSE_FACTS)``: the
+    serving attempt's facts were picked inside the routing aggregate, so this is
+    a projection (no join of two large tables).
     """
     ok = routes.where(F.col("status") == "success")
-    j = ok.join(served, ok["served_attempt_id"] == served["attempt_id"], "inner")
-    return j.select(
+    s = lambda c: F.col(f"served.{c}")
+    return ok.select(
         F.concat(F.lit("req-"), F.col("request_id").cast("string")).alias("id"),
-        "provider_used", "model_used", "prompt_tokens", "completion_tokens",
-        (F.col("prompt_tokens") + F.col("completion_tokens")).alias("total_tokens"),
-        "estimated_cost_usd",
-        (F.col("pii_redaction_count") > 0).alias("pii_redacted"),
-        F.array_join("pii_entities_redacted", ",").alias("pii_entities"),
-        F.col("pii_redaction_count").alias("pii_count"),
-        "latency_ms", "fallback_triggered",
+        "provider_used", s("model_used").alias("model_used"), s("prompt_tokens").alias("prompt_tokens"),
+        s("completion_tokens").alias("completion_tokens"),
+        (s("prompt_tokens") + s("completion_tokens")).alias("total_tokens"),
+        s("estimated_cost_usd").alias("estimated_cost_usd"),
+        (s("pii_redaction_count") > 0).alias("pii_redacted"),
+        F.array_join(s("pii_entities_redacted"), ",").alias("pii_entities"),
+        s("pii_redaction_count").alias("pii_count"),
+        s("latency_ms").alias("latency_ms"), "fallback_triggered",
         F.when(F.col("fallback_triggered"), F.col("fallback_reason")).alias("fallback_reason"),
-        F.col("timestamp"))
+        s("timestamp").alias("timestamp"))

@@ -438,9 +438,12 @@ def q_failed_requests(spark, sf):
 
 @register("response_assembly")
 def q_response_assembly(spark, sf):
-    served = (audit_log(spark, sf).withColumnRenamed("event_id", "attempt_id")
-              .drop("request_id", "provider_used", "fallback_triggered", "fallback_reason"))
-    return routing.response_assembly(routes(spark, sf), served)
+    """attempts and their response facts are projections of the same rows, so the serving
+    attempt's facts are picked in the routing aggregate itself (one shuffle, no join)."""
+    facts = audit_io.audit_projection(pricing.with_cost(traffic.gw_audit(events(spark, sf), keep=("event_type",))),
+                                      keep=("event_type",))
+    att = traffic.gw_attempts(facts.drop("request_id", "provider_used"), keep=routing.RESPONSE_FACTS)
+    return routing.response_assembly(routing.resolve_routes(att, carry=routing.RESPONSE_FACTS))
 
 
 # -- circuit breaker --------------------------------------------------------------
