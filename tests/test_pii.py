@@ -78,3 +78,37 @@ def test_single_pattern(spark):
     out, n = pii.redact_one(F.col("text"), "US_SSN")
     row = df.select(out.alias("t"), n.alias("n")).first()
     assert row["t"] == "SSN: <US_SSN> and <US_SSN>" and row["n"] == 2
+
+
+def _python_chain(text):
+    """Row-by-row reference: the patterns in order, count then substitute on the current text."""
+    import re
+    from tollgate import config
+    counts = []
+    for ent, pat in config.PII_PATTERNS:
+        p = re.compile(pat)
+        n = len(p.findall(text))
+        counts.append(n)
+        if n:
+            text = p.sub(f"<{ent}>", text)
+    return text, tuple(counts)
+
+
+def test_random_strings_match_python_regex(spark):
+    import random
+    rng = random.Random(7)
+    alphabet = list("0123456789") * 4 + list("abcXYZ") + list("@.-()+| _%\n") + ["é", "٣", " ", "\t", "com", "1."]
+    texts = []
+    for _ in range(400):
+        n = rng.randint(0, 40)
+        texts.append("".join(rng.choice(alphabet) for _ in range(n)))
+    # plus shapes close to each pattern
+    for _ in range(200):
+        texts.append(rng.choice(["", "x ", "(", "+1 "]) + "-".join(str(rng.randint(0, 9999)).zfill(rng.choice([3, 4]))
+                                                          for _ in range(rng.randint(1, 4)))
+                     + rng.choice(["", ".", "é", "@a.bc", " 10.0.0.1"]))
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    got = {r["id"]: (r["pii_text"], tuple(r[f"pii_n_{e}"] for e in pii.ENTITY_ORDER))
+           for r in pii.redact_steps(df, "text").collect()}
+    bad = [(t, got[i], _python_chain(t)) for i, t in enumerate(texts) if got[i] != _python_chain(t)]
+    assert not bad, bad[:5]
