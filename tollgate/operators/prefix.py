@@ -67,7 +67,8 @@ def keyed_running_sums(df: DataFrame, value: str, order: Sequence[str], lead: Se
         raise ValueError("every key must be a subset of the longest key")
     tot = ranged.groupBy("_chunk", *finest).agg(F.sum(value).alias("_t"))
     offs = tot
-    for name, keys in sums.items():
+    # coarsest key first: its hash partitioning also clusters every finer key, so one exchange serves all
+    for name, keys in sorted(sums.items(), key=lambda kv: len(kv[1])):
         before = Window.partitionBy(*keys).orderBy("_chunk").rangeBetween(Window.unboundedPreceding, -1)
         offs = offs.withColumn(f"_o_{name}", F.sum("_t").over(before))
     out = out.join(offs.drop("_t"), ["_chunk", *finest], "left")
