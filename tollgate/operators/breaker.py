@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tollgate import config
-from tollgate.session import materialize
+from tollgate.session import materialize, ship_package
 
 EXPIRED_CLASS = -1  # start class: tripped, and the first attempt finds it expired
 
@@ -185,6 +185,7 @@ def breaker_states(attempts: DataFrame, threshold: int = config.BREAKER_FAILURE_
     ``attempts``: provider, attempt_id, attempt_s (seconds), outcome.
     """
     spark = attempts.sparkSession
+    ship_package(spark)
     n = partitions or max(spark.sparkContext.defaultParallelism,
                           int(spark.conf.get("spark.sql.shuffle.partitions")))
     a = attempts.where(F.col("outcome").isin("ok", "error")).select("provider", "attempt_id", "attempt_s", "outcome")

@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 from tollgate import config
 from tollgate.functions.money import COST_T, day_key, denial_reason, month_key, remaining, usd
 from tollgate.operators.prefix import keyed_running_sums
-from tollgate.session import materialize
+from tollgate.session import materialize, ship_package
 from tollgate.sources.dims import budget_dim
 
 
@@ -268,6 +268,7 @@ def budget_admission(requests: DataFrame, settings: config.GatewaySettings = con
 
     ``requests``: team_id, ts, event_id, cost (decimal).
     """
+    ship_package(requests.sparkSession)
     rows = (with_limits(requests.select("team_id", "ts", "event_id", "cost"), settings)
             .withColumn("day", day_key(F.col("ts"))).withColumn("month", month_key(F.col("ts"))))
     h = keyed_running_sums(rows, "cost", ["ts", "event_id"], ["team_id", "month"],

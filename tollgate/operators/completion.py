@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tollgate import config
+from tollgate.session import ship_package
 from tollgate.functions import messages as msg
 
 RESULT_SCHEMA = ("request_id long, provider string, model_used string, content string, prompt_tokens long, "
@@ -70,6 +71,7 @@ def with_payload(requests: DataFrame) -> DataFrame:
 
 def batch_complete(payloads: DataFrame, adapter=echo_adapter) -> DataFrame:
     """Run ``adapter`` over Arrow batches; adapter exceptions become an ``error`` value per batch row."""
+    ship_package(payloads.sparkSession)
     def run(batches):
         for pdf in batches:
             try:

@@ -12,11 +12,12 @@ from __future__ import annotations
 import re
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tollgate import config
+from tollgate.session import ship_package
 
 SPAN = T.StructType([T.StructField("entity", T.StringType()), T.StructField("start", T.IntegerType()),
                      T.StructField("end", T.IntegerType())])
@@ -67,6 +68,9 @@ def apply_spans(text: Column, spans: Column) -> Column:
 
 def detect_and_redact(text: Column, detector=regex_spans) -> tuple[Column, Column, Column]:
     """(redacted text, span count, sorted distinct entity types)."""
+    active = SparkSession.getActiveSession()
+    if active is not None:
+        ship_package(active)
     spans = detector(text)
     return (apply_spans(text, spans), F.size(spans),
             F.array_sort(F.array_distinct(F.transform(spans, lambda s: s["entity"]))))

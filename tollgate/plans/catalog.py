@@ -6,6 +6,7 @@ full; none runs on made-up input alone.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,16 +17,23 @@ from tollgate.functions import money
 from tollgate.operators import budget, pricing
 from tollgate.sources import dims, traffic
 from tollgate.sources.tables import read_table
+from tollgate.session import ship_package
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
 
 def register(name: str):
+    """Register a query; the registered callable first ships the package to the executors."""
     def deco(fn: Query) -> Query:
         if name in QUERIES:
             raise ValueError(f"duplicate query {name}")
-        QUERIES[name] = fn
+
+        @functools.wraps(fn)
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            ship_package(spark)
+            return fn(spark, sf_dir)
+        QUERIES[name] = run
         return fn
     return deco
 

@@ -84,3 +84,31 @@ def shared_path(spark: SparkSession, name: str) -> str:
     import uuid
     base = ensure_checkpoint_dir(spark).rstrip("/")
     return f"{base}/tollgate/{name}-{uuid.uuid4().hex}"
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``tollgate`` importable in executor Python workers (once per application).
+
+    Python folds (mapInPandas, pandas UDFs, stateful stream functions) are
+    pickled by reference to this package; ``addPyFile`` ships a zip of it
+    with the job, so workers need no installation and no particular cwd.
+    """
+    sc = spark.sparkContext
+    if sc.applicationId in _SHIPPED:
+        return
+    import zipfile
+
+    import tollgate
+    pkg = os.path.dirname(os.path.abspath(tollgate.__file__))
+    out = os.path.join(tempfile.mkdtemp(prefix="tollgate-pyfiles-"), "tollgate.zip")
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        for root, _, files in os.walk(pkg):
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(root, f)
+                    z.write(full, os.path.relpath(full, os.path.dirname(pkg)))
+    sc.addPyFile(out)
+    _SHIPPED.add(sc.applicationId)

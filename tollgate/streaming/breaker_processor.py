@@ -1,0 +1,82 @@
+"""T4's stateful processor, kept free of package imports.
+
+``transformWithStateInPandas`` also unpickles the processor in a driver-side
+Python worker, which does not see files shipped with ``addPyFile``; this
+module is therefore registered to travel by value.
+"""
+
+from __future__ import annotations
+
+import sys
+
+import pandas as pd
+from pyspark import cloudpickle
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor
+
+OUT_COLUMNS = ["provider", "attempt_id", "attempt_s", "outcome", "failures_after", "tripped_at_after", "trip_set",
+               "expired"]
+
+
+class BreakerProcessor(StatefulProcessor):
+    """T4 state machine per provider with an event-time cooldown timer.
+
+    State: failures, trip time (seconds) and ``pending_expiry``.  Tripping (or
+    re-tripping) moves the provider's single timer to trip + cooldown + 1 ms.
+    If the cooldown passes with no attempt, the timer closes the breaker
+    ahead of time and remembers that an expiry happened, so the next attempt
+    reports ``expired`` exactly as the lazy check of the batch replay does.
+    """
+
+    def __init__(self, threshold: int, cooldown: int, clock_offset_s: int = 0):
+        self.threshold, self.cooldown, self.offset = threshold, cooldown, clock_offset_s
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.state = handle.getValueState("breaker", "failures long, tripped long, pending_expiry boolean")
+
+    def _timer_ms(self, tripped: int) -> int:
+        # same clock as the event-time column: attempt seconds + offset
+        return (tripped + self.offset + self.cooldown) * 1000 + 1
+
+    def handleInputRows(self, key, rows, timerValues):
+        pdf = pd.concat(list(rows), ignore_index=True).sort_values(["attempt_s", "attempt_id"], kind="stable")
+        if self.state.exists():
+            failures, tripped, pending = self.state.get()
+        else:
+            failures, tripped, pending = 0, None, False
+        out = []
+        for r in pdf.itertuples(index=False):
+            old_tripped = tripped
+            lazily = tripped is not None and r.attempt_s - tripped > self.cooldown
+            expired = bool(pending or lazily)
+            pending = False
+            if lazily:
+                failures, tripped = 0, None
+            trip = False
+            if r.outcome == "ok":
+                failures, tripped = 0, None
+            else:
+                failures += 1
+                if failures >= self.threshold:
+                    tripped, trip = int(r.attempt_s), True
+            if old_tripped != tripped:
+                if old_tripped is not None:
+                    self.handle.deleteTimer(self._timer_ms(old_tripped))
+                if tripped is not None:
+                    self.handle.registerTimer(self._timer_ms(tripped))
+            out.append((key[0], r.attempt_id, r.attempt_s, r.outcome, failures, tripped, trip, expired))
+        self.state.update((failures, tripped, pending))
+        yield pd.DataFrame(out, columns=OUT_COLUMNS)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        if self.state.exists():
+            failures, tripped, pending = self.state.get()
+            if tripped is not None and self._timer_ms(tripped) == expiredTimerInfo.getExpiryTimeInMs():
+                self.state.update((0, None, True))
+        yield pd.DataFrame([], columns=OUT_COLUMNS)
+
+    def close(self) -> None:
+        pass
+
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
