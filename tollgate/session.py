@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 DEFAULT_CONF = {
@@ -76,7 +77,14 @@ def materialize(df: DataFrame) -> DataFrame:
     the lineage, so a lost executor does not replay the whole plan.
     """
     ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    # an eager reliable checkpoint computes the plan once to count and again to write the files;
+    # persisting first makes the second pass read the cached blocks.  Once the files exist the
+    # returned DataFrame reads them, so the cache is released.
+    cached = df.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        return cached.checkpoint(eager=True)
+    finally:
+        cached.unpersist()
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
