@@ -13,11 +13,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tollgate import config
-from tollgate.functions import money
-from tollgate.operators import budget, pricing
-from tollgate.sources import dims, traffic
+from tollgate.functions import messages as msg
+from tollgate.functions import money, pii
+from tollgate.operators import auth, breaker, budget, completion, detector, pricing, reports, routing
+from tollgate.session import shared_path, ship_package, spread
+from tollgate.sources import audit_io, dims, traffic
 from tollgate.sources.tables import read_table
-from tollgate.session import ship_package
+from tollgate.streaming import streams
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -154,9 +156,6 @@ def q_budget_config_upsert(spark, sf):
 
 # -- PII --------------------------------------------------------------------
 
-from tollgate.functions import pii  # noqa: E402
-from tollgate.session import spread  # noqa: E402
-
 
 def documents(spark, sf):
     return spread(read_table(spark, sf, "documents").select("doc_id", "text"))
@@ -222,9 +221,6 @@ def q_redact_messages(spark, sf):
 
 # -- audit log and dashboard reports --------------------------------------------
 
-from tollgate.operators import reports  # noqa: E402
-from tollgate.sources import audit_io  # noqa: E402
-
 
 def audit_log(spark, sf):
     """F26 over the costed traffic: the audit fact table (with ts/event_id for ordering)."""
@@ -277,9 +273,6 @@ def q_entities_distinct(spark, sf):
 
 # -- requests, auth, messages ---------------------------------------------------
 
-from tollgate.functions import messages as msg  # noqa: E402
-from tollgate.operators import auth  # noqa: E402
-
 
 def requests(spark, sf):
     return traffic.gw_requests(read_table(spark, sf, "conversations"))
@@ -413,8 +406,6 @@ def q_payload_gemini(spark, sf):
 
 # -- routing --------------------------------------------------------------------
 
-from tollgate.operators import routing  # noqa: E402
-
 
 def attempts(spark, sf):
     return traffic.gw_attempts(events(spark, sf))
@@ -456,8 +447,6 @@ def q_response_assembly(spark, sf):
 
 # -- circuit breaker --------------------------------------------------------------
 
-from tollgate.operators import breaker  # noqa: E402
-
 
 def breaker_rows(spark, sf):
     return breaker.breaker_states(attempts(spark, sf))
@@ -518,8 +507,6 @@ def q_admitted_spend(spark, sf):
 
 # -- audit log I/O ------------------------------------------------------------------
 
-from tollgate.session import shared_path  # noqa: E402
-
 
 def _corrupt():
     # every 97th entry is written half-flushed
@@ -570,8 +557,6 @@ def q_siem_envelope(spark, sf):
 
 # -- streaming (run with availableNow; the sink table is the result) ----------------------
 
-from tollgate.streaming import streams  # noqa: E402
-
 
 @register("stream_redact")
 def q_stream_redact(spark, sf):
@@ -605,8 +590,6 @@ def q_stream_kpi(spark, sf):
 
 # -- extension points ---------------------------------------------------------------
 
-from tollgate.operators import completion, detector  # noqa: E402
-
 
 @register("detector_plugin")
 def q_detector_plugin(spark, sf):
