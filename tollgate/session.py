@@ -54,18 +54,21 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir() or local
 
 
-def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
+def spread(df: DataFrame, min_partitions: int | None = None, fan_out: int = 8) -> DataFrame:
     """Round-robin a narrow scan only when it yields fewer splits than cores.
 
     Large inputs already arrive as many file splits and are left alone (no
-    shuffle); a tiny file holding one huge row group would otherwise put every
-    row in one task.
+    shuffle).  A file holding one huge row group would otherwise put every row
+    in one task; such a scan is spread over up to ``fan_out`` times its split
+    count, so a tiny table on a large cluster is not cut into thousands of
+    empty partitions.
     """
     spark = df.sparkSession
-    want = min_partitions or spark.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= want:
+    cores = min_partitions or spark.sparkContext.defaultParallelism
+    splits = df.rdd.getNumPartitions()
+    if splits >= cores:
         return df
-    return df.repartition(want)
+    return df.repartition(min(cores, max(1, splits) * fan_out))
 
 
 def materialize(df: DataFrame) -> DataFrame:
