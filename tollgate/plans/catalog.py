@@ -11,8 +11,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tollgate import config
+from tollgate import config, schemas
 from tollgate.functions import messages as msg
 from tollgate.functions import money, pii
 from tollgate.operators import auth, breaker, budget, completion, detector, pricing, reports, routing
@@ -545,14 +546,16 @@ def q_audit_recent(spark, sf):
 
 @register("siem_envelope")
 def q_siem_envelope(spark, sf):
-    """The webhook bodies; fields read back out of the JSON text."""
+    """The webhook bodies; fields read back out of the JSON text (one parse per body)."""
     body = audit_io.siem_envelope(audit_log(spark, sf))
-    g = lambda p: F.get_json_object("body", p)
-    return body.select(g("$.event.request_id").alias("request_id"), g("$.event.team_id").alias("team_id"),
-                       g("$.event.status").alias("status"),
-                       g("$.event.estimated_cost_usd").cast("double").alias("estimated_cost_usd"),
-                       g("$.sourcetype").alias("sourcetype"),
-                       (g("$.event.prompt") .isNull() & g("$.event.content").isNull()).alias("no_content"))
+    env = T.StructType([T.StructField("event", schemas.AUDIT), T.StructField("sourcetype", T.StringType())])
+    # a key is `"name":` in the text; inside an escaped JSON string that byte sequence cannot occur
+    no_content = (F.instr("body", '"content":') == 0) & (F.instr("body", '"prompt":') == 0)
+    parsed = body.select(F.from_json("body", env).alias("e"), no_content.alias("no_content"))
+    return parsed.select(F.col("e.event.request_id").alias("request_id"), F.col("e.event.team_id").alias("team_id"),
+                         F.col("e.event.status").alias("status"),
+                         F.col("e.event.estimated_cost_usd").alias("estimated_cost_usd"),
+                         F.col("e.sourcetype").alias("sourcetype"), "no_content")
 
 
 # -- streaming (run with availableNow; the sink table is the result) ----------------------
