@@ -52,3 +52,12 @@ def test_histogram_max_in_last_bin(spark):
     df = spark.createDataFrame([(float(x),) for x in range(0, 31)], "latency_ms double")
     rows = {r["bin"]: r["count"] for r in latency_histogram(df, bins=30).collect()}
     assert sum(rows.values()) == 31 and max(rows) == 29 and rows[29] == 2
+
+
+def test_spread_only_when_under_split(spark):
+    from tollgate.session import spread
+    many = spark.range(0, 1000, numPartitions=16)
+    assert spread(many, min_partitions=8) is many  # enough splits: no shuffle added
+    one = spark.range(0, 1000, numPartitions=1)
+    assert spread(one, min_partitions=8).rdd.getNumPartitions() == 8
+    assert spread(one, min_partitions=1000).rdd.getNumPartitions() == 8  # fan-out capped at 8 x splits
