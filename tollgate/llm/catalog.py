@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from tollgate.llm import exact_dedup
+from tollgate.llm import chat, exact_dedup, secrets
 
 QUERIES = {
+    "op2_chat_format": chat.query,
+    "op5_secret_scan": secrets.query,
     "op9_exact_dedup": exact_dedup.query,
 }
 
 ORACLE = {
+    "op2_chat_format": chat.SQL,
     "op9_exact_dedup": exact_dedup.SQL,
 }
