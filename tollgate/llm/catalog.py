@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from tollgate.llm import chat, exact_dedup, secrets
+from tollgate.llm import chat, exact_dedup, packing, secrets
 
 QUERIES = {
     "op2_chat_format": chat.query,
+    "op3_best_fit_packing": packing.query,
     "op5_secret_scan": secrets.query,
     "op9_exact_dedup": exact_dedup.query,
 }
