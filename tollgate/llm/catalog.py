@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from tollgate.llm import chat, exact_dedup, packing, secrets
+from tollgate.llm import chat, exact_dedup, packing, quality, secrets, toxicity
 
 QUERIES = {
+    "op1_quality": quality.query,
     "op2_chat_format": chat.query,
     "op3_best_fit_packing": packing.query,
     "op5_secret_scan": secrets.query,
+    "op6_toxicity": toxicity.query,
     "op9_exact_dedup": exact_dedup.query,
 }
 
