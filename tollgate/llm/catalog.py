@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tollgate.llm import chat, exact_dedup, packing, quality, secrets, toxicity
+from tollgate.llm import chat, exact_dedup, line_dedup, packing, quality, secrets, toxicity
 
 QUERIES = {
     "op1_quality": quality.query,
@@ -11,6 +11,7 @@ QUERIES = {
     "op5_secret_scan": secrets.query,
     "op6_toxicity": toxicity.query,
     "op9_exact_dedup": exact_dedup.query,
+    "op10_line_dedup": line_dedup.query,
 }
 
 ORACLE = {
