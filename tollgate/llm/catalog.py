@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tollgate.llm import chat, exact_dedup, line_dedup, packing, quality, secrets, toxicity
+from tollgate.llm import chat, exact_dedup, line_dedup, ngram_join, packing, quality, secrets, toxicity
 
 QUERIES = {
     "op1_quality": quality.query,
@@ -10,11 +10,13 @@ QUERIES = {
     "op3_best_fit_packing": packing.query,
     "op5_secret_scan": secrets.query,
     "op6_toxicity": toxicity.query,
+    "op8_ngram_join": ngram_join.query,
     "op9_exact_dedup": exact_dedup.query,
     "op10_line_dedup": line_dedup.query,
 }
 
 ORACLE = {
     "op2_chat_format": chat.SQL,
+    "op8_ngram_join": ngram_join.SQL,
     "op9_exact_dedup": exact_dedup.SQL,
 }
