@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from tollgate.llm import chat, exact_dedup, line_dedup, ngram_join, packing, quality, secrets, toxicity
+from tollgate.llm import ann, chat, exact_dedup, line_dedup, ngram_join, packing, quality, secrets, toxicity
 
 QUERIES = {
     "op1_quality": quality.query,
     "op2_chat_format": chat.query,
     "op3_best_fit_packing": packing.query,
+    "op4_nearest": ann.query,
     "op5_secret_scan": secrets.query,
     "op6_toxicity": toxicity.query,
     "op8_ngram_join": ngram_join.query,
