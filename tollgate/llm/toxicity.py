@@ -25,7 +25,7 @@ from tollgate.llm.quality import labelled_sample, remainder
 from tollgate.llm.textvec import _powers, mix
 
 #: Labelled documents to learn from, at most about so many, taken by a hash of doc_id.
-SAMPLE = 8_000
+SAMPLE = 4_000
 THRESHOLD = 0.5
 DECAY, SPAN = 0.5, 5
 LANDMARKS, ROUNDS, HARD = 384, 4, 4000
@@ -97,6 +97,15 @@ def word_hashes(code: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     return mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
 
+def hashes_in_parts(code: np.ndarray, starts: np.ndarray, ends: np.ndarray, size: int = 1 << 16) -> np.ndarray:
+    """``word_hashes`` of adjoining words, some at a time, to hold less at once."""
+    out = np.empty(len(starts), np.uint64)
+    for a in range(0, len(starts), size):
+        s, e = starts[a: a + size], ends[a: a + size]
+        out[a: a + size] = word_hashes(code[s[0]: e[-1]], s - s[0], e - s[0])
+    return out
+
+
 def triples(length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(i, j, k, weight) of the ordered triples of ``length`` positions that span at most ``SPAN``; unit norm."""
     got = [(i, j, k) for i in range(length) for k in range(i + 2, min(length, i + SPAN)) for j in range(i + 1, k)]
@@ -214,13 +223,37 @@ class Scorer:
         return out
 
 
-def fit(column: pa.Array, y: np.ndarray) -> ToxicityModel:
-    """Train on the texts of labelled documents (y: 1 toxic, 0 not), in a defined order."""
-    if not len(y) or y.min() == y.max():
-        return constant(float(y.mean()) if len(y) else 0.0)
+def distinct_words(column: pa.Array) -> tuple[list[bytes], list[list[int]]]:
+    """For each row the letter codes of its distinct words, one after the other, and their lengths."""
     code, starts, ends, row = letters(column)
     starts, ends, row = windows(starts, ends, row)
-    distinct, first, back = np.unique(word_hashes(code, starts, ends), return_index=True, return_inverse=True)
+    key = mix(word_hashes(code, starts, ends) + mix(row.astype(np.uint64))) if len(starts) else np.zeros(0, np.uint64)
+    first = np.sort(np.unique(key, return_index=True)[1])
+    cuts = np.searchsorted(row[first], np.arange(len(column) + 1)) if len(first) else np.zeros(len(column) + 1, np.int64)
+    out, sizes = [], []
+    for a, b in zip(cuts, cuts[1:], strict=False):
+        w = first[a:b]
+        out.append(b"".join(code[s:e].tobytes() for s, e in zip(starts[w], ends[w], strict=True)))
+        sizes.append((ends[w] - starts[w]).tolist())
+    return out, sizes
+
+
+def fit_texts(column: pa.Array, y: np.ndarray) -> ToxicityModel:
+    raw, sizes = distinct_words(column)
+    return fit(np.frombuffer(b"".join(raw), np.uint8), np.array([n for x in sizes for n in x], np.int64), np.array([len(x) for x in sizes]), y)
+
+
+def fit(code: np.ndarray, sizes: np.ndarray, counts: np.ndarray, y: np.ndarray) -> ToxicityModel:
+    """Train on the distinct words of labelled documents (y: 1 toxic, 0 not), given in a defined order: letter codes, lengths
+    of words and numbers of words by document."""
+    if not len(y) or y.min() == y.max():
+        return constant(float(y.mean()) if len(y) else 0.0)
+    ends = np.cumsum(sizes)
+    starts = ends - sizes
+    row = np.repeat(np.arange(len(y)), counts)
+    if not len(sizes):
+        return constant(float(y.mean()))
+    distinct, first, back = np.unique(hashes_in_parts(code, starts, ends), return_index=True, return_inverse=True)
     ws, we = starts[first], ends[first]
     # texts of each class that hold each word; copies, which mostly share their smallest word hash, count as one text
     pairs = np.unique(back.astype(np.int64) * len(y) + row)
@@ -293,11 +326,20 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 
 
 def train(docs: DataFrame, labels: DataFrame, size: int = SAMPLE) -> ToxicityModel:
-    """The bounded sample's texts are what is sent to the driver."""
+    """The distinct words of the bounded sample's documents are what is sent to the driver."""
+    prepare(docs.sparkSession)
     sample = labelled_sample(docs, labels, "toxic", remainder(5) != 0, size)
-    got = sample.select("doc_id", F.col("y").cast("int"), F.coalesce("text", F.lit("")).alias("text")).toArrow().sort_by("doc_id")
-    text = got["text"].combine_chunks() if got.num_rows else pa.array([], pa.string())
-    return fit(text, got["y"].to_numpy().astype(np.float64))
+
+    def run(batches):
+        for b in slices(batches, "text"):
+            raw, sizes = distinct_words(b.column("text"))
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("y").cast(pa.int32()), pa.array(raw, pa.binary()), pa.array(sizes, pa.list_(pa.int8()))],
+                                             names=["doc_id", "y", "codes", "sizes"])
+
+    got = sample.select("doc_id", F.col("y").cast("int"), "text").mapInArrow(run, "doc_id long, y int, codes binary, sizes array<byte>").toArrow().sort_by("doc_id")
+    sizes = got["sizes"].combine_chunks()
+    return fit(np.frombuffer(b"".join(got["codes"].to_pylist()), np.uint8), sizes.flatten().to_numpy(zero_copy_only=False).astype(np.int64),
+               sizes.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64), got["y"].to_numpy().astype(np.float64))
 
 
 def score(docs: DataFrame, model: ToxicityModel, carry: list[str] | None = None) -> DataFrame:
