@@ -66,18 +66,20 @@ def split_words(cp: np.ndarray, offsets: np.ndarray, classes: np.ndarray) -> np.
     return np.flatnonzero(start)
 
 
-class Encoder:
-    """Ids of texts under a vocabulary in tiktoken's form; keeps the ids of words it has met."""
+class WordIds:
+    """Ids of texts, word by word; keeps the ids of words it has met.  Subclasses say where words start and encode new ones."""
 
-    def __init__(self, path: str, pattern: str, known_words: int = KNOWN_WORDS):
-        import tiktoken
-        with open(path, "rb") as f:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        self.bpe = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-        self.classes = _classes()
+    def __init__(self, known_words: int = KNOWN_WORDS):
         self.known_words = known_words
         self._forget()
 
+    def word_starts(self, cp: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        raise NotImplementedError
+
+    def new_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(flat ids, numbers of ids) of words not met before."""
+        raise NotImplementedError
+
     def _forget(self) -> None:
         self.hash = np.zeros(0, np.uint64)
         self.at = np.zeros(0, np.int64)
@@ -85,37 +87,21 @@ class Encoder:
         self.flat = np.zeros(0, np.uint32)
 
     def _learn(self, hashes: np.ndarray, words: list[str]) -> None:
-        ids = list(map(self.bpe.encode_ordinary, words))
-        size = np.fromiter(map(len, ids), np.int64, len(ids))
+        if not words:
+            return
+        ids, size = self.new_words(words)
         at = len(self.flat) + np.cumsum(size) - size
-        self.flat = np.concatenate([self.flat, np.fromiter((i for w in ids for i in w), np.uint32, int(size.sum()))])
+        self.flat = np.concatenate([self.flat, ids.astype(np.uint32)])
         merged = np.concatenate([self.hash, hashes])
         order = np.argsort(merged, kind="stable")
         self.hash = merged[order]
         self.at = np.concatenate([self.at, at])[order]
         self.size = np.concatenate([self.size, size])[order]
 
-    def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """(ids, offsets): ids[offsets[i]:offsets[i+1]] are row i's; nulls count as empty."""
-        column = pc.fill_null(column, "")
-        texts = column.to_pylist()
-        joined = "".join(texts)
-        cp = np.frombuffer(joined.encode("utf-32-le"), np.uint32)
-        length = np.fromiter(map(len, texts), np.int64, len(texts))
-        offsets = np.concatenate([[0], np.cumsum(length)])
-        odd = np.unique(np.searchsorted(offsets, np.flatnonzero(self.classes[cp] == UNKNOWN), side="right") - 1) if len(cp) else []
-        ids, size = self._encode_words(joined, cp, offsets)
-        if len(odd):
-            whole = {int(i): np.array(self.bpe.encode_ordinary(texts[i]), np.uint32) for i in odd}
-            cuts = np.concatenate([[0], np.cumsum(size)])
-            ids = np.concatenate([whole.get(i, ids[cuts[i]: cuts[i + 1]]) for i in range(len(texts))])
-            size = np.array([len(whole[i]) if i in whole else size[i] for i in range(len(texts))], np.int64)
-        return ids, np.concatenate([[0], np.cumsum(size)])
-
-    def _encode_words(self, joined: str, cp: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def encode_words(self, joined: str, cp: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         if not len(cp):
             return np.zeros(0, np.uint32), np.zeros(len(offsets) - 1, np.int64)
-        starts = split_words(cp, offsets, self.classes)
+        starts = self.word_starts(cp, offsets)
         ends = np.append(starts[1:], len(cp))
         up, down = _powers(len(cp))
         total = np.zeros(len(cp) + 1, np.uint64)
@@ -135,3 +121,40 @@ class Encoder:
         ids = self.flat[np.repeat(at - (upto - size), size) + np.arange(upto[-1])]
         cuts = np.concatenate([[0], upto])[np.searchsorted(starts, offsets)]
         return ids, np.diff(cuts)
+
+
+class Encoder(WordIds):
+    """Ids of texts under a vocabulary in tiktoken's form."""
+
+    def __init__(self, path: str, pattern: str, known_words: int = KNOWN_WORDS):
+        import tiktoken
+        with open(path, "rb") as f:
+            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+        self.bpe = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+        self.classes = _classes()
+        super().__init__(known_words)
+
+    def word_starts(self, cp: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        return split_words(cp, offsets, self.classes)
+
+    def new_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        ids = list(map(self.bpe.encode_ordinary, words))
+        size = np.fromiter(map(len, ids), np.int64, len(ids))
+        return np.fromiter((i for w in ids for i in w), np.uint32, int(size.sum())), size
+
+    def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, offsets): ids[offsets[i]:offsets[i+1]] are row i's; nulls count as empty."""
+        column = pc.fill_null(column, "")
+        texts = column.to_pylist()
+        joined = "".join(texts)
+        cp = np.frombuffer(joined.encode("utf-32-le"), np.uint32)
+        length = np.fromiter(map(len, texts), np.int64, len(texts))
+        offsets = np.concatenate([[0], np.cumsum(length)])
+        odd = np.unique(np.searchsorted(offsets, np.flatnonzero(self.classes[cp] == UNKNOWN), side="right") - 1) if len(cp) else []
+        ids, size = self.encode_words(joined, cp, offsets)
+        if len(odd):
+            whole = {int(i): np.array(self.bpe.encode_ordinary(texts[i]), np.uint32) for i in odd}
+            cuts = np.concatenate([[0], np.cumsum(size)])
+            ids = np.concatenate([whole.get(i, ids[cuts[i]: cuts[i + 1]]) for i in range(len(texts))])
+            size = np.array([len(whole[i]) if i in whole else size[i] for i in range(len(texts))], np.int64)
+        return ids, np.concatenate([[0], np.cumsum(size)])

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tollgate.llm import ann, chat, exact_dedup, line_dedup, ngram_join, packing, quality, secrets, toxicity
+from tollgate.llm import ann, chat, exact_dedup, line_dedup, ngram_join, packing, pieces, quality, secrets, toxicity
 
 QUERIES = {
     "op1_quality": quality.query,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_nearest": ann.query,
     "op5_secret_scan": secrets.query,
     "op6_toxicity": toxicity.query,
+    "op7_sentencepiece": pieces.query,
     "op8_ngram_join": ngram_join.query,
     "op9_exact_dedup": exact_dedup.query,
     "op10_line_dedup": line_dedup.query,
