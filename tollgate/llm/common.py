@@ -35,13 +35,23 @@ def scratch(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release_scratch(spark: SparkSession) -> None:
-    """Remove every scratch table of this process; call it once the results are written."""
+def scratch_mark() -> int:
+    """Where the list of scratch tables now ends, for ``release_scratch(since=...)``."""
+    return len(_SCRATCH)
+
+
+def release_scratch(spark: SparkSession, since: int = 0, keep: DataFrame | None = None) -> None:
+    """Remove the scratch tables made after the mark ``since``, but for the one that ``keep`` reads; call it once
+    what was built on them is written."""
     jvm = spark.sparkContext._jvm
     conf = spark.sparkContext._jsc.hadoopConfiguration()
-    while _SCRATCH:
-        _, path = _SCRATCH.pop()
-        p = jvm.org.apache.hadoop.fs.Path(path)
+    kept = set(keep.inputFiles()) if keep is not None else set()
+    for entry in _SCRATCH[since:]:
+        name = entry[1].rsplit("/", 1)[-1]
+        if any(f"/{name}/" in f for f in kept):
+            continue
+        _SCRATCH.remove(entry)
+        p = jvm.org.apache.hadoop.fs.Path(entry[1])
         p.getFileSystem(conf).delete(p, True)
 
 
