@@ -7,7 +7,6 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from tollgate.session import shared_path, ship_package
 
@@ -69,10 +68,6 @@ def prepare(spark: SparkSession) -> None:
     ship_package(spark)
 
 
-def null_safe_text(df: DataFrame, column: str = "text") -> DataFrame:
-    return df.withColumn(column, F.coalesce(F.col(column), F.lit("")))
-
-
 def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Cut record batches so that ``column`` (text) holds about ``limit`` bytes in each slice (one row at least)."""
     import numpy as np

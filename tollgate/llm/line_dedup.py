@@ -178,15 +178,17 @@ def cuts(docs: DataFrame, rare: int = RARE, lines: int = LINES, chars: int = CHA
 
 
 def line_dedup(docs: DataFrame, **options) -> DataFrame:
-    """All columns of ``docs``, ``text`` without the deleted lines, and n_lines, n_removed (long)."""
-    cut = scratch(cuts(docs.select("doc_id", "text"), **options), "cuts").select(
-        F.col("doc_id").alias("_doc"), F.col("t1").alias("_t1"), F.col("t2").alias("_t2"), F.col("kept").alias("_kept"), F.col("n_removed").alias("_removed"))
-    keyed = docs.select(*(F.col(f"`{c}`") for c in docs.columns), F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("_d"), _t1().alias("_x"), _t2().alias("_y"))
-    joined = keyed.join(cut.hint("shuffle_hash"), (F.col("_d") == F.col("_doc")) & (F.col("_x") == F.col("_t1")) & (F.col("_y") == F.col("_t2")), "left")
-    lines = F.split(_text(), "\n", -1)
-    rest = F.array_join(F.flatten(F.transform("_kept", lambda k: F.slice(lines, k["start"] + 1, k["length"]))), "\n")
-    cols = [F.when(F.col("_kept").isNull(), F.col("text")).otherwise(rest).alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns]
-    return joined.select(*cols, F.size(lines).cast("long").alias("n_lines"), F.coalesce("_removed", F.lit(0).cast("long")).alias("n_removed"))
+    """All columns of ``docs`` (any called n_lines or n_removed are replaced), ``text`` without the deleted lines, and n_lines, n_removed (long)."""
+    columns = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
+    cut = scratch(cuts(docs.select("doc_id", "text"), **options), "cuts")
+    # the row as one struct, so that none of its names can clash
+    keyed = docs.select(F.struct(*(F.col(f"`{c}`") for c in columns)).alias("row"), _text().alias("text"),
+                        F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc_id"), _t1().alias("t1"), _t2().alias("t2"))
+    joined = keyed.join(cut.hint("shuffle_hash"), ["doc_id", "t1", "t2"], "left")
+    lines = F.split("text", "\n", -1)
+    rest = F.array_join(F.flatten(F.transform("kept", lambda k: F.slice(lines, k["start"] + 1, k["length"]))), "\n")
+    cols = [F.when(F.col("kept").isNull(), F.col("row")["text"]).otherwise(rest).alias("text") if c == "text" else F.col("row")[c].alias(c) for c in columns]
+    return joined.select(*cols, F.size(lines).cast("long").alias("n_lines"), F.coalesce("n_removed", F.lit(0).cast("long")).alias("n_removed"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -244,10 +244,9 @@ def train(docs: DataFrame, labels: DataFrame, size: int = SAMPLE) -> AdditiveMod
 
 
 def score(docs: DataFrame, model: AdditiveModel, carry: list[str] | None = None) -> DataFrame:
-    """``carry`` columns (all, if not given) and ``quality_score`` of every document."""
-    spark = docs.sparkSession
-    prepare(spark)
-    carry = carry if carry is not None else docs.columns
+    """``carry`` columns (all, if not given; one called quality_score is replaced) and ``quality_score`` of every document."""
+    prepare(docs.sparkSession)
+    carry = [c for c in (carry if carry is not None else docs.columns) if c != "quality_score"]
     source = docs.select(*dict.fromkeys([*carry, "text"]))
 
     def run(batches):
@@ -259,6 +258,17 @@ def score(docs: DataFrame, model: AdditiveModel, carry: list[str] | None = None)
     return source.mapInArrow(run, schema)
 
 
+def keep_good(docs: DataFrame, model: AdditiveModel, threshold: float = THRESHOLD) -> DataFrame:
+    """The documents, with all their columns, whose score reaches the threshold."""
+    prepare(docs.sparkSession)
+
+    def run(batches):
+        for b in slices(batches, "text"):
+            yield b.filter(pa.array(model.score(features(b.column("text")).astype(np.float64)) >= threshold))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = train(docs, table(spark, sf_dir, "labels"))

@@ -118,30 +118,34 @@ MAYBE = (r"(?i)(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]", r"AKIA",
          r"(?i)(passw|pwd|secret|token|key|auth|credential|bearer|private|session)(?s:.{0,48}?)[A-Za-z0-9+/_=.-]{16}")
 
 
-def scan(docs: DataFrame, carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """``carry`` columns and ``secret_spans`` (array of kind, start, end, novelty; code points, end exclusive) per row."""
-    spark = docs.sparkSession
-    prepare(spark)
+def _found(batch: pa.RecordBatch, novelty: Novelty) -> list:
+    """Spans of each row's text."""
+    text = pc.fill_null(batch.column("text"), "")
+    spans: list = [[]] * batch.num_rows
+    maybe = functools.reduce(pc.or_, (pc.match_substring_regex(text, m) for m in MAYBE))
+    for i in pc.indices_nonzero(maybe).to_pylist():
+        spans[i] = scan_text(text[i].as_py(), novelty)
+    return spans
+
+
+def scan(docs: DataFrame) -> DataFrame:
+    """doc_id and ``secret_spans`` (array of kind, start, end, novelty; code points, end exclusive) of every row."""
+    prepare(docs.sparkSession)
     dictionary = identifier_dictionary()
+    names = ("kind", "start", "end", "novelty")
     item = pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("novelty", pa.float64())])
 
     def run(batches):
         novelty = Novelty(dictionary)
         for b in slices(batches, "text", 16 << 20):
-            text = pc.fill_null(b.column("text"), "")
-            spans: list = [[]] * b.num_rows
-            maybe = functools.reduce(pc.or_, (pc.match_substring_regex(text, m) for m in MAYBE))
-            for i in pc.indices_nonzero(maybe).to_pylist():
-                spans[i] = [dict(zip(("kind", "start", "end", "novelty"), s, strict=True)) for s in scan_text(text[i].as_py(), novelty)]
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in carry), pa.array(spans, pa.list_(item))],
-                                             names=[*carry, "secret_spans"])
+            spans = [[dict(zip(names, s, strict=True)) for s in row] for row in _found(b, novelty)]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(spans, pa.list_(item))], names=["doc_id", "secret_spans"])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*carry).schema)
-    return docs.select(*dict.fromkeys((*carry, "text"))).mapInArrow(run, f"{schema}, secret_spans {SPANS}")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, f"doc_id long, secret_spans {SPANS}")
 
 
 def redact_spans(text: str, spans: list[tuple[int, int]], mark: str = "[REDACTED]") -> str:
-    """The text with every stretch that spans cover replaced by one mark."""
+    """The text with every stretch that spans (by start) cover replaced by one mark."""
     out, at = [], 0
     for a, b in spans:
         if a >= at:
@@ -150,23 +154,19 @@ def redact_spans(text: str, spans: list[tuple[int, int]], mark: str = "[REDACTED
     return "".join([*out, text[at:]])
 
 
-def redact(docs: DataFrame, carry: tuple[str, ...]) -> DataFrame:
-    """The documents with secrets replaced by a mark; ``carry`` are the other columns to keep."""
-    scanned = scan(docs, carry=(*carry, "text"))
-    spark = docs.sparkSession
-    prepare(spark)
-    schema = scanned.drop("secret_spans").schema
+def redact(docs: DataFrame, mark: str = "[REDACTED]") -> DataFrame:
+    """The documents, with all their columns, with secrets replaced by a mark."""
+    prepare(docs.sparkSession)
+    dictionary = identifier_dictionary()
 
     def run(batches):
-        for b in batches:
-            text, spans = b.column("text"), b.column("secret_spans")
-            full = pc.greater(pc.list_value_length(spans), 0).to_pylist()
-            clean = [redact_spans(t.as_py(), [(s["start"], s["end"]) for s in spans[i].as_py()]) if full[i] else t.as_py()
-                     for i, t in enumerate(text)]
-            cols = [pa.array(clean, text.type) if n == "text" else b.column(n) for n in schema.fieldNames()]
-            yield pa.RecordBatch.from_arrays(cols, names=schema.fieldNames())
+        novelty = Novelty(dictionary)
+        for b in slices(batches, "text", 16 << 20):
+            text, spans = b.column("text"), _found(b, novelty)
+            clean = [redact_spans(t.as_py(), [(s, e) for _, s, e, _ in x], mark) if x else t.as_py() for t, x in zip(text, spans, strict=True)]
+            yield b.set_column(b.schema.get_field_index("text"), b.schema.field("text"), pa.array(clean, text.type))
 
-    return scanned.mapInArrow(run, schema)
+    return docs.mapInArrow(run, docs.schema)
 
 
 def digest_columns(scanned: DataFrame) -> DataFrame:
@@ -180,4 +180,4 @@ def digest_columns(scanned: DataFrame) -> DataFrame:
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return digest_columns(scan(table(spark, sf_dir, "documents").select("doc_id", "text")))
+    return digest_columns(scan(table(spark, sf_dir, "documents")))

@@ -343,10 +343,9 @@ def train(docs: DataFrame, labels: DataFrame, size: int = SAMPLE) -> ToxicityMod
 
 
 def score(docs: DataFrame, model: ToxicityModel, carry: list[str] | None = None) -> DataFrame:
-    """``carry`` columns (all, if not given) and ``toxicity_score`` of every document."""
-    spark = docs.sparkSession
-    prepare(spark)
-    carry = carry if carry is not None else docs.columns
+    """``carry`` columns (all, if not given; one called toxicity_score is replaced) and ``toxicity_score`` of every document."""
+    prepare(docs.sparkSession)
+    carry = [c for c in (carry if carry is not None else docs.columns) if c != "toxicity_score"]
 
     def run(batches):
         scorer = Scorer(model)
