@@ -10,7 +10,8 @@ columns of ``documents`` (doc_id, text, lang, source, n_chars), extra columns of
 4. secrets     secrets are replaced by a mark
 5. packing     token sequences of at most 1024: a row per piece of a document
 
-Defined cases are those of the operators.  Rows of a null doc_id are kept by every filter but the quality model's.
+Defined cases are those of the operators.  Rows of a null doc_id are judged like others, but near copies with
+a null doc_id all stay.
 """
 
 from __future__ import annotations
@@ -31,9 +32,7 @@ def _counted(docs: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    model = quality.train(docs, table(spark, sf_dir, "labels"))
-    scored = quality.score(docs, model)
-    return scored.where(F.col("quality_score") >= quality.THRESHOLD).select(*(F.col(f"`{c}`") for c in docs.columns))
+    return quality.keep_good(docs, quality.train(docs, table(spark, sf_dir, "labels")))
 
 
 def drop_shared_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,8 +48,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    rest = tuple(c for c in docs.columns if c != "text")
-    return _counted(secrets.redact(docs, rest), docs.columns)
+    return _counted(secrets.redact(docs), docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
