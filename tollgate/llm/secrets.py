@@ -33,28 +33,36 @@ SENSITIVE = re.compile(r"(?ai:passw|pwd|secret|token|key|auth|credential|bearer|
 REACH = 48
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=.-]{16,}")
 CONTEXT = 256
-#: Marginal compressed bytes a character from which a string is reported.  Measured: random letters and digits, base64
-#: and hex 0.81 and more at 16 characters, identifiers up to 0.68, words up to 0.75.
-NOVELTY = 0.8
+#: Marginal compressed bytes a character from which a string is reported.  Measured on strings of 16 to 40 characters:
+#: random letters and digits, base64 and hex 0.75 and more (mostly over 0.94), identifiers and words up to 0.72.
+NOVELTY = 0.75
+
+#: Stands in for the text before a string that a document doesn't have.
+PREFACE = ("this text stands before a string which has little else around it so that the coder has met some ordinary words and "
+           "set_value(name, default) or user_name = get_config(path) in front of the string that it is going to be asked about, as "
+           "most documents would have by then.\n")[-CONTEXT:]
 
 SPANS = "array<struct<kind:string,start:int,end:int,novelty:double>>"
 
-#: Modules whose public names make up the identifier dictionary.
-MODULES = ("argparse", "ast", "asyncio", "base64", "collections", "configparser", "csv", "datetime", "decimal", "email",
-           "functools", "hashlib", "hmac", "http.client", "inspect", "io", "itertools", "json", "logging", "math", "os",
-           "pathlib", "re", "secrets", "socket", "sqlite3", "ssl", "string", "subprocess", "tempfile", "threading", "time",
-           "typing", "unittest", "urllib.request", "uuid", "xml.dom", "zipfile")
+#: Modules whose public names (``__all__``, and the public members of the classes among them) make up the dictionary.
+MODULES = ("argparse", "ast", "asyncio", "base64", "calendar", "codecs", "collections", "concurrent.futures", "configparser", "csv", "datetime",
+           "decimal", "difflib", "email", "enum", "fractions", "functools", "gettext", "glob", "hashlib", "heapq", "html", "http.client",
+           "http.cookies", "imaplib", "inspect", "io", "json", "locale", "logging", "mailbox", "mimetypes", "optparse", "os", "pathlib",
+           "pickle", "plistlib", "queue", "random", "re", "sched", "secrets", "shutil", "smtplib", "socket", "socketserver", "statistics",
+           "string", "struct", "subprocess", "tarfile", "tempfile", "textwrap", "threading", "tokenize", "trace", "traceback", "types",
+           "typing", "unittest", "urllib.parse", "urllib.request", "warnings", "wave", "weakref", "xmlrpc.client", "zipfile")
 
 
 def identifier_dictionary(size: int = 1 << 15) -> bytes:
     """A zstandard dictionary (content and entropy tables) trained on the identifiers of Python's standard library."""
     import zstandard
-    names = set(dir(builtins))
+    public = lambda o: {n for n in vars(o) if n[0] != "_"}
+    names = public(builtins)
     for module in map(importlib.import_module, MODULES):
-        for n in dir(module):
+        for n in module.__all__ if hasattr(module, "__all__") else ():
             names.add(n)
-            if isinstance(o := getattr(module, n), type):
-                names.update(dir(o))
+            if isinstance(o := getattr(module, n, None), type):
+                names |= public(o)
     long = sorted(n for n in names if len(n) > 3)
     samples = [" ".join(long[i: i + 8]).encode() for i in range(0, len(long), 8)]
     return zstandard.train_dictionary(size, samples, level=19).as_bytes()
@@ -86,6 +94,8 @@ class Novelty:
 
     def __call__(self, text: str, start: int, end: int) -> float:
         before, after = text[max(0, start - CONTEXT): start], text[end: end + CONTEXT]
+        if len(before) < CONTEXT:  # too little text for the coder to settle; ordinary words stand in
+            before = PREFACE[len(before):] + before
         return (self.size(before + text[start:end] + after) - self.size(before + after)) / (end - start)
 
 
