@@ -14,6 +14,7 @@ repeated whole are packed each; a text of any length is tokenised whole; other c
 from __future__ import annotations
 
 import zlib
+from bisect import bisect_right, insort
 
 import numpy as np
 import pyarrow as pa
@@ -112,8 +113,41 @@ def fitness(bins: list[list[int]], lengths: list[int], capacity: int) -> float:
     return sum((sum(lengths[x] for x in b) / capacity) ** 2 for b in bins) / max(1, len(bins))
 
 
+def swap(bins: list[list[int]], displaced: list[int], lengths: list[int], capacity: int) -> list[int]:
+    """Fill bins by exchanging one or two of their documents for a displaced one that is longer and fits; returns what is
+    displaced then, shorter documents that are easier to place."""
+    waiting = sorted((lengths[x], x) for x in displaced)
+    for b in bins:
+        free = capacity - sum(lengths[x] for x in b)
+        if not free or not waiting:
+            continue
+        best = (0, None, None)
+        for n, x in enumerate(b):
+            for out in [(x,), *((x, y) for y in b[n + 1:])]:
+                size = sum(lengths[o] for o in out)
+                at = bisect_right(waiting, (free + size, len(lengths))) - 1
+                if at >= 0 and waiting[at][0] - size > best[0]:
+                    best = (waiting[at][0] - size, at, out)
+        if best[1] is not None:
+            _, x = waiting.pop(best[1])
+            for o in best[2]:
+                b.remove(o)
+                insort(waiting, (lengths[o], o))
+            b.append(x)
+    return [x for _, x in waiting]
+
+
+def refill(bins: list[list[int]], displaced: list[int], lengths: list[int], capacity: int) -> list[list[int]]:
+    """Displaced documents exchanged for shorter ones, then best-fitted, largest first."""
+    bins = [list(b) for b in bins]
+    rest = swap(bins, displaced, lengths, capacity)
+    rest.sort(key=lambda x: (-lengths[x], x))
+    return Bins(lengths, capacity, bins).add_all(rest).bins
+
+
 def crossover(one, other, lengths, capacity, rng) -> list[list[int]]:
-    """``one`` with a share of the best filled bins of ``other`` injected whole; what they displace is best-fitted, largest first."""
+    """``one`` with a share of the best filled bins of ``other`` injected whole; bins of ``one`` that hold duplicates go, and what
+    that displaces is placed anew."""
     fill = [sum(lengths[x] for x in b) for b in other]
     best = sorted(range(len(other)), key=lambda i: (-fill[i], i))[: max(1, len(other) // 2)]
     injected = [other[i] for i in best if rng.random() < 0.5] or [other[best[0]]]
@@ -124,13 +158,14 @@ def crossover(one, other, lengths, capacity, rng) -> list[list[int]]:
             kept.append(b)
         else:
             displaced += [x for x in b if x not in inside]
-    # the worst filled of the kept bins are dissolved too, so that their documents can meet the displaced ones
-    kept.sort(key=lambda b: -sum(lengths[x] for x in b))
-    for b in kept[len(kept) - max(1, len(kept) // 20):] if kept else ():
-        displaced += b
-    kept = kept[: len(kept) - max(1, len(kept) // 20)] if kept else kept
-    displaced.sort(key=lambda x: (-lengths[x], x))
-    return Bins(lengths, capacity, injected + kept).add_all(displaced).bins
+    return refill(injected + kept, displaced, lengths, capacity)
+
+
+def mutate(bins, lengths, capacity, rng) -> list[list[int]]:
+    """The worst filled bin and a few others dissolved, their documents placed anew."""
+    order = sorted(range(len(bins)), key=lambda i: sum(lengths[x] for x in bins[i]))
+    gone = {order[0], *rng.sample(range(len(bins)), min(len(bins), 2 + len(bins) // 20))}
+    return refill([b for i, b in enumerate(bins) if i not in gone], [x for i in sorted(gone) for x in bins[i]], lengths, capacity)
 
 
 def lower_bound(lengths: list[int], capacity: int) -> int:
@@ -165,10 +200,10 @@ def evolve(lengths: list[int], population: list[list[list[int]]], capacity: int,
     for _ in range(generations):
         if len(population[0]) <= bound:
             break
-        a, b = rng.sample(range(len(population)), 2)
-        population.append(crossover(population[min(a, b)], population[max(a, b)], lengths, capacity, rng))
-        a, b = rng.sample(range(len(population)), 2)
-        population.append(crossover(population[max(a, b)], population[min(a, b)], lengths, capacity, rng))
+        a, b = sorted(rng.sample(range(len(population)), 2))
+        child = crossover(population[a], population[b], lengths, capacity, rng)
+        population += [child, crossover(population[b], population[a], lengths, capacity, rng), mutate(child, lengths, capacity, rng),
+                       mutate(population[0], lengths, capacity, rng)]
         population = sorted(population, key=rank)[:size]
     return population
 
