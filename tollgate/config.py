@@ -33,12 +33,12 @@ PRICES = (
 # price used when the provider is not in the table at all
 FALLBACK_PRICE = ("0.005", "0.015")
 
-# API key -> team
+# SHA-256 of the API key -> team (the keys themselves are not kept)
 TEAM_KEYS = (
-    ("sk-gateway-finance-001", "finance-team"),
-    ("sk-gateway-engineering-001", "engineering-team"),
-    ("sk-gateway-marketing-001", "marketing-team"),
-    ("sk-gateway-default-001", "default"),
+    ("742ebb9121b1487dfa652d092af09bf82b63ee0daa65029574e559d45a49ac6c", "finance-team"),
+    ("ca618c68fec60a754d07fe16651b9a9136c7036f7fb7101d1c6b4a4dd77b291f", "engineering-team"),
+    ("b6ce5c3004f92e7ec91cba12642bdb78a3fc544be24cc28b26d3db1156a28ecb", "marketing-team"),
+    ("07c801c421551b2b03972605ac1b860143e4d36124f8765cc1a311bf6908de96", "default"),
 )
 
 # provider -> default model (azure uses its deployment name)
@@ -71,7 +71,6 @@ DEFAULT_TEMPERATURE = 0.7
 TEMPERATURE_RANGE = (0.0, 2.0)
 DEFAULT_TEAM = "default"
 MESSAGE_ROLES = ("user", "assistant", "system")
-AUDIT_STATUSES = ("success", "error", "budget_exceeded")
 
 GEMINI_TOKENS_PER_WORD = "1.3"
 

@@ -15,7 +15,7 @@ from tollgate import config
 
 def word_count(text: Column) -> Column:
     """Python ``len(text.split())``: runs of Unicode whitespace, no empty pieces."""
-    return F.size(F.filter(F.split(F.coalesce(text, F.lit("")), r"(?U)\s+"), lambda w: w != ""))
+    return F.size(F.filter(F.split(F.coalesce(text, F.lit("")), r"(?U)[\s\x1C-\x1F]+"), lambda w: w != ""))
 
 
 def token_estimate(words: Column) -> Column:

@@ -1,23 +1,27 @@
 """Cost and budget column expressions.
 
-Money stays an exact decimal(20,12) through every sum, so results do not
-depend on partition order; it becomes a double rounded to 6 places only at
-the edge (``usd``).
+Money stays an exact decimal through every product and sum (decimal(28,11) for one request, decimal(37,11) for sums), so
+results do not depend on partition order; it becomes a double rounded to 6 places only at the edge (``usd``).
 """
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from tollgate import schemas
 
-COST_T = "decimal(20,12)"
+COST_T = "decimal(37,11)"
+LIMIT_T = "decimal(24,4)"
+THOUSANDTH = Decimal("0.001")
 
 
 def token_cost(prompt_tokens: Column, completion_tokens: Column, price_in: Column, price_out: Column) -> Column:
-    """tokens / 1000 x USD-per-1K price, exact."""
-    return ((prompt_tokens * price_in + completion_tokens * price_out) * F.lit(0.001)).cast(schemas.COST)
+    """tokens / 1000 x USD-per-1K price, in exact decimals."""
+    per_thousand = (prompt_tokens * price_in + completion_tokens * price_out).cast("decimal(28,8)")
+    return (per_thousand * F.lit(THOUSANDTH)).cast(schemas.COST)
 
 
 def usd(amount: Column, places: int = 6) -> Column:
@@ -25,6 +29,16 @@ def usd(amount: Column, places: int = 6) -> Column:
     return F.round(amount, places).cast("double")
 
 
+def logged(cost: Column) -> Column:
+    """A cost as the audit log holds it: unrounded."""
+    return cost.cast("double")
+
+
+def from_log(estimated_cost_usd: Column) -> Column:
+    """The exact cost back from a logged one (a double tells 15 digits apart, a cost has 11 places)."""
+    return estimated_cost_usd.cast(schemas.COST)
+
+
 def usage_struct(prompt_tokens: Column, completion_tokens: Column, cost: Column) -> Column:
     """TokenUsage; total is the sum of the two counts."""
     return F.struct(prompt_tokens.cast("bigint").alias("prompt_tokens"),
@@ -40,7 +54,7 @@ def remaining(limit: Column, used: Column) -> Column:
 
 def fixed(amount: Column, places: int) -> Column:
     """Render a decimal with exactly ``places`` digits (half-up), like '%.{places}f'."""
-    return F.round(amount, places).cast(f"decimal(24,{places})").cast("string")
+    return F.round(amount, places).cast(f"decimal(36,{places})").cast("string")
 
 
 def denial_reason(kind: Column, team: Column, used: Column, limit: Column) -> Column:

@@ -12,14 +12,12 @@ attempts composes over chunks: a chunk's behaviour depends on its start state
 only through ``min(c, threshold)`` and, when tripped, whether its first
 attempt finds the trip expired.
 
-Distributed plan (no provider ever lands whole in one task):
-1. range-partition attempts on (provider, time, id) -- balanced chunks even
-   when one provider carries a third of the traffic -- and fold every chunk
-   from each of the ``threshold + 1`` start classes (mapInPandas, vectorised
-   bookkeeping, plain loop over rows);
-2. chain the chunk summaries per provider (at most one row per partition and
-   provider, a proven bound) to get each chunk's real start class;
-3. broadcast that small table back and pick each row's columns for its class.
+Distributed plan (no provider ever lands whole in one task, and nothing is checkpointed):
+1. cut the attempts into chunks along time (a pure function of the row, see ``prefix``) and fold every (chunk, provider)
+   from each of the ``threshold + 1`` start classes at once, keeping only its summary;
+2. chain the summaries per provider (a row per chunk and provider) to get each chunk's real start state;
+3. fold each chunk again from that state, now row by row exact.
+Provider health needs the first two steps only.
 """
 
 from __future__ import annotations
@@ -28,30 +26,10 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tollgate import config
-from tollgate.session import materialize, ship_package
-
-EXPIRED_CLASS = -1  # start class: tripped, and the first attempt finds it expired
-
-
-def _row_schema(threshold: int) -> T.StructType:
-    fields = [
-        T.StructField("provider", T.StringType()),
-        T.StructField("attempt_id", T.LongType()),
-        T.StructField("attempt_s", T.LongType()),
-        T.StructField("outcome", T.StringType()),
-        T.StructField("chunk_t", T.LongType()),
-        T.StructField("chunk_id", T.LongType()),
-        T.StructField("is_first", T.BooleanType()),
-    ]
-    for k in range(threshold + 1):
-        fields += [T.StructField(f"c{k}", T.LongType()), T.StructField(f"trip{k}", T.BooleanType()),
-                   T.StructField(f"exp{k}", T.BooleanType())]
-    fields.append(T.StructField(f"rel{threshold}", T.BooleanType()))
-    return T.StructType(fields)
-
+from tollgate.operators.prefix import with_chunk
+from tollgate.session import default_partitions, ship_package
 
 def _compose_scan(maps: np.ndarray) -> np.ndarray:
     """Inclusive prefix composition of per-row state maps (row i applied after row i-1).
@@ -102,148 +80,165 @@ def _fold_run(t, ok, prev_t, carry_s, carry_c, carry_rel, threshold, cooldown):
     return c, trip, expired, rel, after[-1], c[-1], rel[-1]
 
 
-def _chunk_folds(threshold: int, cooldown: int):
-    """mapInPandas body: fold each provider run of a sorted partition from every start class.
+def _runs(batches):
+    """(provider, chunk, times, is ok, row numbers, batch, begins) for each (chunk, provider) run of a sorted stream, a batch at a time."""
+    last = None
+    for pdf in batches:
+        if not len(pdf):
+            continue
+        chunk, prov = pdf["_chunk"].to_numpy(), pdf["provider"].to_numpy()
+        t, ok = pdf["attempt_s"].to_numpy(dtype=np.int64), (pdf["outcome"] == "ok").to_numpy()
+        cuts = np.flatnonzero(np.r_[True, (prov[1:] != prov[:-1]) | (chunk[1:] != chunk[:-1]), True])
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            key = (int(chunk[a]), prov[a])
+            yield key, t[a:b], ok[a:b], slice(a, b), pdf, key != last
+            last = key
 
-    Batches are streamed; the fold state (per class: capped state, exact count, 'no reset yet'),
-    the previous attempt time and the current run's key are carried from batch to batch, so
-    memory stays at one Arrow batch however large the partition is.  Class ``threshold`` means
-    'tripped, not expired at the run's first row'; its counts are relative to the real start
-    (offset ``threshold``) until the first reset.
-    """
+
+def _summary_schema(threshold: int) -> str:
+    return "provider string, _chunk int, first_t long, last_t long, " + ", ".join(f"end_c{k} long" for k in range(threshold + 1)) + ", end_rel boolean"
+
+
+def _summaries(threshold: int, cooldown: int):
+    """Each (chunk, provider) folded from every start class: counts at its end.  Class ``threshold`` means tripped and not
+    expired at the first row; ``end_rel``: its count has seen no reset, so it is relative to the real start."""
     k = threshold + 1
 
     def run(batches):
-        cur = None
-        chunk_t = chunk_id = prev_t = None
-        cs = cc = crel = None
-        for pdf in batches:
-            n = len(pdf)
-            if n == 0:
-                continue
-            prov = pdf["provider"].to_numpy()
-            t = pdf["attempt_s"].to_numpy(dtype=np.int64)
-            ids = pdf["attempt_id"].to_numpy(dtype=np.int64)
-            ok = (pdf["outcome"] == "ok").to_numpy()
-            out_t = np.empty(n, dtype=np.int64)
-            out_id = np.empty(n, dtype=np.int64)
-            first = np.zeros(n, dtype=bool)
-            c_out = np.empty((n, k), dtype=np.int64)
-            trip = np.empty((n, k), dtype=bool)
-            exp = np.empty((n, k), dtype=bool)
-            rel = np.empty((n, k), dtype=bool)
-            starts = np.flatnonzero(np.r_[True, prov[1:] != prov[:-1]])
-            ends = np.r_[starts[1:], n]
-            for a, b in zip(starts, ends):
-                if prov[a] != cur:
-                    cur, chunk_t, chunk_id, prev_t = prov[a], t[a], ids[a], None
-                    cs = np.arange(k, dtype=np.int64)
-                    cc = np.arange(k, dtype=np.int64)
-                    crel = np.ones(k, dtype=bool)
-                    first[a] = True
-                c, tr, ex, rl, cs, cc, crel = _fold_run(t[a:b], ok[a:b], prev_t, cs, cc, crel, threshold, cooldown)
-                c_out[a:b], trip[a:b], exp[a:b], rel[a:b] = c, tr, ex, rl
-                out_t[a:b], out_id[a:b] = chunk_t, chunk_id
-                prev_t = t[b - 1]
-            out = {"provider": prov, "attempt_id": ids, "attempt_s": t, "outcome": pdf["outcome"].to_numpy(),
-                   "chunk_t": out_t, "chunk_id": out_id, "is_first": first}
-            for j in range(k):
-                out[f"c{j}"] = c_out[:, j]
-                out[f"trip{j}"] = trip[:, j]
-                out[f"exp{j}"] = exp[:, j]
-            out[f"rel{threshold}"] = rel[:, threshold]
-            yield pd.DataFrame(out)
+        out, key, state = [], None, None
+        for key_, t, ok, _, _, begins in _runs(batches):
+            if begins:
+                if key is not None:
+                    out.append((key[1], key[0], first, last, *map(int, state[1]), bool(state[2][threshold])))
+                key, first, last = key_, int(t[0]), None
+                state = (np.arange(k, dtype=np.int64), np.arange(k, dtype=np.int64), np.ones(k, dtype=bool))
+            state = _fold_run(t, ok, last, *state, threshold, cooldown)[4:]
+            last = int(t[-1])
+        if key is not None:
+            out.append((key[1], key[0], first, last, *map(int, state[1]), bool(state[2][threshold])))
+        yield pd.DataFrame(out, columns=["provider", "_chunk", "first_t", "last_t", *(f"end_c{i}" for i in range(k)), "end_rel"])
     return run
 
 
 def _chain(threshold: int, cooldown: int):
+    """Start state of every chunk of a provider, and (as chunk of the largest number) the state after the last one.  A row of
+    chunk -1 holds the state that the log starts from."""
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["chunk_t", "chunk_id"])
+        pdf = pdf.sort_values("_chunk")
         c, last_t = 0, None
-        classes, start_c = [], []
+        rows = []
         for r in pdf.itertuples(index=False):
-            if c >= threshold:
-                if r.chunk_t - last_t > cooldown:
-                    cls, end = EXPIRED_CLASS, r.end_c0
-                else:
-                    cls = threshold
-                    end = r.end_ct - threshold + c if r.end_rel else r.end_ct
+            if r.first_t is None or pd.isna(r.first_t):  # the opening state
+                c, last_t = int(r.end_c0), None if pd.isna(r.last_t) else int(r.last_t)
+                continue
+            rows.append((pdf["provider"].iloc[0], int(r[1]), c, last_t))
+            if c >= threshold and last_t is not None and r.first_t - last_t > cooldown:
+                c = r.end_c0
+            elif c >= threshold:
+                end = getattr(r, f"end_c{threshold}")
+                c = end - threshold + c if r.end_rel else end
             else:
-                cls, end = c, getattr(r, f"end_c{c}")
-            classes.append(cls)
-            start_c.append(c)
-            c, last_t = int(end), int(r.last_t)
-        return pd.DataFrame({"provider": pdf["provider"].to_numpy(), "chunk_t": pdf["chunk_t"].to_numpy(),
-                             "chunk_id": pdf["chunk_id"].to_numpy(), "start_class": classes, "start_c": start_c})
+                c = getattr(r, f"end_c{c}")
+            c, last_t = int(c), int(r.last_t)
+        rows.append((pdf["provider"].iloc[0], FINAL, c, last_t))
+        return pd.DataFrame({"provider": [r[0] for r in rows], "_chunk": np.array([r[1] for r in rows], np.int32), "start_c": [r[2] for r in rows],
+                             "start_t": pd.array([r[3] for r in rows], "Int64")})
+    return run
+
+
+FINAL = (1 << 31) - 1
+
+
+def _refold(threshold: int, cooldown: int):
+    def run(batches):
+        state = last = None
+        parts, at = [], None
+        for _, t, ok, rows, pdf, begins in _runs(batches):
+            if at is not None and pdf is not at:
+                yield pd.concat(parts, ignore_index=True)
+                parts = []
+            at = pdf
+            if begins:
+                c = int(pdf["start_c"].iloc[rows.start])
+                s = pdf["start_t"].iloc[rows.start]
+                last = None if pd.isna(s) else int(s)
+                state = (np.array([min(c, threshold)]), np.array([c]), np.zeros(1, dtype=bool))
+            count, trip, expired, _, *state = _fold_run(t, ok, last, *state, threshold, cooldown)
+            last = int(t[-1])
+            part = pdf.iloc[rows][["provider", "attempt_id", "attempt_s", "outcome"]].copy()
+            part["failures_after"] = count[:, 0]
+            part["tripped_at_after"] = pd.array(t, "Int64")
+            part.loc[count[:, 0] < threshold, "tripped_at_after"] = pd.NA
+            part["trip_set"], part["expired"] = trip[:, 0], expired[:, 0]
+            parts.append(part)
+        if parts:
+            yield pd.concat(parts, ignore_index=True)
     return run
 
 
+STATES = "provider string, attempt_id long, attempt_s long, outcome string, failures_after long, tripped_at_after long, trip_set boolean, expired boolean"
+
+
+def _chunked(attempts: DataFrame, partitions: int | None) -> DataFrame:
+    ship_package(attempts.sparkSession)
+    a = attempts.where(F.col("outcome").isin("ok", "error")).select("provider", "attempt_id", "attempt_s", "outcome")
+    return with_chunk(a, ["attempt_s", "attempt_id"], partitions)
+
+
+def _dealt(chunked: DataFrame, partitions: int | None) -> DataFrame:
+    n = partitions or default_partitions(chunked.sparkSession)
+    return chunked.repartition(n, "_chunk").sortWithinPartitions("_chunk", "provider", "attempt_s", "attempt_id")
+
+
+def _starts(chunked: DataFrame, threshold: int, cooldown_s: int, partitions: int | None, opening: DataFrame | None) -> DataFrame:
+    schema = _summary_schema(threshold)
+    summary = _dealt(chunked, partitions).mapInPandas(_summaries(threshold, cooldown_s), schema)
+    if opening is not None:
+        cols = [F.col("failures").cast("long").alias(f"end_c{k}") for k in range(threshold + 1)]
+        summary = summary.unionByName(opening.select("provider", F.lit(-1).alias("_chunk"), F.lit(None).cast("long").alias("first_t"),
+                                                     F.col("last_t").cast("long").alias("last_t"), *cols, F.lit(False).alias("end_rel")))
+    return summary.groupBy("provider").applyInPandas(_chain(threshold, cooldown_s), "provider string, _chunk int, start_c long, start_t long")
+
+
 def breaker_states(attempts: DataFrame, threshold: int = config.BREAKER_FAILURE_THRESHOLD,
-                   cooldown_s: int = config.BREAKER_COOLDOWN_SECONDS, partitions: int | None = None) -> DataFrame:
+                   cooldown_s: int = config.BREAKER_COOLDOWN_SECONDS, partitions: int | None = None,
+                   opening: DataFrame | None = None) -> DataFrame:
     """Per attempt (outcome ok/error): failures after, trip time after, trip set, expiry seen.
 
-    ``attempts``: provider, attempt_id, attempt_s (seconds), outcome.
+    ``attempts``: provider, attempt_id, attempt_s (seconds), outcome.  ``opening`` (provider, failures, last_t): the state
+    before the first attempt, as ``breaker_final`` returns it.  A provider may be any key, such as instance and provider.
     """
-    spark = attempts.sparkSession
-    ship_package(spark)
-    n = partitions or max(spark.sparkContext.defaultParallelism,
-                          int(spark.conf.get("spark.sql.shuffle.partitions")))
-    a = attempts.where(F.col("outcome").isin("ok", "error")).select("provider", "attempt_id", "attempt_s", "outcome")
-    ranged = (a.repartitionByRange(n, "provider", "attempt_s", "attempt_id")
-              .sortWithinPartitions("provider", "attempt_s", "attempt_id"))
-    # checkpointed: the fold runs once and the summary and the per-row branch see the same chunks
-    rows = materialize(ranged.mapInPandas(_chunk_folds(threshold, cooldown_s), _row_schema(threshold)))
-
-    last = F.max_by(F.struct(*[F.col(f"c{k}") for k in range(threshold + 1)], F.col(f"rel{threshold}"),
-                             F.col("attempt_s")), F.struct("attempt_s", "attempt_id"))
-    summary = (rows.groupBy("provider", "chunk_t", "chunk_id").agg(last.alias("l"))
-               .select("provider", "chunk_t", "chunk_id",
-                       *[F.col(f"l.c{k}").alias(f"end_c{k}") for k in range(threshold)],
-                       F.col(f"l.c{threshold}").alias("end_ct"), F.col(f"l.rel{threshold}").alias("end_rel"),
-                       F.col("l.attempt_s").alias("last_t")))
-    starts = summary.groupBy("provider").applyInPandas(
-        _chain(threshold, cooldown_s),
-        "provider string, chunk_t long, chunk_id long, start_class int, start_c long")
-
-    j = rows.join(F.broadcast(starts), ["provider", "chunk_t", "chunk_id"])
-    cls = F.col("start_class")
-
-    def pick(prefix: str):
-        expr = F.when(cls == EXPIRED_CLASS, F.col(f"{prefix}0"))
-        for k in range(threshold + 1):
-            expr = expr.when(cls == k, F.col(f"{prefix}{k}"))
-        return expr
-
-    c_tripped = F.when(F.col(f"rel{threshold}"), F.col(f"c{threshold}") - threshold + F.col("start_c")) \
-        .otherwise(F.col(f"c{threshold}"))
-    failures = F.when(cls == threshold, c_tripped).otherwise(pick("c"))
-    expired = F.when(cls == EXPIRED_CLASS, F.col("exp0") | F.col("is_first")).otherwise(pick("exp"))
-    return j.select(
-        "provider", "attempt_id", "attempt_s", "outcome",
-        failures.alias("failures_after"),
-        F.when(failures >= threshold, F.col("attempt_s")).alias("tripped_at_after"),
-        pick("trip").alias("trip_set"),
-        expired.alias("expired"),
-    )
-
-
-def provider_health(states: DataFrame, providers: DataFrame, as_of,
+    chunked = _chunked(attempts, partitions)
+    # a row per chunk and provider; whether it is broadcast is left to its size at run time
+    starts = _starts(chunked, threshold, cooldown_s, partitions, opening)
+    return _dealt(chunked.join(starts, ["_chunk", "provider"]), partitions).mapInPandas(_refold(threshold, cooldown_s), STATES)
+
+
+def breaker_final(attempts: DataFrame, threshold: int = config.BREAKER_FAILURE_THRESHOLD, cooldown_s: int = config.BREAKER_COOLDOWN_SECONDS,
+                  partitions: int | None = None, opening: DataFrame | None = None) -> DataFrame:
+    """(provider, failures, last_t) after the last attempt, from the chunk summaries alone."""
+    ends = _starts(_chunked(attempts, partitions), threshold, cooldown_s, partitions, opening).where(F.col("_chunk") == FINAL)
+    return ends.select("provider", F.col("start_c").alias("failures"), F.col("start_t").alias("last_t"))
+
+
+def provider_health(attempts: DataFrame, providers: DataFrame, as_of: int | None = None, threshold: int = config.BREAKER_FAILURE_THRESHOLD,
                     cooldown_s: int = config.BREAKER_COOLDOWN_SECONDS) -> DataFrame:
-    """Every registered provider's breaker as of ``as_of`` (seconds).
+    """Every registered provider's breaker as of ``as_of`` (seconds; default: the newest attempt of any outcome).
 
     Like the gateway's status call, failures and trip time are read before
     the expiry check, so an expired breaker shows its old count and trip time
     with ``open = false``.
     """
-    as_of = as_of if isinstance(as_of, Column) else F.lit(as_of)
-    final = (states.where(F.col("attempt_s") <= as_of).groupBy("provider")
-             .agg(F.max_by(F.struct("failures_after", "tripped_at_after"),
-                           F.struct("attempt_s", "attempt_id")).alias("s")))
-    j = providers.join(final, "provider", "left")
-    failures = F.coalesce(F.col("s.failures_after"), F.lit(0)).cast("bigint")
-    tripped = F.col("s.tripped_at_after")
+    if as_of is None:
+        now = attempts.select(F.max("attempt_s")).scalar()
+    else:
+        now = F.lit(as_of)
+        attempts = attempts.where(F.col("attempt_s") <= as_of)
+    j = providers.join(breaker_final(attempts, threshold, cooldown_s), "provider", "left")
+    failures = F.coalesce(F.col("failures"), F.lit(0)).cast("bigint")
+    tripped = F.when(failures >= threshold, F.col("last_t"))
     return j.select("provider", failures.alias("failures"), tripped.alias("tripped_at"),
-                    (tripped.isNotNull() & ((as_of - tripped) <= cooldown_s)).alias("open"),
+                    (tripped.isNotNull() & ((now - tripped) <= cooldown_s)).alias("open"),
                     *[c for c in ("configured", "default_model") if c in providers.columns])
 
 

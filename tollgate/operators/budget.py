@@ -8,17 +8,17 @@ map-side before the shuffle.
 
 from __future__ import annotations
 
-from decimal import ROUND_HALF_UP, Decimal
+from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tollgate import config
-from tollgate.functions.money import COST_T, day_key, denial_reason, month_key, remaining, usd
+from tollgate.functions.money import COST_T, LIMIT_T, day_key, denial_reason, month_key, remaining, usd
 from tollgate.operators.prefix import keyed_running_sums
-from tollgate.session import materialize, ship_package
+from tollgate.session import default_partitions, materialize, ship_package
 from tollgate.sources.dims import budget_dim
 
 
@@ -38,14 +38,18 @@ def monthly_usage(daily: DataFrame) -> DataFrame:
             .agg(F.sum("cost").cast(COST_T).alias("cost"), F.sum("n_requests").alias("n_requests")))
 
 
-def with_limits(df: DataFrame, settings: config.GatewaySettings = config.DEFAULT_SETTINGS) -> DataFrame:
-    """Configured limits or the defaults (broadcast left join on a fixed-size table)."""
-    limits = budget_dim(df.sparkSession, settings).withColumnRenamed("team_id", "_bt")
-    return (df.join(F.broadcast(limits), F.col("team_id") == F.col("_bt"), "left")
-            .withColumn("daily_limit", F.coalesce("daily_limit", F.lit(settings.default_daily_budget_usd)
-                                                  .cast("decimal(12,4)")))
-            .withColumn("monthly_limit", F.coalesce("monthly_limit", F.lit(settings.default_monthly_budget_usd)
-                                                    .cast("decimal(12,4)")))
+def with_limits(df: DataFrame, settings: config.GatewaySettings = config.DEFAULT_SETTINGS, limits: DataFrame | None = None) -> DataFrame:
+    """A team's limits or the defaults.
+
+    ``limits`` (team_id, daily_limit, monthly_limit; one row a team) is any table of budgets, such as S9's; without one the
+    settings' own.  It grows with the teams, so whether to broadcast it is left to its size at run time.
+    """
+    limits = budget_dim(df.sparkSession, settings) if limits is None else limits
+    limits = limits.select(F.col("team_id").alias("_bt"), F.col("daily_limit").cast(LIMIT_T).alias("daily_limit"),
+                           F.col("monthly_limit").cast(LIMIT_T).alias("monthly_limit"))
+    return (df.join(limits, F.col("team_id") == F.col("_bt"), "left")
+            .withColumn("daily_limit", F.coalesce("daily_limit", F.lit(settings.default_daily_budget_usd).cast(LIMIT_T)))
+            .withColumn("monthly_limit", F.coalesce("monthly_limit", F.lit(settings.default_monthly_budget_usd).cast(LIMIT_T)))
             .withColumn("configured", F.col("_bt").isNotNull())
             .drop("_bt"))
 
@@ -86,8 +90,8 @@ def last_day(daily: DataFrame):
     return daily.select(F.max("day")).scalar()
 
 
-def team_budget_status(daily: DataFrame, as_of=None,
-                       settings: config.GatewaySettings = config.DEFAULT_SETTINGS) -> DataFrame:
+def team_budget_status(daily: DataFrame, as_of=None, settings: config.GatewaySettings = config.DEFAULT_SETTINGS,
+                       limits: DataFrame | None = None) -> DataFrame:
     """A3: limits, used, remaining and counts for every team with usage, as of a day.
 
     ``request_count_month`` is filled with the real count (the gateway declares
@@ -95,18 +99,19 @@ def team_budget_status(daily: DataFrame, as_of=None,
     """
     as_of = last_day(daily) if as_of is None else F.lit(as_of).cast("date")
     base = _usage_as_of(daily, as_of).withColumn("as_of", as_of)
-    return _status_columns(with_limits(base, settings))
+    return _status_columns(with_limits(base, settings, limits))
 
 
-def all_teams_budget(daily: DataFrame, as_of=None,
-                     settings: config.GatewaySettings = config.DEFAULT_SETTINGS) -> DataFrame:
+def all_teams_budget(daily: DataFrame, as_of=None, settings: config.GatewaySettings = config.DEFAULT_SETTINGS,
+                     limits: DataFrame | None = None) -> DataFrame:
     """Configured teams FULL OUTER JOIN teams with usage, then their status.
 
     This is what the gateway's all-teams listing intends (its own version
     deadlocks on a non-reentrant lock).
     """
     as_of = last_day(daily) if as_of is None else F.lit(as_of).cast("date")
-    configured = budget_dim(daily.sparkSession, settings).select(F.col("team_id").alias("cfg_team"))
+    known = budget_dim(daily.sparkSession, settings) if limits is None else limits
+    configured = known.select(F.col("team_id").alias("cfg_team"))
     used = _usage_as_of(daily, as_of).withColumnRenamed("team_id", "use_team")
     zero = F.lit(0).cast(COST_T)
     base = (configured.join(used, F.col("cfg_team") == F.col("use_team"), "full_outer")
@@ -116,237 +121,176 @@ def all_teams_budget(daily: DataFrame, as_of=None,
                     F.coalesce("request_count_today", F.lit(0).cast("bigint")).alias("request_count_today"),
                     F.coalesce("request_count_month", F.lit(0).cast("bigint")).alias("request_count_month"))
             .withColumn("as_of", as_of))
-    return _status_columns(with_limits(base, settings))
+    return _status_columns(with_limits(base, settings, limits))
 
 
 # -- W2: budget admission -------------------------------------------------------
 #
-# Money inside the Python folds is an exact integer count of 1e-12 USD (the
-# scale of decimal(20,12)); Python ints never overflow and are much faster
-# than Decimal objects.
-
-UNIT = 10 ** 12
-HALF_STEP = 10 ** 6 // 2  # rounding to 6 places = multiples of 1e6 units
-
-
-def _units(c):
-    return (c * F.lit(UNIT)).cast("decimal(38,0)").cast("long")
-
-
-def _usd_from_units(c):
-    return (c.cast("decimal(20,0)") * F.lit(Decimal("1E-12"))).cast(COST_T)
+# In the folds money is a whole number of 1e-11 USD, the scale of the decimals.
 
+SCALE = 11
+STEP = 10 ** (SCALE - 6)  # remaining budgets are rounded to 6 places
+FOLD_ROWS = 1_000_000
 
-def _remaining_units(limit: int, used: int) -> int:
-    """round(max(0, limit - used), 6) half-up, in units."""
-    x = limit - used
-    if x <= 0:
-        return 0
-    return (x + HALF_STEP) // (2 * HALF_STEP) * (2 * HALF_STEP)
 
+def _left(limit, used):
+    """round(max(0, limit - used), 6), half up, for arrays of whole numbers."""
+    return np.maximum(limit - used + STEP // 2, 0) // STEP * STEP
 
-def _remaining_py(limit: Decimal, used: Decimal) -> Decimal:
-    return max(Decimal(0), limit - used).quantize(Decimal("0.000001"), rounding=ROUND_HALF_UP)
 
+def admit(est: np.ndarray, act: np.ndarray, day: np.ndarray, daily: np.ndarray, monthly: np.ndarray, spent_day, spent_month):
+    """Greedy admission of one team-month's requests in order.
 
-_TAIL_COLS = ["team_id", "month", "day", "ts", "event_id", "cost", "daily_limit", "monthly_limit",
-              "cost_u", "ld_u", "lm_u", "start_day", "start_du_u", "start_mu_u"]
-
-_PASS = [
-    T.StructField("team_id", T.StringType()), T.StructField("month", T.StringType()),
-    T.StructField("day", T.DateType()), T.StructField("ts", T.TimestampNTZType()),
-    T.StructField("event_id", T.LongType()), T.StructField("cost", T.DecimalType(20, 12)),
-    T.StructField("daily_limit", T.DecimalType(12, 4)), T.StructField("monthly_limit", T.DecimalType(12, 4)),
-    T.StructField("cost_u", T.LongType()), T.StructField("ld_u", T.LongType()), T.StructField("lm_u", T.LongType()),
-]
-# the folds pass every input column through, so their output never has to be joined back
-DAILY_SCHEMA = T.StructType(_PASS + [
-    T.StructField("start_day", T.DateType()), T.StructField("start_du_u", T.LongType()),
-    T.StructField("start_mu_u", T.LongType()),
-    T.StructField("allowed_d", T.BooleanType()), T.StructField("du_before_u", T.LongType()),
-])
-FOLD_SCHEMA = T.StructType(_PASS + [
-    T.StructField("allowed", T.BooleanType()), T.StructField("kind", T.StringType()),
-    T.StructField("du_before_u", T.LongType()), T.StructField("mu_before_u", T.LongType()),
-])
-_PASS_NAMES = [f.name for f in _PASS]
-
-
-def _fold_days(batches):
-    """Daily-limit-only admission per (team, month, day), streamed over sorted rows.
-
-    A tail's first day starts from the spend before its first failing row;
-    later days start at 0.
+    A request is admitted if its estimate is within what is left of the day's limit and then of the month's; then its actual
+    cost is spent.  Runs of admitted and of denied requests are each found by one vectorised look ahead over a window that
+    grows while the run goes on.  Returns (allowed, daily spend before, monthly spend before) and the spend at the end.
     """
-    key = None
-    du = 0
-    for pdf in batches:
-        if len(pdf) == 0:
-            continue
-        teams, months, days = pdf["team_id"].tolist(), pdf["month"].tolist(), pdf["day"].tolist()
-        cost, ld = pdf["cost_u"].tolist(), pdf["ld_u"].tolist()
-        sday, sdu = pdf["start_day"].tolist(), pdf["start_du_u"].tolist()
-        allowed, before = [], []
-        for i in range(len(pdf)):
-            k = (teams[i], months[i], days[i])
-            if k != key:
-                key = k
-                du = sdu[i] if days[i] == sday[i] else 0
-            before.append(du)
-            if cost[i] > _remaining_units(ld[i], du):
-                allowed.append(False)
-            else:
-                allowed.append(True)
-                du += cost[i]
-        out = pdf[[f.name for f in DAILY_SCHEMA.fields[:-2]]].copy()
-        out["allowed_d"] = allowed
-        out["du_before_u"] = before
-        yield out
-
-
-def _fold_coupled(batches):
-    """Both limits, sequentially per (team, month), from the first coupled day on."""
-    key = day = None
-    du = mu = 0
-    for pdf in batches:
-        if len(pdf) == 0:
+    n = len(est)
+    allowed = np.zeros(n, bool)
+    before_day, before_month = np.zeros(n, est.dtype), np.zeros(n, est.dtype)
+    i, width = 0, 64
+    today = day[0] if n else None
+    while i < n:
+        if day[i] != today:
+            today, spent_day = day[i], 0
+        end = i + int(np.searchsorted(day[i: i + width], today, side="right"))
+        part = slice(i, end)
+        # all admitted: where does that fail first?
+        spend = np.cumsum(act[part])
+        run = np.concatenate([spend[:1] * 0, spend[:-1]])
+        fits = (est[part] <= _left(daily[part], spent_day + run)) & (est[part] <= _left(monthly[part], spent_month + run))
+        good = end - i if fits.all() else int(fits.argmin())
+        if good:
+            at = slice(i, i + good)
+            allowed[at] = True
+            before_day[at], before_month[at] = spent_day + run[:good], spent_month + run[:good]
+            spent_day, spent_month = spent_day + spend[good - 1], spent_month + spend[good - 1]
+            i += good
+        if i < end:
+            # all denied: which is the first that fits?
+            part = slice(i, end)
+            fits = (est[part] <= _left(daily[part], spent_day)) & (est[part] <= _left(monthly[part], spent_month))
+            bad = int(fits.argmax()) if fits.any() else end - i
+            at = slice(i, i + bad)
+            before_day[at], before_month[at] = spent_day, spent_month
+            i += bad
+        width = min(2 * width, 1 << 16) if i >= end else 64
+    return allowed, before_day, before_month, spent_day, spent_month
+
+
+def whole_numbers(column: pa.Array) -> np.ndarray:
+    """Decimals as whole numbers of their last place: int64 where sums of them surely fit, else Python's numbers."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    words = np.frombuffer(column.buffers()[1], np.int64).reshape(-1, 2)[column.offset: column.offset + len(column)]
+    low, high = words[:, 0], words[:, 1]
+    if len(column) and ((high != 0).any() or (low < 0).any() or int(low.max()) > (1 << 62) // (2 * len(column) + 2)):
+        return np.array([(int(h) << 64) + (int(x) & 0xFFFFFFFFFFFFFFFF) for x, h in words], object)
+    return low
+
+
+_IN = ["team_id", "month", "day", "ts", "event_id", "est_cost", "cost", "daily_limit", "monthly_limit"]
+_OUT = ["team_id", "ts", "event_id", "est_cost", "cost", "daily_limit", "monthly_limit"]
+
+
+def _decimals(values: np.ndarray) -> pa.Array:
+    """Whole numbers of 1e-11 as decimal(37,11)."""
+    if values.dtype == object:
+        raw = b"".join(int(v).to_bytes(16, "little", signed=True) for v in values)
+    else:
+        raw = np.stack([values.astype(np.int64), np.where(values < 0, -1, 0)], axis=1).tobytes()
+    return pa.Array.from_buffers(pa.decimal128(37, SCALE), len(values), [None, pa.py_buffer(raw)])
+
+
+def _fold(batches: Iterator[pa.RecordBatch]):
+    """Admission over rows sorted by (team, month, ts, event_id); the spend is carried from batch to batch."""
+    last, day_at, spent_day, spent_month = None, None, 0, 0
+    for b in batches:
+        if not b.num_rows:
             continue
-        teams, months, days = pdf["team_id"].tolist(), pdf["month"].tolist(), pdf["day"].tolist()
-        cost, ld, lm = pdf["cost_u"].tolist(), pdf["ld_u"].tolist(), pdf["lm_u"].tolist()
-        cday, cdu, cmu = pdf["c_day"].tolist(), pdf["c_du_u"].tolist(), pdf["c_mu_u"].tolist()
-        allowed, kind, dub, mub = [], [], [], []
-        for i in range(len(pdf)):
-            if (teams[i], months[i]) != key:
-                key, day, du, mu = (teams[i], months[i]), cday[i], cdu[i], cmu[i]
-            if days[i] != day:
-                day, du = days[i], 0
-            dub.append(du)
-            mub.append(mu)
-            if cost[i] > _remaining_units(ld[i], du):
-                allowed.append(False)
-                kind.append("daily")
-            elif cost[i] > _remaining_units(lm[i], mu):
-                allowed.append(False)
-                kind.append("monthly")
-            else:
-                allowed.append(True)
-                kind.append(None)
-                du += cost[i]
-                mu += cost[i]
-        out = pdf[_PASS_NAMES].copy()
-        out["allowed"] = allowed
-        out["kind"] = kind
-        out["du_before_u"] = dub
-        out["mu_before_u"] = mub
-        yield out
-
-
-def budget_admission(requests: DataFrame, settings: config.GatewaySettings = config.DEFAULT_SETTINGS,
-                     partitions: int | None = None) -> DataFrame:
+        month, team = b.column("month").to_numpy(zero_copy_only=False), b.column("team_id").to_numpy(zero_copy_only=False)
+        day = b.column("day").cast(pa.int32()).to_numpy()
+        est, act, daily, monthly = (whole_numbers(b.column(c)) for c in ("est_cost", "cost", "daily_limit", "monthly_limit"))
+        if any(x.dtype == object for x in (est, act, daily, monthly)) or max(int(spent_day), int(spent_month)) > 1 << 61:
+            est, act, daily, monthly = (x.astype(object) for x in (est, act, daily, monthly))
+        cuts = [0, *(np.flatnonzero((month[1:] != month[:-1]) | (team[1:] != team[:-1])) + 1).tolist(), b.num_rows]
+        out = []
+        for lo, hi in zip(cuts, cuts[1:], strict=False):
+            if (team[lo], month[lo]) != last:
+                last, spent_day, spent_month = (team[lo], month[lo]), 0, 0
+            elif day[lo] != day_at:
+                spent_day = 0
+            allowed, du, mu, spent_day, spent_month = admit(est[lo:hi], act[lo:hi], day[lo:hi], daily[lo:hi], monthly[lo:hi], spent_day, spent_month)
+            day_at = day[hi - 1]
+            out.append((allowed, du, mu))
+        allowed, du, mu = (np.concatenate(x) for x in zip(*out, strict=True))
+        yield pa.RecordBatch.from_arrays([*(b.column(c) for c in _OUT), pa.array(allowed), _decimals(du), _decimals(mu)],
+                                         names=[*_OUT, "allowed", "du_before", "mu_before"])
+
+
+def _fold_months(rows: DataFrame, partitions: int) -> DataFrame:
+    # the fold passes the columns through, so that its output needn't be joined back
+    schema = rows.select(*_OUT).withColumns({"allowed": F.lit(True), "du_before": F.lit(0).cast(COST_T), "mu_before": F.lit(0).cast(COST_T)}).schema
+    return (rows.select(*_IN).repartition(partitions, "team_id", "month").sortWithinPartitions("team_id", "month", "ts", "event_id")
+            .mapInArrow(_fold, schema))
+
+
+def _settle(rows: DataFrame, partitions: int) -> DataFrame:
+    """One round of bounds: ``decided`` (null: not yet) is set wherever the least and the most that can have been spent before a
+    row agree about it.  The first open row of a team-month always gets settled, and mostly all but a shrinking rest."""
+    known = F.when(F.col("decided"), F.col("cost")).otherwise(F.lit(0).cast(COST_T))
+    possible = F.when(F.coalesce("decided", F.lit(True)), F.col("cost")).otherwise(F.lit(0).cast(COST_T))
+    rows = rows.withColumns({"lo": known.cast(COST_T), "hi": possible.cast(COST_T)})
+    rows = keyed_running_sums(rows, ["lo", "hi"], ["ts", "event_id"], {"d": ["team_id", "month", "day"], "m": ["team_id", "month"]}, partitions)
+    left = lambda limit, used: remaining(F.col(limit), F.col(used))
+    surely = (F.col("est_cost") <= left("daily_limit", "hi_d")) & (F.col("est_cost") <= left("monthly_limit", "hi_m"))
+    never = (F.col("est_cost") > left("daily_limit", "lo_d")) | (F.col("est_cost") > left("monthly_limit", "lo_m"))
+    decided = F.when(F.col("decided").isNotNull(), F.col("decided")).when(surely, True).when(never, False)
+    return rows.withColumn("decided", decided).drop("lo", "hi", "lo_d", "hi_d", "lo_m", "hi_m")
+
+
+def _hot_months(rows: DataFrame, partitions: int) -> DataFrame:
+    """Admission of team-months with too many rows for a task: bounds until every row is settled."""
+    rows = rows.withColumn("decided", F.lit(None).cast("boolean"))
+    while True:
+        rows = materialize(_settle(rows, partitions))
+        if rows.where(F.col("decided").isNull()).isEmpty():
+            break
+    spent = rows.withColumn("s", F.when(F.col("decided"), F.col("cost")).otherwise(F.lit(0).cast(COST_T)).cast(COST_T))
+    spent = keyed_running_sums(spent, ["s"], ["ts", "event_id"], {"d": ["team_id", "month", "day"], "m": ["team_id", "month"]}, partitions)
+    return spent.select(*_OUT, F.col("decided").alias("allowed"), F.col("s_d").cast(COST_T).alias("du_before"), F.col("s_m").cast(COST_T).alias("mu_before"))
+
+
+def budget_admission(requests: DataFrame, settings: config.GatewaySettings = config.DEFAULT_SETTINGS, partitions: int | None = None,
+                     limits: DataFrame | None = None, fold_rows: int = FOLD_ROWS) -> DataFrame:
     """Per request, in (ts, event_id) order per team: allowed?, reason, spend before.
 
-    A request is admitted when its cost is <= the daily remaining and then <=
-    the monthly remaining (each rounded to 6 places, floored at 0); only
-    admitted spend accumulates; the counters reset at UTC midnight / month start.
-
-    Three exact levels, each touching only what the previous one could not settle:
-
-    1. Under the hypothesis "every row admitted", running day and month spend
-       come from skew-safe keyed prefix sums.  Every row of a (team, month)
-       before its first failing row is exact by induction.
-    2. The tail of a failing (team, month) is split by day.  A day is *free*
-       when ``monthly_limit - month_spend_at_day_start >= daily_limit -
-       day_spend_at_start``: the monthly check can then never bind before the
-       daily one, so the day is settled by a daily-only fold that needs no
-       other day -- one task per (team, day), in parallel.  Month spend at each
-       day start is a running sum over the (small) per-day table.
-    3. Month spend only grows, so once a day is not free no later day is.
-       From that day on (a month within one daily limit of exhaustion) both
-       limits interact and the rows are folded in order, streamed with
-       bounded memory, one task per such (team, month) suffix.  That suffix is
-       an inherent sequential dependency of greedy admission.
-
-    ``requests``: team_id, ts, event_id, cost (decimal).
+    ``requests``: team_id, ts, event_id, est_cost (checked before the call), cost (spent after an admitted call; 0 for a
+    failed one).  Every request is decided.  One is admitted when its estimate is <= what is left of the day's limit and then of the
+    month's (each rounded to 6 places, floored at 0); the counters reset at UTC midnight and month start.
+
+    That is a greedy fold over a team's month.  A team-month of at most ``fold_rows`` requests is folded in one task, streamed
+    and vectorised.  Larger ones (a team with a third of all traffic) never meet in a task: rounds of running sums over time
+    chunks bound what can have been spent before each row and settle the rows that the bounds agree about.
     """
-    ship_package(requests.sparkSession)
-    rows = (with_limits(requests.select("team_id", "ts", "event_id", "cost"), settings)
-            .withColumn("day", day_key(F.col("ts"))).withColumn("month", month_key(F.col("ts"))))
-    h = keyed_running_sums(rows, "cost", ["ts", "event_id"], ["team_id", "month"],
-                           {"h_day": ["team_id", "month", "day"], "h_mon": ["team_id", "month"]}, partitions)
-    h = (h.withColumn("hdu", (F.col("h_day") - F.col("cost")).cast(COST_T))
-         .withColumn("hmu", (F.col("h_mon") - F.col("cost")).cast(COST_T)))
-    ok = (F.col("cost") <= remaining(F.col("daily_limit"), F.col("hdu"))) & \
-         (F.col("cost") <= remaining(F.col("monthly_limit"), F.col("hmu")))
-
-    # level 1 ------------------------------------------------------------------
-    first_fail = (h.where(~ok).groupBy("team_id", "month")
-                  .agg(F.min_by(F.struct(F.col("ts").alias("f_ts"), F.col("event_id").alias("f_id"),
-                                         F.col("day").alias("start_day"), F.col("hdu").alias("start_du"),
-                                         F.col("hmu").alias("start_mu")),
-                                F.struct("ts", "event_id")).alias("ff"))
-                  .select("team_id", "month", "ff.*"))
-    j = h.join(first_fail, ["team_id", "month"], "left")
-    before_fail = (F.col("f_ts").isNull() | (F.col("ts") < F.col("f_ts"))
-                   | ((F.col("ts") == F.col("f_ts")) & (F.col("event_id") < F.col("f_id"))))
-    fast = j.where(before_fail).select(
-        "team_id", "event_id", "ts", "cost", "daily_limit", "monthly_limit", F.lit(True).alias("allowed"),
-        F.lit(None).cast("string").alias("kind"), F.col("hdu").alias("du_before"), F.col("hmu").alias("mu_before"))
-
-    tail = (j.where(~before_fail)
-            .withColumn("cost_u", _units(F.col("cost"))).withColumn("ld_u", _units(F.col("daily_limit")))
-            .withColumn("lm_u", _units(F.col("monthly_limit")))
-            .withColumn("start_du_u", _units(F.col("start_du"))).withColumn("start_mu_u", _units(F.col("start_mu")))
-            .select(*_TAIL_COLS))
-
-    # level 2 ------------------------------------------------------------------
-    # an explicit partition count: AQE must not coalesce the Python fold's input into one task.
-    # checkpointed: the day fold runs once; the per-day table and the row branches read it
     spark = requests.sparkSession
-    n = partitions or max(spark.sparkContext.defaultParallelism,
-                          int(spark.conf.get("spark.sql.shuffle.partitions")))
-    td = materialize(tail.repartition(n, "team_id", "month", "day")
-                     .sortWithinPartitions("team_id", "month", "day", "ts", "event_id")
-                     .mapInPandas(_fold_days, DAILY_SCHEMA))
-    per_day = (td.groupBy("team_id", "month", "day")
-               .agg(F.sum(F.when(F.col("allowed_d"), F.col("cost_u")).otherwise(0)).alias("a_u"),
-                    F.first("start_day").alias("start_day"), F.first("start_du_u").alias("start_du_u"),
-                    F.first("start_mu_u").alias("start_mu_u"), F.first("ld_u").alias("ld_u"),
-                    F.first("lm_u").alias("lm_u")))
-    prev = Window.partitionBy("team_id", "month").orderBy("day").rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.partitionBy("team_id", "month")
-    per_day = (per_day
-               .withColumn("mu0_u", F.col("start_mu_u") + F.coalesce(F.sum("a_u").over(prev), F.lit(0)))
-               .withColumn("du0_u", F.when(F.col("day") == F.col("start_day"), F.col("start_du_u")).otherwise(0))
-               .withColumn("free", (F.col("lm_u") - F.col("mu0_u")) >= (F.col("ld_u") - F.col("du0_u")))
-               .withColumn("first_coupled", F.min(F.when(~F.col("free"), F.col("day"))).over(whole))
-               .withColumn("coupled", F.col("first_coupled").isNotNull() & (F.col("day") >= F.col("first_coupled")))
-               .select("team_id", "month", "day", "mu0_u", "du0_u", "coupled", "first_coupled"))
-    tdd = td.join(per_day, ["team_id", "month", "day"])
-    free_rows = tdd.where(~F.col("coupled")).select(
-        "team_id", "event_id", "ts", "cost", "daily_limit", "monthly_limit", F.col("allowed_d").alias("allowed"),
-        F.when(~F.col("allowed_d"), F.lit("daily")).alias("kind"),
-        _usd_from_units(F.col("du_before_u")).alias("du_before"),
-        _usd_from_units(F.col("mu0_u") + F.col("du_before_u") - F.col("du0_u")).alias("mu_before"))
-
-    # level 3 ------------------------------------------------------------------
-    starts = per_day.where(F.col("day") == F.col("first_coupled")).select(
-        "team_id", "month", F.col("day").alias("c_day"), F.col("du0_u").alias("c_du_u"),
-        F.col("mu0_u").alias("c_mu_u"))
-    # teams x months rows at most; AQE broadcasts it at run time when it is small
-    coupled_in = tdd.where(F.col("coupled")).join(starts, ["team_id", "month"])
-    coupled = (coupled_in.select(*_PASS_NAMES, "c_day", "c_du_u", "c_mu_u")
-               .repartition(n, "team_id", "month")
-               .sortWithinPartitions("team_id", "month", "ts", "event_id")
-               .mapInPandas(_fold_coupled, FOLD_SCHEMA))
-    coupled_rows = coupled.select("team_id", "event_id", "ts", "cost", "daily_limit", "monthly_limit", "allowed",
-                                  "kind", _usd_from_units(F.col("du_before_u")).alias("du_before"),
-                                  _usd_from_units(F.col("mu_before_u")).alias("mu_before"))
-
-    out = fast.unionByName(free_rows).unionByName(coupled_rows)
-    reason = F.when(F.col("kind") == "daily",
-                    denial_reason(F.lit("daily"), F.col("team_id"), F.col("du_before"), F.col("daily_limit"))) \
-        .when(F.col("kind") == "monthly",
-              denial_reason(F.lit("monthly"), F.col("team_id"), F.col("mu_before"), F.col("monthly_limit"))) \
-        .otherwise(F.lit(""))
-    return out.select("event_id", "team_id", "ts", "cost", "allowed", F.col("kind").alias("denied_by"),
-                      reason.alias("reason"), "du_before", "mu_before")
+    ship_package(spark)
+    n = partitions or default_partitions(spark)
+    rows = with_limits(requests.select("team_id", "ts", "event_id", "est_cost", "cost"), settings, limits).withColumns(
+        {"day": day_key(F.col("ts")), "month": month_key(F.col("ts"))})
+    rows = rows.withColumns({c: F.col(c).cast(COST_T) for c in ("est_cost", "cost", "daily_limit", "monthly_limit")})
+    # a row per team and month
+    sizes = requests.groupBy("team_id", month_key(F.col("ts")).alias("month")).agg(F.count(F.lit(1)).alias("n"))
+    hot = sizes.where(F.col("n") > fold_rows).select("team_id", "month")
+    if hot.isEmpty():
+        return explain(_fold_months(rows, n))
+    small = _fold_months(rows.join(hot, ["team_id", "month"], "left_anti"), n)
+    return explain(small.unionByName(_hot_months(rows.join(hot, ["team_id", "month"], "left_semi"), n)))
+
+
+def explain(out: DataFrame) -> DataFrame:
+    """The deciding limit and its text, from the spend before each request: the day's is checked first."""
+    kind = F.when(F.col("allowed"), None).when(F.col("est_cost") > remaining(F.col("daily_limit"), F.col("du_before")), "daily").otherwise("monthly")
+    reason = F.when(kind == "daily", denial_reason(F.lit("daily"), F.col("team_id"), F.col("du_before"), F.col("daily_limit"))) \
+        .when(kind == "monthly", denial_reason(F.lit("monthly"), F.col("team_id"), F.col("mu_before"), F.col("monthly_limit"))).otherwise(F.lit(""))
+    return out.select("event_id", "team_id", "ts", "est_cost", "cost", "allowed", kind.alias("denied_by"), reason.alias("reason"), "du_before", "mu_before")

@@ -1,79 +1,120 @@
-"""Distributed running total (used by W1).
-
-A window with an ORDER BY and no PARTITION BY sends every row to one task.
-Instead: range-partition on the full (unique) sort key, so partitions are
-balanced even if one hour or one timestamp holds a third of the rows; sum
-each partition (one row per partition); prefix-sum those few rows; broadcast
-the offsets (bounded by the partition count, not by the data) and add them
-to a running sum computed inside each partition.
+"""Distributed running sums (W1, W2) over deterministic chunks.
+
+A window with an ORDER BY and no PARTITION BY sends every row to one task.  Instead rows are cut into chunks along the
+order: the borders are quantiles of the order key, found by one aggregate, and an instant that holds more than a chunk's share is
+cut again by the tie-break key.  A row's chunk is a pure function of the row and the borders, so every branch of
+a plan and every retry sees the same chunks and nothing needs a checkpoint.  Chunks are summed (partial aggregation, one
+row per chunk), those few rows prefix-summed, and the offsets added to running sums inside chunks: one row-level exchange.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tollgate.session import materialize
-
-
-def running_sum(df: DataFrame, value: str, order: Sequence[str], out: str,
-                partitions: int | None = None) -> DataFrame:
-    spark = df.sparkSession
-    n = partitions or max(spark.sparkContext.defaultParallelism,
-                          int(spark.conf.get("spark.sql.shuffle.partitions")))
-    # checkpointed: chunk ids must be identical in the local-sum and the totals branch
-    ranged = materialize(df.repartitionByRange(n, *order).withColumn("_chunk", F.spark_partition_id()))
-    local_w = (Window.partitionBy("_chunk").orderBy(*order)
-               .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    local = ranged.withColumn("_local", F.sum(value).over(local_w))
-    chunk_tot = ranged.groupBy("_chunk").agg(F.sum(value).alias("_tot"))
-    # n rows at most: a single-partition window over them is cheap and bounded
+from tollgate.session import default_partitions, ship_package
+
+Bounds = list[tuple[int, int]]
+LEAST = -(1 << 63)
+
+
+def order_key(df: DataFrame, name: str) -> Column:
+    """A time or integer column as a long that sorts alike."""
+    kind = dict(df.dtypes)[name]
+    if kind == "timestamp_ntz":
+        return F.expr(f"timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', `{name}`)")
+    return F.unix_micros(F.col(name)) if kind == "timestamp" else F.col(name).cast("long")
+
+
+def chunk_bounds(df: DataFrame, first: str, second: str, chunks: int) -> Bounds:
+    """Borders (first, second) of about equal chunks, ascending; at most ``chunks`` - 1 pairs go to the driver."""
+    if chunks < 2:
+        return []
+    key = order_key(df, first)
+    shares = [i / chunks for i in range(1, chunks)]
+    found = df.select(F.percentile_approx(key, shares, F.lit(max(10_000, 20 * chunks)))).first()[0] or []
+    at, times = np.unique(np.array(found, np.int64), return_counts=True)
+    bounds = {(int(k), LEAST) for k in at}
+    hot = {int(k): int(m) for k, m in zip(at, times, strict=True) if m > 1}
+    for k, m in hot.items():
+        ids = df.where(key == k).select(F.percentile_approx(F.col(second).cast("long"), [i / m for i in range(1, m)], F.lit(10_000))).first()[0]
+        bounds |= {(k, int(i)) for i in ids or []}
+    return sorted(bounds)
+
+
+def chunk_of(first: Column, second: Column, bounds: Bounds) -> Column:
+    """Number of borders at or before (first, second)."""
+    if not bounds:
+        return F.lit(0)
+    keys = np.array([b[0] for b in bounds], np.int64)
+    ties = np.array([b[1] for b in bounds], np.int64)
+    hot = [int(k) for k, n in zip(*np.unique(keys, return_counts=True), strict=True) if n > 1]
+
+    @F.pandas_udf("int")
+    def place(k: pd.Series, t: pd.Series) -> pd.Series:
+        k, t = k.to_numpy(np.int64), t.to_numpy(np.int64)
+        out = np.searchsorted(keys, k, side="right")
+        for h in hot:
+            rows = np.flatnonzero(k == h)
+            lo = int(np.searchsorted(keys, h, side="left"))
+            out[rows] = lo + np.searchsorted(ties[lo: int(np.searchsorted(keys, h, side="right"))], t[rows], side="right")
+        return pd.Series(out.astype(np.int32))
+
+    return place(first, second)
+
+
+def with_chunk(df: DataFrame, order: Sequence[str], partitions: int | None = None, per_partition: int = 2) -> DataFrame:
+    """``_chunk`` (int) along ``order``, a time or integer column and an integer tie-break."""
+    ship_package(df.sparkSession)
+    first, second = order
+    bounds = chunk_bounds(df, first, second, per_partition * (partitions or default_partitions(df.sparkSession)))
+    return df.withColumn("_chunk", chunk_of(order_key(df, first), F.col(second).cast("long"), bounds))
+
+
+def running_sum(df: DataFrame, value: str, order: Sequence[str], out: str, partitions: int | None = None) -> DataFrame:
+    """Inclusive running sum over all rows in ``order``."""
+    chunked = with_chunk(df, order, partitions)
+    local_w = Window.partitionBy("_chunk").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    local = chunked.withColumn("_local", F.sum(value).over(local_w))
+    # a row per chunk at most: a single-partition window over them is cheap and bounded
     before = Window.orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = chunk_tot.select("_chunk", F.sum("_tot").over(before).alias("_off"))
+    totals = chunked.groupBy("_chunk").agg(F.sum(value).alias("_tot"))
+    offsets = totals.select("_chunk", F.sum("_tot").over(before).alias("_off"))
     zero = F.lit(0).cast(local.schema[value].dataType)
     return (local.join(F.broadcast(offsets), "_chunk", "left")
             .withColumn(out, F.coalesce("_off", zero) + F.col("_local"))
             .drop("_chunk", "_local", "_off"))
 
 
-def keyed_running_sums(df: DataFrame, value: str, order: Sequence[str], lead: Sequence[str],
-                       sums: dict[str, Sequence[str]], partitions: int | None = None) -> DataFrame:
-    """Inclusive running sums of ``value`` within several nested keys, skew-safe.
+def keyed_running_sums(df: DataFrame, values: Sequence[str], order: Sequence[str], keys: dict[str, Sequence[str]],
+                       partitions: int | None = None) -> DataFrame:
+    """Running sums *before* each row of each value within nested keys, skew-safe: columns ``{value}_{name}``.
 
-    ``sums`` maps output column -> key columns; every key must start with the
-    ``lead`` columns (e.g. lead=(team, month), keys (team, month) and
-    (team, month, day)).  Rows are range-partitioned on (lead, order), so a key
-    holding a third of all rows is split over many chunks; each chunk computes
-    local sums, per (chunk, key) totals are prefix-summed in order of chunk
-    (a table of at most partitions + keys rows) and joined back.
+    ``keys`` maps a name to key columns, every key a subset of the longest.  Chunks cut along the order only, so a key that
+    holds a third of all rows is spread over many; per (chunk, key) totals (chunks x keys rows) are prefix-summed and joined back.
     """
-    spark = df.sparkSession
-    n = partitions or max(spark.sparkContext.defaultParallelism,
-                          int(spark.conf.get("spark.sql.shuffle.partitions")))
-    # checkpointed: chunk ids must be identical in every branch below
-    ranged = materialize(df.repartitionByRange(n, *lead, *order).withColumn("_chunk", F.spark_partition_id()))
+    chunked = with_chunk(df, order, partitions)
     # hash on the chunk alone satisfies every (chunk, key...) window below: one exchange for all of them
-    out = ranged.repartition(n, "_chunk")
-    for name, keys in sums.items():
-        local_w = (Window.partitionBy("_chunk", *keys).orderBy(*order)
-                   .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-        out = out.withColumn(f"_l_{name}", F.sum(value).over(local_w))
-    # one totals table at the finest key; each coarser key sums it over earlier chunks
-    # (RANGE frame on the chunk number: every row of a chunk < this one), then one join back
-    finest = max(sums.values(), key=len)
-    if not all(set(k) <= set(finest) for k in sums.values()):
+    out = chunked.repartition("_chunk")
+    finest = max(keys.values(), key=len)
+    if not all(set(k) <= set(finest) for k in keys.values()):
         raise ValueError("every key must be a subset of the longest key")
-    tot = ranged.groupBy("_chunk", *finest).agg(F.sum(value).alias("_t"))
-    offs = tot
-    # coarsest key first: its hash partitioning also clusters every finer key, so one exchange serves all
-    for name, keys in sorted(sums.items(), key=lambda kv: len(kv[1])):
-        before = Window.partitionBy(*keys).orderBy("_chunk").rangeBetween(Window.unboundedPreceding, -1)
-        offs = offs.withColumn(f"_o_{name}", F.sum("_t").over(before))
-    out = out.join(offs.drop("_t"), ["_chunk", *finest], "left")
-    zero = F.lit(0).cast(out.schema[value].dataType)
-    for name in sums:
-        out = out.withColumn(name, F.coalesce(F.col(f"_o_{name}"), zero) + F.col(f"_l_{name}")) \
-            .drop(f"_o_{name}", f"_l_{name}")
+    for name, key in keys.items():
+        w = Window.partitionBy("_chunk", *key).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+        for v in values:
+            out = out.withColumn(f"_l_{v}_{name}", F.sum(v).over(w))
+    totals = chunked.groupBy("_chunk", *finest).agg(*[F.sum(v).alias(f"_t_{v}") for v in values])
+    for name, key in sorted(keys.items(), key=lambda kv: len(kv[1])):
+        w = Window.partitionBy(*key).orderBy("_chunk").rangeBetween(Window.unboundedPreceding, -1)
+        for v in values:
+            totals = totals.withColumn(f"_o_{v}_{name}", F.sum(f"_t_{v}").over(w))
+    out = out.join(totals.drop(*[f"_t_{v}" for v in values]), ["_chunk", *finest], "left")
+    for name in keys:
+        for v in values:
+            zero = F.lit(0).cast(df.schema[v].dataType)
+            out = out.withColumn(f"{v}_{name}", F.coalesce(f"_o_{v}_{name}", zero) + F.coalesce(f"_l_{v}_{name}", zero)).drop(f"_o_{v}_{name}", f"_l_{v}_{name}")
     return out.drop("_chunk")

@@ -35,6 +35,9 @@ def with_price(df: DataFrame, provider: str = "provider_used", model: str = "mod
 
 def with_cost(df: DataFrame, provider: str = "provider_used", model: str = "model_used",
               prompt: str = "prompt_tokens", completion: str = "completion_tokens") -> DataFrame:
-    """F14 on every row: exact decimal ``cost``."""
-    return (with_price(df, provider, model)
-            .withColumn("cost", token_cost(F.col(prompt), F.col(completion), F.col("price_in"), F.col("price_out"))))
+    """F14 on every row: exact decimal ``cost``, and ``est_cost``, what the call may cost at most and is checked against
+    budgets before it: the prompt and as many tokens as it may return (``max_tokens``, or the default)."""
+    most = F.coalesce(F.col("max_tokens"), F.lit(config.DEFAULT_MAX_TOKENS)) if "max_tokens" in df.columns else F.lit(config.DEFAULT_MAX_TOKENS)
+    return with_price(df, provider, model).withColumns({
+        "cost": token_cost(F.col(prompt), F.col(completion), F.col("price_in"), F.col("price_out")),
+        "est_cost": token_cost(F.col(prompt), most.cast("bigint"), F.col("price_in"), F.col("price_out"))})

@@ -1,7 +1,7 @@
 """Dashboard numbers over the whole audit log.
 
-All of them are single aggregations or top-k cuts; the row cut the dashboard
-applies (last 200 entries) is a parameter, not a hidden default.
+All of them are single aggregations or top-k cuts over the whole log; the dashboard's row cut (newest 200 entries) is the
+parameter ``rows`` of ``kpi_summary`` and ``fetched`` of ``audit_table``.
 """
 
 from __future__ import annotations
@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tollgate.functions.money import COST_T
+from tollgate.functions.money import COST_T, usd
 from tollgate.operators.prefix import running_sum
 
 DISPLAY_COLUMNS = ("timestamp", "request_id", "team_id", "provider_used", "model_used", "prompt_tokens",
@@ -17,12 +17,14 @@ DISPLAY_COLUMNS = ("timestamp", "request_id", "team_id", "provider_used", "model
                    "fallback_triggered", "status")
 
 
-def kpi_summary(audit: DataFrame) -> DataFrame:
-    """A4: one row, one pass (partial + final aggregate)."""
+def kpi_summary(audit: DataFrame, rows: int | None = None) -> DataFrame:
+    """A4: one row, one pass (partial + final aggregate) over the exact costs; ``rows``: of the newest entries only."""
+    if rows is not None:
+        audit = audit.orderBy(F.desc("ts"), F.desc("event_id")).limit(rows)
     n = F.count(F.lit(1))
     return audit.agg(
         n.alias("total_requests"),
-        F.round(F.sum(F.col("estimated_cost_usd").cast(COST_T)), 6).cast("double").alias("total_cost_usd"),
+        usd(F.sum("cost").cast(COST_T)).alias("total_cost_usd"),
         F.round(F.count_if("fallback_triggered") / n * 100, 4).alias("fallback_pct"),
         F.count_if(F.col("pii_redaction_count") > 0).alias("pii_requests"),
         F.round(F.avg("latency_ms"), 4).alias("avg_latency_ms"),
@@ -61,10 +63,10 @@ def latency_histogram(audit: DataFrame, bins: int = 30) -> DataFrame:
 
 def cumulative_cost(audit: DataFrame) -> DataFrame:
     """Running total of cost in (timestamp, request) order, exact decimals."""
-    base = audit.select("event_id", "ts", F.col("estimated_cost_usd").cast(COST_T).alias("cost"))
+    base = audit.select("event_id", "ts", F.col("cost").cast(COST_T).alias("cost"))
     out = running_sum(base, "cost", ["ts", "event_id"], "cum")
-    return out.select("event_id", "ts", F.col("cost").cast("double").alias("cost_usd"),
-                      F.round("cum", 6).cast("double").alias("cumulative_cost_usd"))
+    return out.select("event_id", "ts", usd(F.col("cost")).alias("cost_usd"),
+                      usd(F.col("cum")).alias("cumulative_cost_usd"))
 
 
 def audit_table(audit: DataFrame, fetched: int = 200, shown: int = 50) -> DataFrame:

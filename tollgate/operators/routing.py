@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tollgate import config
+from tollgate.functions.money import usd
 
 TRIED = ("ok", "error")
 
@@ -45,7 +46,9 @@ def resolve_routes(attempts: DataFrame, priority=config.PROVIDERS, carry: tuple[
     so response facts need no join back to the attempts.
     """
     pos = F.array_position(candidates(F.col("preferred"), priority), F.col("provider"))
-    a = attempts.withColumn("pos", pos).where(F.col("pos") > 0)
+    # an attempt by a provider that isn't a candidate settles nothing, but its request stays
+    a = attempts.withColumn("pos", F.when(pos > 0, pos))
+    slots = range(1, len(priority) + 2)
     tried = F.col("outcome").isin(*TRIED)
     ok = F.col("outcome") == "ok"
     err_text = F.when(F.col("outcome") == "unconfigured", F.lit(config.UNCONFIGURED_MSG)) \
@@ -59,9 +62,10 @@ def resolve_routes(attempts: DataFrame, priority=config.PROVIDERS, carry: tuple[
         F.min_by(F.when(ok, F.col("provider")), F.when(ok, F.col("pos"))).alias("provider_used"),
         F.min_by(F.when(ok, F.col("attempt_id")), F.when(ok, F.col("pos"))).alias("served_attempt_id"),
         *([F.min_by(F.when(ok, F.struct(*carry)), F.when(ok, F.col("pos"))).alias("served")] if carry else []),
-        F.array_sort(F.collect_list(F.when(~ok, F.struct("pos", "provider", err_text.alias("err")))))
-        .alias("errs"),
-    )
+        # one error a provider, its last one; there are as many positions as candidates, so no list grows with the attempts
+        *[F.max_by(F.when(~ok & (F.col("pos") == p), F.struct("pos", "provider", err_text.alias("err"))),
+                   F.when(~ok & (F.col("pos") == p), F.col("attempt_id"))).alias(f"_e{p}") for p in slots],
+    ).withColumn("errs", F.filter(F.array(*[F.col(f"_e{p}") for p in slots]), lambda e: e.isNotNull()))
     used = F.col("used_pos")
     fallback = used.isNotNull() & (used > F.col("first_pos"))
     trace = F.filter("errs", lambda e: used.isNull() | (e["pos"] < used))
@@ -89,7 +93,7 @@ def failed_requests(routes: DataFrame) -> DataFrame:
         F.size(errs).alias("n_providers"))
 
 
-RESPONSE_FACTS = ("model_used", "prompt_tokens", "completion_tokens", "estimated_cost_usd", "pii_redaction_count",
+RESPONSE_FACTS = ("model_used", "prompt_tokens", "completion_tokens", "cost", "pii_redaction_count",
                   "pii_entities_redacted", "latency_ms", "timestamp")
 
 
@@ -107,7 +111,7 @@ def response_assembly(routes: DataFrame) -> DataFrame:
         "provider_used", s("model_used").alias("model_used"), s("prompt_tokens").alias("prompt_tokens"),
         s("completion_tokens").alias("completion_tokens"),
         (s("prompt_tokens") + s("completion_tokens")).alias("total_tokens"),
-        s("estimated_cost_usd").alias("estimated_cost_usd"),
+        usd(s("cost")).alias("estimated_cost_usd"),
         (s("pii_redaction_count") > 0).alias("pii_redacted"),
         F.array_join(s("pii_entities_redacted"), ",").alias("pii_entities"),
         s("pii_redaction_count").alias("pii_count"),

@@ -228,13 +228,15 @@ def audit_log(spark, sf):
     return audit_io.audit_projection(costed(spark, sf))
 
 
-def _flat_entities(df):
-    return df.withColumn("pii_entities_redacted", F.array_join("pii_entities_redacted", ","))
+def _shown(df):
+    """Audit entries for comparison: entity lists joined, costs rounded to 6 places (here only)."""
+    return df.withColumns({"pii_entities_redacted": F.array_join("pii_entities_redacted", ","),
+                           "estimated_cost_usd": money.usd(money.from_log(F.col("estimated_cost_usd")))})
 
 
 @register("audit_projection")
 def q_audit_projection(spark, sf):
-    return _flat_entities(audit_io.audit_only(audit_log(spark, sf)))
+    return _shown(audit_io.audit_only(audit_log(spark, sf)))
 
 
 @register("kpi_summary")
@@ -264,7 +266,8 @@ def q_cumulative_cost(spark, sf):
 
 @register("audit_table")
 def q_audit_table(spark, sf):
-    return reports.audit_table(audit_log(spark, sf))
+    return reports.audit_table(audit_log(spark, sf)).withColumn(
+        "estimated_cost_usd", money.usd(money.from_log(F.col("estimated_cost_usd"))))
 
 
 @register("entities_distinct")
@@ -284,11 +287,21 @@ def requests_with_messages(spark, sf):
     return traffic.gw_requests(conv).join(traffic.request_messages(conv), "request_id")
 
 
+_ONE = '{"messages":[{"role":"user","content":"x"}],'
+ODD_BODIES = (_ONE + '"max_tokens":"abc"}', _ONE + '"max_tokens":2.5}', _ONE + '"max_tokens":null}', _ONE + '"temperature":"hot"}',
+              _ONE + '"stream":"maybe"}', '{"messages":"hi"}', '{"messages":[1]}', '{"messages":[{"role":"user","content":123}]}',
+              _ONE + '"max_tokens":"12","stream":"yes","temperature":1}', '[]', '{"model":"gpt-4o"}', _ONE + '"team_id":7,"model":1}')
+
+
 def request_bodies(spark, sf):
-    """Raw JSON bodies as a client would send them (null fields omitted)."""
+    """Raw JSON bodies as clients send them (null fields omitted), some of them malformed or wrongly typed."""
     r = requests_with_messages(spark, sf)
-    return r.select("request_id", "api_key", F.to_json(F.struct("messages", "model", "provider", "max_tokens",
-                                                               "temperature")).alias("body"))
+    body = F.to_json(F.struct("messages", "model", "provider", "max_tokens", "temperature"))
+    kind = F.col("request_id") % 17
+    sent = F.when(kind == 1, F.substr(body, F.lit(1), (F.length(body) / 2).cast("int")))
+    for n, text in enumerate(ODD_BODIES, start=2):
+        sent = sent.when(kind == n, F.lit(text))
+    return r.select("request_id", "api_key", sent.otherwise(body).alias("body"))
 
 
 @register("request_ingest")
@@ -296,7 +309,7 @@ def q_request_ingest(spark, sf):
     out = auth.ingest(request_bodies(spark, sf))
     return out.select("request_id", "valid", F.array_join("errors", ",").alias("errors"), "provider", "model",
                       F.col("max_tokens").cast("bigint").alias("max_tokens"), "temperature", "team_id", "stream",
-                      F.size("messages").cast("bigint").alias("n_messages"))
+                      F.when(F.col("messages").isNotNull(), F.size("messages")).cast("bigint").alias("n_messages"))
 
 
 @register("request_defaults")
@@ -459,9 +472,8 @@ def q_breaker_states(spark, sf):
 
 
 def _health(spark, sf, settings=config.DEFAULT_SETTINGS):
-    att = attempts(spark, sf)
-    as_of = att.select(F.max("attempt_s")).scalar()
-    return breaker.provider_health(breaker.breaker_states(att), dims.provider_dim(spark, settings), as_of)
+    return breaker.provider_health(attempts(spark, sf), dims.provider_dim(spark, settings), threshold=settings.breaker_threshold,
+                                   cooldown_s=settings.breaker_cooldown_s)
 
 
 @register("provider_health")
@@ -479,16 +491,20 @@ def q_provider_display_state(spark, sf):
 # -- budget admission -------------------------------------------------------------
 
 
+def admission_requests(spark, sf):
+    """Every request with its estimate; a failed call is checked and spends nothing."""
+    return costed(spark, sf).withColumn("cost", F.when(F.col("status") == "error", F.lit(0).cast(schemas.COST)).otherwise(F.col("cost")))
+
+
 def admission(spark, sf):
-    reqs = costed(spark, sf).where(F.col("status") != "error")
-    return budget.budget_admission(reqs)
+    return budget.budget_admission(admission_requests(spark, sf))
 
 
 @register("budget_admission")
 def q_budget_admission(spark, sf):
     return admission(spark, sf).select(
-        "event_id", "team_id", "ts", money.usd(F.col("cost")).alias("cost_usd"), "allowed", "denied_by", "reason",
-        money.usd(F.col("du_before")).alias("daily_used_before_usd"),
+        "event_id", "team_id", "ts", money.usd(F.col("est_cost")).alias("estimated_cost_usd"), money.usd(F.col("cost")).alias("cost_usd"),
+        "allowed", "denied_by", "reason", money.usd(F.col("du_before")).alias("daily_used_before_usd"),
         money.usd(F.col("mu_before")).alias("monthly_used_before_usd"))
 
 
@@ -522,7 +538,7 @@ def q_audit_jsonl_roundtrip(spark, sf):
     back = audit_io.read_jsonl(spark, path)
     return (back.groupBy(F.substring("timestamp", 1, 10).alias("day"))
             .agg(F.count(F.lit(1)).alias("entries"),
-                 F.round(F.sum(F.col("estimated_cost_usd").cast(money.COST_T)), 6).cast("double").alias("cost_usd"),
+                 money.usd(F.sum(money.from_log(F.col("estimated_cost_usd")))).alias("cost_usd"),
                  F.sum("pii_redaction_count").alias("pii_redactions"),
                  F.count_if(F.col("status") == "success").alias("successes")))
 
@@ -533,7 +549,7 @@ def q_audit_jsonl_scan(spark, sf):
     path = shared_path(spark, "audit-lines")
     audit_io.write_lines(audit_io.to_log_lines(audit_log(spark, sf), _corrupt()), path)
     back = audit_io.read_jsonl(spark, path)
-    return _flat_entities(back.select(*[c for c in back.columns if c != "day"]))
+    return _shown(back.select(*[c for c in back.columns if c != "day"]))
 
 
 @register("audit_recent")
@@ -541,7 +557,7 @@ def q_audit_recent(spark, sf):
     """S3: recent_entries(limit=100) over the log with half-written lines."""
     lines = audit_io.to_log_lines(audit_log(spark, sf), _corrupt())
     out = audit_io.recent_entries(lines, 100)
-    return out.select("seq", "request_id", "team_id", "status", "estimated_cost_usd")
+    return out.select("seq", "request_id", "team_id", "status", money.usd(money.from_log(F.col("estimated_cost_usd"))).alias("estimated_cost_usd"))
 
 
 @register("siem_envelope")
@@ -554,7 +570,7 @@ def q_siem_envelope(spark, sf):
     parsed = body.select(F.from_json("body", env).alias("e"), no_content.alias("no_content"))
     return parsed.select(F.col("e.event.request_id").alias("request_id"), F.col("e.event.team_id").alias("team_id"),
                          F.col("e.event.status").alias("status"),
-                         F.col("e.event.estimated_cost_usd").alias("estimated_cost_usd"),
+                         money.usd(money.from_log(F.col("e.event.estimated_cost_usd"))).alias("estimated_cost_usd"),
                          F.col("e.sourcetype").alias("sourcetype"), "no_content")
 
 
@@ -583,7 +599,7 @@ def q_stream_breaker(spark, sf):
 
 @register("stream_audit_sink")
 def q_stream_audit_sink(spark, sf):
-    return _flat_entities(streams.stream_audit_sink(spark, sf))
+    return _shown(streams.stream_audit_sink(spark, sf))
 
 
 @register("stream_kpi")
@@ -611,7 +627,7 @@ def q_batch_completion(spark, sf):
 @register("team_keys")
 def q_team_keys(spark, sf):
     """The key -> team dimension as the traffic uses it (keys kept as SHA-256 digests only)."""
-    keys = F.broadcast(dims.key_dim(spark))
+    keys = dims.key_dim(spark)
     r = requests(spark, sf).where(F.col("api_key").isNotNull() & (F.col("api_key") != ""))
     used = r.groupBy(F.sha2("api_key", 256).alias("key_sha256")).agg(F.count(F.lit(1)).alias("n_requests"))
     return used.join(keys, "key_sha256", "left").select("key_sha256", "team_id", "n_requests")

@@ -7,18 +7,6 @@ MESSAGE = T.StructType([
     T.StructField("content", T.StringType()),
 ])
 
-REQUEST = T.StructType([
-    T.StructField("request_id", T.LongType()),
-    T.StructField("api_key", T.StringType()),
-    T.StructField("provider", T.StringType()),
-    T.StructField("model", T.StringType()),
-    T.StructField("max_tokens", T.IntegerType()),
-    T.StructField("temperature", T.DoubleType()),
-    T.StructField("team_id", T.StringType()),
-    T.StructField("stream", T.BooleanType()),
-    T.StructField("messages", T.ArrayType(MESSAGE)),
-])
-
 AUDIT = T.StructType([
     T.StructField("timestamp", T.StringType()),
     T.StructField("request_id", T.StringType()),
@@ -39,14 +27,6 @@ AUDIT = T.StructType([
 ])
 AUDIT_COLUMNS = [f.name for f in AUDIT.fields]
 
-ATTEMPT = T.StructType([
-    T.StructField("request_id", T.LongType()),
-    T.StructField("provider", T.StringType()),
-    T.StructField("attempt_s", T.LongType()),
-    T.StructField("outcome", T.StringType()),
-    T.StructField("error_msg", T.StringType()),
-])
-
 PRICE = T.StructType([
     T.StructField("provider", T.StringType(), False),
     T.StructField("model", T.StringType(), False),
@@ -54,5 +34,8 @@ PRICE = T.StructType([
     T.StructField("output", T.DecimalType(12, 8), False),
 ])
 
-# money is carried as an exact decimal and turned into a rounded double at the edge
-COST = T.DecimalType(20, 12)
+# Money is an exact decimal and turned into a rounded double at the edge.  One request's cost: prices have 8 places and are
+# per 1000 tokens.  Sums have 26 digits before the point; limits 20, so "no limit" can be any large number.
+COST = T.DecimalType(28, 11)
+SPEND = T.DecimalType(37, 11)
+LIMIT = T.DecimalType(24, 4)

@@ -5,7 +5,6 @@ from __future__ import annotations
 import os
 import tempfile
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 DEFAULT_CONF = {
@@ -54,47 +53,47 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir() or local
 
 
-def spread(df: DataFrame, min_partitions: int | None = None, fan_out: int = 8) -> DataFrame:
-    """Round-robin a narrow scan only when it yields fewer splits than cores.
-
-    Large inputs already arrive as many file splits and are left alone (no
-    shuffle).  A file holding one huge row group would otherwise put every row
-    in one task; such a scan is spread over up to ``fan_out`` times its split
-    count, so a tiny table on a large cluster is not cut into thousands of
-    empty partitions.
-    """
-    spark = df.sparkSession
-    cores = min_partitions or spark.sparkContext.defaultParallelism
-    splits = df.rdd.getNumPartitions()
-    if splits >= cores:
-        return df
-    return df.repartition(min(cores, max(1, splits) * fan_out))
+def default_partitions(spark: SparkSession) -> int:
+    """Tasks for a shuffle that feeds Python: the configured number, every core at least."""
+    return max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint into the cluster's shared checkpoint folder.
+def spread(df: DataFrame, partitions: int | None = None) -> DataFrame:
+    """Deal a scan's rows evenly over ``partitions`` tasks; None (the default) leaves the scan's own splits.
 
-    Used where one intermediate feeds several branches and must be identical
-    in all of them (e.g. chunk ids taken from a range partitioning, whose
-    sampled bounds could differ if the exchange were recomputed).  It also cuts
-    the lineage, so a lost executor does not replay the whole plan.
+    Wanted where a table is a single file with one row group, which one task would read whole.
     """
-    ensure_checkpoint_dir(df.sparkSession)
-    # an eager reliable checkpoint computes the plan once to count and again to write the files;
-    # persisting first makes the second pass read the cached blocks.  Once the files exist the
-    # returned DataFrame reads them, so the cache is released.
-    cached = df.persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        return cached.checkpoint(eager=True)
-    finally:
-        cached.unpersist()
+    return df if partitions is None else df.repartition(partitions)
+
+
+_SHARED: list[tuple[SparkSession, str]] = []
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A fresh folder under the shared checkpoint location (never a machine-local temp dir)."""
+    """A fresh folder under the shared checkpoint location (never a machine-local temp dir); see ``release_shared``."""
     import uuid
-    base = ensure_checkpoint_dir(spark).rstrip("/")
-    return f"{base}/tollgate/{name}-{uuid.uuid4().hex}"
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/tollgate/{name}-{uuid.uuid4().hex}"
+    _SHARED.append((spark, path))
+    return path
+
+
+def release_shared(spark: SparkSession, keep: tuple[str, ...] = ()) -> None:
+    """Remove the folders that jobs of this process made in the shared location, but for those under ``keep``: intermediate
+    tables, and sinks and logs of queries whose results have been used."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for entry in list(_SHARED):
+        if not entry[1].startswith(keep or ("\0",)):
+            _SHARED.remove(entry)
+            path = jvm.org.apache.hadoop.fs.Path(entry[1])
+            path.getFileSystem(conf).delete(path, True)
+
+
+def materialize(df: DataFrame, name: str = "table") -> DataFrame:
+    """Write ``df`` as Parquet into the shared folder and read it back: lineage is cut, so a lost executor doesn't replay the
+    plan, and an iteration's tables are computed once.  ``release_shared`` removes it."""
+    path = shared_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 _SHIPPED: set[str] = set()

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tollgate import config, schemas
-from tollgate.functions.money import usd
+from tollgate.functions.money import logged
 
 
 def iso_timestamp(ts: Column) -> Column:
@@ -20,7 +20,7 @@ def iso_timestamp(ts: Column) -> Column:
 
 
 def audit_projection(costed: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
-    """AuditEntry rows from costed gateway traffic (plus ``ts``/``event_id`` for ordering)."""
+    """AuditEntry rows from costed gateway traffic (plus ``ts``/``event_id`` for ordering and the exact ``cost``)."""
     fallback_from = F.coalesce(F.col("provider_requested"), F.col("provider_used"))
     return costed.select(
         iso_timestamp(F.col("ts")).alias("timestamp"),
@@ -28,7 +28,7 @@ def audit_projection(costed: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame
         "team_id", "provider_requested", "provider_used", "model_used",
         F.col("prompt_tokens").cast("bigint").alias("prompt_tokens"),
         F.col("completion_tokens").cast("bigint").alias("completion_tokens"),
-        usd(F.col("cost")).alias("estimated_cost_usd"),
+        logged(F.col("cost")).alias("estimated_cost_usd"),
         F.coalesce(F.split(F.col("pii_csv"), ","), F.array().cast("array<string>")).alias("pii_entities_redacted"),
         F.col("pii_redaction_count").cast("int").alias("pii_redaction_count"),
         F.col("latency_ms").cast("double").alias("latency_ms"),
@@ -37,7 +37,7 @@ def audit_projection(costed: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame
                                                      F.lit(": unknown error"))).alias("fallback_reason"),
         F.col("status"),
         F.when(F.col("status") == "error", F.lit("All providers failed")).alias("error_message"),
-        F.col("ts"), F.col("event_id"), *keep,
+        F.col("ts"), F.col("event_id"), F.col("cost"), *keep,
     )
 
 
@@ -46,10 +46,16 @@ def audit_only(df: DataFrame) -> DataFrame:
     return df.select(*schemas.AUDIT_COLUMNS)
 
 
-def write_jsonl(df: DataFrame, path: str, mode: str = "append") -> None:
-    """One JSON object per line, partitioned by UTC day so readers prune files."""
-    (audit_only(df).withColumn("day", F.substring("timestamp", 1, 10))
-     .write.mode(mode).partitionBy("day").option("compression", "none").json(path))
+def clustered(entries: DataFrame, files_per_day: int = 1) -> DataFrame:
+    """Entries (with ``day``) dealt so that a day is written by ``files_per_day`` tasks, not by all of them."""
+    salt = F.pmod(F.xxhash64("request_id"), F.lit(files_per_day))
+    return entries.repartition("day", salt)
+
+
+def write_jsonl(df: DataFrame, path: str, mode: str = "append", files_per_day: int = 1) -> None:
+    """One JSON object per line, partitioned by UTC day so readers prune files; a few files a day."""
+    entries = audit_only(df).withColumn("day", F.substring("timestamp", 1, 10))
+    clustered(entries, files_per_day).write.mode(mode).partitionBy("day").option("compression", "none").json(path)
 
 
 def read_jsonl(spark, path: str, quarantine: bool = False) -> DataFrame:

@@ -23,8 +23,7 @@ def price_dim(spark: SparkSession) -> DataFrame:
 
 def key_dim(spark: SparkSession) -> DataFrame:
     """API key -> team.  Keys are kept only as SHA-256 digests."""
-    df = spark.createDataFrame(list(config.TEAM_KEYS), "api_key string, team_id string")
-    return df.select(F.sha2("api_key", 256).alias("key_sha256"), "team_id")
+    return spark.createDataFrame(list(config.TEAM_KEYS), "key_sha256 string, team_id string")
 
 
 def provider_dim(spark: SparkSession, settings: config.GatewaySettings = config.DEFAULT_SETTINGS) -> DataFrame:
@@ -45,7 +44,7 @@ def provider_dim(spark: SparkSession, settings: config.GatewaySettings = config.
 def budget_dim(spark: SparkSession, settings: config.GatewaySettings = config.DEFAULT_SETTINGS) -> DataFrame:
     """Configured team limits (teams not listed fall back to the defaults, J3)."""
     rows = [(t, Decimal(d), Decimal(m)) for t, d, m in settings.team_budgets]
-    return spark.createDataFrame(rows, "team_id string, daily_limit decimal(12,4), monthly_limit decimal(12,4)")
+    return spark.createDataFrame(rows, "team_id string, daily_limit decimal(24,4), monthly_limit decimal(24,4)")
 
 
 def latest_budget_config(changes: DataFrame) -> DataFrame:

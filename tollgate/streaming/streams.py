@@ -1,50 +1,32 @@
 """Structured Streaming forms of the gateway's online path.
 
-Every stream reads files incrementally, writes to a checkpointed sink in the
-shared folder (exactly-once file sinks), and can run continuously or, as in
-the registered queries, with ``trigger(availableNow=True)`` over what is
-there.  Event time is the request timestamp (cast to a zoned timestamp under
-the session's UTC zone; the watermark rejects ``timestamp_ntz``).
+Every stream reads files incrementally, writes under a checkpointed location in the shared folder (file sinks, or folders that
+an epoch overwrites when it is replayed: exactly-once either way), and can run continuously or, as in the registered queries,
+with ``trigger(availableNow=True)`` over what is there.  Files needn't be in time order: no row is dropped for being late.
+``max_files`` bounds the files of a micro-batch; None takes all there are.
 """
 
 from __future__ import annotations
 
-from contextlib import contextmanager
-from decimal import Decimal
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-from pyspark.sql.streaming.state import GroupStateTimeout
 
-from tollgate import config
+from tollgate import config, schemas
 from tollgate.functions import money, pii
-from tollgate.operators import budget, pricing, reports
-from tollgate.operators.budget import _remaining_py
+from tollgate.operators import breaker, budget, pricing, reports
 from tollgate.session import shared_path, ship_package
-from tollgate.streaming.breaker_processor import BreakerProcessor
 from tollgate.sources import audit_io, traffic
+from tollgate.streaming.ordered import OrderedStream
+from tollgate.streaming.session import utc
 
 
-def read_stream(spark: SparkSession, sf_dir: str, name: str, max_files: int = 1) -> DataFrame:
+def read_stream(spark: SparkSession, sf_dir: str, name: str, max_files: int | None = None) -> DataFrame:
     """Incremental read of one table's files (the file source needs a directory or a glob)."""
-    ship_package(spark)  # stateful stream functions run in executor Python workers
+    ship_package(spark)  # steps run in executor Python workers
     path = f"{sf_dir.rstrip('/')}/{name}.parque[t]"
     schema = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet").schema
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files).parquet(path)
-
-
-@contextmanager
-def utc(spark: SparkSession):
-    """Event time is UTC (day windows, watermarks); the caller's zone is restored afterwards.
-    Sink values (dates, naive timestamps) do not depend on the zone they are read under."""
-    old = spark.conf.get("spark.sql.session.timeZone")
-    spark.conf.set("spark.sql.session.timeZone", "UTC")
-    try:
-        yield
-    finally:
-        spark.conf.set("spark.sql.session.timeZone", old)
+    reader = spark.readStream.schema(schema)
+    return (reader if max_files is None else reader.option("maxFilesPerTrigger", max_files)).parquet(path)
 
 
 def run_to_files(df: DataFrame, name: str, fmt: str = "parquet", mode: str = "append") -> str:
@@ -69,15 +51,11 @@ def run_foreach_batch(df: DataFrame, name: str, fn, mode: str = "complete") -> s
     return target
 
 
-def with_event_time(events: DataFrame, delay: str = "1 hour") -> DataFrame:
-    return events.withColumn("ets", F.col("ts").cast("timestamp")).withWatermark("ets", delay)
-
-
 # -- T1 ------------------------------------------------------------------------------
 
-def stream_redact(spark: SparkSession, sf_dir: str) -> DataFrame:
+def stream_redact(spark: SparkSession, sf_dir: str, max_files: int | None = None) -> DataFrame:
     """F8 on a stream of documents; stateless, same column functions as the batch job."""
-    docs = read_stream(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = read_stream(spark, sf_dir, "documents", max_files).select("doc_id", "text")
     out = pii.redact_steps(docs, "text").select(
         "doc_id", F.col("pii_text").alias("redacted_text"), F.col("pii_count").alias("redaction_count"),
         F.array_join("pii_entities", ",").alias("entities_found"))
@@ -86,170 +64,146 @@ def stream_redact(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # -- T2 ------------------------------------------------------------------------------
 
-def stream_daily_usage(spark: SparkSession, sf_dir: str, delay: str = "1 hour") -> DataFrame:
-    """Tumbling calendar-day spend/count per team, emitted once the watermark closes the day.
+def stream_daily_usage(spark: SparkSession, sf_dir: str, delay: str = "1 hour", max_files: int | None = None) -> DataFrame:
+    """Spend and count per team and calendar day, kept current by every micro-batch.
 
-    Built and run under UTC: zone-aware expressions take the zone at analysis time.
+    A batch adds its own sums per team and day (a few rows, in a folder of its epoch); the table is their total, so rows of any
+    age count.  A day is ``closed`` once the newest event is ``delay`` past its end; rows that come later still add to it.
     """
+    def add(batch: DataFrame, epoch: int, target: str) -> None:
+        costed = pricing.with_cost(traffic.gw_audit(batch))
+        done = F.col("status") == "success"
+        costed.groupBy("team_id", money.day_key(F.col("ts")).alias("day")).agg(
+            F.sum(F.when(done, F.col("cost"))).cast(money.COST_T).alias("cost"), F.count_if(done).alias("n_requests"), F.max("ts").alias("newest"),
+        ).write.mode("overwrite").parquet(f"{target}/epoch={epoch}")
+
     with utc(spark):
-        ev = with_event_time(read_stream(spark, sf_dir, "events"), delay)
-        costed = pricing.with_cost(traffic.gw_audit(ev, keep=("ets",)))
-        agg = (costed.where(F.col("status") == "success")
-               .groupBy("team_id", F.window("ets", "1 day").alias("w"))
-               .agg(F.sum("cost").alias("cost"), F.count(F.lit(1)).alias("n_requests")))
-        out = agg.select("team_id", F.to_date(F.col("w.start")).alias("day"),
-                         money.usd(F.col("cost")).alias("cost_usd"), "n_requests")
-        path = run_to_files(out, "daily-usage")
-    return spark.read.parquet(path)
+        parts = spark.read.parquet(run_foreach_batch(read_stream(spark, sf_dir, "events", max_files), "daily-usage", add, mode="append"))
+        newest = parts.select(F.max("newest")).scalar()
+        day_end = F.date_add("day", 1).cast("timestamp_ntz")
+        return (parts.groupBy("team_id", "day").agg(F.sum("cost").cast(money.COST_T).alias("cost"), F.sum("n_requests").alias("n_requests"))
+                .where("n_requests > 0")
+                .select("team_id", "day", money.usd(F.col("cost")).alias("cost_usd"), "n_requests",
+                        (day_end <= newest.cast("timestamp_ntz") - F.expr(f"INTERVAL {delay}")).alias("closed")))
 
 
 # -- T3 ------------------------------------------------------------------------------
 
-ADMIT_OUT = T.StructType([
-    T.StructField("team_id", T.StringType()), T.StructField("event_id", T.LongType()),
-    T.StructField("ts", T.TimestampNTZType()), T.StructField("cost", T.DecimalType(20, 12)),
-    T.StructField("daily_limit", T.DecimalType(12, 4)), T.StructField("monthly_limit", T.DecimalType(12, 4)),
-    T.StructField("allowed", T.BooleanType()), T.StructField("denied_by", T.StringType()),
-    T.StructField("du_before", T.DecimalType(20, 12)), T.StructField("mu_before", T.DecimalType(20, 12)),
-])
-ADMIT_STATE = ("day string, du string, month string, mu string, last_ts timestamp_ntz, last_id long, "
-               "n_late long")
+#: Stands for the request that opens a day; sorts before every other.
+OPENING = -(1 << 63)
 
 
-def _admit_with_state(key, pdfs, state):
-    """Per team: admit this micro-batch's requests in (ts, id) order from the stored spend.
+def admission_step(settings: config.GatewaySettings, limits: DataFrame | None = None):
+    """W2 over released requests, from the spend per team and day that earlier releases left.
 
-    A micro-batch of one team is small (bounded by maxFilesPerTrigger); rows
-    older than the last processed request are late: emitted as
-    ``denied_by = 'late'`` (never silently dropped) and counted in the state.
+    That spend stands in as one request at the start of each day, admitted whatever the limit (estimate 0).  A late request is
+    decided by the spend of its own day so far and of the month's days up to its own.
     """
-    pdf = pd.concat(list(pdfs), ignore_index=True).sort_values(["ts", "event_id"], kind="stable")
-    if state.exists:
-        day, du, month, mu, last_ts, last_id, n_late = state.get
-        du, mu = Decimal(du), Decimal(mu)
-    else:
-        day, du, month, mu, last_ts, last_id, n_late = None, Decimal(0), None, Decimal(0), None, None, 0
-    out = {f.name: [] for f in ADMIT_OUT.fields}
-    for r in pdf.itertuples(index=False):
-        ts = pd.Timestamp(r.ts).to_pydatetime()
-        late = last_ts is not None and (ts, r.event_id) < (last_ts, last_id)
-        d, m = ts.date().isoformat(), ts.strftime("%Y-%m")
-        for k in ("team_id", "event_id", "cost", "daily_limit", "monthly_limit"):
-            out[k].append(getattr(r, k))
-        out["ts"].append(ts)
-        if late:
-            n_late += 1
-            out["allowed"].append(None)
-            out["denied_by"].append("late")
-            out["du_before"].append(None)
-            out["mu_before"].append(None)
-            continue
-        if d != day:
-            day, du = d, Decimal(0)
-        if m != month:
-            month, mu = m, Decimal(0)
-        out["du_before"].append(du)
-        out["mu_before"].append(mu)
-        if r.cost > _remaining_py(r.daily_limit, du):
-            out["allowed"].append(False)
-            out["denied_by"].append("daily")
-        elif r.cost > _remaining_py(r.monthly_limit, mu):
-            out["allowed"].append(False)
-            out["denied_by"].append("monthly")
-        else:
-            out["allowed"].append(True)
-            out["denied_by"].append(None)
-            du += r.cost
-            mu += r.cost
-        last_ts, last_id = ts, r.event_id
-    state.update((day, str(du), month, str(mu), last_ts, last_id, n_late))
-    yield pd.DataFrame(out)
-
-
-def stream_budget_admission(spark: SparkSession, sf_dir: str,
-                            settings: config.GatewaySettings = config.DEFAULT_SETTINGS) -> DataFrame:
-    """W2 online: per-team state {day, spend, month, spend}; equals W2 when input arrives in order."""
-    ev = read_stream(spark, sf_dir, "events")
-    reqs = pricing.with_cost(traffic.gw_audit(ev)).where(F.col("status") != "error")
-    rows = budget.with_limits(reqs.select("team_id", "ts", "event_id", "cost"), settings)
-    out = rows.groupBy("team_id").applyInPandasWithState(
-        _admit_with_state, ADMIT_OUT, ADMIT_STATE, "append", GroupStateTimeout.NoTimeout)
-    reason = F.when(F.col("denied_by") == "daily",
-                    money.denial_reason(F.lit("daily"), F.col("team_id"), F.col("du_before"), F.col("daily_limit"))) \
-        .when(F.col("denied_by") == "monthly",
-              money.denial_reason(F.lit("monthly"), F.col("team_id"), F.col("mu_before"), F.col("monthly_limit"))) \
-        .otherwise(F.lit(""))
-    final = out.select("event_id", "team_id", "ts", money.usd(F.col("cost")).alias("cost_usd"), "allowed",
-                       "denied_by", reason.alias("reason"),
-                       money.usd(F.col("du_before")).alias("daily_used_before_usd"),
-                       money.usd(F.col("mu_before")).alias("monthly_used_before_usd"))
-    return spark.read.parquet(run_to_files(final, "budget-admission"))
+    def step(rows: DataFrame, state: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+        reqs = rows.select("team_id", "ts", "event_id", "est_cost", "cost")
+        if state is not None:
+            touched = reqs.select("team_id", money.month_key(F.col("ts")).alias("month")).distinct()
+            opening = state.withColumn("month", money.month_key(F.col("day"))).join(touched, ["team_id", "month"], "left_semi")
+            reqs = reqs.unionByName(opening.select("team_id", F.col("day").cast("timestamp_ntz").alias("ts"), F.lit(OPENING).alias("event_id"),
+                                                   F.lit(0).cast(schemas.COST).alias("est_cost"), F.col("spent").alias("cost")))
+        decided = budget.budget_admission(reqs, settings, limits=limits).where(F.col("event_id") != OPENING)
+        flags = rows.select(F.col("event_id").alias("_e"), "late")
+        out = decided.join(flags, F.col("event_id") == F.col("_e")).drop("_e")
+        spent = decided.where("allowed").select("team_id", money.day_key(F.col("ts")).alias("day"), F.col("cost").cast(money.COST_T).alias("spent"))
+        spent = spent if state is None else spent.unionByName(state.select("team_id", "day", "spent"))
+        return out, spent.groupBy("team_id", "day").agg(F.sum("spent").cast(money.COST_T).alias("spent"))
+    return step
+
+
+def admission_stream(spark: SparkSession, delay_s: float = 3600, settings: config.GatewaySettings = config.DEFAULT_SETTINGS,
+                     limits: DataFrame | None = None) -> OrderedStream:
+    return OrderedStream(spark, "budget-admission", "ts", delay_s, admission_step(settings, limits))
+
+
+def admission_input(events: DataFrame) -> DataFrame:
+    costed = pricing.with_cost(traffic.gw_audit(events))
+    return costed.select("team_id", "ts", "event_id", "est_cost",
+                         F.when(F.col("status") == "error", F.lit(0).cast(schemas.COST)).otherwise(F.col("cost")).alias("cost"))
+
+
+def stream_budget_admission(spark: SparkSession, sf_dir: str, settings: config.GatewaySettings = config.DEFAULT_SETTINGS,
+                            delay_s: float = 3600, max_files: int | None = None) -> DataFrame:
+    """W2 online.  Every request is decided; equals W2 when no request comes over ``delay_s`` late."""
+    with utc(spark):
+        out = admission_stream(spark, delay_s, settings).run(admission_input(read_stream(spark, sf_dir, "events", max_files)))
+        return out.select("event_id", "team_id", "ts", money.usd(F.col("est_cost")).alias("estimated_cost_usd"), money.usd(F.col("cost")).alias("cost_usd"),
+                          "allowed", "denied_by", "reason", money.usd(F.col("du_before")).alias("daily_used_before_usd"),
+                          money.usd(F.col("mu_before")).alias("monthly_used_before_usd"), "late")
 
 
 # -- T4 ------------------------------------------------------------------------------
 
-BREAKER_OUT = ("provider string, attempt_id long, attempt_s long, outcome string, failures_after long, "
-               "tripped_at_after long, trip_set boolean, expired boolean")
+def breaker_step(threshold: int, cooldown_s: int):
+    """W3 over released attempts, from the state that earlier releases left.  Late attempts can't change what was already
+    reported: they are in the side table only."""
+    def step(rows: DataFrame, state: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+        fresh = rows.where(~F.col("late"))
+        out = breaker.breaker_states(fresh, threshold, cooldown_s, opening=state)
+        return out, breaker.breaker_final(fresh, threshold, cooldown_s, opening=state)
+    return step
 
 
-@contextmanager
-def rocksdb_state(spark: SparkSession):
-    """transformWithState keeps its state in RocksDB; restore the caller's provider afterwards."""
-    key = "spark.sql.streaming.stateStore.providerClass"
-    old = spark.conf.get(key, None)
-    spark.conf.set(key, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    try:
-        yield
-    finally:
-        if old is None:
-            spark.conf.unset(key)
-        else:
-            spark.conf.set(key, old)
+def breaker_stream(spark: SparkSession, delay_s: float = 3600, threshold: int = config.BREAKER_FAILURE_THRESHOLD,
+                   cooldown_s: int = config.BREAKER_COOLDOWN_SECONDS) -> OrderedStream:
+    return OrderedStream(spark, "breaker", "attempt_s", delay_s, breaker_step(threshold, cooldown_s))
 
 
-def stream_breaker(spark: SparkSession, sf_dir: str, threshold: int = config.BREAKER_FAILURE_THRESHOLD,
-                   cooldown_s: int = config.BREAKER_COOLDOWN_SECONDS) -> DataFrame:
-    """T4: W3 online, with an event-time cooldown timer; equals W3 when attempts arrive in order.
+def breaker_input(events: DataFrame) -> DataFrame:
+    return traffic.gw_attempts(events).where(F.col("outcome").isin("ok", "error")).select("provider", "attempt_id", "attempt_s", "outcome")
 
-    Attempts older than the watermark (out-of-order beyond the stated delay) are dropped by the
-    stateful operator, which is the stream's late-data rule.
-    """
-    # the derived attempt clock starts at 0 s; a row exactly at the initial watermark (the epoch)
-    # would count as late, so event time is the attempt clock plus one second
-    offset = 1
-    with utc(spark), rocksdb_state(spark):
-        att = (traffic.gw_attempts(read_stream(spark, sf_dir, "events"))
-               .where(F.col("outcome").isin("ok", "error"))
-               .select("provider", "attempt_id", "attempt_s", "outcome",
-                       F.timestamp_seconds(F.col("attempt_s") + offset).alias("ets"))
-               .withWatermark("ets", "0 seconds"))
-        out = att.groupBy("provider").transformWithStateInPandas(
-            BreakerProcessor(threshold, cooldown_s, offset), BREAKER_OUT, "Append", "EventTime")
-        path = run_to_files(out, "breaker")
-    return spark.read.parquet(path)
+
+def stream_breaker(spark: SparkSession, sf_dir: str, threshold: int = config.BREAKER_FAILURE_THRESHOLD,
+                   cooldown_s: int = config.BREAKER_COOLDOWN_SECONDS, delay_s: float = 3600, max_files: int | None = None) -> DataFrame:
+    """T4: W3 online; equals W3 when no attempt comes over ``delay_s`` late."""
+    return breaker_stream(spark, delay_s, threshold, cooldown_s).run(breaker_input(read_stream(spark, sf_dir, "events", max_files)))
 
 
 # -- T5 ------------------------------------------------------------------------------
 
-def stream_audit_sink(spark: SparkSession, sf_dir: str, delay: str = "1 hour") -> DataFrame:
-    """T5: the audit log as an exactly-once JSON file sink, one record per request even when
-    the source delivers requests twice (at-least-once upstream)."""
+def audit_sink_paths(target: str) -> tuple[str, str, str]:
+    """(JSON lines of the log, bodies for the SIEM webhook, index of the entries written)."""
+    return f"{target}/log", f"{target}/siem", f"{target}/written"
+
+
+def append_audit(audit: DataFrame, epoch: int, target: str) -> None:
+    """Append one batch's entries to the log and, as envelopes, to the SIEM outbox: every request once, whatever was
+    delivered twice and however late.
+
+    Entries already written are found by request id among those of the same days (an index of ids by day).  The batch goes to
+    folders of its epoch, which a replay overwrites.
+    """
+    spark = audit.sparkSession
+    log, siem, written = audit_sink_paths(target)
+    entries = audit_io.audit_only(audit).dropDuplicates(["request_id"]).withColumn("day", F.substring("timestamp", 1, 10))
+    if epoch:
+        seen = spark.read.parquet(written).where(F.col("epoch") < epoch).select("day", "request_id")
+        entries = entries.join(seen, ["day", "request_id"], "left_anti")
+    audit_io.clustered(entries).write.mode("overwrite").partitionBy("day").json(f"{log}/epoch={epoch}")
+    own = spark.read.schema(schemas.AUDIT).json(f"{log}/epoch={epoch}")
+    audit_io.siem_envelope(own).write.mode("overwrite").text(f"{siem}/epoch={epoch}")
+    own.select("request_id", F.substring("timestamp", 1, 10).alias("day")).write.mode("overwrite").partitionBy("day").parquet(f"{written}/epoch={epoch}")
+
+
+def stream_audit_sink(spark: SparkSession, sf_dir: str, max_files: int | None = None) -> DataFrame:
+    """T5: the audit log (and the SIEM outbox beside it) as an exactly-once sink; returns the log read back."""
     with utc(spark):
-        ev1 = read_stream(spark, sf_dir, "events")
-        ev2 = read_stream(spark, sf_dir, "events")
-        ev = with_event_time(ev1.unionByName(ev2), delay).dropDuplicatesWithinWatermark(["event_id"])
-        audit = audit_io.audit_projection(pricing.with_cost(traffic.gw_audit(ev)))
-        path = run_to_files(audit_io.audit_only(audit), "audit-sink", fmt="json")
-    from tollgate import schemas
-    return spark.read.schema(schemas.AUDIT).json(path)
+        def write(batch: DataFrame, epoch: int, target: str) -> None:
+            append_audit(audit_io.audit_projection(pricing.with_cost(traffic.gw_audit(batch))), epoch, target)
+
+        target = run_foreach_batch(read_stream(spark, sf_dir, "events", max_files), "audit-sink", write, mode="append")
+    return spark.read.schema(schemas.AUDIT).json(audit_sink_paths(target)[0]).select(*schemas.AUDIT_COLUMNS)
 
 
 # -- T6 ------------------------------------------------------------------------------
 
-def stream_kpi(spark: SparkSession, sf_dir: str) -> DataFrame:
+def stream_kpi(spark: SparkSession, sf_dir: str, max_files: int | None = None) -> DataFrame:
     """Dashboard KPIs kept current: complete-mode aggregate, each batch overwrites one small table."""
-    ev = read_stream(spark, sf_dir, "events")
-    audit = audit_io.audit_projection(pricing.with_cost(traffic.gw_audit(ev)))
+    audit = audit_io.audit_projection(pricing.with_cost(traffic.gw_audit(read_stream(spark, sf_dir, "events", max_files))))
     kpi = reports.kpi_summary(audit)
 
     def overwrite(batch: DataFrame, epoch: int, target: str) -> None:
