@@ -86,10 +86,3 @@ def redact_steps(df: DataFrame, text_col: str, entities: Sequence[str] | None =
     return (out.withColumn(f"{prefix}_count", total.cast("int"))
             .withColumn(f"{prefix}_entities", found)
             .drop(f"{prefix}_g_at", f"{prefix}_g_digit"))
-
-
-def redaction_summary(prefix: str = "pii") -> Column:
-    """PIIRedactionSummary struct from the columns ``redact_steps`` adds."""
-    return F.struct((F.col(f"{prefix}_count") > 0).alias("redacted"),
-                    F.col(f"{prefix}_entities").alias("entities_found"),
-                    F.col(f"{prefix}_count").alias("redaction_count"))

@@ -70,14 +70,25 @@ def with_payload(requests: DataFrame) -> DataFrame:
 
 
 def batch_complete(payloads: DataFrame, adapter=echo_adapter) -> DataFrame:
-    """Run ``adapter`` over Arrow batches; adapter exceptions become an ``error`` value per batch row."""
+    """Run ``adapter`` over Arrow batches.
+
+    An adapter reports a failed request in its ``error`` column.  If it raises, its batch is halved until the requests
+    that fail stand alone; each of those gets the exception as its ``error``, and the others their answers.
+    """
     ship_package(payloads.sparkSession)
+
+    def answers(pdf):
+        try:
+            return [adapter(pdf)]
+        except Exception as e:  # noqa: BLE001 - an adapter failure is data, not a job failure
+            if len(pdf) > 1:
+                half = len(pdf) // 2
+                return answers(pdf.iloc[:half]) + answers(pdf.iloc[half:])
+            return [pd.DataFrame({"request_id": pdf["request_id"], "provider": pdf["provider"], "model_used": pdf["model"], "content": None,
+                                  "prompt_tokens": None, "completion_tokens": None, "error": f"{type(e).__name__}: {e}"})]
+
     def run(batches):
         for pdf in batches:
-            try:
-                yield adapter(pdf)
-            except Exception as e:  # noqa: BLE001 - an adapter failure is data, not a job failure
-                yield pd.DataFrame({"request_id": pdf["request_id"], "provider": pdf["provider"],
-                                    "model_used": pdf["model"], "content": None, "prompt_tokens": None,
-                                    "completion_tokens": None, "error": f"{type(e).__name__}: {e}"})
+            yield from answers(pdf)
+
     return payloads.mapInPandas(run, RESULT_SCHEMA)

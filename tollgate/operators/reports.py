@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tollgate import config
 from tollgate.functions.money import COST_T, usd
 from tollgate.operators.prefix import running_sum
 
@@ -82,3 +83,9 @@ def audit_table(audit: DataFrame, fetched: int = 200, shown: int = 50) -> DataFr
 def entities_distinct(audit: DataFrame) -> DataFrame:
     """The set of entity types present in the log."""
     return audit.select(F.explode("pii_entities_redacted").alias("entity_type")).distinct()
+
+
+def dashboard(audit: DataFrame, settings: config.GatewaySettings = config.DEFAULT_SETTINGS) -> dict[str, DataFrame]:
+    """The dashboard's numbers under a job's options: rows shown, histogram bins."""
+    return {"kpi": kpi_summary(audit, settings.dashboard_rows), "providers": requests_by_provider(audit), "pii": pii_breakdown(audit),
+            "latency": latency_histogram(audit, settings.histogram_bins), "table": audit_table(audit, settings.dashboard_rows, settings.dashboard_shown)}

@@ -20,6 +20,7 @@ from tollgate.operators import auth, breaker, budget, completion, detector, pric
 from tollgate.session import shared_path, ship_package, spread
 from tollgate.sources import audit_io, dims, traffic
 from tollgate.sources.tables import read_table
+from tollgate.plans import request_job
 from tollgate.streaming import streams
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -508,6 +509,24 @@ def q_budget_admission(spark, sf):
         money.usd(F.col("mu_before")).alias("monthly_used_before_usd"))
 
 
+def latest_limits(spark, sf):
+    return dims.latest_budget_config(traffic.budget_changes(events(spark, sf)))
+
+
+@register("budget_admission_configured")
+def q_budget_admission_configured(spark, sf):
+    """W2 under the budgets that S9 finds in the change log."""
+    return budget.budget_admission(admission_requests(spark, sf), limits=latest_limits(spark, sf)).select(
+        "event_id", "allowed", "denied_by", money.usd(F.col("du_before")).alias("daily_used_before_usd"),
+        money.usd(F.col("mu_before")).alias("monthly_used_before_usd"))
+
+
+@register("all_teams_budget_configured")
+def q_all_teams_budget_configured(spark, sf):
+    """J4 and A3 under the budgets that S9 finds in the change log."""
+    return budget.all_teams_budget(daily(spark, sf), limits=latest_limits(spark, sf))
+
+
 @register("budget_reason")
 def q_budget_reason(spark, sf):
     """the denial messages, one row per denied request."""
@@ -554,16 +573,19 @@ def q_audit_jsonl_scan(spark, sf):
 
 @register("audit_recent")
 def q_audit_recent(spark, sf):
-    """S3: recent_entries(limit=100) over the log with half-written lines."""
-    lines = audit_io.to_log_lines(audit_log(spark, sf), _corrupt())
-    out = audit_io.recent_entries(lines, 100)
+    """S3: recent_entries over a log on disk with half-written lines."""
+    path = shared_path(spark, "audit-recent")
+    audit_io.write_lines(audit_io.to_log_lines(audit_log(spark, sf), _corrupt()), path)
+    out = audit_io.recent_entries(audit_io.read_lines(spark, path), config.DEFAULT_SETTINGS.audit_recent_limit)
     return out.select("seq", "request_id", "team_id", "status", money.usd(money.from_log(F.col("estimated_cost_usd"))).alias("estimated_cost_usd"))
 
 
 @register("siem_envelope")
 def q_siem_envelope(spark, sf):
     """The webhook bodies; fields read back out of the JSON text (one parse per body)."""
-    body = audit_io.siem_envelope(audit_log(spark, sf))
+    path = shared_path(spark, "siem")
+    audit_io.write_siem(audit_log(spark, sf), path)
+    body = spark.read.text(path).withColumnRenamed("value", "body")
     env = T.StructType([T.StructField("event", schemas.AUDIT), T.StructField("sourcetype", T.StringType())])
     # a key is `"name":` in the text; inside an escaped JSON string that byte sequence cannot occur
     no_content = (F.instr("body", '"content":') == 0) & (F.instr("body", '"prompt":') == 0)
@@ -624,6 +646,34 @@ def q_batch_completion(spark, sf):
     return completion.batch_complete(completion.with_payload(_payload_base(spark, sf)))
 
 
+def job_bodies(spark, sf):
+    """Request bodies with the time of each request's first attempt."""
+    first = events(spark, sf).groupBy(F.expr("CAST(floor(event_id / 4) AS BIGINT)").alias("request_id")).agg(F.min("ts").alias("ts"))
+    return request_bodies(spark, sf).join(first, "request_id")
+
+
+def job_attempts(spark, sf):
+    facts = pricing.with_cost(traffic.gw_audit(events(spark, sf), keep=("event_type",))).drop("provider_used")
+    return traffic.gw_attempts(facts, keep=request_job.FACTS)
+
+
+@register("request_job")
+def q_request_job(spark, sf):
+    """The whole request path: every request's outcome, and what its audit entry and response hold."""
+    done = request_job.run_requests(job_bodies(spark, sf), job_attempts(spark, sf))
+    return done.select("request_id", "ts", "team_id", "http_status", "status", "provider_requested", "provider_used", "model_used", "prompt_tokens_est",
+                       "prompt_tokens", "completion_tokens", money.usd(F.col("est_cost")).alias("estimated_cost_usd"), money.usd(F.col("cost")).alias("cost_usd"),
+                       "pii_redaction_count", F.array_join("pii_entities_redacted", ",").alias("pii_entities"), "latency_ms", "fallback_triggered",
+                       "fallback_reason", "denied_by", "error_message")
+
+
+@register("request_job_audit")
+def q_request_job_audit(spark, sf):
+    """The audit entries of the whole request path."""
+    done = request_job.run_requests(job_bodies(spark, sf), job_attempts(spark, sf))
+    return _shown(audit_io.audit_only(request_job.audit_entries(done))).drop("latency_ms")
+
+
 @register("team_keys")
 def q_team_keys(spark, sf):
     """The key -> team dimension as the traffic uses it (keys kept as SHA-256 digests only)."""

@@ -46,6 +46,11 @@ def audit_only(df: DataFrame) -> DataFrame:
     return df.select(*schemas.AUDIT_COLUMNS)
 
 
+def log_entries(audit: DataFrame) -> DataFrame:
+    """An entry as it is written: its ingest sequence first, then the 16 columns; ``day`` is for the folders."""
+    return audit.select(F.col("event_id").alias("seq"), *schemas.AUDIT_COLUMNS, F.substring("timestamp", 1, 10).alias("day"))
+
+
 def clustered(entries: DataFrame, files_per_day: int = 1) -> DataFrame:
     """Entries (with ``day``) dealt so that a day is written by ``files_per_day`` tasks, not by all of them."""
     salt = F.pmod(F.xxhash64("request_id"), F.lit(files_per_day))
@@ -54,8 +59,7 @@ def clustered(entries: DataFrame, files_per_day: int = 1) -> DataFrame:
 
 def write_jsonl(df: DataFrame, path: str, mode: str = "append", files_per_day: int = 1) -> None:
     """One JSON object per line, partitioned by UTC day so readers prune files; a few files a day."""
-    entries = audit_only(df).withColumn("day", F.substring("timestamp", 1, 10))
-    clustered(entries, files_per_day).write.mode(mode).partitionBy("day").option("compression", "none").json(path)
+    clustered(log_entries(df), files_per_day).write.mode(mode).partitionBy("day").option("compression", "none").json(path)
 
 
 def read_jsonl(spark, path: str, quarantine: bool = False) -> DataFrame:
@@ -83,7 +87,7 @@ def siem_envelope(df: DataFrame) -> DataFrame:
 def to_log_lines(audit: DataFrame, corrupt: Column | None = None) -> DataFrame:
     """Serialized log lines (``seq``, ``line``) in ingest order; ``corrupt`` marks rows written truncated
     (a partially flushed line), to exercise the reader's malformed-line handling."""
-    line = F.to_json(F.struct(*schemas.AUDIT_COLUMNS))
+    line = F.to_json(F.struct(F.col("event_id").alias("seq"), *schemas.AUDIT_COLUMNS))
     if corrupt is not None:
         line = F.when(corrupt, F.substring(line, 1, F.length(line) / 2)).otherwise(line)
     return audit.select(F.col("event_id").alias("seq"), F.substring("timestamp", 1, 10).alias("day"),
@@ -92,8 +96,18 @@ def to_log_lines(audit: DataFrame, corrupt: Column | None = None) -> DataFrame:
 
 def write_lines(lines: DataFrame, path: str) -> None:
     """S1 for pre-serialized lines: plain text, one line per entry, partitioned by day."""
-    lines.select("day", "line").write.mode("append").partitionBy("day").text(path)
+    lines.select("day", "line").repartition("day").write.mode("append").partitionBy("day").text(path)
+
+
+def read_lines(spark, path: str) -> DataFrame:
+    """(seq, line) of a log on disk, as S1 writes it: the sequence stands at the start of a line, so a half-written one has it too."""
+    lines = spark.read.text(path).select(F.col("value").alias("line"))
+    return lines.select(F.regexp_extract("line", '^\\{"seq":([0-9]+),', 1).try_cast("bigint").alias("seq"), "line").where("line != ''")
+
 
+def write_siem(entries: DataFrame, path: str, mode: str = "append") -> None:
+    """S4 as a sink: one webhook body a line, for a forwarder to post."""
+    siem_envelope(entries).write.mode(mode).text(path)
 
 def recent_entries(lines: DataFrame, limit: int = 100) -> DataFrame:
     """S3: the newest ``limit`` lines by ingest sequence, parsed; malformed ones are dropped

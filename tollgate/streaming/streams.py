@@ -179,13 +179,13 @@ def append_audit(audit: DataFrame, epoch: int, target: str) -> None:
     """
     spark = audit.sparkSession
     log, siem, written = audit_sink_paths(target)
-    entries = audit_io.audit_only(audit).dropDuplicates(["request_id"]).withColumn("day", F.substring("timestamp", 1, 10))
+    entries = audit_io.log_entries(audit).dropDuplicates(["request_id"])
     if epoch:
         seen = spark.read.parquet(written).where(F.col("epoch") < epoch).select("day", "request_id")
         entries = entries.join(seen, ["day", "request_id"], "left_anti")
     audit_io.clustered(entries).write.mode("overwrite").partitionBy("day").json(f"{log}/epoch={epoch}")
     own = spark.read.schema(schemas.AUDIT).json(f"{log}/epoch={epoch}")
-    audit_io.siem_envelope(own).write.mode("overwrite").text(f"{siem}/epoch={epoch}")
+    audit_io.write_siem(own, f"{siem}/epoch={epoch}", mode="overwrite")
     own.select("request_id", F.substring("timestamp", 1, 10).alias("day")).write.mode("overwrite").partitionBy("day").parquet(f"{written}/epoch={epoch}")
 
 
