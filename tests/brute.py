@@ -30,18 +30,18 @@ def breaker_fold(rows, threshold=3, cooldown=60):
 
 
 def admission_fold(rows, limits, default=(Decimal(10), Decimal(200))):
-    """rows: (team, ts, event_id, cost Decimal) -> {event_id: (allowed, kind, du_before, mu_before)}."""
+    """rows: (team, ts, event_id, est Decimal, cost Decimal) -> {event_id: (allowed, kind, du_before, mu_before)}."""
     du, mu = defaultdict(Decimal), defaultdict(Decimal)
     out = {}
-    for team, ts, eid, cost in sorted(rows, key=lambda r: (r[0], r[1], r[2])):
+    for team, ts, eid, est, cost in sorted(rows, key=lambda r: (r[0], r[1], r[2])):
         ld, lm = limits.get(team, default)
         dk, mk = (team, ts.date()), (team, (ts.year, ts.month))
         rd = max(Decimal(0), ld - du[dk]).quantize(Q6, ROUND_HALF_UP)
         rm = max(Decimal(0), lm - mu[mk]).quantize(Q6, ROUND_HALF_UP)
         before = (du[dk], mu[mk])
-        if cost > rd:
+        if est > rd:
             out[eid] = (False, "daily") + before
-        elif cost > rm:
+        elif est > rm:
             out[eid] = (False, "monthly") + before
         else:
             out[eid] = (True, None) + before

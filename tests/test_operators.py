@@ -1,6 +1,7 @@
 """Literal and whole-table checks for the non-sequential operators (expected values: FIXTURES.md)."""
 
 import datetime as dt
+import os
 import re
 from decimal import Decimal
 
@@ -11,9 +12,9 @@ from conftest import SF001, SF01
 from tollgate import config
 from tollgate.functions import messages as msg
 from tollgate.functions.money import token_cost, usd
-from tollgate.operators import auth, completion, detector, pricing, routing
-from tollgate.plans import catalog
-from tollgate.sources import audit_io
+from tollgate.operators import auth, breaker, completion, detector, pricing, reports, routing
+from tollgate.plans import catalog, request_job
+from tollgate.sources import audit_io, dims
 
 
 def _cost(spark, rows):
@@ -66,6 +67,81 @@ def test_ingest_rules(spark):
     assert got[5]["errors"] == ["messages_missing"]
 
 
+X = '"messages":[{"role":"user","content":"x"}]'
+
+
+@pytest.mark.parametrize("body,errors", [
+    ('{%s,"max_tokens":"abc"}' % X, ["max_tokens_type"]), ('{%s,"max_tokens":2.5}' % X, ["max_tokens_type"]), ('{%s,"max_tokens":null}' % X, ["max_tokens_type"]),
+    ('{%s,"temperature":"hot"}' % X, ["temperature_type"]), ('{%s,"stream":"maybe"}' % X, ["stream_type"]), ('{"messages":[{"role":"user","content":123}]}', ["message_content"]),
+    ('{"messages":"hi"}', ["messages_type"]), ('{"messages":[1]}', ["messages_type"]), ('{"messages":null}', ["messages_type"]), ("[]", ["json"]), ("", ["json"]), (None, ["json"]),
+    ('{%s,"max_tokens":"12","temperature":"0.5","stream":"off","model":null,"provider":null}' % X, []), ('{%s,"max_tokens":2.0,"temperature":1,"stream":1}' % X, []),
+    ('{%s,"model":5}' % X, ["model_type"]), ('{%s,"team_id":null}' % X, ["team_id_type"]), ('{%s,"provider":7}' % X, ["provider_enum"]),
+    ('{%s,"max_tokens":9000,"temperature":-1}' % X, ["max_tokens_range", "temperature_range"]), ('{"messages":[]}', [])])
+def test_ingest_types(spark, body, errors):
+    r = auth.ingest(spark.createDataFrame([(body,)], "body string")).first()
+    assert r["errors"] == errors and r["valid"] == (not errors)
+
+
+def test_words_split_as_python_does(spark):
+    texts = ["a\x1cb", "a\x1d\x1e\x1fb c", "\u00a0x\u2003y", "\x85z"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    assert [r[0] for r in df.select(msg.word_count(F.col("t"))).collect()] == [len(t.split()) for t in texts]
+
+
+ATTEMPTS = "request_id long, provider string, outcome string, error_msg string, preferred string, attempt_id long"
+
+
+def test_attempts_of_no_candidate_settle_nothing(spark):
+    df = spark.createDataFrame([(1, "elsewhere", "ok", None, "openai", 1), (2, "elsewhere", "error", "x", None, 2), (2, "gemini", "error", "y", None, 3)], ATTEMPTS)
+    got = {r["request_id"]: r for r in routing.resolve_routes(df).collect()}
+    assert got[1]["status"] == "error" and got[1]["provider_errors"] == []
+    assert [(e["provider"], e["err"]) for e in got[2]["provider_errors"]] == [("gemini", "y")]
+    assert {r["request_id"] for r in routing.failed_requests(routing.resolve_routes(df)).collect()} == {1, 2}
+
+
+def test_a_provider_that_fails_twice_is_listed_once(spark):
+    df = spark.createDataFrame([(1, "openai", "error", "first", None, 1), (1, "openai", "error", "second", None, 2), (1, "gemini", "error", "g", None, 3)], ATTEMPTS)
+    r = routing.failed_requests(routing.resolve_routes(df)).first()
+    assert r["error_message"] == "All providers failed after trying: ['openai', 'gemini']" and r["provider_errors"] == "openai: second; gemini: g"
+
+
+def test_options_reach_the_jobs(spark):
+    """What a setting changes."""
+    audit = catalog.audit_log(spark, SF001)
+    board = reports.dashboard(audit, config.GatewaySettings(dashboard_rows=40, dashboard_shown=7, histogram_bins=3))
+    assert board["kpi"].first()["total_requests"] == 40 and board["table"].count() == 7 and board["latency"].agg(F.max("bin")).first()[0] == 2
+    bodies = spark.createDataFrame([(1, dt.datetime(2024, 1, 1), "sk-gateway-default-001", '{"messages":[{"role":"user","content":"mail a@b.com or 10.0.0.1"}]}')],
+                                   "request_id long, ts timestamp_ntz, api_key string, body string")
+    facts = "request_id long, attempt_id long, provider string, preferred string, outcome string, error_msg string, model_used string, prompt_tokens long, completion_tokens long, cost decimal(28,11), latency_ms double"
+    tried = spark.createDataFrame([(1, 1, "gemini", None, "ok", None, "m", 5, 5, Decimal("0.01"), 1.0), (1, 2, "openai", None, "ok", None, "m", 5, 5, Decimal("0.02"), 1.0)], facts)
+    run = lambda **o: request_job.run_requests(bodies, tried, config.GatewaySettings(**o)).first()
+    assert run()["provider_used"] == "openai" and run(provider_priority=("gemini", "openai"))["provider_used"] == "gemini"
+    assert run()["pii_entities_redacted"] == ["EMAIL_ADDRESS", "IP_ADDRESS"] and run(pii_entities=("IP_ADDRESS",))["pii_entities_redacted"] == ["IP_ADDRESS"]
+    off = run(pii_redaction_enabled=False)
+    assert off["pii_redaction_count"] == 0 and off["redacted_messages"][0]["content"] == "mail a@b.com or 10.0.0.1"
+    assert run(default_daily_budget_usd="0")["status"] == "budget_exceeded" and run()["status"] == "success"
+    att = spark.createDataFrame([("openai", 1, 1, "error"), ("openai", 2, 2, "error")], "provider string, attempt_id long, attempt_s long, outcome string")
+    health = lambda **o: breaker.provider_health(att, dims.provider_dim(spark), **o).where("provider = 'openai'").first()["open"]
+    assert health() is False and health(threshold=2) is True and health(threshold=2, as_of=100, cooldown_s=10) is False
+
+
+def test_audit_log_has_few_files_a_day(spark, tmp_path):
+    audit_io.write_jsonl(catalog.audit_log(spark, SF01), str(tmp_path / "log"))
+    days = [d for d in (tmp_path / "log").iterdir() if d.is_dir()]
+    assert max(len(list(d.glob("*.json"))) for d in days) == 1
+    recent = audit_io.recent_entries(audit_io.read_lines(spark, str(tmp_path / "log")), 5).collect()
+    assert [r["seq"] for r in recent] == [9999, 9998, 9997, 9996, 9995]
+
+
+def test_shared_folders_are_released(spark):
+    from tollgate.session import materialize, release_shared
+    materialize(spark.range(5))
+    path = materialize(spark.range(3)).inputFiles()[0].removeprefix("file:").removeprefix("//")
+    assert os.path.exists(path)
+    release_shared(spark)
+    assert not os.path.exists(path)
+
+
 def test_payload_shapes(spark):
     m = [("system", "sys one"), ("user", "hi"), ("system", "sys two"), ("assistant", "yo"), ("user", "last")]
     df = spark.createDataFrame([(m,)], "messages array<struct<role:string,content:string>>")
@@ -125,9 +201,9 @@ def test_admission_whole_view(spark):
     adm = catalog.admission(spark, SF01)
     got = {(r["team_id"], r["denied_by"]): r["n"] for r in adm.groupBy("team_id", "denied_by").agg(
         F.count(F.lit(1)).alias("n")).collect()}
-    assert got == {("finance-team", None): 1114, ("finance-team", "daily"): 847,
-                   ("engineering-team", None): 711, ("engineering-team", "monthly"): 1389,
-                   ("marketing-team", None): 1978, ("default", None): 1947}
+    assert got == {("finance-team", None): 1442, ("finance-team", "daily"): 1042,
+                   ("engineering-team", None): 900, ("engineering-team", "monthly"): 1725,
+                   ("marketing-team", None): 2459, ("default", None): 2432}
 
 
 def test_cumulative_cost_last_equals_total(spark):
@@ -193,6 +269,12 @@ def test_batch_completion_adapter_errors_are_data(spark):
     assert r["error"] == "RuntimeError: vendor down" and r["content"] is None
 
 
+def test_one_bad_payload_fails_one_request(spark):
+    rows = [(i, "openai", "gpt-4o", "{bad" if i == 41 else '{"messages":[{"role":"user","content":"hi there"}]}') for i in range(100)]
+    got = completion.batch_complete(spark.createDataFrame(rows, "request_id long, provider string, model string, payload string")).collect()
+    assert [r["request_id"] for r in got if r["error"]] == [41] and sum(r["content"] == "hi there" for r in got) == 99
+
+
 def test_token_estimate_whole_table(spark):
     conv = catalog.read_table(spark, SF01, "conversations")
     total = conv.select(F.sum(msg.token_estimate(msg.word_count(F.col("text")))).alias("s")).first()["s"]

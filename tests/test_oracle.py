@@ -12,7 +12,8 @@ from check_oracle import compare, duck  # noqa: E402
 from conftest import SF001  # noqa: E402
 
 NAMES = sorted(E.queries())
-WITHOUT_SQL = {"detector_plugin"}  # checked against a Python brute force in test_operators
+#: checked against brute force in test_operators, or in tests/llm
+WITHOUT_SQL = set(NAMES) - set(E.oracle_sql())
 
 
 @pytest.fixture(scope="module")
@@ -21,7 +22,8 @@ def con():
 
 
 def test_every_query_has_oracle_or_reason():
-    assert set(NAMES) - set(E.oracle_sql()) == WITHOUT_SQL
+    # training-data operators that SQL can't express have brute-force tests of their own
+    assert {n for n in WITHOUT_SQL if not n.startswith("op") and n != "pipeline"} <= {"detector_plugin"}
 
 
 def test_entry_runs(spark):
@@ -32,4 +34,4 @@ def test_entry_runs(spark):
 @pytest.mark.parametrize("name", NAMES)
 def test_query_matches_oracle(spark, con, name):
     status, msg = compare(spark, con, name, SF001, E.queries(), E.oracle_sql())
-    assert status in ("ok", "rows"), msg
+    assert status == ("rows" if name in WITHOUT_SQL else "ok"), msg

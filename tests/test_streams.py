@@ -1,23 +1,29 @@
-"""Stateful streams across micro-batches: state carries over, late rows follow the stated rule."""
+"""Streams over tables in several files that overlap in time: nothing is lost, state carries over, late rows are decided."""
 
 import datetime as dt
 import os
 import time
+from decimal import Decimal
 
 import pandas as pd
-from pyspark.sql import functions as F
+import pytest
+from conftest import SF001
 
+
+from tollgate import config, schemas
+
+from tollgate.plans import catalog
 from tollgate.streaming import streams
 
 EVENT_COLS = ["event_id", "ts", "user_id", "event_type", "value", "props"]
 
 
 def _write_batches(root, batches):
-    # a folder named like the table: the stream lists it and takes one file per micro-batch
+    # a folder named like the table; files in the order of their times
     d = os.path.join(root, "events.parquet")
     os.makedirs(d)
     for i, rows in enumerate(batches):
-        pdf = pd.DataFrame(rows, columns=EVENT_COLS)
+        pdf = rows if isinstance(rows, pd.DataFrame) else pd.DataFrame(rows, columns=EVENT_COLS)
         pdf["ts"] = pd.to_datetime(pdf["ts"])
         pdf.to_parquet(os.path.join(d, f"part-{i}.parquet"), index=False, coerce_timestamps="us")
         t = time.time() + i * 10
@@ -25,39 +31,116 @@ def _write_batches(root, batches):
     return root
 
 
-def test_budget_stream_state_and_late_rows(spark, tmp_path):
+@pytest.fixture(scope="module")
+def overlapping(spark, tmp_path_factory):
+    """The events table as four files dealt row by row, so that all overlap in time."""
+    pdf = spark.read.parquet(f"{SF001}/events.parquet").toPandas().sort_values("event_id")
+    return _write_batches(str(tmp_path_factory.mktemp("ov")), [pdf.iloc[k::4].copy() for k in range(4)])
+
+
+@pytest.mark.parametrize("max_files", [None, 1])
+def test_audit_sink_keeps_every_request(spark, overlapping, max_files):
+    log = streams.stream_audit_sink(spark, overlapping, max_files)
+    assert log.count() == log.select("request_id").distinct().count() == 1000
+
+
+def test_audit_sink_writes_what_comes_twice_once(spark, tmp_path):
+    pdf = spark.read.parquet(f"{SF001}/events.parquet").toPandas()
+    root = _write_batches(str(tmp_path), [pdf.iloc[:600].copy(), pdf.iloc[300:].copy(), pdf.iloc[[5, 5, 5]].copy()])
+    seen = {}
+
+    def spy(df, epoch, target):
+        seen["target"] = target
+        return original(df, epoch, target)
+    original, streams.append_audit = streams.append_audit, spy
+    try:
+        assert streams.stream_audit_sink(spark, root, 1).count() == 1000
+    finally:
+        streams.append_audit = original
+    log, siem, _ = streams.audit_sink_paths(seen["target"])
+    assert spark.read.text(siem).count() == 1000 and spark.read.text(siem).where("value like '%\"sourcetype\":\"ai_gateway\"%'").count() == 1000
+    # a replayed epoch overwrites its folder
+    again = spark.read.schema(schemas.AUDIT).json(f"{log}/epoch=2")
+    assert again.count() == 0
+
+
+@pytest.mark.parametrize("max_files", [None, 1])
+def test_daily_usage_counts_rows_of_any_age(spark, overlapping, max_files):
+    got = {(r["team_id"], r["day"]): (r["cost_usd"], r["n_requests"]) for r in streams.stream_daily_usage(spark, overlapping, max_files=max_files).collect()}
+    want = {(r["team_id"], r["day"]): (r["cost_usd"], r["n_requests"]) for r in catalog.QUERIES["daily_usage"](spark, SF001).collect()}
+    assert got == want
+
+
+LONG = 400 * 24 * 3600.0
+
+
+@pytest.mark.parametrize("max_files", [None, 1])
+def test_breaker_stream_equals_replay(spark, overlapping, max_files):
+    got = {tuple(r) for r in streams.stream_breaker(spark, overlapping, delay_s=LONG, max_files=max_files).collect()}
+    assert got == {tuple(r) for r in catalog.QUERIES["breaker_states"](spark, SF001).collect()} and len(got) == 613
+
+
+@pytest.mark.parametrize("max_files", [None, 1])
+def test_admission_stream_equals_replay(spark, overlapping, max_files):
+    got = streams.stream_budget_admission(spark, overlapping, delay_s=LONG, max_files=max_files).collect()
+    want = {r["event_id"]: r for r in catalog.QUERIES["budget_admission"](spark, SF001).collect()}
+    assert len(got) == len(want) == 1000 and not any(r["late"] for r in got)
+    for r in got:
+        assert all(r[c] == want[r["event_id"]][c] for c in want[r["event_id"]].asDict())
+
+
+def test_admission_stream_in_pieces(spark, tmp_path):
+    """Files in time order, released piece by piece: spend is carried over and the result is the replay's."""
+    pdf = spark.read.parquet(f"{SF001}/events.parquet").toPandas().sort_values(["ts", "event_id"])
+    root = _write_batches(str(tmp_path), [pdf.iloc[k * 250:(k + 1) * 250].copy() for k in range(4)])
+    got = streams.stream_budget_admission(spark, root, delay_s=60, max_files=1)
+    want = {r["event_id"]: (r["allowed"], r["daily_used_before_usd"], r["monthly_used_before_usd"]) for r in catalog.QUERIES["budget_admission"](spark, SF001).collect()}
+    assert {r["event_id"]: (r["allowed"], r["daily_used_before_usd"], r["monthly_used_before_usd"]) for r in got.collect()} == want
+
+
+def test_late_requests_are_decided_and_kept_aside(spark, tmp_path):
     day = dt.datetime(2024, 1, 2)
     # user_id 0 -> finance-team (daily limit 0.50); event_id % 7 == 0 -> claude-opus-4-6 (expensive)
     b1 = [(7 * k, day + dt.timedelta(minutes=10 * k), 0, "click", 1.0, "{}") for k in range(1, 6)]
-    b2 = [(7 * 9, day + dt.timedelta(minutes=200), 0, "click", 1.0, "{}"),
-          (7 * 6, day + dt.timedelta(minutes=1), 0, "click", 1.0, "{}")]  # older than everything in b1
+    b2 = [(7 * 9, day + dt.timedelta(minutes=200), 0, "click", 1.0, "{}"), (7 * 6, day + dt.timedelta(minutes=1), 0, "click", 1.0, "{}")]
     root = _write_batches(str(tmp_path), [b1, b2])
-    out = {r["event_id"]: r for r in streams.stream_budget_admission(spark, root).collect()}
-    assert len(out) == 7
-    assert out[42]["denied_by"] == "late" and out[42]["allowed"] is None
-    # spend carried from batch 1 into batch 2 (the late row adds nothing)
-    carried = sum(out[e]["cost_usd"] for e in (7, 14, 21, 28, 35))
-    assert out[63]["allowed"] is True
-    assert abs(out[63]["daily_used_before_usd"] - carried) < 1e-9
+    job = streams.admission_stream(spark, 0.0)
+    rows = job.run(streams.admission_input(streams.read_stream(spark, root, "events", 1))).collect()
+    out = {r["event_id"]: r for r in rows}
+    assert len(rows) == 7 and all(r["allowed"] is not None for r in rows)
+    assert [e for e, r in out.items() if r["late"]] == [42]
+    assert [r["event_id"] for r in job.late_rows().collect()] == [42]
+    carried = sum(r["cost"] for e, r in out.items() if e in (7, 14, 21, 28, 35) and r["allowed"])
+    assert out[63]["du_before"] >= carried
 
 
-def test_breaker_stream_state_carries(spark, tmp_path):
+def test_late_attempts_are_kept_aside(spark, tmp_path):
     # event_id % 4 == 1 -> openai; 'error' events are failures; attempt_s = event_id * 7
-    b1 = [(1, dt.datetime(2024, 1, 1), 0, "error", 1.0, "{}"), (5, dt.datetime(2024, 1, 1), 0, "error", 1.0, "{}")]
-    b2 = [(9, dt.datetime(2024, 1, 1), 0, "error", 1.0, "{}"), (13, dt.datetime(2024, 1, 1), 0, "click", 1.0, "{}")]
+    day = dt.datetime(2024, 1, 1)
+    b1 = [(k, day, 0, "error", 1.0, "{}") for k in (1, 9, 13)]
+    b2 = [(5, day, 0, "error", 1.0, "{}"), (17, day, 0, "click", 1.0, "{}")]
     root = _write_batches(str(tmp_path), [b1, b2])
-    out = {r["attempt_id"]: r for r in streams.stream_breaker(spark, root).collect()}
-    assert out[9]["failures_after"] == 3 and out[9]["trip_set"] and out[9]["tripped_at_after"] == 63
-    assert out[13]["failures_after"] == 0 and out[13]["tripped_at_after"] is None
+    job = streams.breaker_stream(spark, 0.0)
+    out = {r["attempt_id"]: r for r in job.run(streams.breaker_input(streams.read_stream(spark, root, "events", 1))).collect()}
+    late = [r["attempt_id"] for r in job.late_rows().collect()]
+    assert sorted([*out, *late]) == [1, 5, 9, 13, 17] and late == [5]
+    assert out[13]["failures_after"] == 3 and out[13]["trip_set"] and out[17]["failures_after"] == 0
 
 
-def test_breaker_stream_timer_then_attempt(spark, tmp_path):
-    # openai (event_id % 4 == 1) trips at t=63; an anthropic success at t=280 moves the watermark past
-    # the cooldown, so the timer closes the breaker; the next openai attempt still reports the expiry
-    b1 = [(1, dt.datetime(2024, 1, 1), 0, "error", 1.0, "{}"), (5, dt.datetime(2024, 1, 1), 0, "error", 1.0, "{}"),
-          (9, dt.datetime(2024, 1, 1), 0, "error", 1.0, "{}"), (40, dt.datetime(2024, 1, 1), 0, "click", 1.0, "{}")]
-    b2 = [(45, dt.datetime(2024, 1, 1), 0, "error", 1.0, "{}")]
-    root = _write_batches(str(tmp_path), [b1, b2])
-    out = {r["attempt_id"]: r for r in streams.stream_breaker(spark, root).collect()}
-    assert out[9]["trip_set"] and out[9]["tripped_at_after"] == 63
-    assert out[45]["expired"] is True and out[45]["failures_after"] == 1 and out[45]["tripped_at_after"] is None
+def test_empty_stream(spark, tmp_path):
+    root = _write_batches(str(tmp_path), [pd.DataFrame({"event_id": pd.Series([], dtype="int64"), "ts": pd.Series([], dtype="datetime64[us]"), "user_id": pd.Series([], dtype="int64"),
+                                                        "event_type": pd.Series([], dtype="str"), "value": pd.Series([], dtype="float64"), "props": pd.Series([], dtype="str")})])
+    assert streams.stream_budget_admission(spark, root).count() == 0
+    assert streams.stream_breaker(spark, root).count() == 0
+
+
+def test_replayed_epoch_changes_nothing(spark, tmp_path):
+    rows = [("t", dt.datetime(2024, 1, 1, h), h, Decimal(1), Decimal(1)) for h in range(5)]
+    schema = "team_id string, ts timestamp_ntz, event_id long, est_cost decimal(28,11), cost decimal(28,11)"
+    job = streams.admission_stream(spark, 0.0, config.GatewaySettings(team_budgets=(("t", "3", "100"),)))
+    job._epoch(spark.createDataFrame(rows[:3], schema), 0)
+    job._epoch(spark.createDataFrame(rows[3:], schema), 1)
+    job._epoch(spark.createDataFrame(rows[3:], schema), 1)
+    job._epoch(None, 2, flush=True)
+    got = {r["event_id"]: r["allowed"] for r in spark.read.parquet(f"{job.base}/out").collect()}
+    assert got == {0: True, 1: True, 2: True, 3: False, 4: False}

@@ -88,6 +88,11 @@ TEAM_BUDGETS = (
     ("engineering-team", "1000", "10"),
     ("marketing-team", "1000", "1000"),
 )
+# the same for the composed request job, whose requests are few
+JOB_BUDGETS = (
+    ("finance-team", "0.02", "1000"),
+    ("engineering-team", "1000", "0.03"),
+)
 
 
 @dataclass(frozen=True)

@@ -652,6 +652,9 @@ def job_bodies(spark, sf):
     return request_bodies(spark, sf).join(first, "request_id")
 
 
+JOB = config.GatewaySettings(team_budgets=config.JOB_BUDGETS)
+
+
 def job_attempts(spark, sf):
     facts = pricing.with_cost(traffic.gw_audit(events(spark, sf), keep=("event_type",))).drop("provider_used")
     return traffic.gw_attempts(facts, keep=request_job.FACTS)
@@ -660,7 +663,7 @@ def job_attempts(spark, sf):
 @register("request_job")
 def q_request_job(spark, sf):
     """The whole request path: every request's outcome, and what its audit entry and response hold."""
-    done = request_job.run_requests(job_bodies(spark, sf), job_attempts(spark, sf))
+    done = request_job.run_requests(job_bodies(spark, sf), job_attempts(spark, sf), JOB)
     return done.select("request_id", "ts", "team_id", "http_status", "status", "provider_requested", "provider_used", "model_used", "prompt_tokens_est",
                        "prompt_tokens", "completion_tokens", money.usd(F.col("est_cost")).alias("estimated_cost_usd"), money.usd(F.col("cost")).alias("cost_usd"),
                        "pii_redaction_count", F.array_join("pii_entities_redacted", ",").alias("pii_entities"), "latency_ms", "fallback_triggered",
@@ -670,7 +673,7 @@ def q_request_job(spark, sf):
 @register("request_job_audit")
 def q_request_job_audit(spark, sf):
     """The audit entries of the whole request path."""
-    done = request_job.run_requests(job_bodies(spark, sf), job_attempts(spark, sf))
+    done = request_job.run_requests(job_bodies(spark, sf), job_attempts(spark, sf), JOB)
     return _shown(audit_io.audit_only(request_job.audit_entries(done))).drop("latency_ms")
 
 

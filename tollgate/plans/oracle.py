@@ -690,7 +690,8 @@ FROM adm"""
 
 # -- the whole request path ------------------------------------------------------------------
 
-JOB = ("WITH RECURSIVE " + ",\n".join([GW_REQUESTS, KEYS, DEFAULT_MODELS, GW_ATTEMPTS, GW_AUDIT, PRICE, PRICED, COSTED, BUDGET]) + INGEST + ROUTE_TAIL + ", "
+JOB_BUDGET = BUDGET.replace(_values(config.TEAM_BUDGETS, 'team_id, d, m'), _values(config.JOB_BUDGETS, 'team_id, d, m'))
+JOB = ("WITH RECURSIVE " + ",\n".join([GW_REQUESTS, KEYS, DEFAULT_MODELS, GW_ATTEMPTS, GW_AUDIT, PRICE, PRICED, COSTED, JOB_BUDGET]) + INGEST + ROUTE_TAIL + ", "
        + _pii_chain("conversations", "conv_id, turn, role", "text") + f"""
 , per_msg AS (SELECT conv_id, turn, n1 + n2 + n3 + n4 + n5 AS n, {_entities_expr()} AS ents,
     len(list_filter(regexp_split_to_array(COALESCE(t5, ''), '\\s+'), lambda x: x <> '')) AS w FROM s5)
