@@ -155,7 +155,9 @@ def cuts(docs: DataFrame, rare: int = RARE, lines: int = LINES, chars: int = CHA
     held = heads.select("rid", "doc_id", F.explode(F.array_distinct(F.arrays_zip("find", "size"))).alias("l")).select(
         "rid", "doc_id", F.col("l.find").alias("find"), F.col("l.size").alias("size")).where("find != 0")
     shared = held.groupBy("find").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "rid")).alias("owner")).where("n > 1")
-    pairs = held.join(shared.select("find", "n", F.col("owner.rid").alias("owner")), "find").where("rid != owner")
+    # a table of its own, so that both sides of the join are shuffled for it and a hot line's rows can be split at run time
+    shared = scratch(shared.select("find", "n", F.col("owner.rid").alias("owner")), "shared")
+    pairs = held.join(shared, "find").where("rid != owner")
     pairs = pairs.groupBy("rid", "owner").agg(F.min("n").alias("rarest"), F.count("*").alias("lines"), F.sum("size").alias("chars"))
     pairs = pairs.where((F.col("rarest") <= rare) | (F.col("lines") >= lines) | (F.col("chars") >= chars)).select("rid", "owner")
     with_owner = pairs.join(rows.select(F.col("rid").alias("owner"), F.col("align").alias("earlier")), "owner")
