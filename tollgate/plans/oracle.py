@@ -746,3 +746,28 @@ SELECT regexp_replace(strftime(ts, '%Y-%m-%dT%H:%M:%S.%f'), '\.000000$', '') AS
   provider_used, model_used, COALESCE(prompt_tokens, 0) AS prompt_tokens, COALESCE(completion_tokens, 0) AS completion_tokens, cost_usd AS estimated_cost_usd,
   pii_entities AS pii_entities_redacted, pii_redaction_count, fallback_triggered, fallback_reason, status, error_message
 FROM shown WHERE status <> 'rejected'"""
+
+
+# -- X1: spans of the five patterns on the original text, overlaps resolved one span after the other ------------
+
+_SPANS = " UNION ALL ".join(
+    f"SELECT doc_id, {k} AS k, '{ent}' AS ent, regexp_split_to_array(text, '{pat}') AS p, regexp_extract_all(text, '{pat}') AS h FROM documents"
+    for k, (ent, pat) in enumerate(config.PII_PATTERNS))
+ORACLE["detector_plugin"] = f"""
+WITH RECURSIVE m AS ({_SPANS}),
+s AS (SELECT doc_id, k, ent, p, h, unnest(range(1, len(h) + 1)) AS i FROM m WHERE len(h) > 0),
+sp AS (
+  SELECT doc_id, k, ent, length(h[i]) AS l,
+    list_sum(list_transform(p[1:i], lambda x: length(x))) + COALESCE(list_sum(list_transform(h[1:i - 1], lambda x: length(x))), 0) AS st
+  FROM s),
+r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY st, l DESC, k) AS rn FROM sp),
+f AS (
+  SELECT DISTINCT doc_id, CAST(0 AS BIGINT) AS rn, CAST(0 AS BIGINT) AS at, '' AS done FROM r
+  UNION ALL
+  SELECT f.doc_id, r.rn, CAST(CASE WHEN r.st >= f.at THEN r.st + r.l ELSE f.at END AS BIGINT),
+    CASE WHEN r.st >= f.at THEN f.done || substr(d.text, f.at + 1, CAST(r.st - f.at AS BIGINT)) || '<' || r.ent || '>' ELSE f.done END
+  FROM f JOIN r ON r.doc_id = f.doc_id AND r.rn = f.rn + 1 JOIN documents d ON d.doc_id = f.doc_id),
+n AS (SELECT doc_id, max(rn) AS rn, string_agg(DISTINCT ent, ',' ORDER BY ent) AS ents FROM r GROUP BY doc_id)
+SELECT d.doc_id, CASE WHEN n.rn IS NULL THEN d.text ELSE f.done || substr(d.text, f.at + 1) END AS redacted_text,
+  CAST(COALESCE(n.rn, 0) AS INTEGER) AS redaction_count, COALESCE(n.ents, '') AS entities_found
+FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN f ON f.doc_id = d.doc_id AND f.rn = n.rn"""
