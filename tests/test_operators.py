@@ -279,3 +279,15 @@ def test_token_estimate_whole_table(spark):
     conv = catalog.read_table(spark, SF01, "conversations")
     total = conv.select(F.sum(msg.token_estimate(msg.word_count(F.col("text")))).alias("s")).first()["s"]
     assert total == 60638
+
+
+def test_responses_carry_the_answer(spark):
+    bodies = spark.createDataFrame([(1, dt.datetime(2024, 1, 1), "sk-gateway-default-001", '{"messages":[{"role":"user","content":"hello"}]}')],
+                                   "request_id long, ts timestamp_ntz, api_key string, body string")
+    tried = spark.createDataFrame([(1, 1, "openai", None, "ok", None, "m", 5, 6, Decimal("0.01"), 1.0, "hi there")],
+                                  "request_id long, attempt_id long, provider string, preferred string, outcome string, error_msg string, model_used string, "
+                                  "prompt_tokens long, completion_tokens long, cost decimal(28,11), latency_ms double, content string")
+    r = request_job.responses(request_job.run_requests(bodies, tried)).first()
+    assert r["content"] == "hi there" and r["usage"]["total_tokens"] == 11 and r["pii_summary"]["redacted"] is False and r["id"] == "req-1"
+    done = request_job.run_requests(bodies, tried)
+    assert "content" not in audit_io.audit_only(request_job.audit_entries(done)).columns

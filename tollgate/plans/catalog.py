@@ -670,6 +670,15 @@ def q_request_job(spark, sf):
                        "fallback_reason", "denied_by", "error_message")
 
 
+@register("request_job_responses")
+def q_request_job_responses(spark, sf):
+    """What the callers of served requests get (nested fields taken apart for comparison)."""
+    done = request_job.run_requests(job_bodies(spark, sf), job_attempts(spark, sf), JOB)
+    return request_job.responses(done).select(
+        "id", "provider_used", "model_used", F.col("usage.total_tokens").alias("usage_total_tokens"), F.col("usage.estimated_cost_usd").alias("usage_estimated_cost_usd"),
+        F.col("pii_summary.redacted").alias("pii_redacted"), F.col("pii_summary.redaction_count").alias("pii_redaction_count"), "fallback_triggered", "ts")
+
+
 @register("request_job_audit")
 def q_request_job_audit(spark, sf):
     """The audit entries of the whole request path."""

@@ -741,6 +741,10 @@ JOB = ("WITH RECURSIVE " + ",\n".join([GW_REQUESTS, KEYS, DEFAULT_MODELS, GW_ATT
   FROM done)
 """)
 ORACLE["request_job"] = JOB + "SELECT * FROM shown"
+ORACLE["request_job_responses"] = JOB + """
+SELECT 'req-' || CAST(request_id AS VARCHAR) AS id, provider_used, model_used, prompt_tokens + completion_tokens AS usage_total_tokens,
+  cost_usd AS usage_estimated_cost_usd, pii_redaction_count > 0 AS pii_redacted, pii_redaction_count, fallback_triggered, ts
+FROM shown WHERE status = 'success'"""
 ORACLE["request_job_audit"] = JOB + r"""
 SELECT regexp_replace(strftime(ts, '%Y-%m-%dT%H:%M:%S.%f'), '\.000000$', '') AS timestamp, CAST(request_id AS VARCHAR) AS request_id, team_id, provider_requested,
   provider_used, model_used, COALESCE(prompt_tokens, 0) AS prompt_tokens, COALESCE(completion_tokens, 0) AS completion_tokens, cost_usd AS estimated_cost_usd,

@@ -50,7 +50,8 @@ def run_requests(bodies: DataFrame, attempts: DataFrame, settings: config.Gatewa
     asked = asked.withColumn("est_model", msg.resolve_model(F.col("model"), F.col("default_model")))
     asked = asked.select("request_id", "ts", F.col("key_team_id").alias("team_id"), "max_tokens", "est_provider", "est_model")
     redacted = redacted_requests(accepted, settings)
-    routes = routing.resolve_routes(attempts, settings.provider_priority, carry=FACTS)
+    answer = ("content",) if "content" in attempts.columns else ()
+    routes = routing.resolve_routes(attempts, settings.provider_priority, carry=FACTS + answer)
     called = asked.join(redacted, "request_id").join(routes, "request_id", "left")
     priced = pricing.with_price(called, "est_provider", "est_model")
     served = F.col("status") == "success"
@@ -73,12 +74,25 @@ def run_requests(bodies: DataFrame, attempts: DataFrame, settings: config.Gatewa
         "prompt_tokens_est", of_served("prompt_tokens").alias("prompt_tokens"), of_served("completion_tokens").alias("completion_tokens"),
         "est_cost", F.when(used, F.col("cost")).otherwise(F.when(allowed.isNotNull(), F.lit(0))).cast(schemas.COST).alias("cost"),
         F.col("redaction_count").alias("pii_redaction_count"), F.col("entities").alias("pii_entities_redacted"), "redacted_messages",
-        of_served("latency_ms").alias("latency_ms"), F.coalesce(used & F.col("fallback_triggered"), F.lit(False)).alias("fallback_triggered"),
+        *[of_served(c).alias(c) for c in answer], of_served("latency_ms").alias("latency_ms"), F.coalesce(used & F.col("fallback_triggered"), F.lit(False)).alias("fallback_triggered"),
         F.when(used, F.col("fallback_reason")).alias("fallback_reason"), "denied_by",
         F.when(F.col("http_status") != 200, F.col("auth_detail")).when(~F.col("valid"), F.array_join("errors", ","))
         .when(~allowed, F.col("reason")).when(~used, F.coalesce(failed, F.lit("All providers failed after trying: []"))).alias("error_message"))
 
 
+def responses(done: DataFrame) -> DataFrame:
+    """F27 in the gateway's own shape: what the callers of served requests get, usage and redaction summary nested.  ``content`` is
+    the answer, if the attempts had one."""
+    served = done.where(F.col("status") == "success")
+    content = F.col("content") if "content" in done.columns else F.lit(None).cast("string")
+    return served.select(
+        F.concat(F.lit("req-"), F.col("request_id").cast("string")).alias("id"), content.alias("content"), "provider_used", "model_used",
+        money.usage_struct(F.col("prompt_tokens"), F.col("completion_tokens"), F.col("cost")).alias("usage"),
+        F.struct((F.col("pii_redaction_count") > 0).alias("redacted"), F.col("pii_entities_redacted").alias("entities_found"),
+                 F.col("pii_redaction_count").alias("redaction_count")).alias("pii_summary"),
+        "latency_ms", "fallback_triggered", "fallback_reason", "ts")
+
+
 def audit_entries(done: DataFrame) -> DataFrame:
     """The audit log's 16 columns (and ts, event_id, cost) for the requests that got past validation."""
     from tollgate.sources.audit_io import iso_timestamp
