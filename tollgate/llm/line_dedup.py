@@ -148,9 +148,9 @@ def cuts(docs: DataFrame, rare: int = RARE, lines: int = LINES, chars: int = CHA
     heads = rows.join(first, "rid", "left_semi")
     # copies: every document but the first of its text, unless the text is blank
     copied = texts.where(F.col("last") > F.col("first.doc_id")).select("t1", "t2", F.col("first.doc_id").alias("head"))
-    copies = rows.select("doc_id", "t1", "t2", "align").join(copied, ["t1", "t2"]).where(
-        (F.col("doc_id") != F.col("head")) & F.exists("align", lambda x: x != 0)).groupBy("doc_id", "t1", "t2").agg(
-        F.max(F.size("align")).cast("long").alias("n_removed"))
+    # one row a document before the join, so that nothing after it needs a text's rows together and a hot text can be split
+    known = rows.where(F.exists("align", lambda x: x != 0)).groupBy("doc_id", "t1", "t2").agg(F.max(F.size("align")).cast("long").alias("n_removed"))
+    copies = known.join(copied, ["t1", "t2"]).where(F.col("doc_id") != F.col("head"))
     # lines that several texts hold: owner and number of texts
     held = heads.select("rid", "doc_id", F.explode(F.array_distinct(F.arrays_zip("find", "size"))).alias("l")).select(
         "rid", "doc_id", F.col("l.find").alias("find"), F.col("l.size").alias("size")).where("find != 0")
