@@ -13,6 +13,7 @@ from tollgate import config, schemas
 from tollgate.functions import messages as msg
 from tollgate.functions import money, pii
 from tollgate.operators import auth, budget, pricing, routing
+from tollgate.session import materialize
 from tollgate.sources.dims import provider_dim
 
 #: Facts of the serving attempt that a response and its audit entry hold.
@@ -41,7 +42,8 @@ def run_requests(bodies: DataFrame, attempts: DataFrame, settings: config.Gatewa
     ``routing.resolve_routes``), with the ``FACTS`` of each.  http_status: 401/403 for keys, 422 for bodies, 429 for budgets, 502 when
     every provider failed, else 200; only requests that pass the first two are redacted, checked and routed.
     """
-    checked = auth.with_team_from_key(auth.ingest(bodies), keys=keys)
+    # several steps read both of the tables written here: bodies are parsed once, and routes resolved once
+    checked = materialize(auth.with_team_from_key(auth.ingest(bodies), keys=keys), "requests")
     good = (F.col("http_status") == 200) & F.col("valid")
     accepted = checked.where(good)
     # what a call may cost: the provider asked for, or the first by priority, and its model
@@ -58,6 +60,7 @@ def run_requests(bodies: DataFrame, attempts: DataFrame, settings: config.Gatewa
     priced = priced.withColumns({
         "est_cost": money.token_cost(F.col("prompt_tokens_est"), F.col("max_tokens"), F.col("price_in"), F.col("price_out")),
         "cost": F.when(served, F.col("served.cost")).otherwise(F.lit(0)).cast(schemas.COST)})
+    priced = materialize(priced, "priced")
     admitted = budget.budget_admission(priced.select("team_id", "ts", F.col("request_id").alias("event_id"), "est_cost", "cost"), settings, limits=limits)
     decided = priced.drop("cost", "ts", "team_id", "est_cost").join(
         admitted.select(F.col("event_id").alias("request_id"), "est_cost", "cost", "allowed", "denied_by", "reason"), "request_id")
