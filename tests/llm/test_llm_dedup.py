@@ -153,6 +153,19 @@ def test_line_dedup(spark):
     assert line_dedup.line_dedup(empty(spark)).count() == 0
 
 
+def test_line_dedup_hot_lines_of_several_owners(spark):
+    """A block whose lines first occur in three documents goes however many texts hold it; a lone line of that kind stays."""
+    rng = random.Random(3)
+    block = ["first line of the block", "second line of the block", "third line of the block"]
+    rows = [(i, words(rng, 9) + "\n" + block[i]) for i in range(3)]
+    rows += [(10 + i, words(rng, 9) + f"\n{block[0]}\n\n{block[1]}\n{block[2]}\n" + words(rng, 9) + (f"\n{block[1]}" if i % 2 else "")) for i in range(120)]
+    rows += [(300 + i, words(rng, 9) + "\n" + block[2]) for i in range(3)]
+    got = {r.doc_id: r.text.split("\n") for r in line_dedup.line_dedup(table(spark, rows)).collect()}
+    for i, t in rows:
+        want = [x for x in t.split("\n") if x not in block] if 10 <= i < 300 else t.split("\n")
+        assert got[i] == want
+
+
 # ---- n-gram join ---------------------------------------------------------------------------------------------------------
 
 def _sets(rows):

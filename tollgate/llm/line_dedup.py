@@ -6,6 +6,10 @@ it shares a rare line (in at most ``RARE`` texts), or ``LINES`` lines, or ``CHAR
 anchors the alignment on lines that are unique in both documents; every aligned block with a line that isn't blank is
 deleted from the later document.  Copies of a whole text lose all their lines but for the earliest.
 
+Lines in more than ``RARE`` texts need no pair: where the lines that earlier documents own, of all owners together, come to
+``LINES`` lines or ``CHARS`` characters of a document, each of them is deleted wherever it stands in it, by the owner table alone.
+Kept on purpose is a line in more than ``RARE`` texts in a document that shares less than that (a lone heading or separator).
+
 Earlier means a smaller doc_id.  Lines are compared without white space around them.  Defined cases: null text counts
 as empty; blank lines alone match nothing, so empty and blank texts are left alone; rows that repeat both doc_id and text
 are one document and come out alike; a null doc_id is the latest; an empty table gives no rows; other columns
@@ -99,6 +103,12 @@ def common_lines(later: list, earlier: list) -> set[int]:
     return got
 
 
+def held_lines(later: list, lines: list) -> set[int]:
+    """Places in ``later`` of any of ``lines``."""
+    some = set(lines)
+    return {i for i, x in enumerate(later) if x in some}
+
+
 def kept_ranges(n: int, removed: set[int]) -> list[dict]:
     out: list[dict] = []
     for i in range(n):
@@ -152,30 +162,39 @@ def cuts(docs: DataFrame, rare: int = RARE, lines: int = LINES, chars: int = CHA
     known = rows.where(F.exists("align", lambda x: x != 0)).groupBy("doc_id", "t1", "t2").agg(F.max(F.size("align")).cast("long").alias("n_removed"))
     copies = known.join(copied, ["t1", "t2"]).where(F.col("doc_id") != F.col("head"))
     # lines that several texts hold: owner and number of texts
-    held = heads.select("rid", "doc_id", F.explode(F.array_distinct(F.arrays_zip("find", "size"))).alias("l")).select(
-        "rid", "doc_id", F.col("l.find").alias("find"), F.col("l.size").alias("size")).where("find != 0")
-    shared = held.groupBy("find").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "rid")).alias("owner")).where("n > 1")
+    held = heads.select("rid", "doc_id", F.explode(F.array_distinct(F.arrays_zip("find", "align", "size"))).alias("l")).select(
+        "rid", "doc_id", F.col("l.find").alias("find"), F.col("l.align").alias("align"), F.col("l.size").alias("size")).where("find != 0")
+    shared = held.groupBy("find", "align").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "rid")).alias("owner")).where("n > 1")
     # a table of its own, so that both sides of the join are shuffled for it and a hot line's rows can be split at run time
-    shared = scratch(shared.select("find", "n", F.col("owner.rid").alias("owner")), "shared")
-    pairs = held.join(shared, "find").where("rid != owner")
-    pairs = pairs.groupBy("rid", "owner").agg(F.min("n").alias("rarest"), F.count("*").alias("lines"), F.sum("size").alias("chars"))
-    pairs = pairs.where((F.col("rarest") <= rare) | (F.col("lines") >= lines) | (F.col("chars") >= chars)).select("rid", "owner")
-    with_owner = pairs.join(rows.select(F.col("rid").alias("owner"), F.col("align").alias("earlier")), "owner")
+    shared = scratch(shared.select("find", "align", "n", F.col("owner.rid").alias("owner")), "shared")
+    owned = held.join(shared, ["find", "align"]).where("rid != owner")
+    owned = owned.groupBy("rid", "owner").agg(F.min("n").alias("rarest"), F.count("*").alias("lines"), F.sum("size").alias("chars"),
+                                              F.collect_list(F.when(F.col("n") > rare, F.col("align"))).alias("hot"))
+    enough = (F.col("lines") >= lines) | (F.col("chars") >= chars)
+    owned = owned.withColumn("paired", (F.col("rarest") <= rare) | enough)
+    # per document: the owners it is aligned with, and its hot lines of other owners if all it shares is enough
+    found = owned.groupBy("rid").agg(F.sum("lines").alias("lines"), F.sum("chars").alias("chars"), F.collect_list(F.when(F.col("paired"), F.col("owner"))).alias("owners"),
+                                     F.flatten(F.collect_list(F.when(~F.col("paired"), F.col("hot")))).alias("hot"))
+    found = scratch(found.select("rid", "owners", F.when(enough, F.col("hot")).alias("hot")), "found")
+    pairs = found.select("rid", F.explode("owners").alias("owner"))
+    with_owner = pairs.join(rows.select(F.col("rid").alias("owner"), F.col("align").alias("earlier")), "owner").select("rid", "earlier", F.lit(False).alias("is_hot"))
+    hot = found.where(F.size("hot") > 0).select("rid", F.col("hot").alias("earlier"), F.lit(True).alias("is_hot"))
+    with_owner = with_owner.unionByName(hot)
     both = with_owner.join(rows.select("rid", "doc_id", "t1", "t2", "align"), "rid")
     item = pa.list_(pa.struct([("start", pa.int32()), ("length", pa.int32())]))
 
     def align(group: pa.Table) -> pa.Table | None:
         later = group["align"][0].as_py()
         removed: set[int] = set()
-        for earlier in group["earlier"]:
-            removed |= common_lines(later, earlier.as_py())
+        for earlier, is_hot in zip(group["earlier"], group["is_hot"], strict=True):
+            removed |= held_lines(later, earlier.as_py()) if is_hot.as_py() else common_lines(later, earlier.as_py())
         if not removed:
             return None
         one = group.slice(0, 1)
         return pa.table({"doc_id": one["doc_id"], "t1": one["t1"], "t2": one["t2"], "kept": pa.array([kept_ranges(len(later), removed)], item),
                          "n_removed": pa.array([len(removed)], pa.int64())})
 
-    aligned = grouped_arrow(both.drop("owner"), ["rid"], align, CUTS)
+    aligned = grouped_arrow(both, ["rid"], align, CUTS)
     return aligned.unionByName(copies.select("doc_id", "t1", "t2", F.expr("cast(array() as array<struct<start:int,length:int>>)").alias("kept"), "n_removed"))
 
 
