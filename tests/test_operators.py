@@ -291,3 +291,20 @@ def test_responses_carry_the_answer(spark):
     assert r["content"] == "hi there" and r["usage"]["total_tokens"] == 11 and r["pii_summary"]["redacted"] is False and r["id"] == "req-1"
     done = request_job.run_requests(bodies, tried)
     assert "content" not in audit_io.audit_only(request_job.audit_entries(done)).columns
+
+
+def test_requests_without_events_stay_in_the_job(spark, tmp_path):
+    for f in os.listdir(SF001):
+        if f != "events.parquet":
+            os.symlink(f"{SF001}/{f}", tmp_path / f)
+    ids = {r[0] for r in catalog.requests(spark, SF001).select("request_id").collect()}
+    gone = {i for i in ids if i % 3 == 0}
+    events = spark.read.parquet(f"{SF001}/events.parquet")
+    events.where(~F.floor(F.col("event_id") / 4).isin(gone)).write.parquet(str(tmp_path / "events.parquet"))
+    want = {r["request_id"]: r for r in catalog.QUERIES["request_job"](spark, SF001).collect()}
+    got = {r["request_id"]: r for r in catalog.QUERIES["request_job"](spark, str(tmp_path)).collect()}
+    assert set(got) == set(want) == ids
+    assert any(want[i]["status"] != "rejected" for i in gone)
+    for i in gone:
+        assert got[i]["ts"] is None and got[i]["provider_used"] is None and got[i]["team_id"] == want[i]["team_id"]
+        assert got[i]["status"] == ("rejected" if want[i]["status"] == "rejected" else "error"), got[i]

@@ -209,7 +209,7 @@ def _fold(batches: Iterator[pa.RecordBatch]):
         if not b.num_rows:
             continue
         month, team = b.column("month").to_numpy(zero_copy_only=False), b.column("team_id").to_numpy(zero_copy_only=False)
-        day = b.column("day").cast(pa.int32()).to_numpy()
+        day = b.column("day").cast(pa.int32()).fill_null(np.iinfo(np.int32).min).to_numpy()
         est, act, daily, monthly = (whole_numbers(b.column(c)) for c in ("est_cost", "cost", "daily_limit", "monthly_limit"))
         if any(x.dtype == object for x in (est, act, daily, monthly)) or max(int(spent_day), int(spent_month)) > 1 << 61:
             est, act, daily, monthly = (x.astype(object) for x in (est, act, daily, monthly))
@@ -268,6 +268,7 @@ def budget_admission(requests: DataFrame, settings: config.GatewaySettings = con
     ``requests``: team_id, ts, event_id, est_cost (checked before the call), cost (spent after an admitted call; 0 for a
     failed one).  Every request is decided.  One is admitted when its estimate is <= what is left of the day's limit and then of the
     month's (each rounded to 6 places, floored at 0); the counters reset at UTC midnight and month start.
+    Requests without a ts have a period of their own and spend nothing of any other.
 
     That is a greedy fold over a team's month.  A team-month of at most ``fold_rows`` requests is folded in one task, streamed
     and vectorised.  Larger ones (a team with a third of all traffic) never meet in a task: rounds of running sums over time

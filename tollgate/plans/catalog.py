@@ -647,9 +647,9 @@ def q_batch_completion(spark, sf):
 
 
 def job_bodies(spark, sf):
-    """Request bodies with the time of each request's first attempt."""
+    """Request bodies with the time of each request's first attempt, null for a request without any."""
     first = events(spark, sf).groupBy(F.expr("CAST(floor(event_id / 4) AS BIGINT)").alias("request_id")).agg(F.min("ts").alias("ts"))
-    return request_bodies(spark, sf).join(first, "request_id")
+    return request_bodies(spark, sf).join(first, "request_id", "left")
 
 
 JOB = config.GatewaySettings(team_budgets=config.JOB_BUDGETS)
