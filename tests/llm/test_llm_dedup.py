@@ -92,6 +92,13 @@ def test_patience_aligns_in_order():
     assert line_dedup.common_lines([0, 7, 0], [0, 8, 0]) == set()  # blank lines alone are no block
 
 
+def test_repeated_and_moved_passages_go():
+    assert line_dedup.common_lines([8, 1, 2, 9, 1, 2, 7], [5, 1, 2, 6]) == {1, 2, 4, 5}  # twice in the later one
+    assert line_dedup.common_lines([8, 1, 2, 9], [1, 2, 5, 1, 2]) == {1, 2}  # twice in the earlier one
+    assert line_dedup.common_lines([3, 0, 4, 9, 1, 2, 7], [1, 2, 6, 3, 0, 4]) == {0, 1, 2, 4, 5}  # in another order
+    assert line_dedup.common_lines([8, 1, 0, 9, 0, 2], [1, 6, 2, 0]) == {1, 5}  # blanks of its own stay
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.integers(0, 12), max_size=25), st.lists(st.integers(0, 12), max_size=25))
 def test_patience_pairs_are_a_common_subsequence(a, b):

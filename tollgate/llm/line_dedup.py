@@ -4,7 +4,7 @@ Documents that share lines are found through line hashes: a line belongs to the
 a document is paired with the owners of its lines and never with everyone who shares them.  A pair is aligned if
 it shares a rare line (in at most ``RARE`` texts), or ``LINES`` lines, or ``CHARS`` characters of lines.  Patience diff
 anchors the alignment on lines that are unique in both documents; every aligned block with a line that isn't blank is
-deleted from the later document.  Copies of a whole text lose all their lines but for the earliest.
+deleted from the later document, and then the lines of the earlier one that occur again or in another order.  Copies of a whole text lose all their lines but for the earliest.
 
 Lines in more than ``RARE`` texts need no pair: where the lines that earlier documents own, of all owners together, come to
 ``LINES`` lines or ``CHARS`` characters of a document, each of them is deleted wherever it stands in it, by the owner table alone.
@@ -88,8 +88,15 @@ def patience(a: list, b: list) -> list[tuple[int, int]]:
     return sorted(out)
 
 
+def _gaps(lines: list, among: list[int]) -> list[tuple[tuple, int, int]]:
+    """((line, next line, places apart), place, next place) of neighbours ``among`` places with nothing but blanks between."""
+    return [((lines[i], lines[j], j - i), i, j) for i, j in zip(among, among[1:], strict=False) if j - i > 1 and not any(lines[i + 1: j])]
+
+
 def common_lines(later: list, earlier: list) -> set[int]:
-    """Lines of ``later`` in aligned blocks (runs adjacent in both) that hold a line that isn't blank."""
+    """Lines of ``later`` in aligned blocks (runs adjacent in both) that hold a line that isn't blank, and what the one chain leaves:
+    passages that occur twice or in another order.  Aligning the rest until nothing aligns would take every line that
+    ``earlier`` holds, so those are taken at once, with the blank lines between two of them that ``earlier`` has there too."""
     got, block = set(), []
     pairs = patience(later, earlier)
     for n, (i, j) in enumerate(pairs):
@@ -100,6 +107,11 @@ def common_lines(later: list, earlier: list) -> set[int]:
             if any(later[x] for x, _ in block):
                 got.update(x for x, _ in block)
             block = []
+    got |= held_lines(later, [x for x in earlier if x])
+    known = {gap for gap, _, _ in _gaps(earlier, [i for i, x in enumerate(earlier) if x])}
+    for gap, i, j in _gaps(later, sorted(x for x in got if later[x])):
+        if gap in known:
+            got.update(range(i + 1, j))
     return got
 
 
