@@ -30,8 +30,8 @@ LEAST = {"assign": 12, "access": 18}
 
 #: Words after which a string is looked at, how far after, and what counts as one string.
 SENSITIVE = re.compile(r"(?ai:passw|pwd|secret|token|key|auth|credential|bearer|private|session)")
-REACH = 48
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_=.-]{16,}")
+REACH, SHORTEST = 48, 16
+CANDIDATE = re.compile(r"[A-Za-z0-9+/_=.-]{%d,}" % SHORTEST)
 CONTEXT = 256
 #: Marginal compressed bytes a character from which a string is reported.  Measured on strings of 16 to 40 characters:
 #: random letters and digits, base64 and hex 0.75 and more (mostly over 0.94), identifiers and words up to 0.72.
@@ -101,13 +101,18 @@ class Novelty:
 
 def novel_spans(text: str, base: list[tuple[int, int, str]], novelty: Novelty, threshold: float = NOVELTY):
     """(start, end, 'novel', novelty) of incompressible strings in a sensitive context that no base span touches."""
-    found, seen = [], -1
+    found, seen, b = [], -1, 0
     for m in SENSITIVE.finditer(text):
-        for c in CANDIDATE.finditer(text, m.end(), min(len(text), m.end() + REACH)):
-            a, b = c.start(), c.end()
-            while b < len(text) and CANDIDATE.fullmatch(text, a, b + 1):  # the reach may have cut it
-                b += 1
-            if a <= seen or any(s < b and a < e for s, e, _ in base):
+        # one that starts at the end of the reach has its least length behind it
+        for c in CANDIDATE.finditer(text, m.end(), min(len(text), m.end() + REACH + SHORTEST)):
+            a = c.start()
+            if a > m.end() + REACH:
+                break
+            if a <= seen:
+                continue
+            if a >= b:  # else it is the rest of the string before, of the same end
+                b = CANDIDATE.match(text, a).end()  # the reach may have cut it
+            if any(s < b and a < e for s, e, _ in base):
                 continue
             seen = b - 1
             if (score := novelty(text, a, b)) >= threshold:
