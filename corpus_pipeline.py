@@ -6,12 +6,12 @@ columns of ``documents`` (doc_id, text, lang, source, n_chars), extra columns of
 
 1. quality     documents that the quality model rejects (score under 0.7) go
 2. line_dedup  blocks of lines that an earlier document has go; a document that loses all its text goes
-3. near_dup    of documents linked by five-word Jaccard similarity of 0.8 or more the one with the smallest doc_id stays
+3. near_dup    of documents linked by five-word Jaccard similarity of 0.8 or more one row stays, of the smallest doc_id
 4. secrets     secrets are replaced by a mark
 5. packing     token sequences of at most 1024: a row per piece of a document
 
-Defined cases are those of the operators.  Rows of a null doc_id are judged like others, but near copies with
-a null doc_id all stay.
+Defined cases are those of the operators.  Rows of a null doc_id are judged like others, in near_dup as the largest; there rows
+are told apart although they repeat a doc_id or are repeated whole.
 """
 
 from __future__ import annotations
@@ -42,9 +42,15 @@ def drop_shared_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    joined = ngram_join.jaccard_join(docs.select("doc_id", "text"))
-    gone = joined.where(F.col("doc_id") != F.col("class_id")).select("doc_id").distinct()
-    return docs.join(gone.hint("shuffle_hash"), "doc_id", "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))
+    # rows by an id of their own: doc_ids may repeat or be null.  The row as one struct, so that none of its names can clash
+    rows = scratch(docs.select(F.monotonically_increasing_id().alias("rid"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")), "near-rows")
+    joined = ngram_join.jaccard_join(rows.select(F.col("rid").alias("doc_id"), F.col("row")["text"].alias("text")))
+    linked = joined.where("n_links > 0").select(F.col("doc_id").alias("rid"), "class_id")
+    linked = scratch(linked.join(rows.select("rid", F.col("row")["doc_id"].alias("doc_id")), "rid"), "near-linked")
+    least = linked.groupBy("class_id").agg(F.min(F.struct(F.isnull("doc_id"), "doc_id", "rid")).alias("least"))
+    gone = linked.select("rid").join(least.select(F.col("least.rid").alias("rid")), "rid", "left_anti")
+    left = rows.join(gone.hint("shuffle_hash"), "rid", "left_anti")
+    return left.select(*(F.col("row")[c].alias(c) for c in docs.columns))
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

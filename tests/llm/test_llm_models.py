@@ -224,5 +224,17 @@ def test_pipeline_awkward_documents(spark):
         assert out.count() >= 0
 
 
+def test_near_copies_go_by_row(spark):
+    rng = random.Random(7)
+    a, b, c = (words(rng, 60) for _ in range(3))
+    other = words(rng, 40)
+    # repeated whole; one doc_id of two texts, one of them a near copy; near copies without a doc_id
+    rows = [(3, a), (3, a), (5, b), (6, b + " more"), (6, other), (None, c), (None, c + " more"), (None, a), (9, None), (9, None)]
+    out = corpus_pipeline.drop_near_copies(spark, table(spark, rows), SF).collect()
+    got = sorted(((r.doc_id, r.text) for r in out), key=repr)
+    assert len([t for i, t in got if i is None and t in (c, c + " more")]) == 1
+    assert [x for x in got if x[0] is not None] == sorted([(3, a), (5, b), (6, other), (9, None), (9, None)], key=repr) and len(got) == 6
+
+
 def test_every_dealt_operator_is_registered():
     assert sorted({int(q[2:].split("_")[0]) for q in catalog.QUERIES}) == list(range(1, 11))
