@@ -1,7 +1,7 @@
 """Byte-level BPE ids of whole Arrow text columns.
 
 Splitting into words is vectorised over code points; each distinct word is encoded once per worker (by tiktoken, with the
-same vocabulary as the tokenizers file) and found again by its 64-bit hash.  Texts outside the simple
+same vocabulary as the tokenizers file) and found again by its 64-bit hash and its characters.  Texts outside the simple
 scripts that the vectorised splitter covers are encoded whole.
 """
 
@@ -85,6 +85,10 @@ class WordIds:
         self.at = np.zeros(0, np.int64)
         self.size = np.zeros(0, np.int64)
         self.flat = np.zeros(0, np.uint32)
+        # the words themselves: a hash is only where to look
+        self.cp = np.zeros(0, np.uint32)
+        self.cp_at = np.zeros(0, np.int64)
+        self.cp_size = np.zeros(0, np.int64)
 
     def _learn(self, hashes: np.ndarray, words: list[str]) -> None:
         if not words:
@@ -92,21 +96,23 @@ class WordIds:
         ids, size = self.new_words(words)
         at = len(self.flat) + np.cumsum(size) - size
         self.flat = np.concatenate([self.flat, ids.astype(np.uint32)])
+        length = np.fromiter(map(len, words), np.int64, len(words))
+        cp_at = len(self.cp) + np.cumsum(length) - length
+        self.cp = np.concatenate([self.cp, np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32)])
         merged = np.concatenate([self.hash, hashes])
         order = np.argsort(merged, kind="stable")
         self.hash = merged[order]
         self.at = np.concatenate([self.at, at])[order]
         self.size = np.concatenate([self.size, size])[order]
+        self.cp_at = np.concatenate([self.cp_at, cp_at])[order]
+        self.cp_size = np.concatenate([self.cp_size, length])[order]
 
     def encode_words(self, joined: str, cp: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         if not len(cp):
             return np.zeros(0, np.uint32), np.zeros(len(offsets) - 1, np.int64)
         starts = self.word_starts(cp, offsets)
         ends = np.append(starts[1:], len(cp))
-        up, down = _powers(len(cp))
-        total = np.zeros(len(cp) + 1, np.uint64)
-        np.cumsum(mix(cp.astype(np.uint64) + np.uint64(1)) * up[: len(cp)], out=total[1:])
-        word = mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+        word = self.hashes(cp, starts, ends)
         distinct, first, back = np.unique(word, return_index=True, return_inverse=True)
         if len(self.hash) + len(distinct) > self.known_words:
             self._forget()
@@ -115,13 +121,40 @@ class WordIds:
             if len(self.hash) else np.arange(len(distinct))
         self._learn(distinct[new], [joined[s:e] for s, e in zip(starts[first[new]].tolist(), ends[first[new]].tolist(), strict=True)])
         place = np.searchsorted(self.hash, distinct)
-        size = self.size[place][back]
-        at = self.at[place][back]
+        # equal hashes count only for equal characters: first occurrences against the known words, others against those
+        differs = _differ(cp, starts[first], ends[first] - starts[first], self.cp, self.cp_at[place], self.cp_size[place])[back]
+        differs |= _differ(cp, starts, ends - starts, cp, starts[first[back]], (ends - starts)[first[back]])
+        size, at, flat = self.size[place][back], self.at[place][back], self.flat
+        clash = np.flatnonzero(differs)
+        if len(clash):  # each encoded for itself, and not kept
+            own, own_size = self.new_words([joined[s:e] for s, e in zip(starts[clash].tolist(), ends[clash].tolist(), strict=True)])
+            size[clash], at[clash] = own_size, len(flat) + np.cumsum(own_size) - own_size
+            flat = np.concatenate([flat, own.astype(np.uint32)])
         upto = np.cumsum(size)
-        ids = self.flat[np.repeat(at - (upto - size), size) + np.arange(upto[-1])]
+        ids = flat[np.repeat(at - (upto - size), size) + np.arange(upto[-1])]
         cuts = np.concatenate([[0], upto])[np.searchsorted(starts, offsets)]
         return ids, np.diff(cuts)
 
+    def hashes(self, cp: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Where to look for a word; words made on purpose can share one."""
+        up, down = _powers(len(cp))
+        total = np.zeros(len(cp) + 1, np.uint64)
+        np.cumsum(mix(cp.astype(np.uint64) + np.uint64(1)) * up[: len(cp)], out=total[1:])
+        return mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+
+
+def _differ(a: np.ndarray, a_at: np.ndarray, a_size: np.ndarray, b: np.ndarray, b_at: np.ndarray, b_size: np.ndarray) -> np.ndarray:
+    """Whether spans of ``a`` hold other values than those of ``b`` beside them."""
+    out = a_size != b_size
+    rows = np.flatnonzero(~out & (a_size > 0) & ((a_at != b_at) | (a is not b)))
+    size = a_size[rows]
+    upto = np.cumsum(size)
+    inside = np.arange(upto[-1] if len(rows) else 0) - np.repeat(upto - size, size)
+    unequal = a[np.repeat(a_at[rows], size) + inside] != b[np.repeat(b_at[rows], size) + inside]
+    if len(rows):
+        out[rows] = np.logical_or.reduceat(unequal, upto - size)
+    return out
+
 
 class Encoder(WordIds):
     """Ids of texts under a vocabulary in tiktoken's form."""

@@ -17,6 +17,7 @@ and comes out null; other columns are ignored.
 
 from __future__ import annotations
 
+import hashlib
 from math import comb
 
 import numpy as np
@@ -27,7 +28,8 @@ from pyspark.sql import functions as F
 
 from tollgate.llm.common import grouped_arrow, prepare, scratch, slices, table
 from tollgate.llm.components import components
-from tollgate.llm.textvec import buffers, hashes, mix, shingles, words
+from tollgate.llm.grams import lanes, xxh64
+from tollgate.llm.textvec import SPACE, buffers, mix, shingles, words
 
 WIDTH, THRESHOLD = 5, 0.8
 BANDS, ROWS = 32, 4
@@ -43,21 +45,24 @@ def _coefficients() -> tuple[np.ndarray, np.ndarray]:
 
 
 def shingle_sets(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(shingle hashes, offsets, key 1, key 2) of a text column; the keys identify the sequence of words."""
+    """(shingle hashes, offsets, key 1, key 2) of a text column; the keys are a digest of the sequence of words."""
     raw, off = buffers(pc.utf8_lower(pc.fill_null(column, "")))
     starts, ends, first = words(raw, off)
-    word = hashes(raw, starts, ends)
+    word = xxh64(raw, lanes(raw), starts, ends - starts)
     grams, at = shingles(word, first, WIDTH)
-    # a text's words in order: hash of the chain of (place, word), twice
-    place = np.arange(len(word)) - np.repeat(first[:-1], np.diff(first))
-    count = np.diff(first).astype(np.uint64)
-
-    def chain(seed: int) -> np.ndarray:
-        term = mix(word + (place.astype(np.uint64) + np.uint64(seed)) * np.uint64(0xD1B54A32D192ED03))
-        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(term, dtype=np.uint64)])
-        return mix(total[first[1:]] - total[first[:-1]] + count * np.uint64(2 * seed + 1)).view(np.int64)
-
-    return grams, at, chain(1), chain(1_000_003)
+    # a text's words with one space between, as bytes
+    keep = np.zeros(len(raw) + 1, bool)
+    keep[:-1] = ~SPACE[raw]
+    keep[ends] = True
+    place = np.cumsum(keep) - 1
+    joined = memoryview(np.where(SPACE[raw], 32, raw).astype(np.uint8)[keep[:-1]])
+    a = place[starts[np.minimum(first[:-1], max(len(starts) - 1, 0))]] if len(starts) else np.zeros(len(first) - 1, np.int64)
+    size = np.zeros(len(first) - 1, np.int64)
+    some = np.flatnonzero(np.diff(first) > 0)
+    last = first[some + 1] - 1
+    size[some] = place[starts[last]] + (ends[last] - starts[last]) - a[some]
+    key = np.frombuffer(b"".join(hashlib.blake2b(joined[x: x + n], digest_size=16).digest() for x, n in zip(a.tolist(), size.tolist(), strict=True)), np.int64)
+    return grams, at, key[0::2].copy(), key[1::2].copy()
 
 
 def signatures(grams: np.ndarray, at: np.ndarray, chunk: int = 1 << 14) -> np.ndarray:
