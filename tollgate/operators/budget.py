@@ -8,6 +8,7 @@ map-side before the shuffle.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,8 +18,9 @@ from pyspark.sql import functions as F
 
 from tollgate import config
 from tollgate.functions.money import COST_T, LIMIT_T, day_key, denial_reason, month_key, remaining, usd
-from tollgate.operators.prefix import keyed_running_sums
-from tollgate.session import default_partitions, materialize, ship_package
+from tollgate.operators.asof import asof_join
+from tollgate.operators.chaining import NO_DAY, Span, chained, greatest_spend, summaries
+from tollgate.session import default_partitions, ship_package
 from tollgate.sources.dims import budget_dim
 
 
@@ -54,6 +56,20 @@ def with_limits(df: DataFrame, settings: config.GatewaySettings = config.DEFAULT
             .drop("_bt"))
 
 
+def limits_asof(requests: DataFrame, changes: DataFrame, settings: config.GatewaySettings = config.DEFAULT_SETTINGS, partitions: int | None = None) -> DataFrame:
+    """S9 and J3 in time: each request with the limits in force at its ts, those of its team's newest change at or before it.
+
+    ``changes``: the log that limits are set in (team_id, ts, seq, daily_limit, monthly_limit); of changes of one instant the one of
+    the largest seq counts.  Before a team's first change, and for requests without a ts, the settings' limits hold.
+    """
+    found = asof_join(requests, changes.withColumns({"daily_limit": F.col("daily_limit").cast(LIMIT_T), "monthly_limit": F.col("monthly_limit").cast(LIMIT_T)}),
+                      "team_id", "ts", ("event_id", "seq"), ("daily_limit", "monthly_limit"), partitions)
+    found = found.withColumnsRenamed({"daily_limit": "_daily", "monthly_limit": "_monthly"})
+    first = with_limits(found, settings)
+    return first.withColumns({"daily_limit": F.coalesce("_daily", "daily_limit"), "monthly_limit": F.coalesce("_monthly", "monthly_limit"),
+                              "configured": F.col("configured") | F.col("_daily").isNotNull()}).drop("_daily", "_monthly")
+
+
 def _status_columns(df: DataFrame) -> DataFrame:
     return df.select(
         "team_id", "as_of",
@@ -209,7 +225,7 @@ def _fold(batches: Iterator[pa.RecordBatch]):
         if not b.num_rows:
             continue
         month, team = b.column("month").to_numpy(zero_copy_only=False), b.column("team_id").to_numpy(zero_copy_only=False)
-        day = b.column("day").cast(pa.int32()).fill_null(np.iinfo(np.int32).min).to_numpy()
+        day = b.column("day").cast(pa.int32()).fill_null(NO_DAY).to_numpy()
         est, act, daily, monthly = (whole_numbers(b.column(c)) for c in ("est_cost", "cost", "daily_limit", "monthly_limit"))
         if any(x.dtype == object for x in (est, act, daily, monthly)) or max(int(spent_day), int(spent_month)) > 1 << 61:
             est, act, daily, monthly = (x.astype(object) for x in (est, act, daily, monthly))
@@ -228,65 +244,89 @@ def _fold(batches: Iterator[pa.RecordBatch]):
                                          names=[*_OUT, "allowed", "du_before", "mu_before"])
 
 
+def _decided_schema(rows: DataFrame):
+    # the folds pass the columns through, so that their output needn't be joined back
+    return rows.select(*_OUT).withColumns({"allowed": F.lit(True), "du_before": F.lit(0).cast(COST_T), "mu_before": F.lit(0).cast(COST_T)}).schema
+
+
 def _fold_months(rows: DataFrame, partitions: int) -> DataFrame:
-    # the fold passes the columns through, so that its output needn't be joined back
-    schema = rows.select(*_OUT).withColumns({"allowed": F.lit(True), "du_before": F.lit(0).cast(COST_T), "mu_before": F.lit(0).cast(COST_T)}).schema
+    schema = _decided_schema(rows)
     return (rows.select(*_IN).repartition(partitions, "team_id", "month").sortWithinPartitions("team_id", "month", "ts", "event_id")
             .mapInArrow(_fold, schema))
 
 
-def _settle(rows: DataFrame, partitions: int) -> DataFrame:
-    """One round of bounds: ``decided`` (null: not yet) is set wherever the least and the most that can have been spent before a
-    row agree about it.  The first open row of a team-month always gets settled, and mostly all but a shrinking rest."""
-    known = F.when(F.col("decided"), F.col("cost")).otherwise(F.lit(0).cast(COST_T))
-    possible = F.when(F.coalesce("decided", F.lit(True)), F.col("cost")).otherwise(F.lit(0).cast(COST_T))
-    rows = rows.withColumns({"lo": known.cast(COST_T), "hi": possible.cast(COST_T)})
-    rows = keyed_running_sums(rows, ["lo", "hi"], ["ts", "event_id"], {"d": ["team_id", "month", "day"], "m": ["team_id", "month"]}, partitions)
-    left = lambda limit, used: remaining(F.col(limit), F.col(used))
-    surely = (F.col("est_cost") <= left("daily_limit", "hi_d")) & (F.col("est_cost") <= left("monthly_limit", "hi_m"))
-    never = (F.col("est_cost") > left("daily_limit", "lo_d")) | (F.col("est_cost") > left("monthly_limit", "lo_m"))
-    decided = F.when(F.col("decided").isNotNull(), F.col("decided")).when(surely, True).when(never, False)
-    return rows.withColumn("decided", decided).drop("lo", "hi", "lo_d", "hi_d", "lo_m", "hi_m")
-
-
-def _hot_months(rows: DataFrame, partitions: int) -> DataFrame:
-    """Admission of team-months with too many rows for a task: bounds until every row is settled."""
-    rows = rows.withColumn("decided", F.lit(None).cast("boolean"))
-    while True:
-        rows = materialize(_settle(rows, partitions))
-        if rows.where(F.col("decided").isNull()).isEmpty():
-            break
-    spent = rows.withColumn("s", F.when(F.col("decided"), F.col("cost")).otherwise(F.lit(0).cast(COST_T)).cast(COST_T))
-    spent = keyed_running_sums(spent, ["s"], ["ts", "event_id"], {"d": ["team_id", "month", "day"], "m": ["team_id", "month"]}, partitions)
-    return spent.select(*_OUT, F.col("decided").alias("allowed"), F.col("s_d").cast(COST_T).alias("du_before"), F.col("s_m").cast(COST_T).alias("mu_before"))
+def _chunk_fold(batches: Iterator[pa.RecordBatch], decide: bool):
+    """Admission over rows sorted by (chunk, team-month, ts, event_id), each chunk from the start that stands beside its rows.
+    Returns every row's decision or, with ``decide`` off, a summary of each chunk."""
+    span, day_at, spent_day, spent_month, done = None, None, 0, 0, []
+    for b in batches:
+        if not b.num_rows:
+            continue
+        chunk, key = b.column("_chunk").to_numpy(), b.column("_key").to_numpy(zero_copy_only=False)
+        day = b.column("day").cast(pa.int32()).fill_null(NO_DAY).to_numpy()
+        start_d, start_m = (whole_numbers(b.column(c)) for c in ("start_d", "start_m"))
+        est, act, daily, monthly = (whole_numbers(b.column(c)) for c in ("est_cost", "cost", "daily_limit", "monthly_limit"))
+        if any(x.dtype == object for x in (est, act, daily, monthly, start_d, start_m)) or max(int(spent_day), int(spent_month)) > 1 << 61:
+            est, act, daily, monthly = (x.astype(object) for x in (est, act, daily, monthly))
+        most_d, most_m = greatest_spend(est, daily, STEP), greatest_spend(est, monthly, STEP)
+        cuts = [0, *(np.flatnonzero((chunk[1:] != chunk[:-1]) | (key[1:] != key[:-1])) + 1).tolist(), b.num_rows]
+        out = []
+        for lo, hi in zip(cuts, cuts[1:], strict=False):
+            if span is None or (span.chunk, span.key) != (int(chunk[lo]), key[lo]):
+                span = Span(key[lo], int(chunk[lo]), int(start_d[lo]), int(start_m[lo]))
+                done.append(span)
+                spent_day, spent_month = span.start_d, span.start_m
+            elif day[lo] != day_at:
+                spent_day = 0
+            at = slice(lo, hi)
+            allowed, du, mu, spent_day, spent_month = admit(est[at], act[at], day[at], daily[at], monthly[at], spent_day, spent_month)
+            day_at = day[hi - 1]
+            if decide:
+                out.append((allowed, du, mu))
+            else:
+                span.add(day[at], allowed, du, mu, most_d[at], most_m[at], spent_day, spent_month)
+        if decide:
+            allowed, du, mu = (np.concatenate(x) for x in zip(*out, strict=True))
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in _OUT), pa.array(allowed), _decimals(du), _decimals(mu)],
+                                             names=[*_OUT, "allowed", "du_before", "mu_before"])
+    if not decide:
+        yield summaries(done)
+
+
+def _hot_months(rows: DataFrame, partitions: int, trace: list[int] | None = None) -> DataFrame:
+    """Admission of team-months with too many rows for a task, chunk by chunk (see ``chaining``)."""
+    return chained(rows.select(*_IN), functools.partial(_chunk_fold, decide=False), functools.partial(_chunk_fold, decide=True), _decided_schema(rows), partitions, trace)
 
 
 def budget_admission(requests: DataFrame, settings: config.GatewaySettings = config.DEFAULT_SETTINGS, partitions: int | None = None,
-                     limits: DataFrame | None = None, fold_rows: int = FOLD_ROWS) -> DataFrame:
+                     limits: DataFrame | None = None, fold_rows: int = FOLD_ROWS, changes: DataFrame | None = None, trace: list[int] | None = None) -> DataFrame:
     """Per request, in (ts, event_id) order per team: allowed?, reason, spend before.
 
     ``requests``: team_id, ts, event_id, est_cost (checked before the call), cost (spent after an admitted call; 0 for a
     failed one).  Every request is decided.  One is admitted when its estimate is <= what is left of the day's limit and then of the
     month's (each rounded to 6 places, floored at 0); the counters reset at UTC midnight and month start.
-    Requests without a ts have a period of their own and spend nothing of any other.
+    Requests without a ts have a period of their own and spend nothing of any other.  Limits are those of ``limits`` (a row a team) or,
+    with a log of ``changes``, those in force at each request's time (``limits_asof``).
 
     That is a greedy fold over a team's month.  A team-month of at most ``fold_rows`` requests is folded in one task, streamed
-    and vectorised.  Larger ones (a team with a third of all traffic) never meet in a task: rounds of running sums over time
-    chunks bound what can have been spent before each row and settle the rows that the bounds agree about.
+    and vectorised.  Larger ones (a team with a third of all traffic) never meet in a task: their chunks are folded side by side from
+    guessed starts, and again where a guess proves wrong (``chaining``).  ``trace`` gets the rows folded in each of these rounds.
     """
     spark = requests.sparkSession
     ship_package(spark)
     n = partitions or default_partitions(spark)
-    rows = with_limits(requests.select("team_id", "ts", "event_id", "est_cost", "cost"), settings, limits).withColumns(
-        {"day": day_key(F.col("ts")), "month": month_key(F.col("ts"))})
+    rows = requests.select("team_id", "ts", "event_id", "est_cost", "cost")
+    rows = with_limits(rows, settings, limits) if changes is None else limits_asof(rows, changes, settings, n)
+    rows = rows.withColumns({"day": day_key(F.col("ts")), "month": month_key(F.col("ts"))})
     rows = rows.withColumns({c: F.col(c).cast(COST_T) for c in ("est_cost", "cost", "daily_limit", "monthly_limit")})
     # a row per team and month
     sizes = requests.groupBy("team_id", month_key(F.col("ts")).alias("month")).agg(F.count(F.lit(1)).alias("n"))
-    hot = sizes.where(F.col("n") > fold_rows).select("team_id", "month")
+    hot = sizes.where(F.col("n") > fold_rows).select(F.col("team_id").alias("_ht"), F.col("month").alias("_hm"))
     if hot.isEmpty():
         return explain(_fold_months(rows, n))
-    small = _fold_months(rows.join(hot, ["team_id", "month"], "left_anti"), n)
-    return explain(small.unionByName(_hot_months(rows.join(hot, ["team_id", "month"], "left_semi"), n)))
+    its = F.col("team_id").eqNullSafe(F.col("_ht")) & F.col("month").eqNullSafe(F.col("_hm"))
+    small = _fold_months(rows.join(hot, its, "left_anti"), n)
+    return explain(small.unionByName(_hot_months(rows.join(hot, its, "left_semi"), n, trace)))
 
 
 def explain(out: DataFrame) -> DataFrame:
@@ -294,4 +334,5 @@ def explain(out: DataFrame) -> DataFrame:
     kind = F.when(F.col("allowed"), None).when(F.col("est_cost") > remaining(F.col("daily_limit"), F.col("du_before")), "daily").otherwise("monthly")
     reason = F.when(kind == "daily", denial_reason(F.lit("daily"), F.col("team_id"), F.col("du_before"), F.col("daily_limit"))) \
         .when(kind == "monthly", denial_reason(F.lit("monthly"), F.col("team_id"), F.col("mu_before"), F.col("monthly_limit"))).otherwise(F.lit(""))
-    return out.select("event_id", "team_id", "ts", "est_cost", "cost", "allowed", kind.alias("denied_by"), reason.alias("reason"), "du_before", "mu_before")
+    return out.select("event_id", "team_id", "ts", "est_cost", "cost", "allowed", kind.alias("denied_by"), reason.alias("reason"), "du_before", "mu_before",
+                      "daily_limit", "monthly_limit")

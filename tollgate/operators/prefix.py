@@ -23,15 +23,20 @@ LEAST = -(1 << 63)
 
 
 def order_key(df: DataFrame, name: str) -> Column:
-    """A time or integer column as a long that sorts alike."""
+    """A time or integer column as a long that sorts alike; nulls first."""
     kind = dict(df.dtypes)[name]
     if kind == "timestamp_ntz":
-        return F.expr(f"timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', `{name}`)")
-    return F.unix_micros(F.col(name)) if kind == "timestamp" else F.col(name).cast("long")
+        key = F.expr(f"timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', `{name}`)")
+    else:
+        key = F.unix_micros(F.col(name)) if kind == "timestamp" else F.col(name).cast("long")
+    return F.coalesce(key, F.lit(LEAST + 1))
 
 
 def chunk_bounds(df: DataFrame, first: str, second: str, chunks: int) -> Bounds:
-    """Borders (first, second) of about equal chunks, ascending; at most ``chunks`` - 1 pairs go to the driver."""
+    """Borders (first, second) of about equal chunks, ascending; at most ``chunks`` - 1 pairs go to the driver.
+
+    Two passes at most: quantiles of ``first``, then, for all instants together that are several of these, quantiles of ``second``.
+    """
     if chunks < 2:
         return []
     key = order_key(df, first)
@@ -40,9 +45,16 @@ def chunk_bounds(df: DataFrame, first: str, second: str, chunks: int) -> Bounds:
     at, times = np.unique(np.array(found, np.int64), return_counts=True)
     bounds = {(int(k), LEAST) for k in at}
     hot = {int(k): int(m) for k, m in zip(at, times, strict=True) if m > 1}
-    for k, m in hot.items():
-        ids = df.where(key == k).select(F.percentile_approx(F.col(second).cast("long"), [i / m for i in range(1, m)], F.lit(10_000))).first()[0]
-        bounds |= {(k, int(i)) for i in ids or []}
+    if hot:
+        # one fine grid for all of them; each takes as many of its borders as it has shares
+        grid = 4 * max(hot.values())
+        steps = [i / grid for i in range(1, grid)]
+        keyed = df.select(key.alias("_k"), order_key(df, second).alias("_i"))
+        wanted = df.sparkSession.createDataFrame(list(hot.items()), "_k long, _m int")  # fewer than the chunks
+        ids = keyed.join(F.broadcast(wanted), "_k").groupBy("_k", "_m").agg(F.percentile_approx("_i", steps, F.lit(max(10_000, 20 * grid))).alias("_q"))
+        own = F.transform(F.sequence(F.lit(1), F.col("_m") - 1), lambda i: F.element_at("_q", F.round(i * grid / F.col("_m")).cast("int")))
+        for k, q in ids.select("_k", own).collect():
+            bounds |= {(k, int(i)) for i in q}
     return sorted(bounds)
 
 
@@ -52,16 +64,16 @@ def chunk_of(first: Column, second: Column, bounds: Bounds) -> Column:
         return F.lit(0)
     keys = np.array([b[0] for b in bounds], np.int64)
     ties = np.array([b[1] for b in bounds], np.int64)
-    hot = [int(k) for k, n in zip(*np.unique(keys, return_counts=True), strict=True) if n > 1]
 
     @F.pandas_udf("int")
     def place(k: pd.Series, t: pd.Series) -> pd.Series:
         k, t = k.to_numpy(np.int64), t.to_numpy(np.int64)
-        out = np.searchsorted(keys, k, side="right")
-        for h in hot:
-            rows = np.flatnonzero(k == h)
-            lo = int(np.searchsorted(keys, h, side="left"))
-            out[rows] = lo + np.searchsorted(ties[lo: int(np.searchsorted(keys, h, side="right"))], t[rows], side="right")
+        out, low = np.searchsorted(keys, k, side="right"), np.searchsorted(keys, k, side="left")
+        split = np.flatnonzero(out - low > 1)
+        for h in np.unique(k[split]).tolist():  # instants with borders of their own
+            rows = split[k[split] == h]
+            lo, hi = int(low[rows[0]]), int(out[rows[0]])
+            out[rows] = lo + np.searchsorted(ties[lo:hi], t[rows], side="right")
         return pd.Series(out.astype(np.int32))
 
     return place(first, second)
@@ -72,7 +84,7 @@ def with_chunk(df: DataFrame, order: Sequence[str], partitions: int | None = Non
     ship_package(df.sparkSession)
     first, second = order
     bounds = chunk_bounds(df, first, second, per_partition * (partitions or default_partitions(df.sparkSession)))
-    return df.withColumn("_chunk", chunk_of(order_key(df, first), F.col(second).cast("long"), bounds))
+    return df.withColumn("_chunk", chunk_of(order_key(df, first), order_key(df, second), bounds))
 
 
 def running_sum(df: DataFrame, value: str, order: Sequence[str], out: str, partitions: int | None = None) -> DataFrame:

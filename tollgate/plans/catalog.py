@@ -515,12 +515,28 @@ def latest_limits(spark, sf):
 
 @register("budget_admission_configured")
 def q_budget_admission_configured(spark, sf):
-    """W2 under the budgets that S9 finds in the change log."""
+    """W2 as it would have been under the budgets that S9 finds at the end of the change log; see ``budget_admission_asof``."""
     return budget.budget_admission(admission_requests(spark, sf), limits=latest_limits(spark, sf)).select(
         "event_id", "allowed", "denied_by", money.usd(F.col("du_before")).alias("daily_used_before_usd"),
         money.usd(F.col("mu_before")).alias("monthly_used_before_usd"))
 
 
+@register("budget_limits_asof")
+def q_budget_limits_asof(spark, sf):
+    """S9 and J3 in time: the limits in force when each request came."""
+    rows = audit(spark, sf).select("event_id", "team_id", "ts")
+    return budget.limits_asof(rows, traffic.budget_changes(events(spark, sf))).select(
+        "event_id", "team_id", F.col("daily_limit").cast("double").alias("daily_limit_usd"), F.col("monthly_limit").cast("double").alias("monthly_limit_usd"), "configured")
+
+
+@register("budget_admission_asof")
+def q_budget_admission_asof(spark, sf):
+    """W2 as it happened: a change of limits affects later checks only."""
+    out = budget.budget_admission(admission_requests(spark, sf), changes=traffic.budget_changes(events(spark, sf)))
+    return out.select("event_id", "allowed", "denied_by", F.col("daily_limit").cast("double").alias("daily_limit_usd"), F.col("monthly_limit").cast("double").alias("monthly_limit_usd"),
+                      money.usd(F.col("du_before")).alias("daily_used_before_usd"), money.usd(F.col("mu_before")).alias("monthly_used_before_usd"))
+
+
 @register("all_teams_budget_configured")
 def q_all_teams_budget_configured(spark, sf):
     """J4 and A3 under the budgets that S9 finds in the change log."""

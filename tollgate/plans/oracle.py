@@ -687,6 +687,26 @@ SELECT event_id, allowed, kind AS denied_by, CAST(round(du_before, 6) AS DOUBLE)
   CAST(round(mu_before, 6) AS DOUBLE) AS monthly_used_before_usd
 FROM adm"""
 
+# limits in force at the time: the newest change at or before each request, else those configured from the start
+CHANGES = """chg AS (
+SELECT team_id, ts, daily_limit, monthly_limit FROM (
+  SELECT *, row_number() OVER (PARTITION BY team_id, ts ORDER BY seq DESC) AS rn FROM (
+    SELECT CASE user_id % 4 WHEN 0 THEN 'finance-team' WHEN 1 THEN 'engineering-team' WHEN 2 THEN 'marketing-team' ELSE 'default' END AS team_id,
+      ts, event_id AS seq, CAST(round(value, 2) AS DECIMAL(12,4)) AS daily_limit, CAST(round(value * 20, 2) AS DECIMAL(12,4)) AS monthly_limit
+    FROM events WHERE event_type = 'purchase') c) r WHERE rn = 1)"""
+_ASOF = "ASOF LEFT JOIN chg g ON g.team_id = c.team_id AND g.ts <= c.ts LEFT JOIN budget b ON b.team_id = c.team_id"
+
+ORACLE["budget_limits_asof"] = with_ctes(GW_AUDIT, BUDGET, CHANGES) + f"""
+SELECT c.event_id, c.team_id, CAST(COALESCE(g.daily_limit, b.daily_limit, 10) AS DOUBLE) AS daily_limit_usd,
+  CAST(COALESCE(g.monthly_limit, b.monthly_limit, 200) AS DOUBLE) AS monthly_limit_usd, g.team_id IS NOT NULL OR b.team_id IS NOT NULL AS configured
+FROM gw_audit c {_ASOF}"""
+ORACLE["budget_admission_asof"] = (
+    ADMISSION_FOLD.replace(BUDGET, BUDGET + ",\n" + CHANGES).replace("LEFT JOIN budget b ON b.team_id = c.team_id", _ASOF)
+    .replace("COALESCE(b.daily_limit,", "COALESCE(g.daily_limit, b.daily_limit,").replace("COALESCE(b.monthly_limit,", "COALESCE(g.monthly_limit, b.monthly_limit,") + """
+SELECT event_id, allowed, kind AS denied_by, CAST(ld AS DOUBLE) AS daily_limit_usd, CAST(lm AS DOUBLE) AS monthly_limit_usd,
+  CAST(round(du_before, 6) AS DOUBLE) AS daily_used_before_usd, CAST(round(mu_before, 6) AS DOUBLE) AS monthly_used_before_usd
+FROM adm""")
+
 
 # -- the whole request path ------------------------------------------------------------------
 
