@@ -33,14 +33,6 @@ PRICES = (
 # price used when the provider is not in the table at all
 FALLBACK_PRICE = ("0.005", "0.015")
 
-# SHA-256 of the API key -> team (the keys themselves are not kept)
-TEAM_KEYS = (
-    ("742ebb9121b1487dfa652d092af09bf82b63ee0daa65029574e559d45a49ac6c", "finance-team"),
-    ("ca618c68fec60a754d07fe16651b9a9136c7036f7fb7101d1c6b4a4dd77b291f", "engineering-team"),
-    ("b6ce5c3004f92e7ec91cba12642bdb78a3fc544be24cc28b26d3db1156a28ecb", "marketing-team"),
-    ("07c801c421551b2b03972605ac1b860143e4d36124f8765cc1a311bf6908de96", "default"),
-)
-
 # provider -> default model (azure uses its deployment name)
 DEFAULT_MODELS = (
     ("anthropic", "claude-sonnet-4-6"),
@@ -113,6 +105,8 @@ class GatewaySettings:
     dashboard_shown: int = 50
     histogram_bins: int = 30
     team_budgets: tuple[tuple[str, str, str], ...] = field(default=TEAM_BUDGETS)
+    #: (SHA-256 of an API key, team); keys themselves are never kept
+    team_keys: tuple[tuple[str, str], ...] = ()
 
 
 DEFAULT_SETTINGS = GatewaySettings()

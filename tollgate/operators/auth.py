@@ -114,8 +114,8 @@ def ingest(raw: DataFrame, body_col: str = "body") -> DataFrame:
 
 
 def with_team_from_key(df: DataFrame, key_col: str = "api_key", keys: DataFrame | None = None) -> DataFrame:
-    """J1 + F2: lookup of the key's SHA-256 in a table of digests (``keys``: key_sha256, team_id; by default the settings').
-    It grows with the teams, so whether it is broadcast is left to its size at run time.
+    """J1 + F2: lookup of the key's SHA-256 in a table of digests (``keys``: key_sha256, team_id; without one
+    no key is known).  It grows with the teams, so whether it is broadcast is left to its size at run time.
 
     Missing/empty key -> 401, unknown key -> 403, known key -> 200 and
     ``key_team_id`` (which overrides any team the request body named).

@@ -149,7 +149,7 @@ def _chain(threshold: int, cooldown: int):
 FINAL = (1 << 31) - 1
 
 
-def _refold(threshold: int, cooldown: int):
+def _refold(threshold: int, cooldown: int, closings: bool):
     def run(batches):
         state = last = None
         parts, at = [], None
@@ -164,12 +164,16 @@ def _refold(threshold: int, cooldown: int):
                 last = None if pd.isna(s) else int(s)
                 state = (np.array([min(c, threshold)]), np.array([c]), np.zeros(1, dtype=bool))
             count, trip, expired, _, *state = _fold_run(t, ok, last, *state, threshold, cooldown)
+            previous = np.concatenate([[0 if last is None else last], t[:-1]])
             last = int(t[-1])
             part = pdf.iloc[rows][["provider", "attempt_id", "attempt_s", "outcome"]].copy()
             part["failures_after"] = count[:, 0]
             part["tripped_at_after"] = pd.array(t, "Int64")
             part.loc[count[:, 0] < threshold, "tripped_at_after"] = pd.NA
             part["trip_set"], part["expired"] = trip[:, 0], expired[:, 0]
+            if closings:  # a tripped breaker's trip is the attempt before
+                part["closed_at"] = pd.array(previous + cooldown, "Int64")
+                part.loc[~expired[:, 0], "closed_at"] = pd.NA
             parts.append(part)
         if parts:
             yield pd.concat(parts, ignore_index=True)
@@ -202,8 +206,9 @@ def _starts(chunked: DataFrame, threshold: int, cooldown_s: int, partitions: int
 
 def breaker_states(attempts: DataFrame, threshold: int = config.BREAKER_FAILURE_THRESHOLD,
                    cooldown_s: int = config.BREAKER_COOLDOWN_SECONDS, partitions: int | None = None,
-                   opening: DataFrame | None = None) -> DataFrame:
-    """Per attempt (outcome ok/error): failures after, trip time after, trip set, expiry seen.
+                   opening: DataFrame | None = None, closings: bool = False) -> DataFrame:
+    """Per attempt (outcome ok/error): failures after, trip time after, trip set, expiry seen.  With ``closings`` also ``closed_at``:
+    when the cooldown ended whose expiry the attempt saw.
 
     ``attempts``: provider, attempt_id, attempt_s (seconds), outcome.  ``opening`` (provider, failures, last_t): the state
     before the first attempt, as ``breaker_final`` returns it.  A provider may be any key, such as instance and provider.
@@ -211,7 +216,7 @@ def breaker_states(attempts: DataFrame, threshold: int = config.BREAKER_FAILURE_
     chunked = _chunked(attempts, partitions)
     # a row per chunk and provider; whether it is broadcast is left to its size at run time
     starts = _starts(chunked, threshold, cooldown_s, partitions, opening)
-    return _dealt(chunked.join(starts, ["_chunk", "provider"]), partitions).mapInPandas(_refold(threshold, cooldown_s), STATES)
+    return _dealt(chunked.join(starts, ["_chunk", "provider"]), partitions).mapInPandas(_refold(threshold, cooldown_s, closings), STATES + (", closed_at long" if closings else ""))
 
 
 def breaker_final(attempts: DataFrame, threshold: int = config.BREAKER_FAILURE_THRESHOLD, cooldown_s: int = config.BREAKER_COOLDOWN_SECONDS,

@@ -19,7 +19,8 @@ from pyspark.sql import functions as F
 from tollgate import config
 from tollgate.functions.money import COST_T, LIMIT_T, day_key, denial_reason, month_key, remaining, usd
 from tollgate.operators.asof import asof_join
-from tollgate.operators.chaining import NO_DAY, Span, chained, greatest_spend, summaries
+from tollgate.operators.chaining import Span, chained, greatest_spend, summaries
+from tollgate.operators.fold import NO_DAY, SCALE, STEP, admit
 from tollgate.session import default_partitions, ship_package
 from tollgate.sources.dims import budget_dim
 
@@ -141,59 +142,10 @@ def all_teams_budget(daily: DataFrame, as_of=None, settings: config.GatewaySetti
 
 
 # -- W2: budget admission -------------------------------------------------------
-#
-# In the folds money is a whole number of 1e-11 USD, the scale of the decimals.
 
-SCALE = 11
-STEP = 10 ** (SCALE - 6)  # remaining budgets are rounded to 6 places
 FOLD_ROWS = 1_000_000
 
 
-def _left(limit, used):
-    """round(max(0, limit - used), 6), half up, for arrays of whole numbers."""
-    return np.maximum(limit - used + STEP // 2, 0) // STEP * STEP
-
-
-def admit(est: np.ndarray, act: np.ndarray, day: np.ndarray, daily: np.ndarray, monthly: np.ndarray, spent_day, spent_month):
-    """Greedy admission of one team-month's requests in order.
-
-    A request is admitted if its estimate is within what is left of the day's limit and then of the month's; then its actual
-    cost is spent.  Runs of admitted and of denied requests are each found by one vectorised look ahead over a window that
-    grows while the run goes on.  Returns (allowed, daily spend before, monthly spend before) and the spend at the end.
-    """
-    n = len(est)
-    allowed = np.zeros(n, bool)
-    before_day, before_month = np.zeros(n, est.dtype), np.zeros(n, est.dtype)
-    i, width = 0, 64
-    today = day[0] if n else None
-    while i < n:
-        if day[i] != today:
-            today, spent_day = day[i], 0
-        end = i + int(np.searchsorted(day[i: i + width], today, side="right"))
-        part = slice(i, end)
-        # all admitted: where does that fail first?
-        spend = np.cumsum(act[part])
-        run = np.concatenate([spend[:1] * 0, spend[:-1]])
-        fits = (est[part] <= _left(daily[part], spent_day + run)) & (est[part] <= _left(monthly[part], spent_month + run))
-        good = end - i if fits.all() else int(fits.argmin())
-        if good:
-            at = slice(i, i + good)
-            allowed[at] = True
-            before_day[at], before_month[at] = spent_day + run[:good], spent_month + run[:good]
-            spent_day, spent_month = spent_day + spend[good - 1], spent_month + spend[good - 1]
-            i += good
-        if i < end:
-            # all denied: which is the first that fits?
-            part = slice(i, end)
-            fits = (est[part] <= _left(daily[part], spent_day)) & (est[part] <= _left(monthly[part], spent_month))
-            bad = int(fits.argmax()) if fits.any() else end - i
-            at = slice(i, i + bad)
-            before_day[at], before_month[at] = spent_day, spent_month
-            i += bad
-        width = min(2 * width, 1 << 16) if i >= end else 64
-    return allowed, before_day, before_month, spent_day, spent_month
-
-
 def whole_numbers(column: pa.Array) -> np.ndarray:
     """Decimals as whole numbers of their last place: int64 where sums of them surely fit, else Python's numbers."""
     if isinstance(column, pa.ChunkedArray):
@@ -329,10 +281,10 @@ def budget_admission(requests: DataFrame, settings: config.GatewaySettings = con
     return explain(small.unionByName(_hot_months(rows.join(hot, its, "left_semi"), n, trace)))
 
 
-def explain(out: DataFrame) -> DataFrame:
+def explain(out: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """The deciding limit and its text, from the spend before each request: the day's is checked first."""
     kind = F.when(F.col("allowed"), None).when(F.col("est_cost") > remaining(F.col("daily_limit"), F.col("du_before")), "daily").otherwise("monthly")
     reason = F.when(kind == "daily", denial_reason(F.lit("daily"), F.col("team_id"), F.col("du_before"), F.col("daily_limit"))) \
         .when(kind == "monthly", denial_reason(F.lit("monthly"), F.col("team_id"), F.col("mu_before"), F.col("monthly_limit"))).otherwise(F.lit(""))
     return out.select("event_id", "team_id", "ts", "est_cost", "cost", "allowed", kind.alias("denied_by"), reason.alias("reason"), "du_before", "mu_before",
-                      "daily_limit", "monthly_limit")
+                      "daily_limit", "monthly_limit", *keep)

@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tollgate.functions.money import COST_T
+from tollgate.operators.fold import NO_DAY
 from tollgate.operators.prefix import with_chunk
 from tollgate.session import materialize, shared_path
 
@@ -32,7 +33,6 @@ FAR = 10 ** 36
 SUMMARY = (f"_key string, _chunk int, n long, first_day int, last_day int, low_d {WHOLE}, high_d {WHOLE}, low_m {WHOLE}, high_m {WHOLE}, "
            f"first_day_spend {WHOLE}, last_day_spend {WHOLE}, month_spend {WHOLE}")
 STARTS = f"_key string, _chunk int, start_d {WHOLE}, start_m {WHOLE}, fits boolean"
-NO_DAY = -(1 << 31)
 _WIDE = Context(prec=60)
 
 #: A fold of rows sorted by (_chunk, _key, ts, event_id), each with its chunk's start_d and start_m.

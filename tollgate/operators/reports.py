@@ -62,6 +62,53 @@ def latency_histogram(audit: DataFrame, bins: int = 30) -> DataFrame:
                     (lo + (F.col("bin") + 1) * width).alias("bin_end"), "count"))
 
 
+#: Steps of bin widths within a power of ten, from one below the narrowest that can do to one above.
+NICE = (1, 2, 5, 10, 20, 50, 100, 200)
+
+
+def nice_width(lo, hi, bins: int = 30):
+    """(multiple, power): the least width multiple x 10^power, of multiples 1, 2 and 5, whose bins from a multiple of it on cover ``lo`` to
+    ``hi`` with at most ``bins`` of them; as columns.  A single value has a bin of width 1."""
+    power = (F.floor(F.log10((hi - lo) / F.lit(float(bins)))) - 1).cast("int")
+    fits = [F.when(nice_bin(hi, F.lit(m), power) - nice_bin(lo, F.lit(m), power) + 1 <= bins, F.lit(m)) for m in NICE]
+    return F.when(hi == lo, 1).otherwise(F.coalesce(*fits)), F.when(hi == lo, 0).otherwise(power)
+
+
+def nice_bin(x, multiple, power):
+    """Number of the bin of ``x``; powers of ten stay whole numbers, so that borders are where they should be."""
+    scaled = F.when(power < 0, x * F.pow(F.lit(10.0), -power)).otherwise(x / F.pow(F.lit(10.0), power))
+    return F.floor(scaled / multiple)
+
+
+def _border(bin_, multiple, power):
+    return F.when(power < 0, bin_ * multiple / F.pow(F.lit(10.0), -power)).otherwise(bin_ * multiple * F.pow(F.lit(10.0), power))
+
+
+def nice_histogram(counts: DataFrame, bins: int = 30) -> DataFrame:
+    """A7 as the chart draws it: (bin_start, bin_end, count) of at most ``bins`` bins of a nice width, empty ones left out.
+
+    ``counts``: (x, n), each value with its weight, such as ``latency_counts`` of any number of micro-batches.  One pass for the
+    range, one for the bins.
+    """
+    seen = counts.where(F.col("x").isNotNull() & ~F.isnan("x"))
+    span = seen.select(F.min("x").alias("lo"), F.max("x").alias("hi"))
+    multiple, power = nice_width(F.col("lo"), F.col("hi"), bins)
+    width = F.broadcast(span.select(multiple.alias("_m"), power.alias("_p")))  # one row
+    # the range joins as a single row, so that both passes stay declarative
+    binned = seen.join(width).groupBy("_m", "_p", nice_bin(F.col("x"), F.col("_m"), F.col("_p")).alias("_b")).agg(F.sum("n").alias("count"))
+    return binned.select(_border(F.col("_b"), F.col("_m"), F.col("_p")).cast("double").alias("bin_start"),
+                         _border(F.col("_b") + 1, F.col("_m"), F.col("_p")).cast("double").alias("bin_end"), "count")
+
+
+def latency_counts(audit: DataFrame, places: int | None = None) -> DataFrame:
+    """(x, n): entries by latency, cut to ``places`` decimal places (None: as they are).  Counts of micro-batches add up, and give the
+    histogram of all entries whenever its bins are no narrower than those places."""
+    x = F.col("latency_ms")
+    if places is not None:
+        x = F.floor(x * F.lit(10.0 ** places)) / F.lit(10.0 ** places)
+    return audit.where(F.col("latency_ms").isNotNull()).groupBy(x.alias("x")).agg(F.count(F.lit(1)).alias("n"))
+
+
 def cumulative_cost(audit: DataFrame) -> DataFrame:
     """Running total of cost in (timestamp, request) order, exact decimals."""
     base = audit.select("event_id", "ts", F.col("cost").cast(COST_T).alias("cost"))

@@ -17,7 +17,7 @@ from tollgate import config, schemas
 from tollgate.functions import messages as msg
 from tollgate.functions import money, pii
 from tollgate.operators import auth, breaker, budget, completion, detector, pricing, reports, routing
-from tollgate.session import shared_path, ship_package, spread
+from tollgate.session import cores_if_few, shared_path, ship_package, spread
 from tollgate.sources import audit_io, dims, traffic
 from tollgate.sources.tables import read_table
 from tollgate.plans import request_job
@@ -160,7 +160,8 @@ def q_budget_config_upsert(spark, sf):
 
 
 def documents(spark, sf):
-    return spread(read_table(spark, sf, "documents").select("doc_id", "text"))
+    docs = read_table(spark, sf, "documents").select("doc_id", "text")
+    return spread(docs, cores_if_few(docs))
 
 
 def _one(entity):
@@ -187,7 +188,8 @@ def q_redact_text(spark, sf):
 
 @register("pii_counts")
 def q_pii_counts(spark, sf):
-    pages = spread(read_table(spark, sf, "pages").select("page_id", "html"))
+    pages = read_table(spark, sf, "pages").select("page_id", "html")
+    pages = spread(pages, cores_if_few(pages))
     short = {"EMAIL_ADDRESS": "n_email", "PHONE_NUMBER": "n_phone", "CREDIT_CARD": "n_card",
              "US_SSN": "n_ssn", "IP_ADDRESS": "n_ip"}
     out = pii.redact_steps(pages, "html")
@@ -260,6 +262,12 @@ def q_latency_histogram(spark, sf):
     return reports.latency_histogram(audit_log(spark, sf))
 
 
+@register("latency_histogram_nice")
+def q_latency_histogram_nice(spark, sf):
+    """A7 as the chart draws it: bins of a nice width, at most 30."""
+    return reports.nice_histogram(reports.latency_counts(audit(spark, sf)))
+
+
 @register("cumulative_cost")
 def q_cumulative_cost(spark, sf):
     return reports.cumulative_cost(audit_log(spark, sf))
@@ -295,14 +303,16 @@ ODD_BODIES = (_ONE + '"max_tokens":"abc"}', _ONE + '"max_tokens":2.5}', _ONE + '
 
 
 def request_bodies(spark, sf):
-    """Raw JSON bodies as clients send them (null fields omitted), some of them malformed or wrongly typed."""
+    """Raw JSON bodies as clients send them (null fields omitted): every conversation's own and, as requests of their own with negative
+    ids, malformed or wrongly typed ones."""
     r = requests_with_messages(spark, sf)
     body = F.to_json(F.struct("messages", "model", "provider", "max_tokens", "temperature"))
     kind = F.col("request_id") % 17
-    sent = F.when(kind == 1, F.substr(body, F.lit(1), (F.length(body) / 2).cast("int")))
+    odd = F.when(kind == 1, F.substr(body, F.lit(1), (F.length(body) / 2).cast("int")))
     for n, text in enumerate(ODD_BODIES, start=2):
-        sent = sent.when(kind == n, F.lit(text))
-    return r.select("request_id", "api_key", sent.otherwise(body).alias("body"))
+        odd = odd.when(kind == n, F.lit(text))
+    sent = F.array(F.struct("request_id", body.alias("body")), F.struct((-1 - F.col("request_id")).alias("request_id"), odd.alias("body")))
+    return r.select("api_key", F.explode(sent).alias("s")).select("s.request_id", "api_key", "s.body").where("body is not null")
 
 
 @register("request_ingest")
@@ -322,7 +332,7 @@ def q_request_defaults(spark, sf):
 
 @register("auth_status")
 def q_auth_status(spark, sf):
-    return auth.with_team_from_key(requests(spark, sf)).select("request_id", "http_status", "auth_detail",
+    return auth.with_team_from_key(requests(spark, sf), keys=traffic.sample_keys(spark)).select("request_id", "http_status", "auth_detail",
                                                                "key_team_id")
 
 
@@ -331,7 +341,7 @@ def q_auth_join(spark, sf):
     """Authorised requests with the effective team (the key's team overrides the body's)."""
     r = auth.with_defaults(requests(spark, sf).withColumn("team_id", F.lit(None).cast("string"))
                            .withColumn("stream", F.lit(None).cast("boolean")))
-    out = auth.with_team_from_key(r).where(F.col("http_status") == 200)
+    out = auth.with_team_from_key(r, keys=traffic.sample_keys(spark)).where(F.col("http_status") == 200)
     return out.select("request_id", F.col("team_id").alias("body_team_id"),
                       F.col("key_team_id").alias("team_id"))
 
@@ -589,10 +599,10 @@ def q_audit_jsonl_scan(spark, sf):
 
 @register("audit_recent")
 def q_audit_recent(spark, sf):
-    """S3: recent_entries over a log on disk with half-written lines."""
-    path = shared_path(spark, "audit-recent")
+    """S3: recent_entries over a log on disk with half-written lines, of which only the newest days are read."""
+    path, limit = shared_path(spark, "audit-recent"), config.DEFAULT_SETTINGS.audit_recent_limit
     audit_io.write_lines(audit_io.to_log_lines(audit_log(spark, sf), _corrupt()), path)
-    out = audit_io.recent_entries(audit_io.read_lines(spark, path), config.DEFAULT_SETTINGS.audit_recent_limit)
+    out = audit_io.recent_entries(audit_io.newest_lines(spark, path, limit), limit)
     return out.select("seq", "request_id", "team_id", "status", money.usd(money.from_log(F.col("estimated_cost_usd"))).alias("estimated_cost_usd"))
 
 
@@ -632,7 +642,7 @@ def q_stream_budget_admission(spark, sf):
 
 @register("stream_breaker")
 def q_stream_breaker(spark, sf):
-    return streams.stream_breaker(spark, sf)
+    return streams.stream_breaker(spark, sf).where("outcome <> 'closed'")
 
 
 @register("stream_audit_sink")
@@ -645,6 +655,17 @@ def q_stream_kpi(spark, sf):
     return streams.stream_kpi(spark, sf)
 
 
+@register("stream_breaker_closings")
+def q_stream_breaker_closings(spark, sf):
+    """T4's reports of cooldowns that ended, without another attempt or before it."""
+    return streams.stream_breaker(spark, sf).where("outcome = 'closed'").select("provider", F.col("attempt_s").alias("closed_at"))
+
+
+@register("stream_latency_histogram")
+def q_stream_latency_histogram(spark, sf):
+    return streams.stream_latency_histogram(spark, sf)
+
+
 # -- extension points ---------------------------------------------------------------
 
 
@@ -679,7 +700,7 @@ def job_attempts(spark, sf):
 @register("request_job")
 def q_request_job(spark, sf):
     """The whole request path: every request's outcome, and what its audit entry and response hold."""
-    done = request_job.run_requests(job_bodies(spark, sf), job_attempts(spark, sf), JOB)
+    done = request_job.run_requests(job_bodies(spark, sf), job_attempts(spark, sf), JOB, keys=traffic.sample_keys(spark))
     return done.select("request_id", "ts", "team_id", "http_status", "status", "provider_requested", "provider_used", "model_used", "prompt_tokens_est",
                        "prompt_tokens", "completion_tokens", money.usd(F.col("est_cost")).alias("estimated_cost_usd"), money.usd(F.col("cost")).alias("cost_usd"),
                        "pii_redaction_count", F.array_join("pii_entities_redacted", ",").alias("pii_entities"), "latency_ms", "fallback_triggered",
@@ -689,7 +710,7 @@ def q_request_job(spark, sf):
 @register("request_job_responses")
 def q_request_job_responses(spark, sf):
     """What the callers of served requests get (nested fields taken apart for comparison)."""
-    done = request_job.run_requests(job_bodies(spark, sf), job_attempts(spark, sf), JOB)
+    done = request_job.run_requests(job_bodies(spark, sf), job_attempts(spark, sf), JOB, keys=traffic.sample_keys(spark))
     return request_job.responses(done).select(
         "id", "provider_used", "model_used", F.col("usage.total_tokens").alias("usage_total_tokens"), F.col("usage.estimated_cost_usd").alias("usage_estimated_cost_usd"),
         F.col("pii_summary.redacted").alias("pii_redacted"), F.col("pii_summary.redaction_count").alias("pii_redaction_count"), "fallback_triggered", "ts")
@@ -698,14 +719,14 @@ def q_request_job_responses(spark, sf):
 @register("request_job_audit")
 def q_request_job_audit(spark, sf):
     """The audit entries of the whole request path."""
-    done = request_job.run_requests(job_bodies(spark, sf), job_attempts(spark, sf), JOB)
+    done = request_job.run_requests(job_bodies(spark, sf), job_attempts(spark, sf), JOB, keys=traffic.sample_keys(spark))
     return _shown(audit_io.audit_only(request_job.audit_entries(done))).drop("latency_ms")
 
 
 @register("team_keys")
 def q_team_keys(spark, sf):
     """The key -> team dimension as the traffic uses it (keys kept as SHA-256 digests only)."""
-    keys = dims.key_dim(spark)
+    keys = traffic.sample_keys(spark)
     r = requests(spark, sf).where(F.col("api_key").isNotNull() & (F.col("api_key") != ""))
     used = r.groupBy(F.sha2("api_key", 256).alias("key_sha256")).agg(F.count(F.lit(1)).alias("n_requests"))
     return used.join(keys, "key_sha256", "left").select("key_sha256", "team_id", "n_requests")

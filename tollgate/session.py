@@ -66,6 +66,12 @@ def spread(df: DataFrame, partitions: int | None = None) -> DataFrame:
     return df if partitions is None else df.repartition(partitions)
 
 
+def cores_if_few(df: DataFrame) -> int | None:
+    """The number of cores where a scan has fewer splits than that (a small table in one file), else None: for ``spread``."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return cores if df._jdf.rdd().getNumPartitions() < cores else None
+
+
 _SHARED: list[tuple[SparkSession, str]] = []
 
 

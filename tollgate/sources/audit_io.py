@@ -14,6 +14,9 @@ from tollgate import config, schemas
 from tollgate.functions.money import logged
 
 
+SPANS = "_spans"
+
+
 def iso_timestamp(ts: Column) -> Column:
     """Python ``isoformat()`` of a naive timestamp: fraction dropped when it is zero."""
     return F.regexp_replace(F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), r"\.000000$", "")
@@ -60,6 +63,7 @@ def clustered(entries: DataFrame, files_per_day: int = 1) -> DataFrame:
 def write_jsonl(df: DataFrame, path: str, mode: str = "append", files_per_day: int = 1) -> None:
     """One JSON object per line, partitioned by UTC day so readers prune files; a few files a day."""
     clustered(log_entries(df), files_per_day).write.mode(mode).partitionBy("day").option("compression", "none").json(path)
+    write_spans(log_entries(df).select("day", "seq"), path, mode)
 
 
 def read_jsonl(spark, path: str, quarantine: bool = False) -> DataFrame:
@@ -97,11 +101,18 @@ def to_log_lines(audit: DataFrame, corrupt: Column | None = None) -> DataFrame:
 def write_lines(lines: DataFrame, path: str) -> None:
     """S1 for pre-serialized lines: plain text, one line per entry, partitioned by day."""
     lines.select("day", "line").repartition("day").write.mode("append").partitionBy("day").text(path)
+    write_spans(lines.select("day", "seq"), path)
+
 
+def write_spans(entries: DataFrame, path: str, mode: str = "append") -> None:
+    """Beside the log, in a folder that readers of the log skip: per day the sequences written, a row a day and write."""
+    entries.groupBy("day").agg(F.min("seq").alias("low"), F.max("seq").alias("high"), F.count("seq").alias("n")).coalesce(1).write.mode(mode).parquet(f"{path}/{SPANS}")
 
-def read_lines(spark, path: str) -> DataFrame:
-    """(seq, line) of a log on disk, as S1 writes it: the sequence stands at the start of a line, so a half-written one has it too."""
-    lines = spark.read.text(path).select(F.col("value").alias("line"))
+
+def read_lines(spark, path: str, days: list[str] | None = None) -> DataFrame:
+    """(seq, line) of a log on disk (or of some of its days), as S1 writes it: the sequence stands at the start of a line, so a
+    half-written one has it too."""
+    lines = spark.read.text(path if days is None else [f"{path}/day={d}" for d in days]).select(F.col("value").alias("line"))
     return lines.select(F.regexp_extract("line", '^\\{"seq":([0-9]+),', 1).try_cast("bigint").alias("seq"), "line").where("line != ''")
 
 
@@ -109,6 +120,37 @@ def write_siem(entries: DataFrame, path: str, mode: str = "append") -> None:
     """S4 as a sink: one webhook body a line, for a forwarder to post."""
     siem_envelope(entries).write.mode(mode).text(path)
 
+
+
+def newest_lines(spark, path: str, limit: int = 100) -> DataFrame:
+    """S3's input: the lines of as few days as surely hold the newest ``limit``, read backward from the newest day.
+
+    Days need not follow the sequence: a day is left out only if the log's own record of what was written says that all of its
+    sequences lie below the ``limit`` newest of the days read.  A log without that record is read whole.
+    """
+    if not exists(spark, f"{path}/{SPANS}"):
+        return read_lines(spark, path)
+    spans = spark.read.parquet(f"{path}/{SPANS}").groupBy("day").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.sum("n").alias("n"))
+    rows = spans.where("n > 0").orderBy(F.desc("high")).collect()  # a row a day
+    held, taken = 0, 0
+    while taken < len(rows) and held < limit:
+        held += rows[taken]["n"]
+        taken += 1
+    read, rest = rows[:taken], rows[taken:]
+    least = min((r["low"] for r in read), default=0)
+    if any(r["high"] > least for r in rest):
+        # other days reach among these: how far down do the newest go?
+        seqs = read_lines(spark, path, [r["day"] for r in read]).select("seq").orderBy(F.desc("seq")).limit(limit)
+        last = seqs.agg(F.min("seq")).first()[0]
+        read += [r for r in rest if r["high"] > last]
+    return read_lines(spark, path, [r["day"] for r in read]) if read else read_lines(spark, path)
+
+
+def exists(spark, path: str) -> bool:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
+
+
 def recent_entries(lines: DataFrame, limit: int = 100) -> DataFrame:
     """S3: the newest ``limit`` lines by ingest sequence, parsed; malformed ones are dropped
     after the cut (so fewer than ``limit`` may come back), newest first.

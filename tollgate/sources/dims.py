@@ -21,9 +21,9 @@ def price_dim(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, schemas.PRICE)
 
 
-def key_dim(spark: SparkSession) -> DataFrame:
-    """API key -> team.  Keys are kept only as SHA-256 digests."""
-    return spark.createDataFrame(list(config.TEAM_KEYS), "key_sha256 string, team_id string")
+def key_dim(spark: SparkSession, settings: config.GatewaySettings = config.DEFAULT_SETTINGS) -> DataFrame:
+    """SHA-256 digest of an API key -> team, from the settings; by default nobody is let in."""
+    return spark.createDataFrame(list(settings.team_keys), "key_sha256 string, team_id string")
 
 
 def provider_dim(spark: SparkSession, settings: config.GatewaySettings = config.DEFAULT_SETTINGS) -> DataFrame:

@@ -19,12 +19,12 @@ from pyspark.sql import functions as F
 from tollgate.session import shared_path
 from tollgate.streaming.session import utc
 
-Step = Callable[[DataFrame, DataFrame | None], tuple[DataFrame, DataFrame]]
+Step = Callable[[DataFrame, DataFrame | None, float], tuple[DataFrame, DataFrame]]
 
 
 class OrderedStream:
-    """``step(rows, state)`` returns (results, new state).  ``rows`` have a boolean ``late`` column; ``key``: the order key, a
-    timestamp or number; ``delay`` in the same unit (seconds for timestamps)."""
+    """``step(rows, state, now)`` returns (results, new state).  ``rows`` have a boolean ``late`` column; ``key``: the order key, a
+    timestamp or number; ``delay`` in the same unit (seconds for timestamps); ``now``: all rows before it are released."""
 
     def __init__(self, spark: SparkSession, name: str, key: str, delay: float, step: Step):
         self.spark, self.key, self.delay, self.step = spark, key, delay, step
@@ -52,7 +52,7 @@ class OrderedStream:
 
     def _epoch(self, batch: DataFrame | None, epoch: int, flush: bool = False) -> None:
         held = self._read("held", epoch - 1)
-        mark = self.spark.read.parquet(self._at("mark", epoch - 1)).first()["mark"] if epoch else float("-inf")
+        mark, seen = self.spark.read.parquet(self._at("mark", epoch - 1)).select("mark", "seen").first() if epoch else (float("-inf"), float("-inf"))
         time = lambda df: self._number(F.col(self.key), dict(df.dtypes)[self.key])
         if batch is not None:
             self._write(batch.withColumn("late", time(batch) < F.lit(mark)), "in", epoch)
@@ -61,14 +61,15 @@ class OrderedStream:
         else:
             rows = held
         newest = rows.select(F.max(time(rows))).first()[0]
-        to = float("inf") if flush else mark if newest is None else max(mark, newest - self.delay)
+        seen = seen if newest is None else max(seen, newest)
+        to = float("inf") if flush else max(mark, seen - self.delay)
         ready = rows.where(F.col("late") | (time(rows) < F.lit(to)))
-        results, state = self.step(ready, self._read("state", epoch - 1))
+        results, state = self.step(ready, self._read("state", epoch - 1), min(to, seen))
         self._write(results, "out", epoch)
         self._write(state, "state", epoch)
         self._write(rows.where(~F.col("late") & (time(rows) >= F.lit(to))), "held", epoch)
         self._write(rows.where("late"), "late", epoch)
-        self._write(self.spark.range(1).select(F.lit(to).cast("double").alias("mark")), "mark", epoch)
+        self._write(self.spark.range(1).select(F.lit(to).cast("double").alias("mark"), F.lit(seen).cast("double").alias("seen")), "mark", epoch)
         # a replay of this epoch needs the last one's tables; those before it are done with
         for table in ("in", "held", "state", "mark"):
             self._drop(table, epoch - 2)

@@ -13,9 +13,11 @@ from pyspark.sql import functions as F
 
 from tollgate import config, schemas
 from tollgate.functions import money, pii
-from tollgate.operators import breaker, budget, pricing, reports
+from tollgate.operators import breaker, pricing, reports
 from tollgate.session import shared_path, ship_package
 from tollgate.sources import audit_io, traffic
+from tollgate.streaming import admission
+from tollgate.streaming.id_index import IdIndex
 from tollgate.streaming.ordered import OrderedStream
 from tollgate.streaming.session import utc
 
@@ -89,37 +91,6 @@ def stream_daily_usage(spark: SparkSession, sf_dir: str, delay: str = "1 hour",
 
 # -- T3 ------------------------------------------------------------------------------
 
-#: Stands for the request that opens a day; sorts before every other.
-OPENING = -(1 << 63)
-
-
-def admission_step(settings: config.GatewaySettings, limits: DataFrame | None = None):
-    """W2 over released requests, from the spend per team and day that earlier releases left.
-
-    That spend stands in as one request at the start of each day, admitted whatever the limit (estimate 0).  A late request is
-    decided by the spend of its own day so far and of the month's days up to its own.
-    """
-    def step(rows: DataFrame, state: DataFrame | None) -> tuple[DataFrame, DataFrame]:
-        reqs = rows.select("team_id", "ts", "event_id", "est_cost", "cost")
-        if state is not None:
-            touched = reqs.select("team_id", money.month_key(F.col("ts")).alias("month")).distinct()
-            opening = state.withColumn("month", money.month_key(F.col("day"))).join(touched, ["team_id", "month"], "left_semi")
-            reqs = reqs.unionByName(opening.select("team_id", F.col("day").cast("timestamp_ntz").alias("ts"), F.lit(OPENING).alias("event_id"),
-                                                   F.lit(0).cast(schemas.COST).alias("est_cost"), F.col("spent").alias("cost")))
-        decided = budget.budget_admission(reqs, settings, limits=limits).where(F.col("event_id") != OPENING)
-        flags = rows.select(F.col("event_id").alias("_e"), "late")
-        out = decided.join(flags, F.col("event_id") == F.col("_e")).drop("_e")
-        spent = decided.where("allowed").select("team_id", money.day_key(F.col("ts")).alias("day"), F.col("cost").cast(money.COST_T).alias("spent"))
-        spent = spent if state is None else spent.unionByName(state.select("team_id", "day", "spent"))
-        return out, spent.groupBy("team_id", "day").agg(F.sum("spent").cast(money.COST_T).alias("spent"))
-    return step
-
-
-def admission_stream(spark: SparkSession, delay_s: float = 3600, settings: config.GatewaySettings = config.DEFAULT_SETTINGS,
-                     limits: DataFrame | None = None) -> OrderedStream:
-    return OrderedStream(spark, "budget-admission", "ts", delay_s, admission_step(settings, limits))
-
-
 def admission_input(events: DataFrame) -> DataFrame:
     costed = pricing.with_cost(traffic.gw_audit(events))
     return costed.select("team_id", "ts", "event_id", "est_cost",
@@ -130,7 +101,8 @@ def stream_budget_admission(spark: SparkSession, sf_dir: str, settings: config.G
                             delay_s: float = 3600, max_files: int | None = None) -> DataFrame:
     """W2 online.  Every request is decided; equals W2 when no request comes over ``delay_s`` late."""
     with utc(spark):
-        out = admission_stream(spark, delay_s, settings).run(admission_input(read_stream(spark, sf_dir, "events", max_files)))
+        stream = admission_input(read_stream(spark, sf_dir, "events", max_files))
+        out = admission.AdmissionStream(spark, delay_s, settings).run(stream)
         return out.select("event_id", "team_id", "ts", money.usd(F.col("est_cost")).alias("estimated_cost_usd"), money.usd(F.col("cost")).alias("cost_usd"),
                           "allowed", "denied_by", "reason", money.usd(F.col("du_before")).alias("daily_used_before_usd"),
                           money.usd(F.col("mu_before")).alias("monthly_used_before_usd"), "late")
@@ -140,11 +112,29 @@ def stream_budget_admission(spark: SparkSession, sf_dir: str, settings: config.G
 
 def breaker_step(threshold: int, cooldown_s: int):
     """W3 over released attempts, from the state that earlier releases left.  Late attempts can't change what was already
-    reported: they are in the side table only."""
-    def step(rows: DataFrame, state: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+    reported: they are in the side table only.
+
+    A breaker whose cooldown ends is reported without waiting for another attempt: by a row of outcome 'closed' at trip + cooldown, as soon
+    as event time has passed it.  The state remembers the trip whose end was reported.
+    """
+    def step(rows: DataFrame, state: DataFrame | None, now: float) -> tuple[DataFrame, DataFrame]:
         fresh = rows.where(~F.col("late"))
-        out = breaker.breaker_states(fresh, threshold, cooldown_s, opening=state)
-        return out, breaker.breaker_final(fresh, threshold, cooldown_s, opening=state)
+        out = breaker.breaker_states(fresh, threshold, cooldown_s, opening=state, closings=True)
+        final = breaker.breaker_final(fresh, threshold, cooldown_s, opening=state)
+        if state is None:
+            final = final.withColumn("reported", F.lit(None).cast("long"))
+            told = final.select("provider", "reported").limit(0)
+        else:
+            told = state.select("provider", "reported")
+            final = final.join(told, "provider", "left")
+        over = (F.col("failures") >= threshold) & (F.col("last_t") + cooldown_s < F.lit(now)) & ~F.coalesce(F.col("reported") == F.col("last_t"), F.lit(False))
+        ended = out.where("closed_at is not null").select("provider", (F.col("closed_at") - cooldown_s).alias("trip")).join(told, "provider", "left") \
+            .where(~F.coalesce(F.col("reported") == F.col("trip"), F.lit(False))).select("provider", "trip")
+        ended = ended.unionByName(final.where(over).select("provider", F.col("last_t").alias("trip")))
+        closed = ended.select("provider", F.lit(None).cast("long").alias("attempt_id"), (F.col("trip") + cooldown_s).alias("attempt_s"), F.lit("closed").alias("outcome"),
+                              F.lit(0).cast("long").alias("failures_after"), F.lit(None).cast("long").alias("tripped_at_after"), F.lit(False).alias("trip_set"), F.lit(True).alias("expired"))
+        final = final.withColumn("reported", F.when(over, F.col("last_t")).otherwise(F.col("reported")))
+        return out.drop("closed_at").unionByName(closed), final
     return step
 
 
@@ -159,7 +149,8 @@ def breaker_input(events: DataFrame) -> DataFrame:
 
 def stream_breaker(spark: SparkSession, sf_dir: str, threshold: int = config.BREAKER_FAILURE_THRESHOLD,
                    cooldown_s: int = config.BREAKER_COOLDOWN_SECONDS, delay_s: float = 3600, max_files: int | None = None) -> DataFrame:
-    """T4: W3 online; equals W3 when no attempt comes over ``delay_s`` late."""
+    """T4: W3 online, every attempt and every end of a cooldown (outcome 'closed'); the attempts equal W3 when none comes over
+    ``delay_s`` late."""
     return breaker_stream(spark, delay_s, threshold, cooldown_s).run(breaker_input(read_stream(spark, sf_dir, "events", max_files)))
 
 
@@ -174,19 +165,22 @@ def append_audit(audit: DataFrame, epoch: int, target: str) -> None:
     """Append one batch's entries to the log and, as envelopes, to the SIEM outbox: every request once, whatever was
     delivered twice and however late.
 
-    Entries already written are found by request id among those of the same days (an index of ids by day).  The batch goes to
+    Entries already written are found by request id among those of the same days, in the index beside the log.  The batch goes to
     folders of its epoch, which a replay overwrites.
     """
     spark = audit.sparkSession
     log, siem, written = audit_sink_paths(target)
+    index = IdIndex(spark, written)
     entries = audit_io.log_entries(audit).dropDuplicates(["request_id"])
-    if epoch:
-        seen = spark.read.parquet(written).where(F.col("epoch") < epoch).select("day", "request_id")
-        entries = entries.join(seen, ["day", "request_id"], "left_anti")
+    places = index.places(entries, "day", "request_id")
+    seen = index.known(places, epoch)
+    if seen is not None:
+        entries = entries.join(seen.withColumnRenamed("id", "request_id"), ["day", "request_id"], "left_anti")
     audit_io.clustered(entries).write.mode("overwrite").partitionBy("day").json(f"{log}/epoch={epoch}")
     own = spark.read.schema(schemas.AUDIT).json(f"{log}/epoch={epoch}")
     audit_io.write_siem(own, f"{siem}/epoch={epoch}", mode="overwrite")
-    own.select("request_id", F.substring("timestamp", 1, 10).alias("day")).write.mode("overwrite").partitionBy("day").parquet(f"{written}/epoch={epoch}")
+    index.add(own.withColumn("day", F.substring("timestamp", 1, 10)), "day", "request_id", epoch)
+    index.compact(places, epoch)
 
 
 def stream_audit_sink(spark: SparkSession, sf_dir: str, max_files: int | None = None) -> DataFrame:
@@ -210,3 +204,13 @@ def stream_kpi(spark: SparkSession, sf_dir: str, max_files: int | None = None) -
         batch.write.mode("overwrite").parquet(target)
 
     return spark.read.parquet(run_foreach_batch(kpi, "kpi", overwrite))
+
+
+def stream_latency_histogram(spark: SparkSession, sf_dir: str, places: int = 1, bins: int = 30, max_files: int | None = None) -> DataFrame:
+    """A7 kept current: a batch adds its own counts per latency (cut to ``places``) in a folder of its epoch; the histogram is drawn from
+    their total."""
+    def add(batch: DataFrame, epoch: int, target: str) -> None:
+        reports.latency_counts(traffic.gw_audit(batch), places).write.mode("overwrite").parquet(f"{target}/epoch={epoch}")
+
+    target = run_foreach_batch(read_stream(spark, sf_dir, "events", max_files), "latency", add, mode="append")
+    return reports.nice_histogram(spark.read.parquet(target).select("x", "n"), bins)
