@@ -160,6 +160,35 @@ def test_line_dedup(spark):
     assert line_dedup.line_dedup(empty(spark)).count() == 0
 
 
+@pytest.mark.parametrize("rare", [3, None])
+def test_lines_left_by_their_definition(spark, rare):
+    """Without the library's alignment: of a document's lines those go that an earlier document it is paired with holds."""
+    rng = random.Random(11)
+    pool = [words(rng, rng.choice([2, 6, 30])) for _ in range(40)]
+    rows = []
+    for i in range(60):
+        own = [words(rng, 8) for _ in range(rng.randrange(1, 6))]
+        some = rng.sample(pool, rng.randrange(0, 6))
+        lines = own + some * rng.choice([1, 1, 2])
+        rng.shuffle(lines)
+        rows.append((i, "\n".join(lines)))
+    got = {r.doc_id: r.text.split("\n") for r in line_dedup.line_dedup(table(spark, rows), rare=rare).collect()}
+    lines = {i: t.split("\n") for i, t in rows}
+    holds = collections.Counter(x for ls in lines.values() for x in set(ls))
+    first = {x: min(i for i, ls in lines.items() if x in ls) for x in holds}
+    big = lambda xs: len(xs) >= line_dedup.LINES or sum(map(len, xs)) >= line_dedup.CHARS
+    for i, ls in lines.items():
+        taken = {x for x in ls if first[x] < i}
+        owners = collections.defaultdict(set)
+        for x in taken:
+            owners[first[x]].add(x)
+        paired = {o for o, xs in owners.items() if rare is None or min(holds[x] for x in xs) <= rare or big(xs)}
+        gone = {x for x in ls if any(x in lines[o] for o in paired)}
+        if rare is not None and big(taken):
+            gone |= {x for o, xs in owners.items() if o not in paired for x in xs if holds[x] > rare}
+        assert got[i] == ([x for x in ls if x not in gone] or [""]), i
+
+
 def test_line_dedup_hot_lines_of_several_owners(spark):
     """A block whose lines first occur in three documents goes however many texts hold it; a lone line of that kind stays."""
     rng = random.Random(3)

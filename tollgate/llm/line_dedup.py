@@ -12,7 +12,7 @@ Kept on purpose is a line in more than ``RARE`` texts in a document that shares
 
 Earlier means a smaller doc_id.  Lines are compared without white space around them.  Defined cases: null text counts
 as empty; blank lines alone match nothing, so empty and blank texts are left alone; rows that repeat both doc_id and text
-are one document and come out alike; a null doc_id is the latest; an empty table gives no rows; other columns
+are one document and come out alike; a null doc_id is the latest; an empty table gives no rows; of a very long text the lines' hashes are held, and aligned with one owner at a time; other columns
 are passed through by ``line_dedup`` and ignored by the query.
 """
 
@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tollgate.llm.common import grouped_arrow, scratch, table
+from tollgate.llm.common import prepare, scratch, table
 
 RARE, LINES, CHARS = 100, 3, 200
 LAST = (1 << 63) - 1
@@ -162,8 +162,9 @@ def _first_copies(rows: DataFrame) -> DataFrame:
     return rows.groupBy("t1", "t2").agg(F.min(key).alias("first"), F.max("doc_id").alias("last"))
 
 
-def cuts(docs: DataFrame, rare: int = RARE, lines: int = LINES, chars: int = CHARS) -> DataFrame:
-    """A row for each document (doc_id, t1, t2) that loses lines, with the ranges of lines it keeps."""
+def cuts(docs: DataFrame, rare: int | None = RARE, lines: int = LINES, chars: int = CHARS) -> DataFrame:
+    """A row for each document (doc_id, t1, t2) that loses lines, with the ranges of lines it keeps.  ``rare`` None: every pair that
+    shares a line is aligned, however many texts hold it, so that what goes depends on the two documents only."""
     rows = scratch(_hashed(docs), "lines")
     texts = scratch(_first_copies(rows), "texts")
     first = texts.select(F.col("first.rid").alias("rid"))
@@ -180,6 +181,7 @@ def cuts(docs: DataFrame, rare: int = RARE, lines: int = LINES, chars: int = CHA
     # a table of its own, so that both sides of the join are shuffled for it and a hot line's rows can be split at run time
     shared = scratch(shared.select("find", "align", "n", F.col("owner.rid").alias("owner")), "shared")
     owned = held.join(shared, ["find", "align"]).where("rid != owner")
+    rare = LAST if rare is None else rare
     owned = owned.groupBy("rid", "owner").agg(F.min("n").alias("rarest"), F.count("*").alias("lines"), F.sum("size").alias("chars"),
                                               F.collect_list(F.when(F.col("n") > rare, F.col("align"))).alias("hot"))
     enough = (F.col("lines") >= lines) | (F.col("chars") >= chars)
@@ -193,20 +195,33 @@ def cuts(docs: DataFrame, rare: int = RARE, lines: int = LINES, chars: int = CHA
     hot = found.where(F.size("hot") > 0).select("rid", F.col("hot").alias("earlier"), F.lit(True).alias("is_hot"))
     with_owner = with_owner.unionByName(hot)
     both = with_owner.join(rows.select("rid", "doc_id", "t1", "t2", "align"), "rid")
-    item = pa.list_(pa.struct([("start", pa.int32()), ("length", pa.int32())]))
-
-    def align(group: pa.Table) -> pa.Table | None:
-        later = group["align"][0].as_py()
-        removed: set[int] = set()
-        for earlier, is_hot in zip(group["earlier"], group["is_hot"], strict=True):
-            removed |= held_lines(later, earlier.as_py()) if is_hot.as_py() else common_lines(later, earlier.as_py())
-        if not removed:
-            return None
-        one = group.slice(0, 1)
-        return pa.table({"doc_id": one["doc_id"], "t1": one["t1"], "t2": one["t2"], "kept": pa.array([kept_ranges(len(later), removed)], item),
-                         "n_removed": pa.array([len(removed)], pa.int64())})
-
-    aligned = grouped_arrow(both, ["rid"], align, CUTS)
+    keys = ["doc_id", "t1", "t2", "n_lines"]
+
+    def align(batches):
+        # a pair of documents at a time: what a document loses to all of its owners together is put together below
+        for b in batches:
+            places, lost = [], []
+            for i, (later, earlier, is_hot) in enumerate(zip(b.column("align"), b.column("earlier"), b.column("is_hot"), strict=True)):
+                removed = (held_lines if is_hot.as_py() else common_lines)(later.as_py(), earlier.as_py())
+                if removed:
+                    places.append(i)
+                    lost.append(sorted(removed))
+            some = b.take(pa.array(places, pa.int64()))
+            yield pa.RecordBatch.from_arrays([*(some.column(c) for c in ("rid", *keys)), pa.array(lost, pa.list_(pa.int32()))], names=["rid", *keys, "removed"])
+
+    def keep(batches):
+        item = pa.list_(pa.struct([("start", pa.int32()), ("length", pa.int32())]))
+        for b in batches:
+            removed = [set(x) for x in b.column("removed").to_pylist()]
+            kept = [kept_ranges(n, r) for n, r in zip(b.column("n_lines").to_pylist(), removed, strict=True)]
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keys[:3]), pa.array(kept, item), pa.array(list(map(len, removed)), pa.int64())],
+                                             names=["doc_id", "t1", "t2", "kept", "n_removed"])
+
+    prepare(docs.sparkSession)
+    pairs = both.withColumn("n_lines", F.size("align"))
+    lost = pairs.select("rid", *keys, "align", "earlier", "is_hot").mapInArrow(align, "rid long, doc_id long, t1 long, t2 long, n_lines int, removed array<int>")
+    lost = lost.select("rid", *keys, F.explode("removed").alias("line")).groupBy("rid", *keys).agg(F.collect_set("line").alias("removed"))
+    aligned = lost.select(*keys, "removed").mapInArrow(keep, CUTS)
     return aligned.unionByName(copies.select("doc_id", "t1", "t2", F.expr("cast(array() as array<struct<start:int,length:int>>)").alias("kept"), "n_removed"))
 
 
