@@ -123,6 +123,41 @@ def test_toxicity_tolerates_gaps_and_insertions():
     assert (model.curve(scorer.worst(pa.array(["", None, "kane rotimu"])).astype(float)) < 0.5).all()
 
 
+def test_window_values_are_the_kernel_of_each_window():
+    rng = np.random.default_rng(0)
+    code, starts, ends, _, goes_on = toxicity.sentences(pa.array(["abcd efg hi j klmnop qrst. uvw xyz", "one" * 15 + " two", "a b c", "xx yyyy"]))
+    weights = rng.normal(size=toxicity.SIZE ** 3).astype(np.float32)
+    spans = [toxicity.windows(starts, ends, np.zeros(len(starts), int))[:2], *((starts[a], ends[b]) for a, b in toxicity.phrases(starts, ends, goes_on))]
+    for s, e in spans:
+        assert len(s) and np.allclose(toxicity.window_values(code, s, e, weights, 3), toxicity.weigh(code, s, e, weights), atol=1e-4)
+
+
+def test_phrases_stay_within_a_sentence():
+    code, starts, ends, row, goes_on = toxicity.sentences(pa.array(["one two. three four\nfive", "six", "seven " + "x" * 40, None, "a b c eight"]))
+    word = ["".join(toxicity.ALPHABET[c - 4] for c in code[s:e]) for s, e in zip(starts, ends, strict=True)]
+    got = [" ".join(word[a: b + 1]) for firsts, lasts in toxicity.phrases(starts, ends, goes_on) for a, b in zip(firsts, lasts, strict=True)]
+    assert got == ["one two", "three four", "abc eight"]
+
+
+def test_insults_of_ordinary_words():
+    """Words that clean texts use, too, but not side by side."""
+    rng = random.Random(1)
+
+    def text(bad):
+        out = ["".join(rng.choices(["ka", "ne", "ro", "ti", "mu", "sel", "or", "in"], k=rng.randrange(1, 4))) for _ in range(40)]
+        for part in rng.choices(["drop", "dead", "drop it", "dead end"], k=3) + ["drop dead"] * bad:
+            out.insert(rng.randrange(len(out)), part)
+        return " ".join(out)
+    texts = [text(n % 4 == 0) for n in range(800)]
+    y = np.array(["drop dead" in t for t in texts], float)
+    model = toxicity.fit_texts(pa.array(texts[:500]), y[:500])
+    scorer = toxicity.Scorer(model)
+    held = model.curve(scorer.worst(pa.array(texts[500:])).astype(float)) >= 0.5
+    assert held[y[500:] == 1].mean() >= 0.95 and held[y[500:] == 0].mean() <= 0.01
+    some = model.curve(scorer.worst(pa.array(["ka ne d r o p dead", "ka dr.op de-ad or", "ka drop. dead ne", "dead drop", "drop it dead end"])).astype(float)) >= 0.5
+    assert some.tolist() == [True, True, False, False, False]
+
+
 def test_toxicity_held_out(spark):
     labels = _labels(spark)
     rows = toxicity.query(spark, SF).collect()
