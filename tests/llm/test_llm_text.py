@@ -307,3 +307,18 @@ def test_piece_query_equals_the_library(spark):
 
 def test_odd_table_is_odd(spark):
     assert odd(spark).where("text is null").count() == 2
+
+
+def test_novel_spans_next_to_many_base_spans():
+    """As by looking at every base span for each candidate."""
+    rng = random.Random(6)
+    novelty = secrets.Novelty(secrets.identifier_dictionary())
+    blob = lambda n: "".join(rng.choices("ABCDEFGHJKLMNPQRSTUVWXYZabcdefghijkmnopqrstuvwxyz0123456789+/", k=n))
+    parts = ["token = " + blob(20), "f" * 20, "the private " + blob(30), "auth: " + blob(24), "session " + "0123456789abcdef" * 2, "plain words here", "AKIA" + "Q" * 20]
+    text = "\n".join(rng.choice(parts) + " " * rng.randrange(3) for _ in range(200))
+    base = secrets.base_spans(text)
+    touches = lambda a, b: any(s < b and a < e for s, e, _ in base)
+    got = secrets.novel_spans(text, base, novelty)
+    every = secrets.novel_spans(text, [], novelty)
+    assert got and not any(touches(a, b) for a, b, *_ in got)
+    assert {x[:2] for x in every if not touches(*x[:2])} <= {x[:2] for x in got}

@@ -14,6 +14,8 @@ import builtins
 import functools
 import importlib
 import re
+from bisect import bisect_left
+from itertools import accumulate
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -102,6 +104,8 @@ class Novelty:
 def novel_spans(text: str, base: list[tuple[int, int, str]], novelty: Novelty, threshold: float = NOVELTY):
     """(start, end, 'novel', novelty) of incompressible strings in a sensitive context that no base span touches."""
     found, seen, b = [], -1, 0
+    # of the base spans that start before a place, how far the longest reaches
+    starts, reach = [x[0] for x in base], list(accumulate((x[1] for x in base), max))
     for m in SENSITIVE.finditer(text):
         # one that starts at the end of the reach has its least length behind it
         for c in CANDIDATE.finditer(text, m.end(), min(len(text), m.end() + REACH + SHORTEST)):
@@ -112,7 +116,8 @@ def novel_spans(text: str, base: list[tuple[int, int, str]], novelty: Novelty, t
                 continue
             if a >= b:  # else it is the rest of the string before, of the same end
                 b = CANDIDATE.match(text, a).end()  # the reach may have cut it
-            if any(s < b and a < e for s, e, _ in base):
+            before = bisect_left(starts, b)
+            if before and reach[before - 1] > a:
                 continue
             seen = b - 1
             if (score := novelty(text, a, b)) >= threshold:
