@@ -61,6 +61,14 @@ def test_event_fold(spark):
     assert got == want and want[1] == [("user", "hi"), ("assistant", "Hello!"), ("user", "")]
 
 
+def test_turns_without_a_number_or_a_conversation(spark):
+    rows = [(None, 2, "assistant", "b"), (None, 1, "user", "a"), (7, None, "user", "first"), (7, 0, "assistant", "then"), (7, 0, "assistant", "then"), (8, 1, None, None)]
+    out = {r.conv_id: r for r in chat.read_back(chat.format_chats(chat.events_of_turns(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")))).collect()}
+    said = {None: "user\na\nassistant\nb\n", 7: "user\nfirst\nassistant\nthen\nassistant\nthen\n", 8: "\n\n"}
+    assert {i: r.turns_sha256 for i, r in out.items()} == {i: hashlib.sha256(t.encode()).hexdigest() for i, t in said.items()}
+    assert out[7].loss_sha256 == hashlib.sha256(b"thenthen").hexdigest() and out[None].n_turns == 2
+
+
 def test_random_event_logs(spark):
     rng = random.Random(0)
     rows = []

@@ -8,7 +8,8 @@ every control string inside a text broken by a backslash after its first charact
 reading the output back gives the texts again.
 
 Defined cases: null text or role counts as empty; an empty log gives no rows; equal sequence numbers are ordered by
-msg_id, kind, role and text; rows repeated whole are events of their own; other columns are ignored.
+msg_id, kind, role and text; null sequence numbers (null turns) come first; rows of a null conv_id are one conversation, whose conv_id
+comes out null; a conversation, of texts of any length, is rendered whole; rows repeated whole are events of their own; other columns are ignored.
 """
 
 from __future__ import annotations

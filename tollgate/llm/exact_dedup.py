@@ -7,7 +7,7 @@ shard's index streams those rows: a filter miss is a new digest, a hit is verifi
 
 Defined cases: an empty table gives no rows; empty texts are equal to each other; rows repeated
 whole (same doc_id) count each, and exactly one of them is kept; a null doc_id sorts last; other columns
-of the input are ignored.
+of the input are ignored; a text of any length is digested whole.
 """
 
 from __future__ import annotations

@@ -12,7 +12,7 @@ less than 1e-6; likelier pairs less often.
 
 Defined cases: null text counts as empty; a text without words has no links and is a class of its own; an
 empty table gives no rows; rows repeated whole are documents that link to each other; a null doc_id counts as the largest
-and comes out null; other columns are ignored.
+and comes out null; a text of any length is compared by all of its shingles; other columns are ignored.
 """
 
 from __future__ import annotations

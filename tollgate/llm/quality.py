@@ -7,7 +7,8 @@ its texts, go to the driver, and the tables (some KB) go to the tasks.
 
 Defined cases: null text counts as empty, an empty text is scored; an empty table gives no rows; a document labelled
 more than once takes its smallest label, null labels teach nothing, and without labels of both kinds every score is the
-share of good labels (1 if there is none); rows repeated whole are scored each; other columns are ignored.
+share of good labels (1 if there is none); a text of any length is scored whole; rows repeated whole are scored each; other columns are
+ignored.
 """
 
 from __future__ import annotations
