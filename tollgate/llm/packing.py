@@ -26,6 +26,8 @@ from tollgate.llm.common import grouped_arrow, prepare, scratch, slices, table
 
 CAPACITY = 1024
 END_ID = 2
+#: Bytes of text that a task encodes at once.
+SLICE = 1 << 20
 BLOCK = 8192
 ISLANDS = 2
 EPOCHS = 2
@@ -55,7 +57,7 @@ def tokenise(docs: DataFrame, capacity: int = CAPACITY, with_ids: bool = False)
 
     def run(batches):
         encoder = Encoder(*vocabulary())
-        for b in slices(batches, "text"):
+        for b in slices(batches, "text", SLICE):
             ids, off = encoder.encode(b.column("text"))
             counts, crcs, raws = [], [], []
             for i in range(b.num_rows):
