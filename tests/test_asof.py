@@ -11,7 +11,7 @@ from brute import admission_fold
 from pyspark.sql import functions as F
 
 from tollgate import config
-from tollgate.operators import budget, chaining, prefix
+from tollgate.operators import budget, chaining, fold, prefix
 from tollgate.operators.asof import asof_join
 
 START = dt.datetime(2024, 1, 28)
@@ -171,3 +171,53 @@ def test_borders_take_as_many_jobs_for_many_hot_instants_as_for_one(spark):
     assert counts[0] == counts[1]
     sizes = [r["count"] for r in prefix.with_chunk(many, ["ts", "id"], 30).groupBy("_chunk").count().collect()]
     assert len(sizes) >= 55 and max(sizes) <= 2.5 * 100
+
+
+# ---- team-months whose limits change all the time ----------------------------------------------------------------------------------
+
+@pytest.mark.parametrize("far", [False, True])
+def test_large_month_of_changing_limits_is_settled_in_three_rounds(spark, far):
+    """Limits that change every few requests leave guessed starts no room; rows are folded three times at most, however many chunks there are."""
+    n, rng = 20_000, np.random.default_rng(11)
+    est, act, day = _traffic(n, 4)
+    at = np.sort(day * 86400 + rng.integers(0, 86400, n))
+    limit = np.repeat(rng.exponential(3, n // 5), 5).round(2) * (10**9 if far else 1)
+    if far:
+        est, act = est.astype(object) * 10**9, act.astype(object) * 10**9  # beyond 64 bits in sum
+    act = [int(a) - (10**6 if i % 50 == 7 else 0) for i, a in enumerate(act)]  # some are paid back
+    money = lambda x: Decimal(int(x)).scaleb(-11)
+    ts = [dt.datetime(2024, 3, 1) + dt.timedelta(seconds=int(s)) for s in at]
+    reqs = spark.createDataFrame([("t", ts[i], i, money(est[i]), money(act[i])) for i in range(n)], REQUESTS)
+    log = {ts[i]: ("t", ts[i], i, Decimal(str(limit[i])).quantize(Decimal("0.01")), Decimal(str(limit[i] * 20)).quantize(Decimal("0.01"))) for i in range(0, n, 5)}
+    trace = []
+    got = budget.budget_admission(reqs, config.GatewaySettings(), 8, fold_rows=1000, changes=spark.createDataFrame(list(log.values()), CHANGES), trace=trace).select(
+        "event_id", "allowed", "du_before", "mu_before", "daily_limit", "monthly_limit").toPandas().sort_values("event_id")
+    whole = lambda c: np.array([int(x.scaleb(11)) for x in got[c]], object)
+    days = np.array([t.toordinal() for t in ts])
+    allowed, du, mu, _, _ = budget.admit(np.array([int(e) for e in est], object), np.array(act, object), days, whole("daily_limit"), whole("monthly_limit"), 0, 0)
+    assert 0 < allowed.sum() < n and (got["allowed"].to_numpy() == allowed).all()
+    assert (whole("du_before") == du).all() and (whole("mu_before") == mu).all()
+    assert len(trace) <= 3 and sum(trace) <= 3 * n
+
+
+def test_doubts_are_settled_alike_from_every_start_of_the_range():
+    rng = random.Random(6)
+    for kind in (np.int64, object):
+        for _ in range(80):
+            n = rng.randrange(1, 40)
+            est, act = (np.array([rng.randrange(-1, 12) * fold.STEP + rng.randrange(3) for _ in range(n)], kind) for _ in range(2))
+            day = np.sort(np.array([rng.randrange(3) for _ in range(n)], np.int32))
+            daily, monthly = (np.array([rng.randrange(10, 60) * fold.STEP for _ in range(n)], kind) for _ in range(2))
+            low_d, low_m = rng.randrange(0, 30) * fold.STEP, rng.randrange(0, 30) * fold.STEP
+            high_d, high_m = low_d + rng.randrange(0, 9) * fold.STEP, low_m + rng.randrange(0, 9) * fold.STEP
+            most = [fold.greatest_spend(est, limit) for limit in (daily, monthly)]
+            for _ in range(6):
+                d, m = rng.randint(low_d, high_d), rng.randint(low_m, high_m)
+                first, chunk, after = chaining.Doubts("k", 0, int(day[0]), d, d, m, m), chaining.Doubts("k", 1, int(day[0]), low_d, high_d, low_m, high_m), \
+                    chaining.Doubts("k", 2, int(day[-1]), 0, chaining.FAR, 0, chaining.FAR)
+                chunk.add(day, act, *most)
+                rows = [e for x in (first, chunk, after) for e in x.taken(last=True)]
+                out = [b.to_pylist() for b in chaining.replay(iter([chaining.doubts(rows[:3]), chaining.doubts(rows[3:])]))]
+                _, _, _, spent_d, spent_m = budget.admit(est, act, day, daily, monthly, d, m)
+                at = {r["_chunk"]: (int(r["start_d"]), int(r["start_m"]), r["fits"]) for part in out for r in part}
+                assert at[1] == (d, m, True) and at[2][:2] == (spent_d, spent_m)

@@ -19,9 +19,9 @@ from pyspark.sql import functions as F
 from tollgate import config
 from tollgate.functions.money import COST_T, LIMIT_T, day_key, denial_reason, month_key, remaining, usd
 from tollgate.operators.asof import asof_join
-from tollgate.operators.chaining import Span, chained, greatest_spend, summaries
-from tollgate.operators.fold import NO_DAY, SCALE, STEP, admit
-from tollgate.session import default_partitions, ship_package
+from tollgate.operators.chaining import Doubts, Span, chained, decimals, doubts, summaries, whole_numbers
+from tollgate.operators.fold import NO_DAY, SCALE, STEP, admit, greatest_spend
+from tollgate.session import default_partitions, materialize, ship_package
 from tollgate.sources.dims import budget_dim
 
 
@@ -146,28 +146,13 @@ def all_teams_budget(daily: DataFrame, as_of=None, settings: config.GatewaySetti
 FOLD_ROWS = 1_000_000
 
 
-def whole_numbers(column: pa.Array) -> np.ndarray:
-    """Decimals as whole numbers of their last place: int64 where sums of them surely fit, else Python's numbers."""
-    if isinstance(column, pa.ChunkedArray):
-        column = column.combine_chunks()
-    words = np.frombuffer(column.buffers()[1], np.int64).reshape(-1, 2)[column.offset: column.offset + len(column)]
-    low, high = words[:, 0], words[:, 1]
-    if len(column) and ((high != 0).any() or (low < 0).any() or int(low.max()) > (1 << 62) // (2 * len(column) + 2)):
-        return np.array([(int(h) << 64) + (int(x) & 0xFFFFFFFFFFFFFFFF) for x, h in words], object)
-    return low
-
-
 _IN = ["team_id", "month", "day", "ts", "event_id", "est_cost", "cost", "daily_limit", "monthly_limit"]
 _OUT = ["team_id", "ts", "event_id", "est_cost", "cost", "daily_limit", "monthly_limit"]
 
 
 def _decimals(values: np.ndarray) -> pa.Array:
     """Whole numbers of 1e-11 as decimal(37,11)."""
-    if values.dtype == object:
-        raw = b"".join(int(v).to_bytes(16, "little", signed=True) for v in values)
-    else:
-        raw = np.stack([values.astype(np.int64), np.where(values < 0, -1, 0)], axis=1).tobytes()
-    return pa.Array.from_buffers(pa.decimal128(37, SCALE), len(values), [None, pa.py_buffer(raw)])
+    return decimals(values, pa.decimal128(37, SCALE))
 
 
 def _fold(batches: Iterator[pa.RecordBatch]):
@@ -245,9 +230,34 @@ def _chunk_fold(batches: Iterator[pa.RecordBatch], decide: bool):
         yield summaries(done)
 
 
-def _hot_months(rows: DataFrame, partitions: int, trace: list[int] | None = None) -> DataFrame:
+def _doubt_fold(batches: Iterator[pa.RecordBatch]):
+    """Rows sorted by (chunk, team-month, ts, event_id), each chunk from the range of starts that stands beside its rows: what isn't
+    decided alike for the whole range."""
+    at = None
+    for b in batches:
+        if not b.num_rows:
+            continue
+        chunk, key = b.column("_chunk").to_numpy(), b.column("_key").to_numpy(zero_copy_only=False)
+        day = b.column("day").cast(pa.int32()).fill_null(NO_DAY).to_numpy()
+        est, act, daily, monthly = (whole_numbers(b.column(c)) for c in ("est_cost", "cost", "daily_limit", "monthly_limit"))
+        if any(x.dtype == object for x in (est, act, daily, monthly)):
+            est, act, daily, monthly = (x.astype(object) for x in (est, act, daily, monthly))
+        most_d, most_m = greatest_spend(est, daily), greatest_spend(est, monthly)
+        bounds = [whole_numbers(b.column(c)) for c in ("low_d", "high_d", "low_m", "high_m")]
+        cuts = [0, *(np.flatnonzero((chunk[1:] != chunk[:-1]) | (key[1:] != key[:-1])) + 1).tolist(), b.num_rows]
+        out = []
+        for lo, hi in zip(cuts, cuts[1:], strict=False):
+            if at is None or (at.chunk, at.key) != (int(chunk[lo]), key[lo]):
+                out += at.taken(last=True) if at else []
+                at = Doubts(key[lo], int(chunk[lo]), int(day[lo]), *(int(x[lo]) for x in bounds))
+            at.add(day[lo:hi], act[lo:hi], most_d[lo:hi], most_m[lo:hi])
+        yield doubts(out + at.taken(last=False))
+    yield doubts(at.taken(last=True) if at else [])
+
+
+def _hot_months(rows: DataFrame, order: DataFrame, partitions: int, trace: list[int] | None = None) -> DataFrame:
     """Admission of team-months with too many rows for a task, chunk by chunk (see ``chaining``)."""
-    return chained(rows.select(*_IN), functools.partial(_chunk_fold, decide=False), functools.partial(_chunk_fold, decide=True), _decided_schema(rows), partitions, trace)
+    return chained(rows.select(*_IN), order, functools.partial(_chunk_fold, decide=False), _doubt_fold, functools.partial(_chunk_fold, decide=True), _decided_schema(rows), partitions, trace)
 
 
 def budget_admission(requests: DataFrame, settings: config.GatewaySettings = config.DEFAULT_SETTINGS, partitions: int | None = None,
@@ -267,18 +277,25 @@ def budget_admission(requests: DataFrame, settings: config.GatewaySettings = con
     spark = requests.sparkSession
     ship_package(spark)
     n = partitions or default_partitions(spark)
-    rows = requests.select("team_id", "ts", "event_id", "est_cost", "cost")
-    rows = with_limits(rows, settings, limits) if changes is None else limits_asof(rows, changes, settings, n)
-    rows = rows.withColumns({"day": day_key(F.col("ts")), "month": month_key(F.col("ts"))})
-    rows = rows.withColumns({c: F.col(c).cast(COST_T) for c in ("est_cost", "cost", "daily_limit", "monthly_limit")})
+    requests = requests.select("team_id", "ts", "event_id", "est_cost", "cost")
+
+    def with_periods(rows: DataFrame) -> DataFrame:
+        rows = with_limits(rows, settings, limits) if changes is None else limits_asof(rows, changes, settings, n)
+        rows = rows.withColumns({"day": day_key(F.col("ts")), "month": month_key(F.col("ts"))})
+        return rows.withColumns({c: F.col(c).cast(COST_T) for c in ("est_cost", "cost", "daily_limit", "monthly_limit")})
+
     # a row per team and month
-    sizes = requests.groupBy("team_id", month_key(F.col("ts")).alias("month")).agg(F.count(F.lit(1)).alias("n"))
+    sizes = materialize(requests.groupBy("team_id", month_key(F.col("ts")).alias("month")).agg(F.count(F.lit(1)).alias("n")), "admission-sizes")
     hot = sizes.where(F.col("n") > fold_rows).select(F.col("team_id").alias("_ht"), F.col("month").alias("_hm"))
     if hot.isEmpty():
-        return explain(_fold_months(rows, n))
-    its = F.col("team_id").eqNullSafe(F.col("_ht")) & F.col("month").eqNullSafe(F.col("_hm"))
-    small = _fold_months(rows.join(hot, its, "left_anti"), n)
-    return explain(small.unionByName(_hot_months(rows.join(hot, its, "left_semi"), n, trace)))
+        return explain(_fold_months(with_periods(requests), n))
+    # limits are found for the small and the large apart, so that neither pays for the other's rows
+    its = F.col("team_id").eqNullSafe(F.col("_ht")) & month_key(F.col("ts")).eqNullSafe(F.col("_hm"))
+    small, large = (requests.join(hot, its, how) for how in ("left_anti", "left_semi"))
+    decided = _hot_months(with_periods(large), large.select("ts", "event_id"), n, trace)
+    if not sizes.where(F.col("n") <= fold_rows).isEmpty():
+        decided = decided.unionByName(_fold_months(with_periods(small), n))
+    return explain(decided)
 
 
 def explain(out: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:

@@ -10,48 +10,43 @@ import numpy as np
 SCALE = 11
 STEP = 10 ** (SCALE - 6)  # remaining budgets are rounded to 6 places
 NO_DAY = -(1 << 31)
+#: No bound; beyond every amount.
+FAR = 10 ** 36
 
 
-def _left(limit, used):
-    """round(max(0, limit - used), 6), half up, for arrays of whole numbers."""
-    return np.maximum(limit - used + STEP // 2, 0) // STEP * STEP
+def greatest_spend(est: np.ndarray, limit: np.ndarray, step: int = STEP) -> np.ndarray:
+    """The most that can have been spent before a request of this estimate so that what is left, rounded half up to ``step`` and
+    floored at 0, covers it."""
+    always = FAR if est.dtype == object else 1 << 62
+    return np.where(est > 0, limit + step // 2 + (-est // step) * step, always)
 
 
 def admit(est: np.ndarray, act: np.ndarray, day: np.ndarray, daily: np.ndarray, monthly: np.ndarray, spent_day, spent_month):
     """Greedy admission of one team-month's requests in order.
 
     A request is admitted if its estimate is within what is left of the day's limit and then of the month's; then its actual
-    cost is spent.  Runs of admitted and of denied requests are each found by one vectorised look ahead over a window that
-    grows while the run goes on.  Returns (allowed, daily spend before, monthly spend before) and the spend at the end.
+    cost is spent.  What may have been spent before each is found for all at once, so that a row takes two comparisons however
+    often limits change and runs of admitted requests end.  Returns (allowed, daily spend before, monthly spend before) and
+    the spend at the end.
     """
     n = len(est)
     allowed = np.zeros(n, bool)
     before_day, before_month = np.zeros(n, est.dtype), np.zeros(n, est.dtype)
-    i, width = 0, 64
-    today = day[0] if n else None
-    while i < n:
-        if day[i] != today:
-            today, spent_day = day[i], 0
-        end = i + int(np.searchsorted(day[i: i + width], today, side="right"))
-        part = slice(i, end)
-        # all admitted: where does that fail first?
-        spend = np.cumsum(act[part])
-        run = np.concatenate([spend[:1] * 0, spend[:-1]])
-        fits = (est[part] <= _left(daily[part], spent_day + run)) & (est[part] <= _left(monthly[part], spent_month + run))
-        good = end - i if fits.all() else int(fits.argmin())
-        if good:
-            at = slice(i, i + good)
-            allowed[at] = True
-            before_day[at], before_month[at] = spent_day + run[:good], spent_month + run[:good]
-            spent_day, spent_month = spent_day + spend[good - 1], spent_month + spend[good - 1]
-            i += good
-        if i < end:
-            # all denied: which is the first that fits?
-            part = slice(i, end)
-            fits = (est[part] <= _left(daily[part], spent_day)) & (est[part] <= _left(monthly[part], spent_month))
-            bad = int(fits.argmax()) if fits.any() else end - i
-            at = slice(i, i + bad)
-            before_day[at], before_month[at] = spent_day, spent_month
-            i += bad
-        width = min(2 * width, 1 << 16) if i >= end else 64
+    most_day, most_month = greatest_spend(est, daily), greatest_spend(est, monthly)
+    spent_day, spent_month = int(spent_day), int(spent_month)
+    cuts = [0, *(np.flatnonzero(day[1:] != day[:-1]) + 1).tolist(), n] if n else []
+    for lo, hi in zip(cuts, cuts[1:], strict=False):
+        if lo:
+            spent_day = 0
+        at = slice(lo, hi)
+        first_day, first_month, taken = spent_day, spent_month, bytearray(hi - lo)
+        for i, (most_d, most_m, cost) in enumerate(zip(most_day[at].tolist(), most_month[at].tolist(), act[at].tolist(), strict=True)):
+            if spent_day <= most_d and spent_month <= most_m:
+                taken[i] = 1
+                spent_day += cost
+                spent_month += cost
+        allowed[at] = np.frombuffer(taken, bool)
+        spend = np.where(allowed[at], act[at], 0)
+        run = np.cumsum(spend) - spend
+        before_day[at], before_month[at] = first_day + run, first_month + run
     return allowed, before_day, before_month, spent_day, spent_month

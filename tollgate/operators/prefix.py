@@ -79,11 +79,12 @@ def chunk_of(first: Column, second: Column, bounds: Bounds) -> Column:
     return place(first, second)
 
 
-def with_chunk(df: DataFrame, order: Sequence[str], partitions: int | None = None, per_partition: int = 2) -> DataFrame:
-    """``_chunk`` (int) along ``order``, a time or integer column and an integer tie-break."""
+def with_chunk(df: DataFrame, order: Sequence[str], partitions: int | None = None, per_partition: int = 2, of: DataFrame | None = None) -> DataFrame:
+    """``_chunk`` (int) along ``order``, a time or integer column and an integer tie-break.  The borders are those ``of`` a plainer table of
+    the same rows, where there is one."""
     ship_package(df.sparkSession)
     first, second = order
-    bounds = chunk_bounds(df, first, second, per_partition * (partitions or default_partitions(df.sparkSession)))
+    bounds = chunk_bounds(df if of is None else of, first, second, per_partition * (partitions or default_partitions(df.sparkSession)))
     return df.withColumn("_chunk", chunk_of(order_key(df, first), order_key(df, second), bounds))
 
 
