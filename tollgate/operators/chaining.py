@@ -6,12 +6,13 @@ would be the same: a request is admitted up to a greatest amount spent before it
 above and the denied ones from below.  A walk along the chunks' summaries (a row each) then starts from zero: where the amounts lie
 within a chunk's bounds its decisions stand, and its spend is added.
 
-Where limits change all the time these bounds are narrow, and most guesses miss them.  So from the first chunk that its start misses, a
+Where limits change all the time these bounds are narrow, and most guesses miss them.  Where few
+chunks miss, those are folded again from what the walk arrived with, a few times at most.  Where many do, from the first one on a
 team-month's chunks are folded again from a range of starts, around what the walk arrived with.  All decisions that are the
 same for the whole range are settled there, side by side; the others, the doubtful requests, are replayed in order, a few numbers each
 (a team-month's in one task, streamed), which finds every chunk's true start up to the first outside its range.  Chunks from
-there on, if any, get the ranges that costs and limits before them allow, which hold every start: so rows are folded three times at
-most before the last pass, whatever the limits are and however many chunks there are.  Then each is folded from its true start, row by row.
+there on, if any, get the ranges that costs and limits before them allow, which hold every start: so rows are folded four times at
+most before the last pass, in seven rounds, whatever the limits are and however many chunks there are.  Then each is folded from its true start, row by row.
 
 Rows are shuffled and written once, by chunk; a round reads the chunks to be folded again and returns their summaries or doubtful requests only.
 """
@@ -40,6 +41,8 @@ STARTS = f"_key string, _chunk int, start_d {WHOLE}, start_m {WHOLE}, fits boole
 RANGES = f"_key string, _chunk int, low_d {WHOLE}, high_d {WHOLE}, low_m {WHOLE}, high_m {WHOLE}"
 DOUBTS = f"_key string, _chunk int, _place long, day int, more_d {WHOLE}, more_m {WHOLE}, most_d {WHOLE}, most_m {WHOLE}, spends {WHOLE}"
 _WIDE = Context(prec=60)
+#: Rounds that fold missed chunks alone, while these hold at most one in so many of the rows.
+FEW_ROUNDS = 4
 
 #: A fold of rows sorted by (_chunk, _key, ts, event_id), each with its chunk's start_d and start_m.
 Fold = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
@@ -281,14 +284,27 @@ def chained(rows: DataFrame, order: DataFrame, to_summaries: Fold, to_doubts: Fo
     per_day = ("_key", "_chunk", "day")
     guessed = materialize(by_day.select(*per_day, F.coalesce("spend", zero).alias("spend"), "daily", "monthly").groupBy("_key").applyInPandas(guess, STARTS), "admission-starts")
     bounds = materialize(by_day.select(*per_day, "less", "more", "top_d", "top_m", "free").groupBy("_key").applyInPandas(ranges, RANGES), "admission-ranges")
-    first = materialize(folded(stored, guessed.select("_key", "_chunk", "start_d", "start_m"), to_summaries, SUMMARY), "admission-summaries")
+    known = materialize(folded(stored, guessed.select("_key", "_chunk", "start_d", "start_m"), to_summaries, SUMMARY), "admission-summaries")
+    total = known.agg(F.sum("n")).first()[0]
     if trace is not None:
-        trace.append(first.agg(F.sum("n")).first()[0])
-    starts = materialize(first.groupBy("_key").applyInPandas(walk, STARTS), "admission-starts")
+        trace.append(total)
+    starts = materialize(known.groupBy("_key").applyInPandas(walk, STARTS), "admission-starts")
+    for _ in range(FEW_ROUNDS):
+        # few chunks missed (lasting limits): those alone, from what the walk arrived with
+        todo = starts.where(~F.col("fits"))
+        rows_again = by_day.join(todo.select("_key", "_chunk"), ["_key", "_chunk"]).agg(F.sum("n")).first()[0] or 0
+        if not 0 < rows_again * FEW_ROUNDS <= total:
+            break
+        if trace is not None:
+            trace.append(rows_again)
+        chunks = [r[0] for r in todo.select("_chunk").distinct().collect()]  # at most the number of chunks
+        new = materialize(folded(stored.where(F.col("_chunk").isin(chunks)), todo.select("_key", "_chunk", "start_d", "start_m"), to_summaries, SUMMARY), "admission-summaries")
+        known = materialize(new.unionByName(known.join(new, ["_key", "_chunk"], "left_anti")), "admission-summaries")
+        starts = materialize(known.groupBy("_key").applyInPandas(walk, STARTS), "admission-starts")
     beside = guessed
     while True:
         chunks = [r[0] for r in starts.where(~F.col("fits")).groupBy("_key").agg(F.min("_chunk").alias("_from")).join(starts, "_key")
-                  .where(F.col("_chunk") >= F.col("_from")).select("_chunk").distinct().collect()]  # at most the number of chunks
+                  .where(F.col("_chunk") >= F.col("_from")).select("_chunk").distinct().collect()]
         if not chunks:
             return folded(stored, starts.select("_key", "_chunk", "start_d", "start_m"), to_rows, out_schema)
         to_fold = materialize(around(starts, beside, bounds), "admission-ranges")
