@@ -2,10 +2,12 @@
 
 import datetime as dt
 import random
+import re
 from decimal import Decimal
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from brute import admission_fold
 from pyspark.sql import functions as F
@@ -151,6 +153,45 @@ def test_requests_without_time_or_team_in_large_months(spark):
     assert {i: w[:3] for i, w in want.items()} == {i: got[10][i] for i in want}
 
 
+def _limited(n, scale=1):
+    """A team with all rows, one instant for every four; limits from a table whose size isn't known beforehand."""
+    rng = random.Random(n)
+    rows = [("x" if k % 9 else "y", START + dt.timedelta(minutes=k // 4 * 7), k, *(Decimal(rng.randrange(1, 9)) / 100 * scale for _ in range(2))) for k in range(n)]
+    return rows, {"x": (Decimal("0.5") * scale, Decimal(3) * scale)}
+
+
+def test_limits_are_not_joined_by_team_alone(spark):
+    """One task would get all rows of a team."""
+    rows, limits = _limited(200)
+    table = spark.createDataFrame([(t, *v) for t, v in limits.items()], "team_id string, daily_limit decimal(24,4), monthly_limit decimal(24,4)")
+    got = budget.budget_admission(spark.createDataFrame(rows, REQUESTS), partitions=3, limits=table)
+    assert not re.search(r"hashpartitioning\(team_id#\w+, \d+\)", got._jdf.queryExecution().toString())
+    fixed = budget.with_limits(spark.createDataFrame(rows, REQUESTS))
+    assert "hashpartitioning" not in fixed._jdf.queryExecution().toString()
+
+
+@pytest.mark.parametrize("scale", [1, 1000, 10 ** 9])
+def test_amounts_of_any_size_in_large_months(spark, scale):
+    """Up to 18 digits amounts are written as a word, beyond as they are: every decision is the same."""
+    rows, limits = _limited(400, scale)
+    table = spark.createDataFrame([(t, *v) for t, v in limits.items()], "team_id string, daily_limit decimal(24,4), monthly_limit decimal(24,4)")
+    out = budget.budget_admission(spark.createDataFrame(rows, REQUESTS), partitions=3, limits=table, fold_rows=20)
+    assert {kind for c, kind in out.dtypes if c in chaining.AMOUNTS} == {"decimal(37,11)"}
+    got = {r.event_id: (r.allowed, r.denied_by, r.du_before, r.mu_before) for r in out.collect()}
+    assert got == admission_fold(rows, limits)
+    kept = [(r.est_cost, r.cost) for r in out.orderBy("event_id").collect()]
+    assert kept == [r[3:] for r in rows]
+
+
+def test_limits_that_are_never_summed_stay_machine_words():
+    """A monthly limit above 2,305 USD made numbers of Python's own of a whole batch."""
+    limits = pa.array([Decimal(10_000)] * 10_000, pa.decimal128(37, 11))
+    assert chaining.whole_numbers(limits, sums=False).dtype == np.int64
+    assert chaining.whole_numbers(limits).dtype == object
+    wide = pa.array([Decimal(50_000_000)], pa.decimal128(37, 11))
+    assert chaining.whole_numbers(wide, sums=False).tolist() == [5 * 10 ** 18] and chaining.whole_numbers(wide, sums=False).dtype == object
+
+
 # ---- chunk borders ---------------------------------------------------------------------------------------------------------------
 
 def _jobs(spark, fn):

@@ -13,13 +13,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tollgate import config
 from tollgate.functions.money import COST_T, LIMIT_T, day_key, denial_reason, month_key, remaining, usd
 from tollgate.operators.asof import asof_join
-from tollgate.operators.chaining import Doubts, Span, chained, decimals, doubts, summaries, whole_numbers
+from tollgate.operators.chaining import AMOUNTS, Doubts, Span, chained, decimals, doubts, summaries, whole_numbers
 from tollgate.operators.fold import NO_DAY, SCALE, STEP, admit, greatest_spend
 from tollgate.session import default_partitions, materialize, ship_package
 from tollgate.sources.dims import budget_dim
@@ -45,9 +45,10 @@ def with_limits(df: DataFrame, settings: config.GatewaySettings = config.DEFAULT
     """A team's limits or the defaults.
 
     ``limits`` (team_id, daily_limit, monthly_limit; one row a team) is any table of budgets, such as S9's; without one the
-    settings' own.  It grows with the teams, so whether to broadcast it is left to its size at run time.
+    settings' own, a few rows that are broadcast.  The former grows with the teams, so whether to broadcast it is left to its size at run
+    time: rows of which a team may have very many should be joined by more than the team (see ``budget_admission``).
     """
-    limits = budget_dim(df.sparkSession, settings) if limits is None else limits
+    limits = F.broadcast(budget_dim(df.sparkSession, settings)) if limits is None else limits
     limits = limits.select(F.col("team_id").alias("_bt"), F.col("daily_limit").cast(LIMIT_T).alias("daily_limit"),
                            F.col("monthly_limit").cast(LIMIT_T).alias("monthly_limit"))
     return (df.join(limits, F.col("team_id") == F.col("_bt"), "left")
@@ -147,6 +148,7 @@ FOLD_ROWS = 1_000_000
 
 
 _IN = ["team_id", "month", "day", "ts", "event_id", "est_cost", "cost", "daily_limit", "monthly_limit"]
+_HOT_IN = ["_key", *(c for c in _IN if c != "month")]
 _OUT = ["team_id", "ts", "event_id", "est_cost", "cost", "daily_limit", "monthly_limit"]
 
 
@@ -163,7 +165,7 @@ def _fold(batches: Iterator[pa.RecordBatch]):
             continue
         month, team = b.column("month").to_numpy(zero_copy_only=False), b.column("team_id").to_numpy(zero_copy_only=False)
         day = b.column("day").cast(pa.int32()).fill_null(NO_DAY).to_numpy()
-        est, act, daily, monthly = (whole_numbers(b.column(c)) for c in ("est_cost", "cost", "daily_limit", "monthly_limit"))
+        est, act, daily, monthly = (whole_numbers(b.column(c), c == "cost") for c in ("est_cost", "cost", "daily_limit", "monthly_limit"))
         if any(x.dtype == object for x in (est, act, daily, monthly)) or max(int(spent_day), int(spent_month)) > 1 << 61:
             est, act, daily, monthly = (x.astype(object) for x in (est, act, daily, monthly))
         cuts = [0, *(np.flatnonzero((month[1:] != month[:-1]) | (team[1:] != team[:-1])) + 1).tolist(), b.num_rows]
@@ -199,18 +201,18 @@ def _chunk_fold(batches: Iterator[pa.RecordBatch], decide: bool):
     for b in batches:
         if not b.num_rows:
             continue
-        chunk, key = b.column("_chunk").to_numpy(), b.column("_key").to_numpy(zero_copy_only=False)
+        chunk, key = b.column("_chunk").to_numpy(), b.column("_key").to_numpy()
         day = b.column("day").cast(pa.int32()).fill_null(NO_DAY).to_numpy()
-        start_d, start_m = (whole_numbers(b.column(c)) for c in ("start_d", "start_m"))
-        est, act, daily, monthly = (whole_numbers(b.column(c)) for c in ("est_cost", "cost", "daily_limit", "monthly_limit"))
+        start_d, start_m = (whole_numbers(b.column(c), sums=False) for c in ("start_d", "start_m"))
+        est, act, daily, monthly = (whole_numbers(b.column(c), c == "cost") for c in ("est_cost", "cost", "daily_limit", "monthly_limit"))
         if any(x.dtype == object for x in (est, act, daily, monthly, start_d, start_m)) or max(int(spent_day), int(spent_month)) > 1 << 61:
             est, act, daily, monthly = (x.astype(object) for x in (est, act, daily, monthly))
         most_d, most_m = greatest_spend(est, daily, STEP), greatest_spend(est, monthly, STEP)
         cuts = [0, *(np.flatnonzero((chunk[1:] != chunk[:-1]) | (key[1:] != key[:-1])) + 1).tolist(), b.num_rows]
         out = []
         for lo, hi in zip(cuts, cuts[1:], strict=False):
-            if span is None or (span.chunk, span.key) != (int(chunk[lo]), key[lo]):
-                span = Span(key[lo], int(chunk[lo]), int(start_d[lo]), int(start_m[lo]))
+            if span is None or (span.chunk, span.key) != (int(chunk[lo]), int(key[lo])):
+                span = Span(int(key[lo]), int(chunk[lo]), int(start_d[lo]), int(start_m[lo]))
                 done.append(span)
                 spent_day, spent_month = span.start_d, span.start_m
             elif day[lo] != day_at:
@@ -237,9 +239,9 @@ def _doubt_fold(batches: Iterator[pa.RecordBatch]):
     for b in batches:
         if not b.num_rows:
             continue
-        chunk, key = b.column("_chunk").to_numpy(), b.column("_key").to_numpy(zero_copy_only=False)
+        chunk, key = b.column("_chunk").to_numpy(), b.column("_key").to_numpy()
         day = b.column("day").cast(pa.int32()).fill_null(NO_DAY).to_numpy()
-        est, act, daily, monthly = (whole_numbers(b.column(c)) for c in ("est_cost", "cost", "daily_limit", "monthly_limit"))
+        est, act, daily, monthly = (whole_numbers(b.column(c), c == "cost") for c in ("est_cost", "cost", "daily_limit", "monthly_limit"))
         if any(x.dtype == object for x in (est, act, daily, monthly)):
             est, act, daily, monthly = (x.astype(object) for x in (est, act, daily, monthly))
         most_d, most_m = greatest_spend(est, daily), greatest_spend(est, monthly)
@@ -247,9 +249,9 @@ def _doubt_fold(batches: Iterator[pa.RecordBatch]):
         cuts = [0, *(np.flatnonzero((chunk[1:] != chunk[:-1]) | (key[1:] != key[:-1])) + 1).tolist(), b.num_rows]
         out = []
         for lo, hi in zip(cuts, cuts[1:], strict=False):
-            if at is None or (at.chunk, at.key) != (int(chunk[lo]), key[lo]):
+            if at is None or (at.chunk, at.key) != (int(chunk[lo]), int(key[lo])):
                 out += at.taken(last=True) if at else []
-                at = Doubts(key[lo], int(chunk[lo]), int(day[lo]), *(int(x[lo]) for x in bounds))
+                at = Doubts(int(key[lo]), int(chunk[lo]), int(day[lo]), *(int(x[lo]) for x in bounds))
             at.add(day[lo:hi], act[lo:hi], most_d[lo:hi], most_m[lo:hi])
         yield doubts(out + at.taken(last=False))
     yield doubts(at.taken(last=True) if at else [])
@@ -257,7 +259,8 @@ def _doubt_fold(batches: Iterator[pa.RecordBatch]):
 
 def _hot_months(rows: DataFrame, order: DataFrame, partitions: int, trace: list[int] | None = None) -> DataFrame:
     """Admission of team-months with too many rows for a task, chunk by chunk (see ``chaining``)."""
-    return chained(rows.select(*_IN), order, functools.partial(_chunk_fold, decide=False), _doubt_fold, functools.partial(_chunk_fold, decide=True), _decided_schema(rows), partitions, trace)
+    found = chained(rows.select(*_HOT_IN), order, functools.partial(_chunk_fold, decide=False), _doubt_fold, functools.partial(_chunk_fold, decide=True), _decided_schema, partitions, trace)
+    return found.withColumns({c: F.col(c).cast(COST_T) for c in AMOUNTS})
 
 
 def budget_admission(requests: DataFrame, settings: config.GatewaySettings = config.DEFAULT_SETTINGS, partitions: int | None = None,
@@ -279,22 +282,31 @@ def budget_admission(requests: DataFrame, settings: config.GatewaySettings = con
     n = partitions or default_partitions(spark)
     requests = requests.select("team_id", "ts", "event_id", "est_cost", "cost")
 
-    def with_periods(rows: DataFrame) -> DataFrame:
-        rows = with_limits(rows, settings, limits) if changes is None else limits_asof(rows, changes, settings, n)
-        rows = rows.withColumns({"day": day_key(F.col("ts")), "month": month_key(F.col("ts"))})
-        return rows.withColumns({c: F.col(c).cast(COST_T) for c in ("est_cost", "cost", "daily_limit", "monthly_limit")})
-
-    # a row per team and month
-    sizes = materialize(requests.groupBy("team_id", month_key(F.col("ts")).alias("month")).agg(F.count(F.lit(1)).alias("n")), "admission-sizes")
-    hot = sizes.where(F.col("n") > fold_rows).select(F.col("team_id").alias("_ht"), F.col("month").alias("_hm"))
-    if hot.isEmpty():
-        return explain(_fold_months(with_periods(requests), n))
+    first = F.trunc(day_key(F.col("ts")), "month")
+    its = F.col("team_id").eqNullSafe(F.col("_ht")) & first.eqNullSafe(F.col("_hf"))
+
+    def with_periods(rows: DataFrame, months: DataFrame) -> DataFrame:
+        def as_amounts(df: DataFrame) -> DataFrame:
+            return df.withColumns({c: F.col(c).cast(COST_T) for c in AMOUNTS if c in df.columns})
+
+        months = as_amounts(months).withColumnsRenamed({"team_id": "_ht", "_first": "_hf"}).drop("n", "configured")
+        rows = rows if changes is None else limits_asof(rows, changes, settings, n)
+        return as_amounts(rows).join(months, its).withColumn("day", day_key(F.col("ts")))
+
+    # a row per team and month, with its limits unless these change within it: so rows get theirs by team and month, broadcast for the large
+    sizes = requests.groupBy("team_id", first.alias("_first")).agg(F.count(F.lit(1)).alias("n")).withColumn("month", month_key(F.col("_first")))
+    sizes = sizes.withColumn("n", F.sum("n").over(Window.partitionBy("team_id", "month")))
+    sizes = materialize(sizes if changes is not None else with_limits(sizes, settings, limits), "admission-sizes")
+    # the large are few, one in fold_rows requests at most: they are numbered
+    hot, cold = sizes.where(F.col("n") > fold_rows), sizes.where(F.col("n") <= fold_rows)
+    hot = F.broadcast(hot.withColumn("_key", F.dense_rank().over(Window.orderBy("team_id", "month"))))
+    if sizes.where(F.col("n") > fold_rows).isEmpty():
+        return explain(_fold_months(with_periods(requests, sizes), n))
     # limits are found for the small and the large apart, so that neither pays for the other's rows
-    its = F.col("team_id").eqNullSafe(F.col("_ht")) & month_key(F.col("ts")).eqNullSafe(F.col("_hm"))
-    small, large = (requests.join(hot, its, how) for how in ("left_anti", "left_semi"))
-    decided = _hot_months(with_periods(large), large.select("ts", "event_id"), n, trace)
-    if not sizes.where(F.col("n") <= fold_rows).isEmpty():
-        decided = decided.unionByName(_fold_months(with_periods(small), n))
+    large, small = (requests.join(x.select(F.col("team_id").alias("_ht"), F.col("_first").alias("_hf")), its, "left_semi") for x in (hot, cold))
+    decided = _hot_months(with_periods(requests if changes is None else large, hot), large.select("ts", "event_id"), n, trace)
+    if not cold.isEmpty():
+        decided = decided.unionByName(_fold_months(with_periods(requests if changes is None else small, cold), n))
     return explain(decided)
 
 

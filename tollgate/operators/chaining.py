@@ -15,17 +15,20 @@ there on, if any, get the ranges that costs and limits before them allow, which
 most before the last pass, in seven rounds, whatever the limits are and however many chunks there are.  Then each is folded from its true start, row by row.
 
 Rows are shuffled and written once, by chunk; a round reads the chunks to be folded again and returns their summaries or doubtful requests only.
+Every round shuffles and sorts its rows, so these are kept narrow: a team-month is a number, and amounts are decimals of 18 digits where
+all fit (else of 37).
 """
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable, Iterator
 from decimal import Context, Decimal
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from tollgate.functions.money import COST_T
@@ -34,12 +37,17 @@ from tollgate.operators.prefix import with_chunk
 from tollgate.session import materialize, shared_path
 
 WHOLE = "decimal(38,0)"
-SUMMARY = (f"_key string, _chunk int, n long, first_day int, last_day int, low_d {WHOLE}, high_d {WHOLE}, low_m {WHOLE}, high_m {WHOLE}, "
+SUMMARY = (f"_key int, _chunk int, n long, first_day int, last_day int, low_d {WHOLE}, high_d {WHOLE}, low_m {WHOLE}, high_m {WHOLE}, "
            f"first_day_spend {WHOLE}, last_day_spend {WHOLE}, month_spend {WHOLE}")
-STARTS = f"_key string, _chunk int, start_d {WHOLE}, start_m {WHOLE}, fits boolean"
+STARTS = f"_key int, _chunk int, start_d {WHOLE}, start_m {WHOLE}, fits boolean"
 #: Starts that a chunk may have; what no start can be outside of.
-RANGES = f"_key string, _chunk int, low_d {WHOLE}, high_d {WHOLE}, low_m {WHOLE}, high_m {WHOLE}"
-DOUBTS = f"_key string, _chunk int, _place long, day int, more_d {WHOLE}, more_m {WHOLE}, most_d {WHOLE}, most_m {WHOLE}, spends {WHOLE}"
+RANGES = f"_key int, _chunk int, low_d {WHOLE}, high_d {WHOLE}, low_m {WHOLE}, high_m {WHOLE}"
+DOUBTS = f"_key int, _chunk int, _place long, day int, more_d {WHOLE}, more_m {WHOLE}, most_d {WHOLE}, most_m {WHOLE}, spends {WHOLE}"
+AMOUNTS = ("est_cost", "cost", "daily_limit", "monthly_limit")
+#: What a fold that returns no rows reads.
+FOLDED = ("_key", "_chunk", "day", "ts", "event_id", *AMOUNTS)
+#: Amounts of up to 18 digits are one machine word in rows, files and shuffles, and several times as fast as wider ones.
+WORD = "decimal(18,11)"
 _WIDE = Context(prec=60)
 #: Rounds that fold missed chunks alone, while these hold at most one in so many of the rows.
 FEW_ROUNDS = 4
@@ -48,13 +56,13 @@ FEW_ROUNDS = 4
 Fold = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
 
 
-def whole_numbers(column: pa.Array) -> np.ndarray:
-    """Decimals as whole numbers of their last place: int64 where sums of them surely fit, else Python's numbers."""
+def whole_numbers(column: pa.Array, sums: bool = True) -> np.ndarray:
+    """Decimals as whole numbers of their last place: int64 where they and, with ``sums``, sums of them surely fit, else Python's numbers."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     words = np.frombuffer(column.buffers()[1], np.int64).reshape(-1, 2)[column.offset: column.offset + len(column)]
     low, high = words[:, 0], words[:, 1]
-    if len(column) and ((high != 0).any() or (low < 0).any() or int(low.max()) > (1 << 62) // (2 * len(column) + 2)):
+    if len(column) and ((high != 0).any() or (low < 0).any() or int(low.max()) > (1 << 62) // (2 * len(column) + 2 if sums else 2)):
         return np.array([(int(h) << 64) + (int(x) & 0xFFFFFFFFFFFFFFFF) for x, h in words], object)
     return low
 
@@ -71,7 +79,7 @@ def decimals(values: np.ndarray, kind: pa.DataType) -> pa.Array:
 class Span:
     """One chunk of a team-month while it is folded: the starts that leave its decisions alone, and what it spends."""
 
-    def __init__(self, key: str, chunk: int, start_d: int, start_m: int):
+    def __init__(self, key: int | str, chunk: int, start_d: int, start_m: int):
         self.key, self.chunk, self.start_d, self.start_m = key, chunk, start_d, start_m
         self.n, self.first_day = 0, None
         self.low_d = self.low_m = -FAR
@@ -100,10 +108,15 @@ class Span:
 
 
 def summaries(spans: list[Span]) -> pa.RecordBatch:
-    kinds = [pa.string(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), *[pa.decimal128(38, 0)] * 7]
+    kinds = [pa.int32(), pa.int64(), pa.int32(), pa.int32(), *[pa.decimal128(38, 0)] * 7]
     names = [c.strip().split(" ")[0] for c in SUMMARY.replace("(38,0)", "").split(",")]
-    columns = list(zip(*(s.summary() for s in spans), strict=True)) or [()] * len(kinds)
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
+    columns = list(zip(*(s.summary() for s in spans), strict=True)) or [()] * len(names)
+    return pa.RecordBatch.from_arrays([_keys(columns[0]), *(pa.array(c, k) for c, k in zip(columns[1:], kinds, strict=True))], names=names)
+
+
+def _keys(values: tuple) -> pa.Array:
+    """Team-months' numbers; callers that have texts may keep them."""
+    return pa.array(values, pa.string() if values and isinstance(values[0], str) else pa.int32())
 
 
 class Doubts:
@@ -113,7 +126,7 @@ class Doubts:
     before it, and what it spends.  The first entry holds the chunk's first day and its range, the last the spend after the last doubt.
     """
 
-    def __init__(self, key: str, chunk: int, day: int, low_d: int, high_d: int, low_m: int, high_m: int):
+    def __init__(self, key: int | str, chunk: int, day: int, low_d: int, high_d: int, low_m: int, high_m: int):
         self.key, self.chunk, self.day, self.place = key, chunk, day, 0
         self.low_d, self.high_d, self.low_m, self.high_m = low_d, high_d, low_m, high_m
         self.more_d = self.more_m = 0
@@ -155,8 +168,8 @@ class Doubts:
 def doubts(entries: list[tuple]) -> pa.RecordBatch:
     names = [c.strip().split(" ")[0] for c in DOUBTS.replace("(38,0)", "").split(",")]
     columns = list(zip(*entries, strict=True)) or [()] * len(names)
-    kinds = [pa.string(), pa.int32(), pa.int64(), pa.int32()]
-    return pa.RecordBatch.from_arrays([*(pa.array(c, k) for c, k in zip(columns[:4], kinds, strict=True)), *(_amounts(c) for c in columns[4:])], names=names)
+    kinds = [pa.int32(), pa.int64(), pa.int32()]
+    return pa.RecordBatch.from_arrays([_keys(columns[0]), *(pa.array(c, k) for c, k in zip(columns[1:4], kinds, strict=True)), *(_amounts(c) for c in columns[4:])], names=names)
 
 
 def _amounts(values: tuple) -> pa.Array:
@@ -189,7 +202,7 @@ def replay(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if spent_d <= most_d and spent_m <= most_m:
                 spent_d, spent_m = spent_d + cost, spent_m + cost
         keys, chunks, *starts, fits = list(zip(*out, strict=True)) or [()] * 5
-        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array(chunks, pa.int32()), *map(_amounts, starts), pa.array(fits, pa.bool_())],
+        yield pa.RecordBatch.from_arrays([_keys(keys), pa.array(chunks, pa.int32()), *map(_amounts, starts), pa.array(fits, pa.bool_())],
                                          names=["_key", "_chunk", "start_d", "start_m", "fits"])
 
 
@@ -261,19 +274,33 @@ def around(starts: DataFrame, guessed: DataFrame | None, bounds: DataFrame) -> D
                         edge("low_m", "start_m", "_gm", -1), edge("high_m", "start_m", "_gm", 1))
 
 
-def chained(rows: DataFrame, order: DataFrame, to_summaries: Fold, to_doubts: Fold, to_rows: Fold, out_schema, partitions: int, trace: list[int] | None = None) -> DataFrame:
-    """The rows (team_id, month, day, ts, event_id, cost, daily_limit, monthly_limit and what the folds need) decided by ``to_rows``,
-    every chunk from its true start.  ``order``: ts and event_id of the same rows, for the borders.  ``trace`` gets the number of rows folded in each round."""
-    spark = rows.sparkSession
-    keyed = with_chunk(rows.withColumn("_key", F.to_json(F.struct("team_id", "month"))), ["ts", "event_id"], partitions, of=order)
+def _stored(keyed: DataFrame, amount: str, partitions: int) -> DataFrame | None:
+    """The rows written by chunk, a folder each: a round reads those it needs.  None if not all amounts are of that kind."""
+    spark = keyed.sparkSession
+    kinds = {c: F.col(c).try_cast(amount) for c in AMOUNTS}
+    lost = functools.reduce(lambda a, b: a | b, (F.col(c).isNotNull() & kind.isNull() for c, kind in kinds.items()))
+    seen = Observation()
     path = shared_path(spark, "admission-chunks")
-    keyed.repartitionById(partitions, F.col("_chunk") % partitions).write.partitionBy("_chunk").parquet(path)
-    stored = spark.read.schema(keyed.schema).parquet(path)  # a folder a chunk: a round reads those it needs
+    found = keyed.observe(seen, F.count_if(lost).alias("lost")).withColumns(kinds)
+    found.repartitionById(partitions, F.col("_chunk") % partitions).write.partitionBy("_chunk").parquet(path)
+    return None if seen.get["lost"] else spark.read.schema(found.schema).parquet(path)
+
+
+def chained(rows: DataFrame, order: DataFrame, to_summaries: Fold, to_doubts: Fold, to_rows: Fold, out_schema: Callable, partitions: int, trace: list[int] | None = None) -> DataFrame:
+    """The rows (_key, day, ts, event_id, est_cost, cost, daily_limit, monthly_limit and what ``to_rows`` needs) decided by ``to_rows``,
+    every chunk from its true start, as ``out_schema`` of the rows.  ``order``: ts and event_id of the same rows, for the borders.  ``trace`` gets the number of rows folded in each round."""
+    spark = rows.sparkSession
+    keyed = with_chunk(rows, ["ts", "event_id"], partitions, of=order)
+    stored = _stored(keyed, WORD, partitions) or _stored(keyed, COST_T, partitions)
 
     def folded(part: DataFrame, beside: DataFrame, fold: Fold, schema) -> DataFrame:
         # whether the starts are broadcast is left to their size at run time
-        begun = part.join(beside, ["_key", "_chunk"])
-        return begun.repartitionById(partitions, F.col("_chunk") % partitions).sortWithinPartitions("_chunk", "_key", "ts", "event_id").mapInArrow(fold, schema)
+        amounts = [c for c, kind in beside.dtypes if kind == WHOLE]
+        if (beside.agg(F.max(F.greatest(*(F.abs(c) for c in amounts)))).first()[0] or 0) < 10 ** 18:
+            beside = beside.withColumns({c: F.col(c).cast("decimal(18,0)") for c in amounts})
+        begun = (part if fold is to_rows else part.select(*FOLDED)).join(beside, ["_key", "_chunk"])
+        begun = begun.repartitionById(partitions, F.col("_chunk") % partitions).sortWithinPartitions("_chunk", "_key", "ts", "event_id")
+        return (begun if fold is to_rows else begun.drop("ts", "event_id")).mapInArrow(fold, schema)
 
     zero, after = F.lit(0).cast(COST_T), F.col("cost") - F.col("est_cost") + F.expr("0.0000005BD")
     by_day = materialize(stored.groupBy("_key", "_chunk", F.coalesce(F.datediff("day", F.lit("1970-01-01")), F.lit(NO_DAY)).alias("day")).agg(
@@ -306,7 +333,7 @@ def chained(rows: DataFrame, order: DataFrame, to_summaries: Fold, to_doubts: Fo
         chunks = [r[0] for r in starts.where(~F.col("fits")).groupBy("_key").agg(F.min("_chunk").alias("_from")).join(starts, "_key")
                   .where(F.col("_chunk") >= F.col("_from")).select("_chunk").distinct().collect()]
         if not chunks:
-            return folded(stored, starts.select("_key", "_chunk", "start_d", "start_m"), to_rows, out_schema)
+            return folded(stored, starts.select("_key", "_chunk", "start_d", "start_m"), to_rows, out_schema(stored))
         to_fold = materialize(around(starts, beside, bounds), "admission-ranges")
         if trace is not None:
             trace.append(by_day.join(to_fold, ["_key", "_chunk"]).agg(F.sum("n")).first()[0])
